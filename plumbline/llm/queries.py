@@ -85,9 +85,9 @@ b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGH
 bw AS (SELECT item_id, w, least(13, len(w)) size FROM b WHERE len(w) > 0),
 win AS (SELECT DISTINCT item_id, size, array_to_string(w[p : p + size - 1], ' ') g
         FROM (SELECT item_id, w, size, unnest(range(1, (len(w) - size + 2)::BIGINT)) p FROM bw) x),
-at AS (SELECT doc_id, w, size, unnest(range(1, (len(w) - size + 2)::BIGINT)) p
+occ AS (SELECT doc_id, w, size, unnest(range(1, (len(w) - size + 2)::BIGINT)) p
        FROM d, (SELECT DISTINCT size FROM win) s WHERE len(w) >= size),
-found AS (SELECT doc_id, p, at.size, item_id FROM at JOIN win ON win.size = at.size AND win.g = array_to_string(w[p : p + at.size - 1], ' ')),
+found AS (SELECT doc_id, p, occ.size, item_id FROM occ JOIN win ON win.size = occ.size AND win.g = array_to_string(w[p : p + occ.size - 1], ' ')),
 hits AS (SELECT doc_id, count(DISTINCT q) n FROM (SELECT doc_id, unnest(range(p, p + size)) q FROM found) x GROUP BY 1),
 who AS (SELECT doc_id, count(*) n, string_agg(i, ',' ORDER BY i) names FROM (SELECT DISTINCT doc_id, item_id::VARCHAR i FROM found) x GROUP BY 1)
 SELECT d.doc_id, len(d.w)::BIGINT n_words, coalesce(hits.n, 0)::BIGINT n_hit, coalesce(who.n, 0)::BIGINT n_items,
