@@ -3,12 +3,27 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from plumbline.llm.common import table, written
+from plumbline.llm.common import remainder, table, written
 from plumbline.llm.decontam import decontaminated
+from plumbline.llm.langid import fitted, in_known_language
+from plumbline.llm.line_dedup import line_deduplicated
+from plumbline.llm.packing import digests, packed
+from plumbline.llm.queries import byte_pairs, pieces_path
 from plumbline.llm.simhash import near_deduplicated
 
 
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without letters, or that no one language accounts for, go."""
+    return in_known_language(docs, fitted(docs.where(remainder(F.col("doc_id"), 5) != 0), pieces_path()))
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines of three sites or more stay where they come first only; every document stays."""
+    return line_deduplicated(docs)
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: that with the smallest id."""
     return near_deduplicated(docs)
@@ -19,9 +34,18 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return decontaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of 2048-token sequences with their ids."""
+    pieces = packed(docs, **byte_pairs())
+    return digests(pieces, "ids")
+
+
 STAGES = [
+    ("language", language),
+    ("line_dedup", line_dedup),
     ("near_dedup", near_dedup),
     ("decontaminate", decontaminate),
+    ("packing", packing),
 ]
 
 #: The first stages learn a model and hash words, which SQL can't.

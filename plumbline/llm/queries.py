@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import remainder, table
 from .decontam import contamination
+from .langid import fitted, identified
+from .line_dedup import line_deduplicated
+from .packing import digests, packed
 from .simhash import simhash_components
 from .url_filter import url_filter
 
@@ -25,6 +29,15 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"))
 
 
+def byte_pairs() -> dict[str, str]:
+    """The vocabulary that documents are packed by, in both libraries' formats."""
+    return {"tokenizer": public_tokenizers.path("byte_bpe_50k.json"), "ranks": public_tokenizers.path("byte_bpe_50k.tiktoken"), "pattern": public_tokenizers.PATTERN}
+
+
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digests(packed(table(spark, sf_dir, "documents"), **byte_pairs()))
+
+
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Outcomes: the quality labels whose doc_id is the page's id."""
     outcomes = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), F.col("quality").alias("outcome"))
@@ -75,6 +88,33 @@ FROM ruled JOIN bound USING (host)
 """
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents' texts without boilerplate lines, with the number of lines that went."""
+    docs = line_deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), removed="n_removed")
+    return docs.select("doc_id", "text", "n_removed")
+
+
+OP6_SQL = r"""
+WITH cut AS (SELECT doc_id, source, string_split(text, chr(10)) parts FROM documents WHERE text IS NOT NULL),
+lines AS (SELECT doc_id, source, unnest(parts) line, unnest(range(1, len(parts) + 1)) p FROM cut),
+keyed AS (SELECT doc_id, source, line, p, trim(line, ' ' || chr(9) || chr(13)) k FROM lines),
+spread AS (SELECT k, min((doc_id, p)) first FROM keyed WHERE length(k) >= 20 GROUP BY 1 HAVING count(DISTINCT source) >= 3),
+told AS (SELECT doc_id, p, line, spread.k IS NOT NULL AND (doc_id, p) <> first gone FROM keyed LEFT JOIN spread USING (k)),
+joined AS (SELECT doc_id, coalesce(string_agg(CASE WHEN NOT gone THEN line END, chr(10) ORDER BY p), '') AS text, count(*) FILTER (gone) n_removed FROM told GROUP BY 1)
+SELECT doc_id, joined.text, coalesce(n_removed, 0) n_removed FROM documents LEFT JOIN joined USING (doc_id)
+"""
+
+
+def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", remainder(F.col("doc_id"), 5) == 0)
+    found = identified(docs.select("doc_id", "held_out", "text"), fitted(docs.where("NOT held_out"), pieces_path()), "lang_pred", "score")
+    return found.select("doc_id", "held_out", "lang_pred", "score")
+
+
+def pieces_path() -> str:
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -97,7 +137,10 @@ FROM d LEFT JOIN hits USING (doc_id) LEFT JOIN who USING (doc_id)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
+    "op2_packing": op2_packing,
     "op4_url_filter": op4_url_filter,
+    "op6_line_dedup": op6_line_dedup,
+    "op7_langid": op7_langid,
     "op9_decontaminate": op9_decontaminate,
 }
-SQL = {"op4_url_filter": OP4_SQL, "op9_decontaminate": OP9_SQL}
+SQL = {"op4_url_filter": OP4_SQL, "op6_line_dedup": OP6_SQL, "op9_decontaminate": OP9_SQL}
