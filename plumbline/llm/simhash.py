@@ -26,8 +26,8 @@ from pyspark.sql import types as T
 from .common import checkpointed, word_blocks, written
 
 SHINGLE, SEED, RADIUS = 3, 42, 2
-#: Fingerprints of a tile that a task holds at a time, and of its partners that it compares with them at once.
-TILE_ROWS, PARTNER_ROWS = 4096, 1024
+#: Fingerprints of a tile that a task holds at a time, and pairs that it compares at once.
+TILE_ROWS, PAIRS = 4096, 1 << 20
 
 
 def fingerprint(text: str | None, width: int = SHINGLE) -> int:
@@ -85,19 +85,18 @@ class _Tile:
 
     def __init__(self, prints: np.ndarray, nodes: np.ndarray, radius: int):
         self.prints, self.nodes, self.radius = prints, nodes, radius
-        a, b = [], []
-        for k in range(0, len(prints), PARTNER_ROWS):
-            i, j = _near(prints[k : k + PARTNER_ROWS], prints[k:], radius)
+        self.at_once = max(1, PAIRS // len(prints))
+        self.low = every = np.arange(len(prints))
+        for k in range(0, len(prints), self.at_once):
+            i, j = _near(prints[k : k + self.at_once], prints[k:], radius)
             keep = i < j
-            a.append(i[keep] + k)
-            b.append(j[keep] + k)
-        self.low = _forest(len(prints), np.concatenate(a), np.concatenate(b))
+            self.low = _forest(len(prints), np.concatenate((every, i[keep] + k)), np.concatenate((self.low, j[keep] + k)))
 
     def meet(self, prints: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Links of partners that reach the tile, each to one of its nodes; their own links join its forest."""
         n, out = len(self.nodes), []
-        for k in range(0, len(prints), PARTNER_ROWS):
-            i, j = _near(prints[k : k + PARTNER_ROWS], self.prints, self.radius)
+        for k in range(0, len(prints), self.at_once):
+            i, j = _near(prints[k : k + self.at_once], self.prints, self.radius)
             if len(i):
                 far, i = np.unique(i, return_inverse=True)
                 low = _forest(n + len(far), np.concatenate((np.arange(n), i + n)), np.concatenate((self.low, j)))
