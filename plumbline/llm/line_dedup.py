@@ -36,7 +36,9 @@ def boilerplate(lines: DataFrame, sites: int) -> DataFrame:
     guess = spread.select("one", "two", "first", F.hll_sketch_estimate("sketch").alias("guess")).where(F.col("guess") * BAND >= sites)
     guess = written(guess, "spread")
     sure, near = guess.where(F.col("guess") > sites * BAND), guess.where(F.col("guess") <= sites * BAND)
-    exact = lines.join(near.select("one", "two"), ["one", "two"], "left_semi").groupBy("one", "two").agg(F.count_distinct("site").alias("n"))
+    # a row a line and site, however many documents of the site carry the line
+    carried = lines.select("one", "two", "site").where("site IS NOT NULL").distinct()
+    exact = carried.join(near.select("one", "two"), ["one", "two"], "left_semi").groupBy("one", "two").agg(F.count("*").alias("n"))
     told = near.join(exact.where(F.col("n") >= sites).select("one", "two"), ["one", "two"], "left_semi")
     return sure.unionByName(told).select("one", "two", "first")
 

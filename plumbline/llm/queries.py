@@ -8,12 +8,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import quality, toxicity
 from .common import remainder, table
 from .decontam import contamination
 from .langid import fitted, identified
 from .line_dedup import line_deduplicated
 from .packing import digests, packed
 from .simhash import simhash_components
+from .topk import top_k, vectors
 from .url_filter import url_filter
 
 URL_RULES = [
@@ -38,6 +40,25 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(packed(table(spark, sf_dir, "documents"), **byte_pairs()))
 
 
+def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = vectors(table(spark, sf_dir, "embeddings"))
+    return top_k(rows, rows.where(F.col("id") % 100 == 0))
+
+
+OP3_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT q.vec_id query_id, v.vec_id, sum(q.c * v.c)::BIGINT score
+  FROM (SELECT vec_id, unnest(x) c, unnest(range(len(x))) k FROM v WHERE vec_id % 100 = 0) q
+  JOIN (SELECT vec_id, unnest(x) c, unnest(range(len(x))) k FROM v) v ON q.k = v.k AND q.vec_id <> v.vec_id
+  GROUP BY 1, 2),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM ranked WHERE rank <= 10
+"""
+
+
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Outcomes: the quality labels whose doc_id is the page's id."""
     outcomes = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), F.col("quality").alias("outcome"))
@@ -88,6 +109,12 @@ FROM ruled JOIN bound USING (host)
 """
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", remainder(F.col("doc_id"), 4) == 2)
+    model = quality.fitted(docs.where("NOT held_out").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    return quality.scored(docs, model).withColumn("predicted", F.when(F.col("score") >= 0.7, 1).otherwise(0))
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents' texts without boilerplate lines, with the number of lines that went."""
     docs = line_deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), removed="n_removed")
@@ -111,6 +138,14 @@ def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chain's categories are poor quality, then toxicity; learned from the same rows as op5."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", remainder(F.col("doc_id"), 4) == 2)
+    labels = table(spark, sf_dir, "labels").select("doc_id", (1 - F.col("quality")).alias("poor"), "toxic")
+    chain = toxicity.fitted(docs.where("NOT held_out").select("doc_id", "text"), labels, ["poor", "toxic"])
+    return toxicity.scored(docs, chain).withColumn("toxic", F.when(F.col("toxic_score") >= 0.5, 1).otherwise(0))
+
+
 def pieces_path() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
@@ -138,9 +173,12 @@ FROM d LEFT JOIN hits USING (doc_id) LEFT JOIN who USING (doc_id)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_packing": op2_packing,
+    "op3_topk": op3_topk,
     "op4_url_filter": op4_url_filter,
+    "op5_quality": op5_quality,
     "op6_line_dedup": op6_line_dedup,
     "op7_langid": op7_langid,
+    "op8_toxicity": op8_toxicity,
     "op9_decontaminate": op9_decontaminate,
 }
-SQL = {"op4_url_filter": OP4_SQL, "op6_line_dedup": OP6_SQL, "op9_decontaminate": OP9_SQL}
+SQL = {"op3_topk": OP3_SQL, "op4_url_filter": OP4_SQL, "op6_line_dedup": OP6_SQL, "op9_decontaminate": OP9_SQL}
