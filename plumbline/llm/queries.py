@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality, toxicity
+from . import language_model, quality, toxicity
 from .common import remainder, table
 from .decontam import contamination
 from .langid import fitted, identified
@@ -170,6 +170,11 @@ SELECT d.doc_id, len(d.w)::BIGINT n_words, coalesce(hits.n, 0)::BIGINT n_hit, co
 FROM d LEFT JOIN hits USING (doc_id) LEFT JOIN who USING (doc_id)
 """
 
+def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", remainder(F.col("doc_id"), 10) == 0)
+    return language_model.scored(docs, language_model.fitted(docs.where("NOT held_out")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_packing": op2_packing,
@@ -180,5 +185,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_langid": op7_langid,
     "op8_toxicity": op8_toxicity,
     "op9_decontaminate": op9_decontaminate,
+    "op10_language_model": op10_language_model,
 }
 SQL = {"op3_topk": OP3_SQL, "op4_url_filter": OP4_SQL, "op6_line_dedup": OP6_SQL, "op9_decontaminate": OP9_SQL}
