@@ -67,4 +67,5 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, columns: list[str], most
     share = F.lit(0)
     for value, n in sizes.items():
         share = F.when(F.col(columns[-1]) == value, F.lit(min(1 << 20, (1 << 20) * most // n))).otherwise(share)
-    return docs.join(known.where(draw < share), "doc_id").select("doc_id", "text", *columns)
+    chosen = F.broadcast(known.where(draw < share))  # about `most` ids a value
+    return docs.join(chosen, "doc_id").select("doc_id", "text", *columns)
