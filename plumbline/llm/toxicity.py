@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import written
 from .features import NAMES, features, labelled_sample
 from .langid import runs
 
@@ -130,17 +131,17 @@ class Chain:
         return 1 / (1 + np.exp(-odds))
 
 
-def learned(texts: list[str | None], y: np.ndarray, categories: list[str]) -> Chain:
-    """y: (texts, categories) of 0 and 1."""
-    tokens = [{p for w in set(runs(t)) for p in parts(w)} for t in texts]
-    seen = Counter(t for row in tokens for t in row)
-    tokens = [{t for t in row if seen[t] >= LEAST} for row in tokens]
-    dense = np.array([features(t) for t in texts]).reshape(-1, len(NAMES))
-    fold, models = np.arange(len(texts)) % FOLDS, []
+def all_tokens(text: str | None) -> set[str]:
+    return {p for w in set(runs(text)) for p in parts(w)}
+
+
+def learned(tokens: list[set[str]], dense: np.ndarray, y: np.ndarray, categories: list[str]) -> Chain:
+    """From texts' sparse and form features; y: (texts, categories) of 0 and 1."""
+    fold, models = np.arange(len(tokens)) % FOLDS, []
     for k in range(len(categories)):
         models.append(fit(tokens, dense, y[:, k]))
         if k + 1 < len(categories):
-            unseen = np.zeros(len(texts))
+            unseen = np.zeros(len(tokens))
             for f in range(FOLDS):
                 inside, outside = np.flatnonzero(fold != f), np.flatnonzero(fold == f)
                 part = fit([tokens[i] for i in inside], dense[inside], y[inside, k])
@@ -149,9 +150,53 @@ def learned(texts: list[str | None], y: np.ndarray, categories: list[str]) -> Ch
     return Chain(categories, models)
 
 
+def telling(rows: DataFrame, categories: list[str]) -> set[str]:
+    """Sparse features of rows (text, categories) that pass the screen for some category; counted on the executors."""
+
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            labels = [batch.column(c).to_pylist() for c in categories]
+            sums: dict[str, list[int]] = {}
+            for k, text in enumerate(batch.column("text")):
+                own = [1, *(column[k] for column in labels)]
+                for t in all_tokens(text.as_py()):
+                    sums[t] = [a + b for a, b in zip(sums[t], own, strict=True)] if t in sums else own
+            if sums:
+                yield pa.RecordBatch.from_arrays([pa.array(list(sums)), *(pa.array(x, pa.int64()) for x in zip(*sums.values(), strict=True))], names=["t", "n", *(f"y{k}" for k in range(len(categories)))])
+
+    names = [f"y{k}" for k in range(len(categories))]
+    total, *yes = rows.agg(F.count("*"), *(F.sum(c) for c in categories)).first()
+    if not total:
+        return set()
+    counts = rows.select("text", *categories).mapInArrow(batches, ", ".join(["t string", "n long", *(f"{c} long" for c in names)]))
+    counts = counts.groupBy("t").agg(F.sum("n").alias("n"), *(F.sum(c).alias(c) for c in names)).where(F.col("n") >= LEAST)
+    keep = F.lit(False)
+    for name, a in zip(names, yes, strict=True):
+        a, b, share = max(a, 1), max(total - a, 1), F.col("n") / total
+        gap = F.abs(F.col(name) / a - (F.col("n") - F.col(name)) / b)
+        keep = keep | (gap >= 0.8 * SCREEN * F.sqrt(share * (1 - share) * (1 / a + 1 / b)))  # a fold's screen can be a little laxer
+    return {r.t for r in counts.where(keep).select("t").collect()}
+
+
+def described(rows: DataFrame, categories: list[str], names: set[str]) -> DataFrame:
+    """rows with those of the named features that text has and its form features, in place of text."""
+    sent = rows.sparkSession.sparkContext.broadcast(names)
+
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            texts = [t.as_py() for t in batch.column("text")]
+            tokens = [sorted(all_tokens(t) & sent.value) for t in texts]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *map(batch.column, categories), pa.array(tokens, pa.list_(pa.string())), pa.array([features(t).tolist() for t in texts], pa.list_(pa.float64()))], names=["doc_id", *categories, "tokens", "form"])
+
+    return rows.mapInArrow(batches, ", ".join(["doc_id long", *(f"{c} int" for c in categories), "tokens array<string>", "form array<double>"]))
+
+
 def fitted(docs: DataFrame, labels: DataFrame, categories: list[str], sample: int = SAMPLE) -> Chain:
-    rows = sorted(labelled_sample(docs, labels, categories, sample).collect(), key=lambda r: r.doc_id)
-    return learned([r.text for r in rows], np.array([[r[c] for c in categories] for r in rows], float).reshape(-1, len(categories)), categories)
+    """The texts stay on the executors; their form features and the sparse ones that tell go to the driver."""
+    rows = written(labelled_sample(docs, labels, categories, sample).withColumn("doc_id", F.col("doc_id").cast("long")), "labelled")
+    found = sorted(described(rows, categories, telling(rows, categories)).collect(), key=lambda r: r.doc_id)
+    y = np.array([[r[c] for c in categories] for r in found], float).reshape(-1, len(categories))
+    return learned([set(r.tokens) for r in found], np.array([r.form for r in found]).reshape(-1, len(NAMES)), y, categories)
 
 
 def scored(docs: DataFrame, chain: Chain) -> DataFrame:

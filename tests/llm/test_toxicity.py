@@ -1,7 +1,8 @@
 import numpy as np
 
+from plumbline.llm.features import features
 from plumbline.llm.queries import op8_toxicity
-from plumbline.llm.toxicity import fitted, learned, parts, scored, without_toxic
+from plumbline.llm.toxicity import all_tokens, fitted, learned, parts, scored, without_toxic
 
 
 def test_parts():
@@ -25,7 +26,7 @@ def test_later_models_use_earlier_categories():
         texts.append(" ".join(words))
         y.append([insult, threat])
     y = np.array(y, float)
-    chain = learned(texts, y, ["insult", "threat"])
+    chain = learned([all_tokens(t) for t in texts], np.array([features(t) for t in texts]), y, ["insult", "threat"])
     p = chain(texts)
     assert ((p > 0.5) == y).mean(axis=0).min() > 0.97
     assert chain(["wa wb a vilesnake wc"])[0, 0] > 0.5 and chain(["wa wb wc"])[0, 0] < 0.5
