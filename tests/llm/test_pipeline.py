@@ -5,6 +5,7 @@ import public_tokenizers
 from tokenizers import Tokenizer
 
 import corpus_pipeline
+from plumbline.llm.simhash import fingerprint
 
 SYLLABLES = {"aa": ["ka", "lo", "mi", "tu", "re", "sa"], "bb": ["zwo", "grü", "ßen", "äch", "pft", "kno"]}
 
@@ -18,10 +19,13 @@ def tables(spark, folder):
     r = random.Random(7)
     rows = [(i, f"{text(r, 'aa' if i % 2 else 'bb', 60)}\n{text(r, 'aa' if i % 2 else 'bb', 30)}", "aa" if i % 2 else "bb", f"s{i % 7}", 1) for i in range(200)]
     passage = text(r, "aa", 40)
+    long = text(random.Random(1), "aa", 3000)
+    assert (fingerprint(long) ^ fingerprint(long + " ka")).bit_count() <= 2
     planted = [
         (300, "123 !! 456", None, "s1", 1),
         (301, rows[10][1], "bb", "s3", 1),  # an exact copy
-        (302, rows[11][1] + " ka", "aa", "s4", 1),  # a near copy
+        (302, long, "aa", "s4", 1),
+        (305, long + " ka", "aa", "s5", 1),  # a near copy
         (303, f"{text(r, 'aa', 30)} {passage} {text(r, 'aa', 30)}", "aa", "s5", 1),  # contaminated
         (304, None, None, "s6", 1),
         *((310 + k, f"subscribe to our weekly letter today\n{text(r, 'bb', 50)}", "bb", f"s{k}", 1) for k in range(4)),
@@ -47,7 +51,7 @@ def test_stages_and_run(spark, tmp_path):
     assert set(left["line_dedup"]) == set(left["language"])
     assert left["line_dedup"][310].text == given[310][1]
     assert all(left["line_dedup"][k].text == given[k][1].split("\n")[1] for k in (311, 312, 313))
-    assert set(left["line_dedup"]) - set(left["near_dedup"]) == {301, 302}
+    assert set(left["line_dedup"]) - set(left["near_dedup"]) == {301, 305}
     assert set(left["near_dedup"]) - set(left["decontaminate"]) == {303}
     assert clean <= set(left["decontaminate"]) and all(left["decontaminate"][i].text == given[i][1] for i in clean)
     encode = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")).encode
