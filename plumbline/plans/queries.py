@@ -182,10 +182,8 @@ def q_compare_independent(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _grid(spark: SparkSession) -> DataFrame:
-    base = spark.createDataFrame([(x / 20,) for x in range(1, 20)], "baseline double")
-    rate = spark.createDataFrame([(x / 10,) for x in range(1, 6)], "discordance_rate double")
-    mde = spark.createDataFrame([(x / 50,) for x in range(1, 16)], "mde double")
-    return base.crossJoin(rate).crossJoin(mde)
+    k = F.col("id")
+    return spark.range(19 * 5 * 15).select(((k % 19 + 1) / 20).alias("baseline"), ((F.floor(k / 19) % 5 + 1) / 10).alias("discordance_rate"), ((F.floor(k / 95) + 1) / 50).alias("mde"))
 
 
 def q_min_n_grid(spark: SparkSession, sf: str) -> DataFrame:
@@ -193,9 +191,9 @@ def q_min_n_grid(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_power_paired_grid(spark: SparkSession, sf: str) -> DataFrame:
-    sizes = spark.range(1, 41).select((F.col("id") * 25).alias("n"))
-    rate = spark.createDataFrame([(x / 10,) for x in range(1, 6)], "discordance_rate double")
-    return rounded(pwr.reach_grid(sizes.crossJoin(rate)))
+    k = F.col("id")
+    grid = spark.range(40 * 5).select((F.floor(k / 5) * 25 + 25).alias("n"), ((k % 5 + 1) / 10).alias("discordance_rate"))
+    return rounded(pwr.reach_grid(grid))
 
 
 def q_power_indep_grid(spark: SparkSession, sf: str) -> DataFrame:

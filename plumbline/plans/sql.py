@@ -109,7 +109,7 @@ _CREDIT = "credit AS (SELECT i, j, sum(c) credit FROM (SELECT model_a i, model_b
 
 def _outcomes(k: int, name: str) -> str:
     y, x = f"y{k}", f"x{k}"
-    return f"SELECT '{name}' fit, count(*) n, count_if({y} = 1) n_ones, {_r(f'stddev_samp({x})')} sd, min(CASE WHEN {y} = 0 THEN {x} END) low0, max(CASE WHEN {y} = 0 THEN {x} END) high0, min(CASE WHEN {y} = 1 THEN {x} END) low1, max(CASE WHEN {y} = 1 THEN {x} END) high1 FROM p"
+    return f"SELECT '{name}' fit, count(*) n, count(*) FILTER ({y} = 1) n_ones, {_r(f'stddev_samp({x})')} sd, min(CASE WHEN {y} = 0 THEN {x} END) low0, max(CASE WHEN {y} = 0 THEN {x} END) high0, min(CASE WHEN {y} = 1 THEN {x} END) low1, max(CASE WHEN {y} = 1 THEN {x} END) high1 FROM p"
 
 
 _W = f"{Z} * sqrt(p * (1 - p) / n + {Z * Z} / (4 * n * n))"
@@ -123,7 +123,7 @@ def _paired_statistic(d: str) -> str:
 
 
 _TANGO = f"""WITH RECURSIVE v_paired AS ({VIEWS["v_paired"]}),
-s AS (SELECT count(*)::DOUBLE n, count_if(a = 1 AND b = 0)::DOUBLE b, count_if(a = 0 AND b = 1)::DOUBLE c FROM v_paired),
+s AS (SELECT count(*)::DOUBLE n, count(*) FILTER (a = 1 AND b = 0)::DOUBLE b, count(*) FILTER (a = 0 AND b = 1)::DOUBLE c FROM v_paired),
 it AS (SELECT 0 i, n, b, c, -1 + 1e-9 l1, (b - c) / n h1, (b - c) / n l2, 1 - 1e-9 h2, NULL::DOUBLE m1, NULL::DOUBLE m2 FROM s
   UNION ALL
   SELECT i + 1, n, b, c, CASE WHEN {_paired_statistic("x1")} > {_ZA} THEN x1 ELSE l1 END, CASE WHEN {_paired_statistic("x1")} > {_ZA} THEN h1 ELSE x1 END,
@@ -145,13 +145,13 @@ def _bisected(goal: float, low: str, high: str, name: str) -> str:
 
 
 _MEE = f"""WITH RECURSIVE v_indep AS ({VIEWS["v_indep"]}),
-s AS (SELECT count_if(grp = '1-URGENT')::DOUBLE n1, count_if(grp = '5-LOW')::DOUBLE n2, avg(CASE WHEN grp = '1-URGENT' THEN score END) p1, avg(CASE WHEN grp = '5-LOW' THEN score END) p2 FROM v_indep),
+s AS (SELECT count(*) FILTER (grp = '1-URGENT')::DOUBLE n1, count(*) FILTER (grp = '5-LOW')::DOUBLE n2, avg(CASE WHEN grp = '1-URGENT' THEN score END) p1, avg(CASE WHEN grp = '5-LOW' THEN score END) p2 FROM v_indep),
 {_bisected(_ZA, "-1 + 1e-9", "p1 - p2", "low")},
 {_bisected(-_ZA, "p1 - p2", "1 - 1e-9", "high")}
 SELECT {_r("p1 - p2")} difference, {_r("(low.l + low.h) / 2")} ci_low, {_r("(SELECT (l + h) / 2 FROM high WHERE i = 60)")} ci_high FROM low WHERE i = 60"""
 
 _REACH = "d - {z} * sqrt(2 * (b + d / 2) * (1 - b - d / 2) / (n / 2)) - {zb} * sqrt((b * (1 - b) + greatest((b + d) * (1 - b - d), 0)) / (n / 2))".format(z=_ZA, zb=_ZB)
-_POWER_INDEP = f"""WITH RECURSIVE g AS (SELECT n, k / 10 b FROM unnest([50, 100, 400, 1000]) x(n), unnest(range(1, 10)) y(k)),
+_POWER_INDEP = f"""WITH RECURSIVE g AS (SELECT n, k / 10 b FROM unnest([50::BIGINT, 100, 400, 1000]) x(n), unnest(range(1, 10)) y(k)),
 it AS (SELECT 0 i, n, b, 1e-12 l, 1 - b h FROM g UNION ALL SELECT i + 1, n, b, CASE WHEN f < 0 THEN d ELSE l END, CASE WHEN f < 0 THEN h ELSE d END FROM (SELECT *, {_REACH} f FROM (SELECT *, (l + h) / 2 d FROM it WHERE i < 80) q) w),
 top AS (SELECT n, b, {_REACH} f FROM (SELECT *, 1 - b d FROM g) q)
 SELECT it.n, {_r("it.b")} baseline, CASE WHEN f >= 0 THEN {_r("(l + h) / 2")} ELSE 'nan'::DOUBLE END difference, f >= 0 attainable FROM it JOIN top ON it.n = top.n AND it.b = top.b WHERE i = 80"""
@@ -187,7 +187,7 @@ def _wilson_side(k: str, sign: str) -> str:
 _PLAIN = f"""SELECT n::BIGINT n, b::BIGINT n_a_only, c::BIGINT n_b_only, (b + c)::BIGINT n_discordant, e::BIGINT n_both, {_r("d")} difference, {_r("d - wald")} wald_low, {_r("d + wald")} wald_high,
   {_r("d - sqrt((p1 - l1) ** 2 - 2 * phi * (p1 - l1) * (u2 - p2) + (u2 - p2) ** 2)")} newcombe_low, {_r("d + sqrt((u1 - p1) ** 2 - 2 * phi * (u1 - p1) * (p2 - l2) + (p2 - l2) ** 2)")} newcombe_high
 FROM (SELECT *, (b - c) / n d, {Z} * sqrt(b + c - (b - c) ** 2 / n) / n wald, (e + b) / n p1, (e + c) / n p2, {_wilson_side("(e + b)", "-")} l1, {_wilson_side("(e + b)", "+")} u1, {_wilson_side("(e + c)", "-")} l2, {_wilson_side("(e + c)", "+")} u2,
-  coalesce((e * (n - e - b - c) - b * c) / nullif(sqrt((e + b) * (e + c) * (n - e - b) * (n - e - c)), 0), 0) phi FROM (SELECT count(*)::DOUBLE n, count_if(q.a = 1 AND q.b = 0)::DOUBLE b, count_if(q.a = 0 AND q.b = 1)::DOUBLE c, count_if(q.a = 1 AND q.b = 1)::DOUBLE e FROM v_paired q) x) y"""
+  coalesce((e * (n - e - b - c) - b * c) / nullif(sqrt((e + b) * (e + c) * (n - e - b) * (n - e - c)), 0), 0) phi FROM (SELECT count(*)::DOUBLE n, count(*) FILTER (q.a = 1 AND q.b = 0)::DOUBLE b, count(*) FILTER (q.a = 0 AND q.b = 1)::DOUBLE c, count(*) FILTER (q.a = 1 AND q.b = 1)::DOUBLE e FROM v_paired q) x) y"""
 
 SQL: dict[str, str] = {
     "q_tango_ci": _TANGO,
@@ -202,9 +202,9 @@ SQL: dict[str, str] = {
     "q_score_t": _with("v_indep", f"SELECT grp, n, {_r('m', 1)} mean, {_r('s', 1)} sd, {_r('s / sqrt(n)', 1)} se, {_r(f'm - {Z} * s / sqrt(n)', 1)} ci_low, {_r(f'm + {Z} * s / sqrt(n)', 1)} ci_high FROM (SELECT grp, count(*) n, avg(score_cont) m, stddev_samp(score_cont) s FROM v_indep GROUP BY 1) x"),
     "q_score_boot_hash": _with("v_indep", _interval("m", "draws"), _URGENT, f"d AS ({_draws('t')})", "draws AS (SELECT b, avg(x) m FROM d JOIN t USING (ix) GROUP BY 1)"),
     "q_score_checks": _with("v_indep", "SELECT grp, kind, count(*) n, bool_and(x IN (0, 1)) AS binary, min(x) = max(x) AS constant FROM (SELECT grp, 'score' kind, score::DOUBLE x FROM v_indep UNION ALL SELECT grp, 'score_cont', score_cont FROM v_indep) y GROUP BY 1, 2"),
-    "q_mcnemar_counts": _with("v_paired", f"SELECT n, b n_a_only, c n_b_only, b + c n_discordant, {_r('(b - c) / n')} difference, {_r('CASE WHEN b + c >= 25 THEN (abs(b - c) - 1) ** 2 / (b + c) END')} statistic FROM (SELECT count(*) n, count_if(a = 1 AND b = 0) b, count_if(a = 0 AND b = 1) c FROM v_paired) x"),
-    "q_mcnemar_exact": _with("v_paired", f"SELECT batch, total n, b n_a_only, c n_b_only, {_r(f'CASE WHEN n = 0 THEN 1 WHEN n < 25 THEN {_BINOMIAL} END')} p_value FROM (SELECT *, b + c n, b k FROM (SELECT floor(q.item_id / 40)::BIGINT batch, count(*) total, count_if(q.a = 1 AND q.b = 0)::BIGINT b, count_if(q.a = 0 AND q.b = 1)::BIGINT c FROM v_paired q GROUP BY 1) y) x"),
-    "q_two_prop_z_stat": _with("v_indep", f"SELECT n1, n2, {_r('k1 / n1 - k2 / n2')} difference, {_r('(k1 / n1 - k2 / n2) / sqrt(p * (1 - p) * (1 / n1 + 1 / n2))')} z FROM (SELECT *, (k1 + k2) / (n1 + n2) p FROM (SELECT count_if(grp = '1-URGENT') n1, count_if(grp = '5-LOW') n2, sum(CASE WHEN grp = '1-URGENT' THEN score END)::DOUBLE k1, sum(CASE WHEN grp = '5-LOW' THEN score END)::DOUBLE k2 FROM v_indep) x) y"),
+    "q_mcnemar_counts": _with("v_paired", f"SELECT n, b n_a_only, c n_b_only, b + c n_discordant, {_r('(b - c) / n')} difference, {_r('CASE WHEN b + c >= 25 THEN (abs(b - c) - 1) ** 2 / (b + c) END')} statistic FROM (SELECT count(*) n, count(*) FILTER (a = 1 AND b = 0) b, count(*) FILTER (a = 0 AND b = 1) c FROM v_paired) x"),
+    "q_mcnemar_exact": _with("v_paired", f"SELECT batch, total n, b n_a_only, c n_b_only, {_r(f'CASE WHEN n = 0 THEN 1 WHEN n < 25 THEN {_BINOMIAL} END')} p_value FROM (SELECT *, b + c n, b k FROM (SELECT floor(q.item_id / 40)::BIGINT batch, count(*) total, count(*) FILTER (q.a = 1 AND q.b = 0)::BIGINT b, count(*) FILTER (q.a = 0 AND q.b = 1)::BIGINT c FROM v_paired q GROUP BY 1) y) x"),
+    "q_two_prop_z_stat": _with("v_indep", f"SELECT n1, n2, {_r('k1 / n1 - k2 / n2')} difference, {_r('(k1 / n1 - k2 / n2) / sqrt(p * (1 - p) * (1 / n1 + 1 / n2))')} z FROM (SELECT *, (k1 + k2) / (n1 + n2) p FROM (SELECT count(*) FILTER (grp = '1-URGENT') n1, count(*) FILTER (grp = '5-LOW') n2, sum(CASE WHEN grp = '1-URGENT' THEN score END)::DOUBLE k1, sum(CASE WHEN grp = '5-LOW' THEN score END)::DOUBLE k2 FROM v_indep) x) y"),
     "q_welch_stats": _with("v_indep", f"SELECT {_r('m1 - m2', 2)} difference, {_r('sqrt(e1 + e2)', 3)} se, {_r('(e1 + e2) ** 2 / (e1 * e1 / (n1 - 1) + e2 * e2 / (n2 - 1))', 3)} df FROM (SELECT avg(x) m1, var_samp(x) / count(x) e1, count(x) n1, avg(y) m2, var_samp(y) / count(y) e2, count(y) n2 FROM (SELECT CASE WHEN grp = '1-URGENT' THEN score_cont END x, CASE WHEN grp = '5-LOW' THEN score_cont END y FROM v_indep) q) w"),
     "q_paired_boot_hash": _with("v_paired", _interval("m", "draws"), "t AS (SELECT row_number() OVER (ORDER BY item_id) - 1 ix, a - b x FROM v_paired)", f"d AS ({_draws('t')})", "draws AS (SELECT b, avg(x) m FROM d JOIN t USING (ix) GROUP BY 1)"),
     "q_indep_boot_hash": _with("v_indep", _interval("difference", "draws"), *_INDEP),
@@ -238,19 +238,19 @@ FROM unnest(range(1, 20)) x(b), unnest(range(1, 6)) y(r), unnest(range(1, 16)) z
     "q_baseline_alphas": _with("v_base v_base_judge", f"SELECT {_r('judge_human')} judge_human, {_r('human_human')} human_human, {_r('difference')} difference FROM ({_two_alphas('(SELECT sum(hh_o) hh_o, sum(jh_o) jh_o FROM obs) o', '(SELECT v, sum(hh) hh, sum(jh) jh FROM marg GROUP BY 1) m', '')}) q", *_BASE),
     "q_baseline_boot_hash": _with("v_base v_base_judge", _interval("difference", "draws"), *_BASE, "u AS (SELECT *, row_number() OVER (ORDER BY cluster_id) - 1 ix FROM obs)", f"d AS ({_draws('u')})", "t AS (SELECT b, ix, count(*) times FROM d GROUP BY 1, 2)", "oo AS (SELECT b, sum(times * hh_o) hh_o, sum(times * jh_o) jh_o FROM t JOIN u USING (ix) GROUP BY 1)", "mm AS (SELECT b, v, sum(times * hh) hh, sum(times * jh) jh FROM t JOIN u USING (ix) JOIN marg USING (cluster_id) GROUP BY 1, 2)", f"draws AS ({_two_alphas('oo', 'mm', 'b')})"),
     "q_position_design": _with("v_pos_random v_pos_both", "\nUNION ALL\n".join(f"SELECT '{name}' pairs, n_pairs, n_both_orders, CASE WHEN n_both_orders > 0 AND n_both_orders >= 0.5 * n_pairs THEN 'both_orders' ELSE 'randomised' END design FROM (SELECT count(DISTINCT pair_id) n_pairs, (SELECT count(DISTINCT x.pair_id) FROM {view} x JOIN {view} y ON x.pair_id = y.pair_id AND x.option_a = y.option_b AND x.option_b = y.option_a) n_both_orders FROM {view}) q" for name, view in (("pair_id", "v_pos_random"), ("item_id", "v_pos_both")))),
-    "q_position_randomised": _with("v_pos_random", f"SELECT count(*) n_judgements, count(winner) n_decisive, count(*) - count(winner) n_ties, count_if(winner = option_a) n_a_wins, {_r('count_if(winner = option_a) / count(winner)')} rate FROM v_pos_random"),
+    "q_position_randomised": _with("v_pos_random", f"SELECT count(*) n_judgements, count(winner) n_decisive, count(*) - count(winner) n_ties, count(*) FILTER (winner = option_a) n_a_wins, {_r('count(*) FILTER (winner = option_a) / count(winner)')} rate FROM v_pos_random"),
     "q_position_couples": _with("v_pos_both", "SELECT * FROM couples", *_COUPLES),
-    "q_position_exact_p": _with("v_pos_both", f"SELECT n n_flipped, k n_first, {_r(f'CASE WHEN n > 0 THEN {_BINOMIAL} END')} p_value FROM (SELECT count_if(NOT consistent)::BIGINT n, count_if(NOT consistent AND to_first)::BIGINT k FROM couples) x", *_COUPLES),
+    "q_position_exact_p": _with("v_pos_both", f"SELECT n n_flipped, k n_first, {_r(f'CASE WHEN n > 0 THEN {_BINOMIAL} END')} p_value FROM (SELECT count(*) FILTER (NOT consistent)::BIGINT n, count(*) FILTER (NOT consistent AND to_first)::BIGINT k FROM couples) x", *_COUPLES),
     "q_length_stats": _with("v_len", f"{_outcomes(1, 'preference')}\nUNION ALL\n{_outcomes(2, 'disagreement')}", _LEN),
     "q_bt_credit": _with("v_lb", f"SELECT i, j, {_r('credit')} credit FROM credit", _CREDIT),
     "q_bt_totals_reference": _with("v_lb", f"SELECT model, {_r('n')} n_comparisons, {_r('c')} credit, row_number() OVER (ORDER BY n DESC, model) = 1 is_reference FROM (SELECT i model, sum(credit) c, sum(credit) + (SELECT sum(credit) FROM credit y WHERE y.j = x.i) n FROM credit x GROUP BY 1) q", _CREDIT),
     "q_bt_components": _with("v_lb", "SELECT model, min(other) group_first FROM (SELECT a model, b other FROM reach UNION SELECT a, a FROM reach) x GROUP BY 1", "edge AS (SELECT model_a a, model_b b FROM v_lb UNION SELECT model_b, model_a FROM v_lb)", "reach AS (SELECT a, b FROM edge UNION SELECT r.a, e.b FROM reach r JOIN edge e ON r.b = e.a)").replace("WITH ", "WITH RECURSIVE ", 1),
     "q_raw_pair_agreement": _with("v_ratings", f"SELECT count(*) n_units, sum(m * (m - 1) // 2)::BIGINT n_pairs, sum(same)::BIGINT n_agreeing, {_r('avg(same / (m * (m - 1) / 2))')} mean_share, {_r('sum(same) / sum(m * (m - 1) // 2)')} pooled_share FROM (SELECT item_id, sum(c)::BIGINT m, sum(c * (c - 1) // 2)::BIGINT same FROM (SELECT item_id, rating, count(*) c FROM v_ratings GROUP BY 1, 2) x GROUP BY 1 HAVING sum(c) >= 2) y"),
-    "q_plurality": _with("v_ratings", "SELECT item_id, sum(c)::BIGINT n, CASE WHEN count_if(c = top) > 1 THEN 'tie' ELSE max_by(rating, c) END verdict FROM (SELECT *, max(c) OVER (PARTITION BY item_id) top FROM (SELECT item_id, rating, count(*) c FROM v_ratings GROUP BY 1, 2) x) y GROUP BY 1"),
+    "q_plurality": _with("v_ratings", "SELECT item_id, sum(c)::BIGINT n, CASE WHEN count(*) FILTER (c = top) > 1 THEN 'tie' ELSE max_by(rating, c) END verdict FROM (SELECT *, max(c) OVER (PARTITION BY item_id) top FROM (SELECT item_id, rating, count(*) c FROM v_ratings GROUP BY 1, 2) x) y GROUP BY 1"),
     "q_first_vote": _with("v_lb", "SELECT item_id, model_a, model_b, seq, winner FROM v_lb QUALIFY row_number() OVER (PARTITION BY item_id, model_a, model_b ORDER BY seq) = 1"),
     "q_multi_judge_units": _with("v_sparse", "SELECT item_id, rater_id, rating FROM v_sparse WHERE item_id IN (SELECT item_id FROM v_sparse GROUP BY 1 HAVING count(DISTINCT rater_id) >= 2)"),
     "q_join_judge": _with("v_base v_base_judge", "SELECT cluster_id, count(*) n, count(judge) n_judged, count(*) FILTER (judge = rating) n_same FROM v_base LEFT JOIN (SELECT * FROM v_base_judge WHERE item_id % 7 <> 0) j USING (item_id) GROUP BY 1"),
     "q_codings": _with("v_lb", "SELECT winner by_name, CASE WHEN winner = 'tie' THEN 'tie' WHEN winner = least(model_a, model_b) THEN 'first' ELSE 'second' END by_alphabet, CASE WHEN winner = 'tie' THEN 'tie' WHEN winner = model_a THEN 'first' ELSE 'second' END by_place, count(*) n FROM v_lb GROUP BY ALL"),
     "q_unordered_pairs": _with("v_lb", "SELECT least(model_a, model_b) low, greatest(model_a, model_b) high, count(*) n FROM v_lb GROUP BY ALL"),
-    "q_funnel": _with("v_judge", "SELECT 0 AS at, 'all' step, count(*) n FROM v_judge UNION ALL SELECT 1, 'judged good', count_if(judge = 1) FROM v_judge UNION ALL SELECT 2, 'human agrees', count_if(judge = 1 AND human = 1) FROM v_judge UNION ALL SELECT 3, 'english', count_if(judge = 1 AND human = 1 AND slice = 'en') FROM v_judge"),
+    "q_funnel": _with("v_judge", "SELECT 0 AS at, 'all' step, count(*) n FROM v_judge UNION ALL SELECT 1, 'judged good', count(*) FILTER (judge = 1) FROM v_judge UNION ALL SELECT 2, 'human agrees', count(*) FILTER (judge = 1 AND human = 1) FROM v_judge UNION ALL SELECT 3, 'english', count(*) FILTER (judge = 1 AND human = 1 AND slice = 'en') FROM v_judge"),
 }
