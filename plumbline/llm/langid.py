@@ -54,23 +54,70 @@ def vocabulary(path: str) -> dict[str, int]:
     return {p: k for k, p in enumerate(sorted(p for p in lower if p == MARK or p.removeprefix(MARK).isalpha() and len(p) <= PIECE), 2)}
 
 
+class Index:
+    """Pieces by a 64-bit hash of their characters, so that all spans of many words are looked up at once."""
+
+    BASE, SLOTS = 0x9E3779B97F4A7C15, 20
+
+    def __init__(self, pieces: dict[str, int]):
+        mask, hashes = (1 << 64) - 1, {}
+        for piece, k in pieces.items():
+            h = 0
+            for c in piece:
+                h = (h * self.BASE + ord(c) + 1) & mask
+            hashes[k] = h
+        self.keys = np.zeros(max(hashes, default=1) + 1, np.uint64)
+        self.keys[list(hashes)] = list(hashes.values())
+        for seed in range(1, 100):  # the few pieces whose slot is taken go to a second table
+            self.factors = [(seed * x | 1) & mask for x in (0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
+            self.tables = [np.zeros(1 << self.SLOTS, np.int32) for _ in range(2)]
+            if all(self._placed(k, h, mask) for k, h in hashes.items()):
+                return
+        raise ValueError("the pieces don't fit two tables")
+
+    def _placed(self, k: int, h: int, mask: int) -> bool:
+        for table, factor in zip(self.tables, self.factors, strict=True):
+            at = (h * factor & mask) >> (64 - self.SLOTS)
+            if not table[at]:
+                table[at] = k
+                return True
+        return False
+
+    def __call__(self, hashes: np.ndarray) -> np.ndarray:
+        """Their pieces' ids, 0 for none."""
+        first, second = (np.uint64(f) for f in self.factors)
+        out = self.tables[0][hashes * first >> np.uint64(64 - self.SLOTS)]
+        other = np.flatnonzero((out > 0) & (self.keys[out] != hashes))
+        if len(other):
+            rest = hashes.ravel()[other] if hashes.ndim > 1 else hashes[other]
+            found = self.tables[1][rest * second >> np.uint64(64 - self.SLOTS)]
+            out.ravel()[other] = np.where(self.keys[found] == rest, found, 0)
+        return out
+
+
 class Lattices:
-    """The piece ids of all spans of marked words of one length."""
+    """The piece ids of all spans of marked words of one length: (span, word)."""
 
-    def __init__(self, words: list[str], pieces: dict[str, int]):
+    def __init__(self, words: list[str], index: Index):
         n = len(words[0]) + 1
         self.n, self.spans = n, [(i, j) for j in range(1, n + 1) for i in range(max(0, j - PIECE), j)]
-        get, marked = pieces.get, [MARK + w for w in words]
-        ids = np.fromiter((get(w[i:j], 0) for w in marked for i, j in self.spans), np.int32, len(words) * len(self.spans)).reshape(len(words), -1)
+        codes = np.array([MARK + w for w in words], f"<U{n}").view(np.uint32).reshape(len(words), n).T.astype(np.uint64) + np.uint64(1)
+        base = np.uint64(Index.BASE)
+        powers, upto = [np.uint64(1)], [np.zeros(len(words), np.uint64)]
+        with np.errstate(over="ignore"):
+            for k in range(n):
+                powers.append(powers[-1] * base)
+                upto.append(upto[-1] * base + codes[k])
+            hashes = np.stack([upto[j] - upto[i] * powers[j - i] for i, j in self.spans])
+            self.ids = index(hashes)
         for k, (i, j) in enumerate(self.spans):
             if j == i + 1:
-                ids[ids[:, k] == 0, k] = 1
-        self.ids = ids
+                self.ids[k][self.ids[k] == 0] = 1
 
     def forward(self, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """p: (pieces, languages). The spans' probabilities and alpha at (place, word, language)."""
-        span = p[self.ids.T]
-        alpha = np.zeros((self.n + 1, self.ids.shape[0], p.shape[1]))
+        span = p[self.ids]
+        alpha = np.zeros((self.n + 1, self.ids.shape[1], p.shape[1]))
         alpha[0] = 1
         for k, (i, j) in enumerate(self.spans):
             alpha[j] += alpha[i] * span[k]
@@ -87,7 +134,7 @@ class Lattices:
         for k, (i, j) in enumerate(self.spans):
             weight = alpha[i] * span[k] * beta[j]
             for lang in range(p.shape[1]):
-                out[:, lang] += np.bincount(self.ids[:, k], weight[:, lang], len(out))
+                out[:, lang] += np.bincount(self.ids[k], weight[:, lang], len(out))
 
 
 def by_length(words: list[str]) -> Iterator[list[int]]:
@@ -101,11 +148,11 @@ def by_length(words: list[str]) -> Iterator[list[int]]:
             yield g[k : k + most]
 
 
-def log_probabilities(words: list[str], pieces: dict[str, int], p: np.ndarray) -> np.ndarray:
+def log_probabilities(words: list[str], index: Index, p: np.ndarray) -> np.ndarray:
     """(words, languages), all segmentations summed."""
     out = np.empty((len(words), p.shape[1]))
     for g in by_length(words):
-        lattice = Lattices([words[k] for k in g], pieces)
+        lattice = Lattices([words[k] for k in g], index)
         out[g] = np.log(np.maximum(lattice.forward(p)[1][lattice.n], 1e-300))
     return out
 
@@ -117,11 +164,11 @@ def learned(counts: dict[str, Counter], pieces: dict[str, int], rounds: int = RO
     table = np.array([[counts[x][w] for x in langs] for w in words], float).reshape(len(words), len(langs))
     p = np.full((len(pieces) + 2, len(langs)), 1 / (len(pieces) + 1))
     p[0] = 0
-    groups = [(g, Lattices([words[k] for k in g], pieces)) for g in by_length(words)] if len(words) < 20_000 else None
+    index = Index(pieces)
     for _ in range(rounds):
         got = np.zeros_like(p)
-        for g, lattice in groups or ((g, Lattices([words[k] for k in g], pieces)) for g in by_length(words)):
-            lattice.expected(p, table[g], got)
+        for g in by_length(words):
+            Lattices([words[k] for k in g], index).expected(p, table[g], got)
         got[0] = 0
         got[1:] += 0.01  # a piece not met stays possible
         p = got / got.sum(axis=0)
@@ -154,7 +201,7 @@ def sampled_counts(docs: DataFrame, sample: int) -> dict[str, Counter]:
 
 class Identifier:
     def __init__(self, langs: list[str], p: np.ndarray, pieces: dict[str, int]):
-        self.langs, self.p, self.pieces = langs, p, pieces
+        self.langs, self.p, self.pieces, self.index = langs, p, pieces, Index(pieces)
         self.known: dict[str, int] = {}
         self.scores = np.zeros((0, len(langs)))
 
@@ -165,7 +212,7 @@ class Identifier:
         new = [w for w in dict.fromkeys(itertools.chain.from_iterable(split)) if w not in known]
         if new and self.langs:
             known.update(zip(new, range(len(known), len(known) + len(new)), strict=True))
-            self.scores = np.concatenate((self.scores, log_probabilities(new, self.pieces, self.p)))
+            self.scores = np.concatenate((self.scores, log_probabilities(new, self.index, self.p)))
         return [self._one(words) for words in split]
 
     def _one(self, words: list[str]) -> tuple[str, float]:

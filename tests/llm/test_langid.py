@@ -4,7 +4,7 @@ from collections import Counter
 import numpy as np
 
 from plumbline.llm import langid
-from plumbline.llm.langid import Identifier, fitted, identified, in_known_language, learned, log_probabilities, runs, vocabulary
+from plumbline.llm.langid import Identifier, Index, fitted, identified, in_known_language, learned, log_probabilities, runs, vocabulary
 from plumbline.llm.queries import op7_langid, pieces_path
 
 PIECES = {"▁": 2, "▁a": 3, "a": 4, "b": 5, "ab": 6, "ba": 7, "▁ab": 8, "aba": 9}
@@ -23,12 +23,20 @@ def test_forward_sums_all_segmentations():
     p = np.random.default_rng(1).random((10, 3)) / 10
     p[0] = 0
     words = ["a", "b", "ab", "aba", "abba", "xab", "axb", "ababab"]
-    got = log_probabilities(words, PIECES, p)
+    got = log_probabilities(words, Index(PIECES), p)
     for w, row in zip(words, got, strict=True):
         want = sum(np.prod(p[list(s)], axis=0) for s in segmentations("▁" + w))
         assert np.allclose(np.exp(row), want)
 
 
+def test_index_finds_each_piece_and_nothing_else():
+    pieces = vocabulary(pieces_path())
+    index = Index(pieces)
+    assert index(index.keys[2:]).tolist() == list(range(2, len(pieces) + 2))
+    r = np.random.default_rng(1)
+    assert not index(r.integers(0, 2**63, (3, 5000)).astype(np.uint64)).any()
+
+
 def test_expectations_match_enumeration():
     counts = {"x": Counter({"ab": 3, "aba": 2, "cab": 1}), "y": Counter({"ba": 4, "ab": 1})}
     langs, p = learned(counts, PIECES, rounds=2)
