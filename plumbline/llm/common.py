@@ -40,6 +40,15 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Rows of a small table to a file, and files at least.
+ROWS_A_FILE, LEAST_FILES = 200_000, 8
+
+
+def compact(df: DataFrame, most_rows: int) -> DataFrame:
+    """df, which has most_rows narrow rows at most, in as few partitions as these need: a file each when it is written."""
+    return df.coalesce(max(LEAST_FILES, -(-most_rows // ROWS_A_FILE)))
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that df doesn't have, in whatever case."""
     taken = {c.lower() for c in df.columns}

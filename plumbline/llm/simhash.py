@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import checkpointed, word_blocks, written
+from .common import checkpointed, compact, word_blocks, written
 
 SHINGLE, SEED, RADIUS = 3, 42, 2
 #: Fingerprints of a tile that a task holds at a time, and pairs that it compares at once.
@@ -164,9 +164,12 @@ def links(nodes: DataFrame, radius: int = RADIUS, tile_rows: int = TILE_ROWS) ->
     return rows.mapInArrow(_tile_links(radius), "a long, b long")
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, low): the smallest node that each node with a link reaches, by alternating large and small stars."""
-    edges = checkpointed(edges.where("a <> b").distinct())
+def components(edges: DataFrame, most_links: int) -> DataFrame:
+    """(node, low): the smallest node that each node with a link reaches, by alternating large and small stars.
+
+    most_links: about how many links there are, by which the first files are sized.
+    """
+    edges = checkpointed(compact(edges.where("a <> b").distinct(), most_links))
     state = None
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -175,7 +178,7 @@ def components(edges: DataFrame) -> DataFrame:
         down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         least = down.groupBy("a").agg(F.min("b").alias("m"))
         small = down.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").unionByName(least.select("a", F.col("m").alias("b"))).distinct()
-        edges = checkpointed(small)
+        edges = checkpointed(compact(small, most_links if state is None else state[0]))
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % (1 << 40))).first()
         if now == state:
             return edges.groupBy("a").agg(F.min("b").alias("low")).withColumnRenamed("a", "node")
@@ -185,8 +188,8 @@ def components(edges: DataFrame) -> DataFrame:
 def _with_components(prints: DataFrame, radius: int) -> DataFrame:
     """prints (doc_id, print): (print, node, component_id), a row a fingerprint and doc_id's representative."""
     nodes = prints.where("doc_id IS NOT NULL").groupBy("print").agg(F.min("doc_id").alias("node"))
-    nodes = checkpointed(nodes)
-    low = components(links(nodes, radius))
+    nodes = checkpointed(compact(nodes, prints.count()))
+    low = components(links(nodes, radius), nodes.count())
     return nodes.join(low, "node", "left").select("print", F.coalesce("low", "node").alias("component_id"))
 
 
