@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, written
+from .common import compact, fresh, written
 
 SITES, CHARS = 3, 20
 #: An estimate within this factor of the threshold is recounted; a sketch errs by 1.6 percent, and hardly at such counts.
@@ -34,7 +34,7 @@ def boilerplate(lines: DataFrame, sites: int) -> DataFrame:
     first = F.min(F.struct("id", "print", "at")).alias("first")
     spread = lines.groupBy("one", "two").agg(F.hll_sketch_agg("site", SKETCH).alias("sketch"), first)
     guess = spread.select("one", "two", "first", F.hll_sketch_estimate("sketch").alias("guess")).where(F.col("guess") * BAND >= sites)
-    guess = written(guess, "spread")
+    guess = written(compact(guess, lines.count()), "spread")
     sure, near = guess.where(F.col("guess") > sites * BAND), guess.where(F.col("guess") <= sites * BAND)
     # a row a line and site, however many documents of the site carry the line
     carried = lines.select("one", "two", "site").where("site IS NOT NULL").distinct()
