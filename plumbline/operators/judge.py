@@ -113,6 +113,31 @@ def hash_baseline_bootstrap(counts: DataFrame, n_boot: int, seed: int) -> DataFr
     return two_alphas(o, m, ["b"])
 
 
+def _resampled_difference(observed: DataFrame, margins: DataFrame, values: list[str], n_boot: int, seed: int | None) -> np.ndarray:
+    """judge_human minus human_human of each resample of clusters, from the counts of ag.SCALE values at a time.
+
+    Each block has the same seed and as many columns as the others, so that all have the same resamples.
+    """
+    width = min(len(values), ag.SCALE)
+    seed = int(np.random.default_rng().integers(2**32)) if seed is None and len(values) > width else seed
+    total, squares = np.zeros((n_boot, 2)), np.zeros((n_boot, 2))
+    columns = ["hh_o", "jh_o", *(f"{s}{k}" for s in ("hh", "jh") for k in range(width))]
+    for at in range(0, len(values), width):
+        place = {v: k for k, v in enumerate(values[at : at + width])}
+        own = margins.where(F.col("v").isin(list(place))).join(F.broadcast(margins.sparkSession.createDataFrame(list(place.items()), "v string, k int")), "v")
+        cells = own.groupBy("cluster_id").pivot("k", list(range(width))).agg(F.sum("hh").alias("hh"), F.sum("jh").alias("jh"))
+        cells = cells.select("cluster_id", *(F.col(f"{k}_{s}").alias(f"{s}{k}") for s in ("hh", "jh") for k in range(width)))
+        sums = resampled(observed.join(cells, "cluster_id", "left").na.fill(0.0, columns[2:]).select("cluster_id", *columns), columns, ["cluster_id"], n_boot, seed)
+        for j, c in enumerate((sums[:, 2 : 2 + width], sums[:, 2 + width :])):
+            total[:, j] += c.sum(axis=1)
+            squares[:, j] += (c**2).sum(axis=1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        e = total**2 - squares
+        e[e == 0] = np.nan
+        human, judge = (1 - (total - 1) * sums[:, :2] / e).T
+    return judge - human
+
+
 def _baseline(baseline: DataFrame, labels: DataFrame, ties: str, confidence: float, n_boot: int, seed: int | None) -> dict:
     need_columns(baseline, ["item_id", "cluster_id", "rater_id", "rating"], "human_baseline")
     if not baseline.limit(1).count():
@@ -126,7 +151,7 @@ def _baseline(baseline: DataFrame, labels: DataFrame, ties: str, confidence: flo
     rules = {r.rule: r["count"] for r in baseline_rules(baseline, judge, ties).groupBy("rule").count().collect()}
     counts = baseline_counts(baseline, judge, ties)
     observed, margins = cluster_sums(counts)
-    values = sorted(r.v for r in margins.select("v").distinct().limit(ag.SCALE).collect())
+    values = sorted(r.v for r in margins.select("v").distinct().collect())
     n_clusters = observed.count()
     out = {"baseline_n_items": rules.get("kept", 0), "baseline_n_clusters": n_clusters, "baseline_n_no_judge_label": rules.get("no_judge_label", 0), "baseline_n_too_few_humans": rules.get("too_few_humans", 0), "baseline_n_judge_ties": rules.get("judge_tie", 0)}
     if not n_clusters:
@@ -134,12 +159,8 @@ def _baseline(baseline: DataFrame, labels: DataFrame, ties: str, confidence: flo
     point = baseline_alphas(counts).first()
     out |= {f"baseline_{k}": NAN if point[k] is None else point[k] for k in ("judge_human", "human_human", "difference")}
     if n_boot and n_clusters >= 2:
-        cells = margins.groupBy("cluster_id").agg(*(F.sum(F.when(F.col("v") == v, F.col(s)).otherwise(0)).alias(f"{s}{k}") for s in ("hh", "jh") for k, v in enumerate(values)))
-        columns = ["hh_o", "jh_o", *(f"{s}{k}" for s in ("hh", "jh") for k in range(len(values)))]
-        sums = resampled(observed.join(cells, "cluster_id").select("cluster_id", *columns), columns, ["cluster_id"], n_boot, seed)
-        hh, jh = sums[:, 2 : 2 + len(values)], sums[:, 2 + len(values) :]
-        halves = [ag.alpha_of_sums(np.column_stack((o, c.sum(axis=1), c)), "nominal", len(values)) for o, c in ((sums[:, 1], jh), (sums[:, 0], hh))]
-        out["baseline_ci_low"], out["baseline_ci_high"], out["baseline_n_boot_usable"] = usable_interval(halves[0] - halves[1], confidence)
+        difference = _resampled_difference(observed, margins, values, n_boot, seed)
+        out["baseline_ci_low"], out["baseline_ci_high"], out["baseline_n_boot_usable"] = usable_interval(difference, confidence)
     return out
 
 

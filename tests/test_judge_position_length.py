@@ -3,9 +3,11 @@ import math
 import numpy as np
 import pytest
 
-from plumbline.operators.judge import judge_validation
+from plumbline.operators import agreement as ag
+from plumbline.operators.judge import _baseline, baseline_counts, cluster_sums, judge_validation
 from plumbline.operators.length import NO_LENGTH, ONE_OUTCOME, SEPARATED, length_bias
 from plumbline.operators.position import couples, position_bias
+from plumbline.plans.draws import drawn
 from tests.test_agreement import slow_alpha
 
 
@@ -51,6 +53,30 @@ def test_baseline(spark):
         judge_validation(labels(spark, ["a"], ["a"]), human_baseline=base, ties="category")
 
 
+def test_baseline_counts_all_values_in_resamples(spark, monkeypatch):
+    """The interval is the same however many values a block of the bootstrap has."""
+    r = np.random.default_rng(4)
+    truth = r.integers(0, 40, 120)
+    judge = [f"v{t if r.random() < 0.8 else r.integers(40)}" for t in truth]
+    rows = [(i, i % 20, k, f"v{t if r.random() < 0.7 else r.integers(40)}") for i, t in enumerate(truth) for k in range(3)]
+    base = spark.createDataFrame(rows, "item_id long, cluster_id long, rater_id long, rating string")
+    counts = baseline_counts(base, labels(spark, judge, judge), "category")
+    observed, margins = cluster_sums(counts)
+    n = observed.count()
+    cells, o = {(x.cluster_id, x.v): (x.hh, x.jh) for x in margins.collect()}, {x.cluster_id: (x.hh_o, x.jh_o) for x in observed.collect()}
+    values = sorted({v for _, v in cells})
+    stats = np.array([[*o[c], *(cells.get((c, v), (0, 0))[j] for j in range(2) for v in values)] for c in sorted(o)])
+    sums = drawn(stats, 60, 3)
+    h, j = sums[:, 2 : 2 + len(values)], sums[:, 2 + len(values) :]
+    alpha = lambda d, c: 1 - (c.sum(1) - 1) * d / (c.sum(1) ** 2 - (c**2).sum(1))
+    want = np.percentile(alpha(sums[:, 1], j) - alpha(sums[:, 0], h), [2.5, 97.5])
+    assert n == 20 and len(values) > 30
+    for scale in (1000, 7):
+        monkeypatch.setattr(ag, "SCALE", scale)
+        got = _baseline(base, labels(spark, judge, judge), "category", 0.95, 60, 3)
+        assert (got["baseline_ci_low"], got["baseline_ci_high"]) == pytest.approx(want.tolist()) and got["baseline_n_boot_usable"] == 60
+
+
 def shown(spark, rows):
     return spark.createDataFrame([(k, *x) for k, x in enumerate(rows)], "seq long, pair_id long, option_a string, option_b string, winner string")
 
