@@ -30,8 +30,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which a twentieth or more is benchmark text go."""
-    return decontaminated(docs, table(spark, sf_dir, "benchmark"))
+    """Documents of which a twentieth or more is benchmark text go, and from the others the benchmark's spans."""
+    return decontaminated(docs, table(spark, sf_dir, "benchmark"), cut=True)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

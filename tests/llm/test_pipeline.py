@@ -68,3 +68,13 @@ def test_empty(spark, tmp_path):
     docs = spark.read.parquet(f"{tmp_path}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, str(tmp_path)).count() == 0
+
+
+def test_spans_go_from_documents_that_stay(spark, tmp_path):
+    tables(spark, tmp_path)
+    passage = spark.read.parquet(f"{tmp_path}/benchmark.parquet").first().text
+    r = random.Random(8)
+    before, after = text(r, "bb", 1500), text(r, "bb", 1500)
+    docs = spark.createDataFrame([(1, f"{before} {passage} {after}"), (2, before), (3, None)], "doc_id long, text string")
+    got = {x.doc_id: x.text for x in corpus_pipeline.decontaminate(spark, docs, str(tmp_path)).collect()}
+    assert got == {1: f"{before}  {after}", 2: before, 3: None}
