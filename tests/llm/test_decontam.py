@@ -45,7 +45,7 @@ def test_words():
 def test_matches_brute_force(spark, most, monkeypatch):
     docs, items = cases()
     monkeypatch.setattr(decontam, "AUTOMATON_WORDS", most)
-    monkeypatch.setattr(decontam.marked, "__defaults__", (13, most))
+    monkeypatch.setattr(decontam.marked, "__defaults__", (13, most, False))
     frame = spark.createDataFrame([(i, t) for i, t in enumerate(docs)], "doc_id long, text string")
     got = contamination(frame, spark.createDataFrame(items, "item_id long, text string"))
     for x in got.collect():
