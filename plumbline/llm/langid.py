@@ -2,15 +2,16 @@
 
 The pieces are those of a fixed public vocabulary. For each language, expectation-maximisation learns a probability of
 each piece from the words of labelled documents; a word's probability is the sum over all its segmentations, by a
-forward algorithm over many words at once. A text's evidence is the sum over all its words; beyond EVIDENCE words it
+forward algorithm over many words at once, or, for a word longer than LONGEST, along the word with as many places in
+memory as a piece is long. A text's evidence is the sum over all its words; beyond EVIDENCE words it
 is scaled to that many, so that the posterior tells a mixture of languages from one language.
 
 The fit uses a hashed sample of about `sample` labelled documents a language, all of them where there are fewer.
 Every word of every text is scored.
 
 Defined results: null text or no letter: `und` with score 0, as for all texts if no language could be learned. Words
-are lower-cased runs of letters; characters that the vocabulary lacks share one piece; a run longer than LONGEST is
-scored in parts. Ties go to the language that sorts first. Repeated rows are scored each; null labels teach nothing.
+are lower-cased runs of letters, of any length; characters that the vocabulary lacks share one piece. A run longer than
+LONGEST is scored whole but teaches by its parts of that length. Ties go to the language that sorts first. Repeated rows are scored each; null labels teach nothing.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from pyspark.sql import types as T
 from .common import fresh
 
 RUNS = re.compile(r"[^\W\d_]+")
-MARK, LONGEST, PIECE = "▁", 40, 16
+MARK, LONGEST = "▁", 40
 SAMPLE, ROUNDS, EVIDENCE = 800, 4, 20
 #: Words that a worker remembers, and words that go through the forward algorithm at once.
 REMEMBERED, AT_ONCE = 300_000, 8192
@@ -37,12 +38,16 @@ UND = "und"
 
 
 def runs(text: str | None) -> list[str]:
-    """Lower-cased runs of letters, in parts of LONGEST at most."""
+    """Lower-cased runs of letters."""
     found = RUNS.findall(text.lower()) if text else []
-    if any(len(w) > LONGEST for w in found) or not all(map(str.isalpha, found)):
-        letters = itertools.chain.from_iterable("".join(c if c.isalpha() else " " for c in w).split() for w in found)
-        found = [w[k : k + LONGEST] for w in letters for k in range(0, len(w), LONGEST)]
-    return found
+    if all(map(str.isalpha, found)):
+        return found
+    return list(itertools.chain.from_iterable("".join(c if c.isalpha() else " " for c in w).split() for w in found))
+
+
+def parts_of(words: list[str]) -> list[str]:
+    """words, those longer than LONGEST cut."""
+    return [w[k : k + LONGEST] for w in words for k in range(0, len(w), LONGEST)]
 
 
 def vocabulary(path: str) -> dict[str, int]:
@@ -51,7 +56,7 @@ def vocabulary(path: str) -> dict[str, int]:
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     lower = {model.id_to_piece(k).lower() for k in range(model.vocab_size())}
-    return {p: k for k, p in enumerate(sorted(p for p in lower if p == MARK or p.removeprefix(MARK).isalpha() and len(p) <= PIECE), 2)}
+    return {p: k for k, p in enumerate(sorted(p for p in lower if p == MARK or p.removeprefix(MARK).isalpha()), 2)}
 
 
 class Index:
@@ -61,6 +66,7 @@ class Index:
 
     def __init__(self, pieces: dict[str, int]):
         mask, hashes = (1 << 64) - 1, {}
+        self.longest = max(map(len, pieces), default=1)
         for piece, k in pieces.items():
             h = 0
             for c in piece:
@@ -100,7 +106,7 @@ class Lattices:
 
     def __init__(self, words: list[str], index: Index):
         n = len(words[0]) + 1
-        self.n, self.spans = n, [(i, j) for j in range(1, n + 1) for i in range(max(0, j - PIECE), j)]
+        self.n, self.spans = n, [(i, j) for j in range(1, n + 1) for i in range(max(0, j - index.longest), j)]
         codes = np.array([MARK + w for w in words], f"<U{n}").view(np.uint32).reshape(len(words), n).T.astype(np.uint64) + np.uint64(1)
         base = np.uint64(Index.BASE)
         powers, upto = [np.uint64(1)], [np.zeros(len(words), np.uint64)]
@@ -138,19 +144,50 @@ class Lattices:
 
 
 def by_length(words: list[str]) -> Iterator[list[int]]:
-    """Indices of words of one length, AT_ONCE or fewer; fewer for long words, whose lattices are larger."""
+    """Indices of words of one length up to LONGEST, AT_ONCE or fewer; fewer for long words, whose lattices are larger."""
     groups = defaultdict(list)
     for k, w in enumerate(words):
-        groups[len(w)].append(k)
+        if len(w) <= LONGEST:
+            groups[len(w)].append(k)
     for n, g in groups.items():
         most = max(1, AT_ONCE * 8 // (8 + n))
         for k in range(0, len(g), most):
             yield g[k : k + most]
 
 
+def log_probability(word: str, index: Index, p: np.ndarray) -> np.ndarray:
+    """(languages), all segmentations of one word of any length summed; some thousand letters are looked up at a time."""
+    marked, reach, base = MARK + word, index.longest, np.uint64(Index.BASE)
+    alpha, scale = np.zeros((reach, p.shape[1])), np.zeros(p.shape[1])  # of the last places, the latest first
+    alpha[0] = 1
+    for at in range(0, len(marked), AT_ONCE):
+        begin = max(0, at + 1 - reach)
+        codes = np.frombuffer(marked[begin : at + AT_ONCE].encode("utf-32-le"), np.uint32).astype(np.uint64) + np.uint64(1)
+        ends = np.arange(at + 1 - begin, len(codes) + 1)
+        ids, hashes = np.zeros((len(ends), reach), np.int32), np.zeros(len(codes), np.uint64)
+        with np.errstate(over="ignore"):
+            for size in range(1, min(reach, len(codes)) + 1):
+                hashes = hashes[: len(codes) - size + 1] * base + codes[size - 1 :]
+                inside = ends >= size
+                ids[inside, size - 1] = index(hashes)[ends[inside] - size]
+        ids[:, 0][ids[:, 0] == 0] = 1
+        for span in p[ids]:
+            new = (span * alpha).sum(axis=0)
+            alpha[1:] = alpha[:-1]
+            alpha[0] = new
+            if new.min() < 1e-100:
+                most = alpha.max(axis=0)
+                alpha /= most
+                scale += np.log(most)
+    return scale + np.log(alpha[0])
+
+
 def log_probabilities(words: list[str], index: Index, p: np.ndarray) -> np.ndarray:
     """(words, languages), all segmentations summed."""
     out = np.empty((len(words), p.shape[1]))
+    for k, w in enumerate(words):
+        if len(w) > LONGEST:
+            out[k] = log_probability(w, index, p)
     for g in by_length(words):
         lattice = Lattices([words[k] for k in g], index)
         out[g] = np.log(np.maximum(lattice.forward(p)[1][lattice.n], 1e-300))
@@ -188,7 +225,7 @@ def sampled_counts(docs: DataFrame, sample: int) -> dict[str, Counter]:
         for batch in it:
             found = defaultdict(Counter)
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text"), strict=True):
-                found[lang].update(runs(text.as_py()))
+                found[lang].update(parts_of(runs(text.as_py())))
             rows = [(lang, w, n) for lang, c in found.items() for w, n in c.items()]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.string(), pa.string(), pa.int64()), strict=True)], names=["lang", "word", "n"])
@@ -209,7 +246,7 @@ class Identifier:
         if len(self.known) > REMEMBERED:
             self.known, self.scores = {}, self.scores[:0]
         split, known = [runs(t) for t in texts], self.known
-        new = [w for w in dict.fromkeys(itertools.chain.from_iterable(split)) if w not in known]
+        new = [w for w in dict.fromkeys(itertools.chain.from_iterable(split)) if w not in known and len(w) <= LONGEST]
         if new and self.langs:
             known.update(zip(new, range(len(known), len(known) + len(new)), strict=True))
             self.scores = np.concatenate((self.scores, log_probabilities(new, self.index, self.p)))
@@ -218,8 +255,11 @@ class Identifier:
     def _one(self, words: list[str]) -> tuple[str, float]:
         if not words or not self.langs:
             return UND, 0.0
+        if long := [w for w in words if w not in self.known]:
+            words = [w for w in words if w in self.known]
         total = self.scores[np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))].sum(axis=0)
-        total *= min(1, EVIDENCE / len(words))
+        total += log_probabilities(long, self.index, self.p).sum(axis=0)
+        total *= min(1, EVIDENCE / (len(words) + len(long)))
         odds = np.exp(total - total.max())
         best = int(odds.argmax())
         return self.langs[best], float(odds[best] / odds.sum())

@@ -2,9 +2,10 @@ import itertools
 from collections import Counter
 
 import numpy as np
+import pytest
 
 from plumbline.llm import langid
-from plumbline.llm.langid import Identifier, Index, fitted, identified, in_known_language, learned, log_probabilities, runs, vocabulary
+from plumbline.llm.langid import Identifier, Index, fitted, identified, in_known_language, learned, log_probabilities, log_probability, parts_of, runs, vocabulary
 from plumbline.llm.queries import op7_langid, pieces_path
 
 PIECES = {"▁": 2, "▁a": 3, "a": 4, "b": 5, "ab": 6, "ba": 7, "▁ab": 8, "aba": 9}
@@ -29,6 +30,33 @@ def test_forward_sums_all_segmentations():
         assert np.allclose(np.exp(row), want)
 
 
+@pytest.mark.parametrize("at_once", [8192, 7])
+def test_a_long_run_is_summed_whole(at_once, monkeypatch):
+    r = np.random.default_rng(3)
+    p = r.random((10, 3)) / 10
+    p[0] = 0
+    word = "".join(r.choice(list("abx"), 10_000))
+    monkeypatch.setattr(langid, "AT_ONCE", at_once)
+    got = log_probabilities([word, "ab"], Index(PIECES), p)[0]
+    s, alpha, scale = "▁" + word, [np.ones(3)], 0.0
+    for j in range(1, len(s) + 1):
+        alpha.append(sum(alpha[j - n] * p[PIECES.get(s[j - n : j], 1 if n == 1 else 0)] for n in range(1, min(j, 3) + 1)))
+        if j % 20 == 0:
+            scale += np.log(alpha[-1])
+            alpha[-3:] = [a / alpha[-1] for a in alpha[-3:]]
+    assert np.allclose(got, scale + np.log(alpha[-1]), rtol=1e-9)
+    assert np.allclose(log_probability("abab", Index(PIECES), p), log_probabilities(["abab"], Index(PIECES), p)[0])
+
+
+def test_texts_of_one_long_run():
+    langs, p = learned({"x": Counter({"ab": 9, "aba": 2}), "y": Counter({"ba": 4, "bb": 3})}, PIECES)
+    use = Identifier(langs, p, PIECES)
+    for text in ("ab" * 5000, "b" * 9999 + " bb", "ba " + "aab" * 700 + " ab"):
+        want = sum(log_probability(w, use.index, p) for w in text.split())
+        assert use([text])[0][0] == langs[int(want.argmax())]
+    assert all("ab" * 5000 != w for w in use.known)
+
+
 def test_index_finds_each_piece_and_nothing_else():
     pieces = vocabulary(pieces_path())
     index = Index(pieces)
@@ -59,7 +87,7 @@ def test_expectations_match_enumeration():
 def test_runs():
     assert runs("Éa1b_c d-½x 日本") == ["éa", "b", "c", "d", "x", "日本"]
     assert runs("1 2 ½ _ !") == [] and runs(None) == []
-    assert [len(w) for w in runs("z" * 95)] == [40, 40, 15]
+    assert [len(w) for w in runs("z" * 95)] == [95] and [len(w) for w in parts_of(runs("z" * 95 + " y"))] == [40, 40, 15, 1]
 
 
 def test_worker_forgets_and_agrees(monkeypatch):
