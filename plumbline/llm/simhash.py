@@ -8,7 +8,8 @@ others past it, numpy exclusive-or and bit counts telling the links. Each task s
 links, and rounds of large and small stars, cut by checkpoints, join the forests.
 
 Defined results: null, empty and wordless texts have fingerprint zero and link like any other. Rows with one doc_id
-are one document, so they share a component. A row without doc_id has a fingerprint, no component, and links nothing.
+are one document, so they share a component, and so do all that any of their texts links. A row without doc_id has a
+fingerprint, no component, and links nothing. Ties don't arise: a component is its smallest id.
 """
 
 from __future__ import annotations
@@ -186,10 +187,15 @@ def components(edges: DataFrame, most_links: int) -> DataFrame:
 
 
 def _with_components(prints: DataFrame, radius: int) -> DataFrame:
-    """prints (doc_id, print): (print, node, component_id), a row a fingerprint and doc_id's representative."""
-    nodes = prints.where("doc_id IS NOT NULL").groupBy("print").agg(F.min("doc_id").alias("node"))
+    """prints (doc_id, print): (print, component_id), a row a fingerprint that some id has."""
+    own = prints.where("doc_id IS NOT NULL")
+    nodes = own.groupBy("print").agg(F.min("doc_id").alias("node"))
     nodes = checkpointed(compact(nodes, prints.count()))
-    low = components(links(nodes, radius), nodes.count())
+    # ids with texts of several fingerprints: each is linked to the least
+    several = own.groupBy("doc_id").agg(F.min("print").alias("least"), F.max("print").alias("most")).where("least <> most")
+    same = own.join(several, "doc_id").where("print <> least").select("print", "least").distinct()
+    same = same.join(nodes, "print").select(F.col("node").alias("a"), F.col("least").alias("print")).join(nodes, "print").select("a", F.col("node").alias("b"))
+    low = components(links(nodes, radius).unionByName(same), nodes.count())
     return nodes.join(low, "node", "left").select("print", F.coalesce("low", "node").alias("component_id"))
 
 
@@ -204,8 +210,13 @@ def simhash_components(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 def near_deduplicated(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """docs, its columns as they were, with the smallest doc_id of each component; one row of those that repeat it.
 
-    Rows without doc_id can't be told apart or be named by a component, so they stay.
+    Of rows that repeat an id that stays, that with the least text stays, then that with the least of all columns as
+    JSON. Rows without doc_id can't be told apart or be named by a component, so they stay. Ids are decided on before
+    any text is moved.
     """
-    found = simhash_components(docs, radius).where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.where("doc_id IS NOT NULL").join(found, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
+    ids = simhash_components(docs, radius).where("doc_id IS NOT NULL").groupBy("doc_id").agg((F.min("component_id") == F.col("doc_id")).alias("stays"), F.count("*").alias("n"))
+    odd = written(ids.where("NOT stays OR n > 1").select("doc_id", "stays"), "odd-ids")
+    once = docs.join(odd.select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+    again = docs.join(odd.where("stays").select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
+    row, place = F.struct(*docs.columns), F.struct("text", F.to_json(F.struct(*docs.columns)))
+    return once.unionByName(again.groupBy("doc_id").agg(F.min_by(row, place).alias("one_row")).select("one_row.*"))

@@ -94,3 +94,25 @@ def test_nulls_repeats_extra_columns_and_empty(spark):
     assert sorted(str(x.doc_id) for x in kept.collect()) == ["1", "2", "4", "None"]
     none = docs.limit(0)
     assert simhash_components(none).count() == 0 and near_deduplicated(none).count() == 0
+
+
+def test_texts_of_one_id_share_a_component(spark):
+    a, b, c = "alpha beta gamma delta", "one two three four five", "x y z"
+    docs = spark.createDataFrame([(5, a, "p"), (5, b, "q"), (1, a, "r"), (2, b, "s"), (7, c, "t"), (7, c, "k"), (7, c + " w", "a"), (9, None, None)], "doc_id long, text string, TEXT_two string")
+    got = {(x.doc_id, x.component_id) for x in simhash_components(docs).collect()}
+    assert got == {(5, 1), (1, 1), (2, 1), (7, 7), (9, 9)}
+    assert sorted(tuple(x) for x in near_deduplicated(docs).collect()) == [(1, a, "r"), (7, c, "k"), (9, None, None)]
+
+
+def test_no_machine_local_folder_on_a_cluster(spark):
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):  # noqa: N802
+            return None
+
+    class Session:
+        conf, sparkContext = {}, Context()  # noqa: N815
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        common.shared_folder(Session())
