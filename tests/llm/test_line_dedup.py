@@ -2,6 +2,7 @@ import random
 
 import pytest
 
+from plumbline.llm import line_dedup
 from plumbline.llm.line_dedup import line_deduplicated
 
 SCHEMA = "doc_id long, text string, source string, gone string, line_id int"
@@ -29,11 +30,13 @@ def plain(rows, sites, chars):
     return out
 
 
-@pytest.mark.parametrize("sites", [2, 3, 9])
-def test_matches_plain(spark, sites):
+@pytest.mark.parametrize(("sites", "hot"), [(2, 0.001), (3, 0.01), (9, 2.0)])
+def test_matches_plain(spark, sites, hot, monkeypatch):
+    monkeypatch.setattr(line_dedup, "HOT", hot)
     r = random.Random(sites)
     pool = [f"a boilerplate line number {i} é" for i in range(30)] + ["short", "", " \t padded line that repeats \r", "padded line that repeats"]
     rows = [(i, "\n".join(r.choices(pool, k=r.randint(0, 8)) + [f"own line of the document {i}"] * r.randint(0, 2)), r.choice([*"abcdefghijkl", None]), "x", 3) for i in range(120)]
+    rows += [(600, pool[1] + "\n" + "a long line of text " * 50_000 + "\n" + pool[1], "z", None, None)]
     rows += [(500, None, "a", None, None), (501, "", None, None, None), (None, "own line without an id\n" + pool[0], "a", None, None)]
     docs = spark.createDataFrame(rows, SCHEMA)
     got = line_deduplicated(docs, sites=sites)
