@@ -16,7 +16,7 @@ from .line_dedup import line_deduplicated
 from .packing import digests, packed
 from .simhash import simhash_components
 from .topk import top_k, vectors
-from .url_filter import url_filter
+from .url_filter import SUFFIXES, url_filter
 
 URL_RULES = [
     ("block", "com", "/en/"),
@@ -77,8 +77,10 @@ hosts AS (
          regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', '') bare
   FROM cut LEFT JOIN told USING (page_id) GROUP BY 1),
 placed AS (
-  SELECT host, n, k, CASE WHEN regexp_matches(bare, '^[0-9.]+$') THEN bare ELSE regexp_extract(bare, '([^.]*[.])?[^.]*$') END AS domain FROM hosts),
-hosted AS (SELECT *, regexp_extract(domain, '[^.]*$') suffix FROM placed),
+  SELECT host, n, k, bare, regexp_extract(bare, '([^.]*[.])?[^.]*$') last, regexp_matches(bare, '^[0-9.]+$') address FROM hosts),
+hosted AS (
+  SELECT host, n, k, CASE WHEN address THEN bare WHEN last IN (:suffixes) THEN regexp_extract(bare, '([^.]*[.])?([^.]*[.])?[^.]*$') ELSE last END AS domain,
+         CASE WHEN address THEN '[address]' WHEN last IN (:suffixes) THEN last ELSE regexp_extract(bare, '[^.]*$') END suffix FROM placed),
 domains AS (SELECT suffix, domain, sum(n) n, sum(k) k FROM hosted GROUP BY 1, 2),
 suffixes AS (SELECT suffix, sum(n) n, sum(k) k FROM domains GROUP BY 1),
 s0 AS (SELECT *, coalesce((SELECT sum(k) / nullif(sum(n), 0) FROM suffixes), 0.5) m FROM suffixes),
@@ -106,7 +108,7 @@ SELECT page_id, host, path, rule,
        CASE WHEN rule = 'example.com/en/7' THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
             WHEN upper < 0.5 THEN 'block' ELSE 'allow' END AS verdict
 FROM ruled JOIN bound USING (host)
-"""
+""".replace(":suffixes", ", ".join(f"'{s}'" for s in SUFFIXES))
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
