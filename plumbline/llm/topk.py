@@ -6,7 +6,7 @@ impact over all dimensions, adding impacts to their rows' totals; a row's total
 dimension it hasn't met bounds its score from above. Once few rows can reach the query's k-th best score so far, that
 bound is the proof that the others can't, and the few are scored exactly. The best so far are kept from block to block.
 
-Queries are sent to the tasks in groups of about QUERIES, each group a pass over the rows; each task sends on its k
+Queries are sent to the tasks in groups of about QUERIES (8 MB at 64 dimensions), each group a pass over the rows; each task sends on its k
 best of each query, and a window takes the k best of these.
 
 Defined results: vectors that are null or hold null or non-finite components take no part, as queries or candidates;
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import checkpointed, written
 
-K, LEVELS, BLOCK_ROWS, QUERIES = 10, 16, 8192, 2048
+K, LEVELS, BLOCK_ROWS, QUERIES = 10, 16, 8192, 16384
 #: Shares of a block's postings after which the bounds are looked at.
 LOOKS = (0.15, 0.25, 0.32, 0.38, 0.44, 0.5, 0.56, 0.63, 0.7, 0.8, 0.9, 1.0)
 
