@@ -8,7 +8,7 @@ looked-up numbers.
 The fit takes about `sample` labelled documents of each label, chosen by a hash of the id; every whole text is scored.
 
 Defined results: null, empty and wordless texts have features 0 and are scored as such. Null labels or ids teach
-nothing. Without both labels the score is the labels' mean, or 1/2. Repeated rows are scored each.
+nothing. Without both labels the score is the labels' mean, or 1/2. Ties don't arise. Repeated rows are scored each.
 """
 
 from __future__ import annotations
@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .common import fresh
 from .features import NAMES, features, labelled_sample
 
 SAMPLE, BINS, PAIR_BINS, PAIRS = 8000, 48, 8, 10
@@ -141,6 +142,7 @@ def fit(x: np.ndarray, y: np.ndarray) -> Model:
 
 def with_features(docs: DataFrame, score=None) -> DataFrame:
     """docs with an array of features in place of text, or with `score` of them: a broadcast function of many rows."""
+    name = fresh(docs, "features" if score is None else "score")
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
@@ -150,10 +152,10 @@ def with_features(docs: DataFrame, score=None) -> DataFrame:
             else:
                 out = pa.array(score.value(x))
             names = [n for n in batch.schema.names if n != "text"]
-            yield pa.RecordBatch.from_arrays([*map(batch.column, names), out], names=[*names, "features" if score is None else "score"])
+            yield pa.RecordBatch.from_arrays([*map(batch.column, names), out], names=[*names, name])
 
     kept = [f for f in docs.schema if f.name != "text"]
-    new = T.StructField("features", T.ArrayType(T.DoubleType())) if score is None else T.StructField("score", T.DoubleType())
+    new = T.StructField(name, T.ArrayType(T.DoubleType()) if score is None else T.DoubleType())
     return docs.mapInArrow(batches, T.StructType([*kept, new]))
 
 
@@ -165,5 +167,5 @@ def fitted(docs: DataFrame, labels: DataFrame, column: str = "quality", sample:
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with the score of text in its place; other columns must not be named score."""
+    """docs with the score of text in its place, named score, or with underscores before it if docs has such a column."""
     return with_features(docs, docs.sparkSession.sparkContext.broadcast(model))
