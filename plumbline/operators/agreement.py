@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.checks import need_choice, need_columns, need_confidence, need_ids, need_resamples, need_unique
-from ..plans.draws import hash_draws, numbered, resampled, usable_interval
+from ..plans.draws import numpy_multiplicities, poisson, polynomials, resampled, running, some_seed, unit_number, usable_interval
 from ..results import NAN, AgreementResult, KappaResult
 
 LEVELS = ("nominal", "ordinal", "interval")
@@ -24,16 +24,14 @@ SINGLE_RATER = "only one rater left, nothing to compare"
 NO_OVERLAP = "no item left with two or more ratings"
 NO_VARIANCE = "remaining raters agreed everywhere, so alpha has no denominator"
 ONE_ITEM = "only one item left with two or more ratings"
-#: Values of a rating scale whose counts a unit carries through the bootstrap.
-SCALE = 1000
 
 
-def cleaned(ratings: DataFrame, level: str) -> DataFrame:
-    """(item_id, rater_id, rating): rated rows, numbers as doubles if all are, else labels, which only nominal takes."""
+def cleaned(ratings: DataFrame, level: str, *more: str) -> DataFrame:
+    """(item_id, rater_id, rating, more): rated rows, numbers as doubles if all are, else labels, which only nominal takes."""
     need_choice("level", level, LEVELS)
-    need_columns(ratings, RATINGS, "ratings")
+    need_columns(ratings, [*RATINGS, *more], "ratings")
     number = F.expr("try_cast(rating AS DOUBLE)")
-    rows = ratings.select(*RATINGS).where(F.col("rating").isNotNull())
+    rows = ratings.select(*RATINGS, *(m for m in more if m not in RATINGS)).where(F.col("rating").isNotNull())
     if dict(ratings.dtypes)["rating"] in ("double", "float"):
         rows = rows.where(~F.isnan("rating"))
     n, numeric = rows.agg(F.count("*"), F.bool_and(number.isNotNull())).first()
@@ -61,9 +59,12 @@ def positions(counts: DataFrame, level: str, by: Sequence[str] = ()) -> DataFram
     if level == "interval":
         return counts.withColumn("x", F.col("rating").cast("double"))
     marginal = counts.groupBy(*by, "rating").agg(F.sum("c").alias("g"))
-    upto = F.sum("g").over(Window.partitionBy(*by).orderBy("rating")) if by else F.sum("g").over(Window.orderBy("rating"))
-    ranks = marginal.select(*by, "rating", (upto - F.col("g") / 2).alias("x"))
-    return counts.join(F.broadcast(ranks) if not by else ranks, [*by, "rating"])
+    if by:  # a group has a row a value
+        before = F.coalesce(F.sum("g").over(Window.partitionBy(*by).orderBy("rating").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        ranks = marginal.withColumn("before", before)
+    else:
+        ranks = running(marginal, "rating", "g", "before")
+    return counts.join(ranks.select(*by, "rating", (F.col("before") + F.col("g") / 2).alias("x")), [*by, "rating"])
 
 
 def spread(level: str, m: Column, c2: Column, s1: Column, s2: Column) -> Column:
@@ -105,6 +106,58 @@ def item_disagreement(ratings: DataFrame, level: str = "nominal") -> DataFrame:
     return unit_stats(counts, level).crossJoin(F.broadcast(chance)).select("item_id", F.col("m").cast("long").alias("n_ratings"), d.alias("disagreement"), (d / F.nullif(F.col("chance"), F.lit(0.0))).alias("vs_chance"))
 
 
+def _shared_sums(whole: DataFrame, level: str, mine: DataFrame, own: DataFrame) -> DataFrame:
+    """By rater left out: o, n_units, n, e, n_values, from the sums over all raters less what that rater's items had, and more what they have without."""
+    units = unit_stats(whole, level)
+    total = units.agg(F.sum("o").alias("o"), F.count("*").alias("n_units"))
+    before = mine.join(units, "item_id").groupBy("out").agg((-F.sum("o")).alias("o"), (-F.count("*")).alias("n_units"))
+    after = unit_stats(own, level, ["out"]).groupBy("out").agg(F.sum("o").alias("o"), F.count("*").alias("n_units"))
+    moved = before.unionByName(after).groupBy("out").agg(F.sum("o").alias("d_o"), F.sum("n_units").alias("d_units"))
+    # values that the rater's items touch, by how much their counts change
+    gone, back = mine.join(whole, "item_id").select("out", "rating", (-F.col("c")).alias("d")), own.select("out", "rating", F.col("c").alias("d"))
+    changed = gone.unionByName(back).groupBy("out", "rating").agg(F.sum("d").cast("double").alias("d"))
+    margins = positions(whole, level).groupBy("rating", "x").agg(F.sum("c").cast("double").alias("g"))
+    g, x, d = F.col("g"), F.col("x"), F.col("d")
+    every = margins.agg(F.sum(g).alias("n"), F.sum(g * g).alias("g2"), F.sum(g * x).alias("s1"), F.sum(g * x * x).alias("s2"), F.count("*").alias("n_values"))
+    shift = changed.join(margins, "rating").groupBy("out").agg(F.sum(d).alias("d_n"), F.sum(2 * g * d + d * d).alias("d_g2"), F.sum(d * x).alias("d_s1"), F.sum(d * x * x).alias("d_s2"), F.count_if(g + d == 0).alias("lost"))
+    both = moved.join(shift, "out", "full").crossJoin(F.broadcast(total)).crossJoin(F.broadcast(every))  # a row each
+    left = lambda c, by: F.col(c) + F.coalesce(F.col(by), F.lit(0))
+    n, n_values = left("n", "d_n"), F.col("n_values") - F.coalesce("lost", F.lit(0))
+    e = F.when(n_values <= 1, 0.0).otherwise(spread(level, n, left("g2", "d_g2"), left("s1", "d_s1"), left("s2", "d_s2")))
+    return both.select("out", left("o", "d_o").alias("o"), left("n_units", "d_units").alias("n_units"), n.alias("n"), e.alias("e"), n_values.alias("n_values"))
+
+
+def _pair_weights(counts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """(by, low, high, w): by pair of different values, how often they meet within items, each item's meetings over its ratings less one."""
+    a, b = (counts.select(*by, "item_id", F.col("rating").alias(v), F.col("c").alias(f"{v}_c"), *(["m"] if v == "low" else [])) for v in ("low", "high"))
+    met = a.join(b, [*by, "item_id"]).where("low < high")
+    return met.groupBy(*by, "low", "high").agg(F.sum(2 * F.col("low_c") * F.col("high_c") / (F.col("m") - 1)).alias("w"))
+
+
+def _ranked_sums(whole: DataFrame, votes: DataFrame, mine: DataFrame, own: DataFrame) -> DataFrame:
+    """As _shared_sums for ordinal ratings: mid-ranks move with each rater left out, so disagreement goes by pairs of values.
+
+    Rows are raters times values and pairs of values of the scale, whatever the number of items.
+    """
+    outs = votes.select(F.col("rater_id").alias("out"))
+    old, new = mine.join(whole, "item_id"), own
+    counts = outs.crossJoin(whole.groupBy("rating").agg(F.sum("c").alias("c")))
+    counts = counts.unionByName(old.select("out", "rating", (-F.col("c")).alias("c"))).unionByName(new.select("out", "rating", "c"))
+    counts = counts.groupBy("out", "rating").agg(F.sum("c").alias("c")).where("c > 0").withColumn("m", F.lit(2))
+    placed = positions(counts, "ordinal", ["out"]).select("out", "rating", "x")
+    pairs = outs.crossJoin(_pair_weights(whole))
+    pairs = pairs.unionByName(_pair_weights(old.select("out", "item_id", "rating", "c", "m"), ["out"]).withColumn("w", -F.col("w"))).unionByName(_pair_weights(new, ["out"]))
+    pairs = pairs.groupBy("out", "low", "high").agg(F.sum("w").alias("w"))
+    for side in ("low", "high"):
+        pairs = pairs.join(placed.select("out", F.col("rating").alias(side), F.col("x").alias(f"{side}_x")), ["out", side])
+    gap = F.col("low_x") - F.col("high_x")
+    observed = pairs.groupBy("out").agg(F.sum(F.col("w") * gap * gap).alias("o"))
+    sizes = mine.join(whole.select("item_id").distinct(), "item_id").groupBy("out").agg((-F.count("*")).alias("k")).unionByName(own.select("out", "item_id").distinct().groupBy("out").agg(F.count("*").alias("k")))
+    every = whole.agg(F.count_distinct("item_id").alias("n_units"))
+    units = outs.join(sizes.groupBy("out").agg(F.sum("k").alias("k")), "out", "left").crossJoin(F.broadcast(every)).select("out", (F.col("n_units") + F.coalesce("k", F.lit(0))).alias("n_units"))
+    return units.join(expected(counts, "ordinal", ["out"]), "out").join(observed, "out", "left").select("out", F.coalesce("o", F.lit(0.0)).alias("o"), "n_units", "n", "e", "n_values")
+
+
 def rater_dropout(ratings: DataFrame, level: str = "nominal") -> DataFrame:
     """Alpha without each rater: rater_id, n_ratings, alpha_without, delta, note.
 
@@ -119,25 +172,9 @@ def rater_dropout(ratings: DataFrame, level: str = "nominal") -> DataFrame:
     own = touched.groupBy("out", "item_id", "rating").agg(F.count("*").alias("c"))
     own = own.withColumn("m", F.sum("c").over(Window.partitionBy("out", "item_id"))).where("m >= 2")
     whole = value_counts(ratings)
-    if level == "ordinal":  # mid-ranks depend on who is left, so all items are rebuilt for each rater
-        left = votes.select(F.col("rater_id").alias("out")).crossJoin(ratings).where("rater_id <> out")
-        found = alphas(left.select("out", "item_id", "rater_id", "rating"), level, ["out"])
-    else:
-        all_units, all_margins = unit_stats(whole, level), whole.groupBy("rating").agg(F.sum("c").alias("g"))
-        total = all_units.agg(F.sum("o").alias("all_o"), F.count("*").alias("all_units"))
-        before = mine.join(all_units, "item_id").groupBy("out").agg(F.sum("o").alias("old_o"), F.count("*").alias("old_units"))
-        after = unit_stats(own, level, ["out"]).groupBy("out").agg(F.sum("o").alias("new_o"), F.count("*").alias("new_units"))
-        sums = votes.select(F.col("rater_id").alias("out")).join(before, "out", "left").join(after, "out", "left").crossJoin(F.broadcast(total))
-        zero = lambda c: F.coalesce(F.col(c), F.lit(0))
-        sums = sums.select("out", (zero("all_o") - zero("old_o") + zero("new_o")).alias("o"), (zero("all_units") - zero("old_units") + zero("new_units")).alias("n_units"))
-        gone = mine.join(whole, "item_id").groupBy("out", "rating").agg((-F.sum("c")).alias("g"))
-        back = own.groupBy("out", "rating").agg(F.sum("c").alias("g"))
-        every = votes.select(F.col("rater_id").alias("out")).crossJoin(F.broadcast(all_margins))
-        margins = every.select("out", "rating", "g").unionByName(gone).unionByName(back).groupBy("out", "rating").agg(F.sum("g").alias("c")).where("c > 0")
-        chance = expected(margins.withColumn("m", F.lit(2)), level, ["out"])
-        alpha = F.when(F.col("n_units") >= 2, 1 - (F.col("n") - 1) * F.col("o") / F.nullif(F.col("e"), F.lit(0.0)))
-        found = sums.join(chance, "out", "left").select("out", alpha.alias("alpha"), "n_units", F.col("n").alias("n_ratings"), "n_values")
-    found = found.select(F.col("out").alias("rater_id"), F.col("alpha").alias("alpha_without"), "n_units", "n_values")
+    sums = _ranked_sums(whole, votes, mine, own) if level == "ordinal" else _shared_sums(whole, level, mine, own)
+    alpha = F.when(F.col("n_units") >= 2, 1 - (F.col("n") - 1) * F.col("o") / F.nullif(F.col("e"), F.lit(0.0)))
+    found = sums.select(F.col("out").alias("rater_id"), alpha.alias("alpha_without"), "n_units", "n_values")
     rows = votes.join(found, "rater_id", "left").crossJoin(F.broadcast(n_raters)).where("n_raters >= 2")
     note = (
         F.when(F.col("n_raters") == 2, SINGLE_RATER)
@@ -151,64 +188,123 @@ def rater_dropout(ratings: DataFrame, level: str = "nominal") -> DataFrame:
     return rows.crossJoin(overall).select("rater_id", "n_ratings", without.alias("alpha_without"), (without - F.col("alpha")).alias("delta"), note.alias("note"))
 
 
-def unit_vectors(ratings: DataFrame, level: str, keys: Sequence[str] = ("item_id",)) -> tuple[DataFrame, list[str], list]:
-    """A row a unit with what a resample needs summed: o, n, then counts by value, and for ordinal o by pairs of values."""
+#: Which sums a bootstrap's cells of kind j hold; those of kind 0 hold the counts of value i. Groups follow each other by KINDS.
+O, N, S1, S2, KINDS = 1, 2, 3, 4, 8
+
+
+def alpha_draws(ratings: DataFrame, level: str, n_boot: int, seed: int | None, order: Sequence[str] = ()) -> np.ndarray:
+    """Alpha of each resample of the items with two ratings or more, NaN where all its ratings are one value.
+
+    order: columns of ratings that number the items by their first rows, for numpy's stream; items are told apart by
+    their ids otherwise.
+    """
     counts = value_counts(ratings)
-    values = sorted(r[0] for r in counts.select("rating").distinct().limit(SCALE + 1).collect())
-    if level == "interval":
-        wide = counts.groupBy("item_id").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("rating")).alias("s1"), F.sum(F.col("c") * F.col("rating") * F.col("rating")).alias("s2"))
-        return wide.join(unit_stats(counts, level), "item_id"), ["o", "n", "s1", "s2"], values
-    if len(values) > SCALE:
-        raise ValueError(f"more than {SCALE} different ratings; use level='interval' or group the labels")
-    wide = counts.groupBy("item_id").agg(F.sum("c").alias("n"), *(F.sum(F.when(F.col("rating") == v, F.col("c")).otherwise(0)).alias(f"c{k}") for k, v in enumerate(values)))
-    names = [f"c{k}" for k in range(len(values))]
+    unit = unit_number(F.col("item_id"))
+    places = None
+    if order:
+        places = ratings.where(F.col("rating").isNotNull()).join(counts.select("item_id").distinct(), "item_id", "left_semi").groupBy(unit.alias("unit")).agg(F.min(F.struct(*order)).alias("place"))
     if level == "ordinal":
-        pairs = {f"p{j}_{k}": F.col(f"c{j}") * F.col(f"c{k}") / (F.col("n") - 1) for j in range(len(values)) for k in range(j + 1, len(values))}
-        return wide.withColumns(pairs) if pairs else wide, ["n", *names, *pairs], values
-    return wide.join(unit_stats(counts, level).select("item_id", "o"), "item_id"), ["o", "n", *names], values
-
-
-def alpha_of_sums(sums: np.ndarray, level: str, n_values: int) -> np.ndarray:
-    """Alpha of each resample, NaN where all its ratings are one value."""
-    with np.errstate(divide="ignore", invalid="ignore"):
-        if level == "interval":
-            o, n, s1, s2 = sums.T
-            e = 2 * (n * s2 - s1 * s1)
-            e[e <= 1e-12 * n * s2] = np.nan
-        elif level == "nominal":
-            o, n = sums[:, 0], sums[:, 1]
-            e = n * n - (sums[:, 2:] ** 2).sum(axis=1)
-            e[e == 0] = np.nan
-        else:
-            n, c = sums[:, 0], sums[:, 1 : 1 + n_values]
-            middle = np.cumsum(c, axis=1) - c / 2
-            o = np.zeros(len(sums))
-            at = 1 + n_values
-            for j in range(n_values):
-                for k in range(j + 1, n_values):
-                    o += 2 * sums[:, at] * (middle[:, j] - middle[:, k]) ** 2
-                    at += 1
-            e = 2 * (n * (c * middle**2).sum(axis=1) - (c * middle).sum(axis=1) ** 2)
-            e[(c > 0).sum(axis=1) <= 1] = np.nan
-        return 1 - (n - 1) * o / e
-
-
-def alpha_interval(ratings: DataFrame, level: str, confidence: float, n_boot: int, seed: int | None) -> tuple[float, float, int]:
-    units, columns, values = unit_vectors(ratings, level)
-    sums = resampled(units.select("item_id", *columns), columns, ["item_id"], n_boot, seed)
-    return usable_interval(alpha_of_sums(sums, level, len(values)), confidence)
-
-
-def hash_alpha_bootstrap(ratings: DataFrame, n_boot: int, seed: int) -> DataFrame:
-    """(b, alpha) of nominal ratings over resamples of overlapping items; alpha is null where undefined."""
-    counts = value_counts(ratings)
-    units = numbered(unit_stats(counts, "nominal"), ["item_id"])
-    times = hash_draws(ratings.sparkSession, units.count(), n_boot, seed).groupBy("b", "ix").agg(F.count("*").alias("times"))
-    picked = times.join(units, "ix")
-    o = picked.groupBy("b").agg(F.sum(F.col("times") * F.col("o")).alias("o"))
-    margins = picked.join(counts.select("item_id", "rating", "c"), "item_id").groupBy("b", "rating").agg(F.sum(F.col("times") * F.col("c")).cast("double").alias("g"))
-    e = margins.groupBy("b").agg(F.sum("g").alias("n"), (F.pow(F.sum("g"), F.lit(2)) - F.sum(F.col("g") * F.col("g"))).alias("e"))
-    return o.join(e, "b").select("b", (1 - (F.col("n") - 1) * F.col("o") / F.nullif(F.col("e"), F.lit(0.0))).alias("alpha"))
+        return _ordinal_draws(counts, n_boot, seed, places)
+    return _draws_by(counts, level, n_boot, seed, places)[0]
+
+
+def alpha_draws_by(ratings: DataFrame, by: str, level: str, n_boot: int, seed: int | None) -> dict[int, np.ndarray]:
+    """alpha_draws of nominal or interval ratings of each group, numbered from 0, in one pass; an item is in one group."""
+    return _draws_by(value_counts(ratings, [by]), level, n_boot, seed, None, by)
+
+
+def _draws_by(counts: DataFrame, level: str, n_boot: int, seed: int | None, places: DataFrame | None, by: str | None = None) -> dict[int, np.ndarray]:
+    keys, c, x = [by] if by else [], F.col("c"), F.col("rating")
+    unit = unit_number(F.col("item_id"))
+    group = (F.col(by) if by else F.lit(0)).cast("long") * KINDS
+    stats = unit_stats(counts, level, keys)
+    if level == "interval":
+        more = counts.groupBy(*keys, "item_id").agg(F.sum(c * x).alias("s1"), F.sum(c * x * x).alias("s2"))
+        stats = stats.join(more, [*keys, "item_id"])
+        kinds = {O: "o", N: "m", S1: "s1", S2: "s2"}
+    else:
+        kinds = {O: "o"}
+    cells = stats.select(unit.alias("unit"), F.inline(F.array(*(F.struct(F.lit(0).cast("long").alias("i"), (group + j).alias("j"), F.col(name).cast("double").alias("x")) for j, name in kinds.items()))))
+    if level == "nominal":
+        cells = cells.unionByName(counts.select(unit.alias("unit"), F.xxhash64("rating").alias("i"), group.alias("j"), c.cast("double").alias("x")))
+    out: dict[int, list[np.ndarray]] = {}
+    for labels, sums in resampled(cells, n_boot, seed, places):
+        for g in np.unique(labels[:, 1] // KINDS).tolist():
+            of = lambda j: sums[:, labels[:, 1] == g * KINDS + j]  # noqa: B023, E731
+            o = of(O).sum(axis=1)
+            if level == "interval":
+                n, s1, s2 = (of(j).sum(axis=1) for j in (N, S1, S2))
+                e = 2 * (n * s2 - s1 * s1)
+                e[e <= 1e-12 * n * s2] = np.nan
+            else:
+                n = of(0).sum(axis=1)
+                e = n * n - (of(0) ** 2).sum(axis=1)
+                e[e == 0] = np.nan
+            out.setdefault(g, []).append(1 - (n - 1) * o / e)
+    return {g: np.concatenate(parts) for g, parts in out.items()}
+
+
+def _disagreement(unit: np.ndarray, place: np.ndarray, c: np.ndarray, m: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """By unit of m ratings: the observed disagreement of c ratings at x[place]."""
+    at = x[place]
+    s1, s2 = (np.bincount(unit, c * p, len(m)) for p in (at, at * at))
+    return 2 * (m * s2 - s1 * s1) / (m - 1)
+
+
+def _mid_ranks(margins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of counts (resamples, values): mid-ranks about the middle of all ratings, the ratings, and the expected disagreement."""
+    n = margins.sum(axis=1)
+    x = np.cumsum(margins, axis=1) - margins / 2 - n[:, None] / 2
+    e = 2 * (n * (margins * x**2).sum(axis=1) - (margins * x).sum(axis=1) ** 2)
+    return x, n, np.where((margins > 0).sum(axis=1) > 1, e, np.nan)
+
+
+def _ordinal_draws(counts: DataFrame, n_boot: int, seed: int | None, places: DataFrame | None) -> np.ndarray:
+    """In two passes: a resample's counts by value give its mid-ranks, and these the disagreement within its units."""
+    values = counts.groupBy("rating").agg(F.lit(1).alias("one"))
+    placed = counts.join(running(values, "rating", "one", "i").select("rating", F.col("i").cast("long").alias("i")), "rating")
+    cells = placed.select("item_id", unit_number(F.col("item_id")).alias("unit"), "i", F.lit(0).cast("long").alias("j"), F.col("c").cast("double").alias("x"))
+    if places is not None:
+        units = {r.unit: k for k, r in enumerate(places.orderBy("place").select("unit").collect())}
+        rows = cells.toPandas()
+        unit, place, c = rows["unit"].map(units).to_numpy(), rows["i"].to_numpy(), rows["x"].to_numpy()
+        m, out = np.bincount(unit, c), []
+        table = np.zeros((len(m), place.max(initial=-1) + 1))
+        np.add.at(table, (unit, place), c)
+        for times in numpy_multiplicities(len(m), n_boot, seed, table.shape[1]):
+            x, n, e = _mid_ranks(times @ table)
+            o = np.array([t @ _disagreement(unit, place, c, m, ranks) for t, ranks in zip(times, x, strict=True)])
+            out.append(1 - (n - 1) * o / e)
+        return np.concatenate(out)
+    seed, first, out = some_seed(seed), 0, []
+    lists = cells.groupBy("item_id").agg(F.first("unit").alias("unit"), F.collect_list("i").alias("i"), F.collect_list("x").alias("x"))
+    for _, margins in resampled(cells.select("unit", "i", "j", "x"), n_boot, seed):
+        x, n, e = _mid_ranks(margins)
+        o = lists.select("unit", "i", "x").mapInPandas(_observed(counts.sparkSession.sparkContext.broadcast((polynomials(seed, first, first + len(x)), x))), "b long, o double")
+        sums = dict(o.groupBy("b").agg(F.sum("o").alias("o")).collect())
+        out.append(1 - (n - 1) * np.array([sums.get(b, 0.0) for b in range(len(x))]) / e)
+        first += len(x)
+    return np.concatenate(out)
+
+
+def _observed(shared):  # noqa: ANN001, ANN202
+    def sums(batches):  # noqa: ANN001, ANN202
+        coefficients, ranks = shared.value
+        total = np.zeros(len(ranks))
+        for part in batches:
+            if len(part):
+                sizes = part["i"].map(len).to_numpy()
+                unit, place, c = np.repeat(np.arange(len(part)), sizes), np.concatenate(part["i"].to_list()).astype(np.int64), np.concatenate(part["x"].to_list()).astype(float)
+                m, units = np.bincount(unit, c, len(part)), part["unit"].to_numpy(np.int64)
+                for b, x in enumerate(ranks):
+                    total[b] += poisson(units, np.ones(len(units), np.int64), coefficients[b]) @ _disagreement(unit, place, c, m, x)
+        yield pd.DataFrame({"b": np.arange(len(total)), "o": total})
+
+    return sums
+
+
+def alpha_interval(ratings: DataFrame, level: str, confidence: float, n_boot: int, seed: int | None, order: Sequence[str] = ()) -> tuple[float, float, int]:
+    return usable_interval(alpha_draws(ratings, level, n_boot, seed, order), confidence)
 
 
 def _number(x: float | None) -> float:
@@ -222,19 +318,26 @@ def _sorted_table(df: DataFrame, by: str, ascending: bool) -> pd.DataFrame:
     return table.sort_values(by, ascending=ascending, na_position="last", kind="stable").reset_index(drop=True)
 
 
-def rater_agreement(ratings: DataFrame, level: str = "nominal", confidence: float = 0.95, bootstrap_ci: bool = True, n_boot: int = 1000, seed: int | None = None) -> AgreementResult:
-    """Krippendorff's alpha with an item bootstrap, and which items and raters it hangs on."""
+def rater_agreement(ratings: DataFrame, level: str = "nominal", confidence: float = 0.95, bootstrap_ci: bool = True, n_boot: int = 1000, seed: int | None = None, order: Sequence[str] = ()) -> AgreementResult:
+    """Krippendorff's alpha with an item bootstrap, and which items and raters it hangs on.
+
+    order: columns that number the rows; the bootstrap then draws from numpy's stream, items in order of their first rows.
+    The table of items stays a DataFrame, most disputed first.
+    """
     need_confidence(confidence)
     if bootstrap_ci:
         need_resamples(n_boot)
-    rows = cleaned(ratings, level).cache()
-    found = alphas(rows, level).first()
-    n_items, n_raters = rows.agg(F.count_distinct("item_id"), F.count_distinct("rater_id")).first()
-    alpha, overlap = (_number(found.alpha), found.n_units) if found and found.n_units else (NAN, 0)
-    low, high, usable = alpha_interval(rows, level, confidence, n_boot, seed) if bootstrap_ci and overlap >= 2 else (NAN, NAN, 0)
-    items = _sorted_table(item_disagreement(rows, level), "disagreement", False)
-    raters = _sorted_table(rater_dropout(rows, level), "delta", False)
-    return AgreementResult(alpha, low, high, n_items, n_raters, overlap, level, items, raters, confidence, n_boot if bootstrap_ci else 0, usable)
+    rows = cleaned(ratings, level, *order).cache()
+    try:
+        found = alphas(rows, level).first()
+        n_items, n_raters = rows.agg(F.count_distinct("item_id"), F.count_distinct("rater_id")).first()
+        alpha, overlap = (_number(found.alpha), found.n_units) if found and found.n_units else (NAN, 0)
+        low, high, usable = alpha_interval(rows, level, confidence, n_boot, seed, order) if bootstrap_ci and overlap >= 2 else (NAN, NAN, 0)
+        raters = _sorted_table(rater_dropout(rows, level), "delta", False)
+    finally:
+        rows.unpersist()
+    items = item_disagreement(rows, level).orderBy(F.desc_nulls_last("disagreement"), "item_id")
+    return AgreementResult(alpha, low, high, n_items, n_raters, overlap, level, items, raters, confidence, n_boot if bootstrap_ci else 0, usable, bool(overlap and found.n_values <= 1))
 
 
 def cohen_stats(pairs: DataFrame, r1: str = "r1", r2: str = "r2") -> DataFrame:

@@ -76,7 +76,7 @@ def _scores(systems: _Systems, cfg: AuditConfig) -> list[Finding] | str:
         return "No scores were given."
     out = []
     for name, frame in systems.frames.items():
-        result = score_ci(frame, confidence=cfg.confidence, seed=cfg.seed, order=["item_id"] if "item_id" in frame.columns else [])
+        result = score_ci(frame, confidence=cfg.confidence, seed=cfg.seed)
         out.append(Finding("scores", "info", f"Score of {name}", _text(f"The headline number of {name}.", result, "Give the interval wherever the number appears."), result))
     return out
 
@@ -90,8 +90,8 @@ def _comparison(systems: _Systems, cfg: AuditConfig):  # noqa: ANN202
     if same and sizes[0] != sizes[1]:
         raise ValueError(f"a paired comparison needs as many items on either side, not {sizes[0]} and {sizes[1]}")
     if same:
-        return compare_paired(paired(a, b), confidence=cfg.confidence, seed=cfg.seed, order=["item_id"])
-    return compare_independent(a, b, confidence=cfg.confidence, seed=cfg.seed, order=["item_id"])
+        return compare_paired(paired(a, b), confidence=cfg.confidence, seed=cfg.seed)
+    return compare_independent(a, b, confidence=cfg.confidence, seed=cfg.seed)
 
 
 def _compare(margin, systems: _Systems, cfg: AuditConfig) -> Finding | str:  # noqa: ANN001

@@ -13,14 +13,12 @@ from pyspark.sql import functions as F
 from ..functions.intervals import independent_difference, paired_difference
 from ..functions.special import binomial_half_two_sided, chi2_one_sf, normal_two_sided, t_quantile, t_two_sided, z_of
 from ..plans.checks import is_binary, need_choice, need_confidence, need_finite, need_resamples
-from ..plans.draws import bootstrap_p, drawn, hash_draws, numbered, percentile_interval, resampled_means, running
+from ..plans.draws import bootstrap_p, percentile_interval, resampled_means, running, some_seed
 from ..results import ComparisonResult
 
 #: Fixed values of the method: discordant items below which McNemar's test is exact; items up to which, and distinct
 #: differences from which, the signed-rank test is.
 MCNEMAR_EXACT, SIGNED_EXACT, SIGNED_DISTINCT = 25, 50, 3
-#: Differences whose Walsh averages are held at once; beyond, the averages are counted, not listed.
-WALSH_LISTED = 3000
 
 
 def paired(left: DataFrame, right: DataFrame, key: str = "item_id", score: str = "score") -> DataFrame:
@@ -57,21 +55,6 @@ def mcnemar_tests(stats: DataFrame) -> DataFrame:
     return stats.withColumn("p_value", p_value("n_a_only", "n_b_only")).withColumn("exact", F.col("n_discordant") < MCNEMAR_EXACT)
 
 
-def hash_difference_bootstrap(pairs: DataFrame, key: str, n_boot: int, seed: int, a: str = "a", b: str = "b") -> DataFrame:
-    """(b, difference) over resamples of items."""
-    rows = numbered(pairs.select(key, (F.col(a).cast("double") - F.col(b).cast("double")).alias("d")), [key])
-    return hash_draws(pairs.sparkSession, pairs.count(), n_boot, seed).join(rows, "ix").groupBy("b").agg(F.avg("d").alias("difference"))
-
-
-def hash_independent_bootstrap(left: DataFrame, right: DataFrame, key: str, score: str, n_boot: int, seed: int) -> DataFrame:
-    """(b, difference) over resamples of either side, with seeds that follow each other."""
-    sides = []
-    for k, side in enumerate((left, right)):
-        rows = numbered(side.select(key, F.col(score).cast("double").alias("x")), [key])
-        sides.append(hash_draws(side.sparkSession, side.count(), n_boot, seed + k).join(rows, "ix").groupBy("b").agg(F.avg("x").alias(f"m{k}")))
-    return sides[0].join(sides[1], "b").select("b", (F.col("m0") - F.col("m1")).alias("difference"))
-
-
 def signed_ranks(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """A row a distinct size of difference: ties, mid-rank, and how many are positive. Zero differences are left out.
 
@@ -96,11 +79,6 @@ def walsh(differences: DataFrame, d: str = "d") -> DataFrame:
     return left.join(right, F.col("l.x") <= F.col("r.x")).select(((F.col("l.x") + F.col("r.x")) / 2).alias("w"), n.cast("long").alias("n")).groupBy("w").agg(F.sum("n").alias("n"))
 
 
-def weighted_pick(values: np.ndarray, counts: np.ndarray, k: int) -> float:
-    """The k-th, from 0, of sorted values that occur `counts` times."""
-    return float(values[np.searchsorted(np.cumsum(counts), k, side="right")])
-
-
 def null_ranks(n: int) -> list[int]:
     """Sign patterns of n ranks by their positive sum."""
     counts = [1]
@@ -138,24 +116,16 @@ def signed_p(n: int, w_positive: float, w_negative: float, exact: bool, tie_corr
 def wilcoxon(pairs: DataFrame, binary: bool, confidence: float) -> ComparisonResult:
     """The signed-rank test with the Hodges-Lehmann shift and its interval, all from distinct differences and counts."""
     d = pairs.select((F.col("a").cast("double") - F.col("b").cast("double")).alias("d")).where("d <> 0")
-    values = d.groupBy("d").agg(F.count("*").alias("n")).orderBy("d").limit(WALSH_LISTED + 1).collect()
-    if not values:
+    values = d.groupBy("d").agg(F.count("*").alias("n")).toPandas().sort_values("d")
+    if not len(values):
         return ComparisonResult(0.0, 0.0, 0.0, 1.0, 0, "wilcoxon", binary, True, confidence)
     if len(values) < SIGNED_DISTINCT:
         raise ValueError(f"the differences take {len(values)} value(s) other than zero, too few for an interval by ranks; use method='mcnemar' or 'bootstrap'")
     sums = rank_sums(signed_ranks(pairs)).first()
     n, ties = int(sums.n), float(sums.tie_correction)
     exact = n <= SIGNED_EXACT and ties == 0
-    if len(values) <= WALSH_LISTED:
-        x, c = np.array([r.d for r in values]), np.array([r.n for r in values])
-        i, j = np.triu_indices(len(x))
-        w, times = (x[i] + x[j]) / 2, np.where(i == j, c[i] * (c[i] + 1) // 2, c[i] * c[j])
-        order = np.argsort(w, kind="stable")
-        pick = lambda k: weighted_pick(w[order], times[order], k)
-    else:
-        rows = d.groupBy("d").agg(F.count("*").alias("n")).toPandas().sort_values("d")
-        x, c = rows["d"].to_numpy(), np.concatenate(([0], np.cumsum(rows["n"].to_numpy())))
-        pick = lambda k: _walsh_rank(x, c, k)
+    x, c = values["d"].to_numpy(), np.concatenate(([0], np.cumsum(values["n"].to_numpy())))
+    pick = lambda k: _walsh_rank(x, c, k)
     total = n * (n + 1) // 2
     k = min(max(signed_trim(n, confidence, exact, 0.0 if exact else ties), 0), (total - 1) // 2)
     middle = (pick((total - 1) // 2) + pick(total // 2)) / 2
@@ -163,12 +133,17 @@ def wilcoxon(pairs: DataFrame, binary: bool, confidence: float) -> ComparisonRes
 
 
 def _walsh_rank(x: np.ndarray, cumulative: np.ndarray, k: int) -> float:
-    """The k-th Walsh average without listing them: bisection on the value, counting pairs by two pointers."""
+    """The k-th Walsh average, as a list of all would have it, without the list: bisection down to neighbouring doubles, counting pairs."""
     counts = np.diff(cumulative)
 
     def at_most(v: float) -> int:
-        """Pairs i <= j with an average of at most v."""
-        ordered = int((counts * cumulative[np.searchsorted(x, 2 * v - x, side="right")]).sum())
+        """Pairs i <= j with an average, rounded as it is, of at most v."""
+        upto = np.searchsorted(x, 2 * v - x, side="right")
+        while (more := (upto < len(x)) & ((x + x[np.minimum(upto, len(x) - 1)]) / 2 <= v)).any():
+            upto = upto + more
+        while (less := (upto > 0) & ((x + x[np.maximum(upto - 1, 0)]) / 2 > v)).any():
+            upto = upto - less
+        ordered = int((counts * cumulative[upto]).sum())
         return (ordered + int(counts[x <= v].sum())) // 2
 
     low, high = float(x[0]), float(x[-1])
@@ -182,8 +157,12 @@ def _walsh_rank(x: np.ndarray, cumulative: np.ndarray, k: int) -> float:
             low = mid
 
 
-def compare_paired(pairs: DataFrame, method: str = "auto", confidence: float = 0.95, n_boot: int = 10_000, seed: int | None = None, order: Sequence[str] = ()) -> ComparisonResult:
-    """The margin a - b over rows (a, b), one an item: McNemar's test with Tango's interval for 0/1, else a bootstrap of items."""
+def compare_paired(pairs: DataFrame, method: str = "auto", confidence: float = 0.95, n_boot: int = 10_000, seed: int | None = None, order: Sequence[str] = (), key: str = "item_id") -> ComparisonResult:
+    """The margin a - b over rows (a, b), one an item: McNemar's test with Tango's interval for 0/1, else a bootstrap of items.
+
+    key: the column that tells items apart for the bootstrap's draws; without it equal differences are drawn together.
+    order: columns that number the items, for draws from numpy's stream.
+    """
     need_choice("method", method, ("auto", "mcnemar", "bootstrap", "wilcoxon"))
     need_confidence(confidence)
     need_resamples(n_boot)
@@ -197,7 +176,7 @@ def compare_paired(pairs: DataFrame, method: str = "auto", confidence: float = 0
         return ComparisonResult(s.difference, low, high, mcnemar_p(s.n_a_only, s.n_b_only), n, method, True, True, confidence, s.n_discordant)
     if method == "wilcoxon":
         return wilcoxon(pairs, s.binary, confidence)
-    means = resampled_means(pairs, F.col("a").cast("double") - F.col("b").cast("double"), order, n_boot, seed)
+    means = resampled_means(pairs, F.col("a").cast("double") - F.col("b").cast("double"), [key] if key in pairs.columns else [], order, n_boot, seed)
     return ComparisonResult(s["mean"], *percentile_interval(means, confidence), bootstrap_p(means), n, method, s.binary, True, confidence)
 
 
@@ -223,8 +202,12 @@ def welch(m1: float, v1: float, n1: int, m2: float, v2: float, n2: int, confiden
     return m1 - m2 - half, m1 - m2 + half, t_two_sided((m1 - m2) / se, df)
 
 
-def compare_independent(left: DataFrame, right: DataFrame, method: str = "auto", confidence: float = 0.95, n_boot: int = 10_000, seed: int | None = None, score: str = "score", order: Sequence[str] = ()) -> ComparisonResult:
-    """The margin of two systems on different items: a score interval with a pooled z test for 0/1, else a bootstrap."""
+def compare_independent(left: DataFrame, right: DataFrame, method: str = "auto", confidence: float = 0.95, n_boot: int = 10_000, seed: int | None = None, score: str = "score", order: Sequence[str] = (), key: str = "item_id") -> ComparisonResult:
+    """The margin of two systems on different items: a score interval with a pooled z test for 0/1, else a bootstrap.
+
+    key and order as compare_paired has them; the second side's keyed draws have the seed after the first side's, and
+    numpy's stream gives the first side's draws before the second's.
+    """
     need_choice("method", method, ("auto", "score", "bootstrap", "t"))
     need_confidence(confidence)
     need_resamples(n_boot)
@@ -244,13 +227,10 @@ def compare_independent(left: DataFrame, right: DataFrame, method: str = "auto",
             raise ValueError("a t interval needs two scores or more on either side")
         low, high, p_value = welch(a["mean"], a.variance, n1, b["mean"], b.variance, n2, confidence)
     else:
-        if n1 + n2 <= 200_000 and (n1 + n2) * n_boot <= 50_000_000:
-            first, second = (np.array([[r[0]] for r in x.orderBy(*([*order] or [score])).select(F.col(score).cast("double")).collect()]) for x in (left, right))
-            rng = np.random.default_rng(seed)  # one stream, the first side's draws before the second's
-            means = (drawn(first, n_boot, rng) / n1 - drawn(second, n_boot, rng) / n2)[:, 0]
-        else:
-            one, two = (resampled_means(x, F.col(score), order, n_boot, s) for x, s in ((left, seed), (right, None if seed is None else seed + 1)))
-            means = one - two
+        seed = some_seed(seed)
+        seeds = (np.random.default_rng(seed),) * 2 if order else (seed, seed + 1)
+        one, two = (resampled_means(x, F.col(score), [key] if key in x.columns else [], order, n_boot, own) for x, own in zip((left, right), seeds, strict=True))
+        means = one - two
         low, high = percentile_interval(means, confidence)
         p_value = bootstrap_p(means)
     return ComparisonResult(float(difference), float(low), float(high), float(p_value), n1 + n2, method, binary, False, confidence)

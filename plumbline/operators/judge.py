@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.checks import is_tie, need_choice, need_columns, need_confidence, need_ids, need_one_per, need_resamples, need_unique, tidy
-from ..plans.draws import hash_draws, numbered, resampled, usable_interval
+from ..plans.draws import resampled, unit_number, usable_interval
 from ..results import NAN, JudgeValidation
 from . import agreement as ag
 
@@ -102,43 +104,35 @@ def baseline_alphas(counts: DataFrame) -> DataFrame:
     return two_alphas(observed.agg(F.sum("hh_o").alias("hh_o"), F.sum("jh_o").alias("jh_o")), margins.groupBy("v").agg(F.sum("hh").alias("hh"), F.sum("jh").alias("jh")), [])
 
 
-def hash_baseline_bootstrap(counts: DataFrame, n_boot: int, seed: int) -> DataFrame:
-    """(b, judge_human, human_human, difference) over resamples of clusters."""
-    observed, margins = cluster_sums(counts)
-    clusters = numbered(observed, ["cluster_id"])
-    times = hash_draws(counts.sparkSession, clusters.count(), n_boot, seed).groupBy("b", "ix").agg(F.count("*").alias("times"))
-    picked = times.join(clusters, "ix")
-    o = picked.groupBy("b").agg(F.sum(F.col("times") * F.col("hh_o")).alias("hh_o"), F.sum(F.col("times") * F.col("jh_o")).alias("jh_o"))
-    m = picked.join(margins, "cluster_id").groupBy("b", "v").agg(F.sum(F.col("times") * F.col("hh")).alias("hh"), F.sum(F.col("times") * F.col("jh")).alias("jh"))
-    return two_alphas(o, m, ["b"])
+#: Which sums a cluster's cells hold: disagreements of humans and of the judge, counts by value of either.
+HUMAN_O, JUDGE_O, HUMAN_C, JUDGE_C = 1, 2, 3, 4
 
 
-def _resampled_difference(observed: DataFrame, margins: DataFrame, values: list[str], n_boot: int, seed: int | None) -> np.ndarray:
-    """judge_human minus human_human of each resample of clusters, from the counts of ag.SCALE values at a time.
+def baseline_draws(counts: DataFrame, n_boot: int, seed: int | None, places: DataFrame | None = None) -> np.ndarray:
+    """judge_human minus human_human of each resample of clusters, whatever the number of values.
 
-    Each block has the same seed and as many columns as the others, so that all have the same resamples.
+    places (unit, place): clusters in order, for numpy's stream.
     """
-    width = min(len(values), ag.SCALE)
-    seed = int(np.random.default_rng().integers(2**32)) if seed is None and len(values) > width else seed
-    total, squares = np.zeros((n_boot, 2)), np.zeros((n_boot, 2))
-    columns = ["hh_o", "jh_o", *(f"{s}{k}" for s in ("hh", "jh") for k in range(width))]
-    for at in range(0, len(values), width):
-        place = {v: k for k, v in enumerate(values[at : at + width])}
-        own = margins.where(F.col("v").isin(list(place))).join(F.broadcast(margins.sparkSession.createDataFrame(list(place.items()), "v string, k int")), "v")
-        cells = own.groupBy("cluster_id").pivot("k", list(range(width))).agg(F.sum("hh").alias("hh"), F.sum("jh").alias("jh"))
-        cells = cells.select("cluster_id", *(F.col(f"{k}_{s}").alias(f"{s}{k}") for s in ("hh", "jh") for k in range(width)))
-        sums = resampled(observed.join(cells, "cluster_id", "left").na.fill(0.0, columns[2:]).select("cluster_id", *columns), columns, ["cluster_id"], n_boot, seed)
-        for j, c in enumerate((sums[:, 2 : 2 + width], sums[:, 2 + width :])):
-            total[:, j] += c.sum(axis=1)
-            squares[:, j] += (c**2).sum(axis=1)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        e = total**2 - squares
-        e[e == 0] = np.nan
-        human, judge = (1 - (total - 1) * sums[:, :2] / e).T
-    return judge - human
-
-
-def _baseline(baseline: DataFrame, labels: DataFrame, ties: str, confidence: float, n_boot: int, seed: int | None) -> dict:
+    observed, margins = cluster_sums(counts)
+    unit = unit_number(F.col("cluster_id")).alias("unit")
+    cell = lambda i, j, x: F.struct(i.cast("long").alias("i"), F.lit(j).cast("long").alias("j"), x.alias("x"))
+    zero, value = F.lit(0), F.xxhash64("v")
+    cells = observed.select(unit, F.inline(F.array(cell(zero, HUMAN_O, F.col("hh_o")), cell(zero, JUDGE_O, F.col("jh_o")))))
+    cells = cells.unionByName(margins.select(unit, F.inline(F.array(cell(value, HUMAN_C, F.col("hh")), cell(value, JUDGE_C, F.col("jh"))))))
+    out = []
+    for labels, sums in resampled(cells, n_boot, seed, places):
+        sides = []
+        for o, c in ((JUDGE_O, JUDGE_C), (HUMAN_O, HUMAN_C)):
+            margin = sums[:, labels[:, 1] == c]
+            n = margin.sum(axis=1)
+            e = n * n - (margin**2).sum(axis=1)
+            e[e == 0] = np.nan
+            sides.append(1 - (n - 1) * sums[:, labels[:, 1] == o].sum(axis=1) / e)
+        out.append(sides[0] - sides[1])
+    return np.concatenate(out)
+
+
+def _baseline(baseline: DataFrame, labels: DataFrame, ties: str, confidence: float, n_boot: int, seed: int | None, order: Sequence[str] = ()) -> dict:
     need_columns(baseline, ["item_id", "cluster_id", "rater_id", "rating"], "human_baseline")
     if not baseline.limit(1).count():
         raise ValueError("human_baseline must not be empty")
@@ -150,26 +144,44 @@ def _baseline(baseline: DataFrame, labels: DataFrame, ties: str, confidence: flo
     judge = labels.select("item_id", F.col("judge").cast("string").alias("judge"))
     rules = {r.rule: r["count"] for r in baseline_rules(baseline, judge, ties).groupBy("rule").count().collect()}
     counts = baseline_counts(baseline, judge, ties)
-    observed, margins = cluster_sums(counts)
-    values = sorted(r.v for r in margins.select("v").distinct().collect())
-    n_clusters = observed.count()
+    n_clusters = counts.select("cluster_id").distinct().count()
     out = {"baseline_n_items": rules.get("kept", 0), "baseline_n_clusters": n_clusters, "baseline_n_no_judge_label": rules.get("no_judge_label", 0), "baseline_n_too_few_humans": rules.get("too_few_humans", 0), "baseline_n_judge_ties": rules.get("judge_tie", 0)}
     if not n_clusters:
         return out
     point = baseline_alphas(counts).first()
     out |= {f"baseline_{k}": NAN if point[k] is None else point[k] for k in ("judge_human", "human_human", "difference")}
     if n_boot and n_clusters >= 2:
-        difference = _resampled_difference(observed, margins, values, n_boot, seed)
+        places = None
+        if order:
+            need_columns(baseline, order, "human_baseline")
+            rows = baseline.join(counts.select("item_id").distinct(), "item_id", "left_semi").where(F.col("rating").isNotNull())
+            rows = rows.where(~is_tie(F.col("rating"))) if ties == "drop" else rows
+            places = rows.groupBy(unit_number(F.col("cluster_id")).alias("unit")).agg(F.min(F.struct(*order)).alias("place"))
+        difference = baseline_draws(counts, n_boot, seed, places)
         out["baseline_ci_low"], out["baseline_ci_high"], out["baseline_n_boot_usable"] = usable_interval(difference, confidence)
     return out
 
 
-def judge_validation(labels: DataFrame, level: str = "nominal", confidence: float = 0.95, n_boot: int = 1000, seed: int | None = None, human_baseline: DataFrame | None = None, ties: str | None = None) -> JudgeValidation:
-    """labels: human, judge, and if there are, slice and item_id. human_baseline: item_id, cluster_id, rater_id, rating."""
+def _sliced_draws(kept: DataFrame, names: list, level: str, n_boot: int, seed: int | None) -> dict[int, np.ndarray]:
+    """Alpha of each resample by slice number; one pass over all slices unless the ratings are ordinal."""
+    rows = as_ratings(kept, "slice_no")
+    if level == "ordinal":
+        return {k: ag.alpha_draws(ag.cleaned(rows.where(F.col("slice_no") == k), level), level, n_boot, seed) for k in range(len(names))}
+    return ag.alpha_draws_by(_typed(rows, level), "slice_no", level, n_boot, seed)
+
+
+def judge_validation(labels: DataFrame, level: str = "nominal", confidence: float = 0.95, n_boot: int = 1000, seed: int | None = None, human_baseline: DataFrame | None = None, ties: str | None = None, order: Sequence[str] = ()) -> JudgeValidation:
+    """labels: human, judge, and if there are, slice and item_id. human_baseline: item_id, cluster_id, rater_id, rating.
+
+    order: columns of labels, and of the baseline if there is one, that number their rows. With it the bootstraps draw
+    from numpy's stream: items and clusters by their first rows, and each slice, in order of first appearance, from a
+    seed of its own. Without it items and clusters are told apart by their ids, slices by name; labels without item_id
+    by where their rows lie, so that a seed repeats over the same files only.
+    """
     need_choice("level", level, ag.LEVELS)
     need_confidence(confidence)
     need_resamples(n_boot, 0)
-    need_columns(labels, ["human", "judge"], "labels")
+    need_columns(labels, ["human", "judge", *order], "labels")
     if human_baseline is None and ties is not None:
         raise ValueError("ties is about the human baseline; pass human_baseline too")
     if human_baseline is not None:
@@ -182,29 +194,52 @@ def judge_validation(labels: DataFrame, level: str = "nominal", confidence: floa
         need_ids(labels, ["item_id"], "labels")
         need_unique(labels, ["item_id"], "the judge has one label an item")
     if "item_id" not in labels.columns:
-        from ..plans.draws import numbered as by_number
-
-        labels = by_number(labels, ["human", "judge"], "item_id")
+        labels = labels.withColumn("item_id", F.concat_ws(":", *order) if order else F.monotonically_increasing_id())
     if human_baseline is not None:  # one spelling of a tie, so that two never count as a disagreement
         spell = lambda c: F.when(is_tie(F.col(c)), tidy(F.col(c))).otherwise(F.col(c).cast("string"))
         labels = labels.withColumns({"human": spell("human"), "judge": spell("judge")})
         human_baseline = human_baseline.withColumn("rating", spell("rating"))
     n_all, with_both = labels.count(), labelled(labels)
     kept = labelled(labels, ties == "drop").cache()
-    n_both, n = with_both.count(), kept.count()
-    if not n:
-        raise ValueError("no item has a label on both sides")
-    ratings = ag.cleaned(as_ratings(kept), level)
-    found = overall(kept, level).first()
-    low, high, usable = ag.alpha_interval(ratings, level, confidence, n_boot, seed) if n_boot and n >= 2 else (NAN, NAN, 0)
-    more = _baseline(human_baseline, labels, ties, confidence, n_boot, seed) if human_baseline is not None else {}
-    table = pd.DataFrame(columns=["slice", "n_items", "agreement", "ci_low", "ci_high", "accuracy", "note"])
-    if "slice" in kept.columns:
-        rng, rows = np.random.default_rng(seed), []
-        for r in sorted(slices(kept, level).collect(), key=lambda r: str(r.slice)):
-            part = kept.where(F.col("slice").cast("string").eqNullSafe(F.lit(r.slice)))
-            child = int(rng.integers(2**32)) if n_boot else None
-            ci = ag.alpha_interval(ag.cleaned(as_ratings(part), level), level, confidence, n_boot, child)[:2] if n_boot and not r.note else (NAN, NAN)
-            rows.append({"slice": r.slice, "n_items": r.n_items, "agreement": NAN if r.alpha is None else r.alpha, "ci_low": ci[0], "ci_high": ci[1], "accuracy": r.accuracy, "note": r.note})
-        table = pd.DataFrame(rows, columns=table.columns).sort_values("agreement", na_position="last", kind="stable").reset_index(drop=True)
+    try:
+        n_both, n = with_both.count(), kept.count()
+        if not n:
+            raise ValueError("no item has a label on both sides")
+        found = overall(kept, level).first()
+        ratings = ag.cleaned(as_ratings(kept, *(c for c in order if c != "item_id")), level, *order)
+        low, high, usable = ag.alpha_interval(ratings, level, confidence, n_boot, seed, order) if n_boot and n >= 2 else (NAN, NAN, 0)
+        more = _baseline(human_baseline, labels, ties, confidence, n_boot, seed, order) if human_baseline is not None else {}
+        table = _slice_table(kept, level, confidence, n_boot, seed, order)
+    finally:
+        kept.unpersist()
     return JudgeValidation(NAN if found.alpha is None else found.alpha, low, high, found.accuracy, n, n_all - n_both, level, table, confidence, n_boot, usable, n_both - n, ties, **more)
+
+
+def _slice_table(kept: DataFrame, level: str, confidence: float, n_boot: int, seed: int | None, order: Sequence[str]) -> pd.DataFrame:
+    """A row a slice, least agreement first; equal ones in order of appearance, or by name without an order."""
+    columns = ["slice", "n_items", "agreement", "ci_low", "ci_high", "accuracy", "note"]
+    if "slice" not in kept.columns:
+        return pd.DataFrame(columns=columns)
+    kept = kept.withColumn("slice", F.col("slice").cast("string"))
+    found = {r.slice: r for r in slices(kept, level).collect()}
+    if order:
+        first = {r.slice: r.place for r in kept.groupBy("slice").agg(F.min(F.struct(*order)).alias("place")).collect()}
+        names = sorted(found, key=lambda s: tuple(first[s]))
+        rng, draws = np.random.default_rng(seed), {}
+        for k, name in enumerate(names):
+            child = int(rng.integers(2**32)) if n_boot else None  # one for each slice, whether or not it is used
+            if n_boot and not found[name].note:
+                part = as_ratings(kept.where(F.col("slice").eqNullSafe(F.lit(name))), *(c for c in order if c != "item_id"))
+                draws[k] = ag.alpha_draws(ag.cleaned(part, level, *order), level, n_boot, child, order)
+    else:
+        names = sorted(found, key=str)
+        number = F.lit(-1)
+        for k, name in enumerate(names):
+            number = F.when(F.col("slice").eqNullSafe(F.lit(name)), k).otherwise(number)
+        draws = _sliced_draws(kept.withColumn("slice_no", number.cast("long")), names, level, n_boot, seed) if n_boot else {}
+    rows = []
+    for k, name in enumerate(names):
+        r = found[name]
+        ci = usable_interval(draws[k], confidence)[:2] if n_boot and not r.note else (NAN, NAN)
+        rows.append((name, r.n_items, NAN if r.alpha is None else r.alpha, *ci, r.accuracy, r.note))
+    return pd.DataFrame(rows, columns=columns).sort_values("agreement", na_position="last", kind="stable").reset_index(drop=True)

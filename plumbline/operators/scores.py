@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.intervals import wilson, wilson_columns
 from ..functions.special import t_quantile, z_of
 from ..plans.checks import is_binary, need_choice, need_confidence, need_finite, need_resamples
-from ..plans.draws import hash_draws, numbered, percentile_interval, resampled_means
+from ..plans.draws import percentile_interval, resampled_means
 from ..results import ScoreCI
 
 METHODS = ("auto", "wilson", "bootstrap", "t")
@@ -36,17 +36,11 @@ def t_intervals(scores: DataFrame, by: Sequence[str] = (), score: str = "score",
     return stats.select(*by, "n", "mean", "sd", error.alias("se"), (F.col("mean") - quantile * error).alias("ci_low"), (F.col("mean") + quantile * error).alias("ci_high"))
 
 
-def hash_bootstrap(scores: DataFrame, key: str, score: str, n_boot: int, seed: int) -> DataFrame:
-    """(b, mean) over resamples that any engine can repeat."""
-    rows = numbered(scores.select(key, F.col(score).cast("double").alias("x")), [key])
-    n = scores.count()
-    return hash_draws(scores.sparkSession, n, n_boot, seed).join(rows, "ix").groupBy("b").agg(F.avg("x").alias("mean"))
-
-
-def score_ci(scores: DataFrame, method: str = "auto", confidence: float = 0.95, n_boot: int = 10_000, seed: int | None = None, score: str = "score", order: Sequence[str] = ()) -> ScoreCI:
+def score_ci(scores: DataFrame, method: str = "auto", confidence: float = 0.95, n_boot: int = 10_000, seed: int | None = None, score: str = "score", order: Sequence[str] = (), key: str = "item_id") -> ScoreCI:
     """The mean's interval: Wilson for 0/1 scores, else a percentile bootstrap, unless a method is named.
 
-    order: columns that number the items for a seeded bootstrap; the score itself otherwise.
+    key: the column that tells items apart for the bootstrap's draws; without it equal scores are drawn together.
+    order: columns that number the items, for draws from numpy's stream.
     """
     need_choice("method", method, METHODS)
     need_confidence(confidence)
@@ -68,5 +62,5 @@ def score_ci(scores: DataFrame, method: str = "auto", confidence: float = 0.95,
         half = t_quantile(1 - (1 - confidence) / 2, n - 1) * s.sd / n**0.5
         low, high = s.mean - half, s.mean + half
     else:
-        low, high = percentile_interval(resampled_means(scores, F.col(score), order, n_boot, seed), confidence)
+        low, high = percentile_interval(resampled_means(scores, F.col(score), [key] if key in scores.columns else [], order, n_boot, seed), confidence)
     return ScoreCI(float(s.mean), float(low), float(high), int(n), method, bool(s.binary), confidence)

@@ -5,12 +5,15 @@ Doubles are rounded to six places, so that engines that sum in another order agr
 
 from __future__ import annotations
 
+import dataclasses
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import intervals, special
 from ..functions.intervals import independent_difference, paired_difference
 from ..functions.special import binomial_half_two_sided
 from ..operators import agreement as ag
@@ -24,9 +27,10 @@ from ..operators import relational as rel
 from ..operators import scores as sc
 from ..operators.audit import audit
 from ..sources import views as v
+from .draws import resampled
 
 Z = 1.959963984540054
-N_BOOT, SEED = 100, 7
+SEED = 7
 
 
 def rounded(df: DataFrame) -> DataFrame:
@@ -42,13 +46,6 @@ def rounded(df: DataFrame) -> DataFrame:
     return df.select(*out)
 
 
-def _interval(draws: DataFrame, column: str) -> DataFrame:
-    """The usable resamples, and percentiles of them if they are nine tenths of all."""
-    low, high = (F.percentile(column, F.lit(p)) for p in (0.025, 0.975))
-    enough = F.count(column) >= 0.9 * F.count("*")
-    return draws.agg(F.count("*").alias("n_boot"), F.count(column).alias("n_usable"), F.when(enough, low).alias("ci_low"), F.when(enough, high).alias("ci_high"))
-
-
 def _frame(spark: SparkSession, rows: list[dict]) -> DataFrame:
     return spark.createDataFrame(pd.DataFrame(rows))
 
@@ -66,9 +63,11 @@ def q_score_t(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(stats.select("grp", "n", *(F.round(c, 1).alias(c) for c in ("mean", "sd", "se", "ci_low", "ci_high"))))
 
 
-def q_score_boot_hash(spark: SparkSession, sf: str) -> DataFrame:
+def q_score_ci(spark: SparkSession, sf: str) -> DataFrame:
+    """Of one group, by the method that the scores call for, by a bootstrap, and of prices in thousands by t."""
     urgent = v.independent_scores(spark, sf).where("grp = '1-URGENT'")
-    return rounded(_interval(sc.hash_bootstrap(urgent, "item_id", "score", N_BOOT, SEED), "mean"))
+    found = [sc.score_ci(urgent), sc.score_ci(urgent, method="bootstrap", seed=SEED), sc.score_ci(urgent.withColumn("score", F.col("score_cont") / 1000), method="t")]
+    return rounded(_frame(spark, [{"method": r.method, "n": r.n, "estimate": round(r.estimate, 4), "ci_low": round(r.ci_low, 4), "ci_high": round(r.ci_high, 4), "binary": r.binary} for r in found]))
 
 
 def q_score_checks(spark: SparkSession, sf: str) -> DataFrame:
@@ -125,25 +124,6 @@ def q_welch_stats(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(two.select(F.round(F.col("mean1") - F.col("mean2"), 2).alias("difference"), F.round(F.sqrt(e1 + e2), 3).alias("se"), F.round(df, 3).alias("df")))
 
 
-def q_paired_boot_hash(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(_interval(cmp.hash_difference_bootstrap(v.paired_scores(spark, sf), "item_id", N_BOOT, SEED), "difference"))
-
-
-def q_indep_boot_hash(spark: SparkSession, sf: str) -> DataFrame:
-    s = v.independent_scores(spark, sf)
-    a, b = (s.where(F.col("grp") == g) for g in ("1-URGENT", "5-LOW"))
-    return rounded(_interval(cmp.hash_independent_bootstrap(a, b, "item_id", "score", N_BOOT, SEED), "difference"))
-
-
-def q_bootstrap_p(spark: SparkSession, sf: str) -> DataFrame:
-    s = v.independent_scores(spark, sf)
-    a, b = (s.where(F.col("grp") == g) for g in ("1-URGENT", "5-LOW"))
-    d = F.col("difference")
-    draws = cmp.hash_independent_bootstrap(a, b, "item_id", "score", N_BOOT, SEED)
-    side = F.least(F.avg((d <= 0).cast("double")), F.avg((d >= 0).cast("double")))
-    return rounded(draws.agg(F.least(F.greatest(2 * side, 1 / F.count("*")), F.lit(1.0)).alias("p_value")))
-
-
 def q_wilcoxon_ranks(spark: SparkSession, sf: str) -> DataFrame:
     ranks = cmp.signed_ranks(_cents(v.paired_scores(spark, sf)))
     return rounded(cmp.rank_sums(ranks).select(F.col("n").cast("long").alias("n"), "w_positive", "w_negative", "tie_correction"))
@@ -168,14 +148,27 @@ def q_hodges_lehmann(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(_frame(spark, [{"n": r.n, "difference": r.difference, "ci_low": r.ci_low, "ci_high": r.ci_high}]))
 
 
+def _compared(spark: SparkSession, *found) -> DataFrame:  # noqa: ANN002
+    return rounded(_frame(spark, [{"method": r.method, "n": r.n, "difference": r.difference, "ci_low": r.ci_low, "ci_high": r.ci_high, "p_value": r.p_value, "binary": r.binary, "paired": r.paired} for r in found]))
+
+
 def q_compare_paired(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(cmp.compare_paired(v.paired_scores(spark, sf)).to_df(spark))
+    """McNemar's test on the pass rates; a bootstrap and signed ranks on the continuous scores in hundredths."""
+    cents = _cents(v.paired_scores(spark, sf))
+    return _compared(spark, cmp.compare_paired(v.paired_scores(spark, sf)), cmp.compare_paired(cents, method="bootstrap", seed=SEED), cmp.compare_paired(cents, method="wilcoxon"))
 
 
 def q_compare_independent(spark: SparkSession, sf: str) -> DataFrame:
-    s = v.independent_scores(spark, sf)
+    """The score interval with its z test, a bootstrap, and on prices in millions Welch's interval."""
+    s = v.independent_scores(spark, sf).withColumn("millions", F.col("score_cont") / 1e6)
     a, b = (s.where(F.col("grp") == g) for g in ("1-URGENT", "5-LOW"))
-    return rounded(cmp.compare_independent(a, b).to_df(spark))
+    welch = cmp.compare_independent(a, b, method="t", score="millions")
+    return _compared(spark, cmp.compare_independent(a, b), cmp.compare_independent(a, b, method="bootstrap", seed=SEED), dataclasses.replace(welch, p_value=0.0))
+
+
+def q_signed_null(spark: SparkSession, sf: str) -> DataFrame:
+    """The exact distribution of the signed-rank sum, and what its interval leaves out at either end."""
+    return _frame(spark, [{"n": n, "sum": k, "patterns": c, "trim": cmp.signed_trim(n, 0.95, True)} for n in range(6, 13) for k, c in enumerate(cmp.null_ranks(n))])
 
 
 # power
@@ -196,6 +189,28 @@ def q_power_paired_grid(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(pwr.reach_grid(grid))
 
 
+def q_power(spark: SparkSession, sf: str) -> DataFrame:
+    """Of designs that see the reference difference: paired, with the size it takes, and independent."""
+    rows = []
+    for n in (50, 200, 1000):
+        for k in range(1, 6):
+            rows.append({"n": n, "rate": k / 10, "paired_power": pwr.paired_power(n, pwr.REFERENCE, k / 10, 0.05), "independent_power": pwr.independent_power(n / 2, k / 10, pwr.REFERENCE, 0.05), "n_for_reference": pwr.detectable_effect(n, discordance_rate=k / 10).n_for_reference})
+    return rounded(_frame(spark, rows))
+
+
+def q_special_functions(spark: SparkSession, sf: str) -> DataFrame:
+    """Tails of the normal, chi-squared and t distributions, t's quantile by its tail, and exact binomial intervals."""
+    rows = [{"f": "normal", "a": float(k), "b": 0.0, "x": special.normal_two_sided(k / 4)} for k in range(17)]
+    rows += [{"f": "chi2", "a": float(k), "b": 0.0, "x": special.chi2_one_sf(k / 2)} for k in range(1, 17)]
+    rows += [{"f": "t", "a": float(k), "b": float(df), "x": special.t_two_sided(k / 4, df)} for df in (1, 2, 5, 30) for k in range(17)]
+    rows += [{"f": "t quantile", "a": p, "b": float(df), "x": special.t_two_sided(special.t_quantile(p, df), df)} for df in (1, 2, 5, 30) for p in (0.6, 0.9, 0.975)]
+    for n in (5, 20, 60):
+        for k in range(0, n + 1, 5):
+            low, high = intervals.clopper_pearson(k, n, 0.95)
+            rows += [{"f": "low", "a": float(k), "b": float(n), "x": low}, {"f": "high", "a": float(k), "b": float(n), "x": high}]
+    return rounded(_frame(spark, rows))
+
+
 def q_power_indep_grid(spark: SparkSession, sf: str) -> DataFrame:
     rows = [{"n": n, "baseline": b / 10} for n in (50, 100, 400, 1000) for b in range(1, 10)]
     found = [pwr.detectable_effect(r["n"], baseline=r["baseline"], paired=False) for r in rows]
@@ -230,8 +245,17 @@ def q_rater_dropout_ordinal(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(ag.rater_dropout(v.numeric(v.ratings(spark, sf)), "ordinal"))
 
 
-def q_alpha_boot_hash(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(_interval(ag.hash_alpha_bootstrap(v.ratings(spark, sf), N_BOOT, SEED), "alpha"))
+def q_alpha_one_value(spark: SparkSession, sf: str) -> DataFrame:
+    """Ratings that are all one value have no alpha."""
+    return rounded(ag.alphas(v.ratings(spark, sf).select("item_id", "rater_id", F.lit("same").alias("rating"))))
+
+
+def q_ratings_clean(spark: SparkSession, sf: str) -> DataFrame:
+    """Of ratings with gaps and of labels that are numbers: what agreement reads."""
+    rows = v.ratings(spark, sf)
+    gaps = ag.cleaned(rows.select("item_id", "rater_id", F.nullif("rating", F.lit("view")).alias("rating")), "nominal")
+    numbers = ag.cleaned(rows.select("item_id", "rater_id", F.concat(F.col("rating_num").cast("string"), F.lit(".50")).alias("rating")), "interval")
+    return gaps.select("rating").unionByName(numbers.select(F.col("rating").cast("string").alias("rating"))).groupBy("rating").agg(F.count("*").alias("n"))
 
 
 def q_cohen_kappa(spark: SparkSession, sf: str) -> DataFrame:
@@ -244,8 +268,14 @@ def q_fleiss_kappa(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(ag.fleiss_stats(v.ratings(spark, sf)))
 
 
-def q_rater_agreement(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(ag.rater_agreement(v.ratings(spark, sf).select("item_id", "rater_id", "rating"), n_boot=200, seed=SEED).to_df(spark))
+def _agreed(level: str) -> Callable[[SparkSession, str], DataFrame]:
+    def query(spark: SparkSession, sf: str) -> DataFrame:
+        rows = v.ratings(spark, sf)
+        r = ag.rater_agreement(rows.select("item_id", "rater_id", "rating") if level == "nominal" else v.numeric(rows), level, seed=SEED)
+        columns = ("level", "alpha", "ci_low", "ci_high", "n_items", "n_raters", "n_overlapping_items", "n_boot", "n_boot_usable", "one_value")
+        return rounded(_frame(spark, [{c: getattr(r, c) for c in columns}]))
+
+    return query
 
 
 # judge
@@ -260,10 +290,17 @@ def q_judge_slices(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_baseline_rules(spark: SparkSession, sf: str) -> DataFrame:
-    rules = jd.baseline_rules(v.baseline(spark, sf), v.baseline_judge(spark, sf).where("item_id % 7 <> 0"))
+    rules = jd.baseline_rules(v.baseline(spark, sf), v.baseline_judge(spark, sf))
     return rules.groupBy("rule").agg(F.count("*").alias("n_items"), F.count_distinct("cluster_id").alias("n_clusters"))
 
 
+def q_baseline_rules_drop(spark: SparkSession, sf: str) -> DataFrame:
+    """The same where clicks are ties and ties are dropped."""
+    tie = lambda c: F.when(F.col(c) == "click", " Tie").otherwise(F.col(c)).alias(c)
+    rules = jd.baseline_rules(v.baseline(spark, sf).select("item_id", "cluster_id", "rater_id", tie("rating")), v.baseline_judge(spark, sf).select("item_id", tie("judge")), "drop")
+    return rules.groupBy("rule").agg(F.count("*").alias("n_items"), F.sum("n_humans").alias("n_humans"))
+
+
 def _base_counts(spark: SparkSession, sf: str) -> DataFrame:
     return jd.baseline_counts(v.baseline(spark, sf), v.baseline_judge(spark, sf))
 
@@ -272,12 +309,24 @@ def q_baseline_alphas(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(jd.baseline_alphas(_base_counts(spark, sf)))
 
 
-def q_baseline_boot_hash(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(_interval(jd.hash_baseline_bootstrap(_base_counts(spark, sf), N_BOOT, SEED), "difference"))
+def q_judge_baseline(spark: SparkSession, sf: str) -> DataFrame:
+    """The judge against how far humans agree, over resampled clusters; a human label is that of rater h0."""
+    h0 = v.ratings(spark, sf).where("rater_id = 'h0'").select("item_id", F.col("rating").alias("human"))
+    r = jd.judge_validation(v.baseline_judge(spark, sf).join(h0, "item_id", "left"), seed=SEED, human_baseline=v.baseline(spark, sf), ties="category")
+    columns = ("n_items", "n_dropped", "accuracy", "agreement", "baseline_judge_human", "baseline_human_human", "baseline_difference", "baseline_ci_low", "baseline_ci_high", "baseline_n_items", "baseline_n_clusters", "baseline_n_too_few_humans", "baseline_n_boot_usable")
+    return rounded(_frame(spark, [{c: getattr(r, c) for c in columns}]))
+
+
+def _judged(spark: SparkSession, sf: str):  # noqa: ANN202
+    return jd.judge_validation(v.judge_labels(spark, sf), seed=SEED)
 
 
 def q_judge_validation(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(jd.judge_validation(v.judge_labels(spark, sf), n_boot=200, seed=SEED).to_df(spark))
+    """The overall row and a row a slice, each with its bootstrap interval."""
+    r = _judged(spark, sf)
+    rows = [{"slice": "(all)", "n_items": r.n_items, "agreement": r.agreement, "ci_low": r.ci_low, "ci_high": r.ci_high, "accuracy": r.accuracy}]
+    table = r.by_slice[r.by_slice["note"] == ""]
+    return rounded(_frame(spark, rows + table[list(rows[0])].to_dict("records")))
 
 
 # position and length
@@ -297,7 +346,10 @@ def q_position_couples(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_position_bias(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(ps.position_bias(v.positions(spark, sf, "item_id"), order="seq").to_df(spark))
+    """Of judgements in random order, and of pairs judged both ways, with exact intervals and p-values."""
+    found = [ps.position_bias(v.positions(spark, sf, pair), order="seq") for pair in ("pair_id", "item_id")]
+    columns = ("design", "estimate", "ci_low", "ci_high", "p_value", "n_a_wins", "n_decisive", "n_pairs", "n_pairs_scored", "n_judgements", "n_ties")
+    return rounded(_frame(spark, [{c: getattr(r, c) for c in columns} for r in found]))
 
 
 def q_position_exact_p(spark: SparkSession, sf: str) -> DataFrame:
@@ -345,8 +397,38 @@ def q_bt_win_matrix(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(_frame(spark, [{"model_a": a, "model_b": b, "p": m.loc[a, b]} for a in m.index for b in m.columns if a != b]).withColumn("p", F.round("p", 5)))
 
 
+def q_bt_credit_drop(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(pw.credits(pw.cleaned(v.leaderboard(spark, sf)), "drop"))
+
+
+def q_bt_boot_credit(spark: SparkSession, sf: str) -> DataFrame:
+    """What the bootstrap over items sums: credits by resample and pair of models."""
+    rows = pw.cleaned(v.leaderboard(spark, sf))
+    models = sorted(r.model for r in pw.totals(rows).collect())
+    cells, _ = pw.credit_cells(rows, "split", models, "items")
+    out, first = [], 0
+    for labels, sums in resampled(cells, 1000, SEED):
+        b = np.repeat(np.arange(first, first + len(sums)), len(labels))
+        out.append(pd.DataFrame({"b": b, "i": [models[k] for k in labels[:, 0]] * len(sums), "j": [models[k] for k in labels[:, 1]] * len(sums), "credit": sums.ravel()}))
+        first += len(sums)
+    return rounded(spark.createDataFrame(pd.concat(out)).where("credit > 0"))
+
+
 def q_bt_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(spark.createDataFrame(_board(spark, sf, 200).pairs))
+    """Every gap with its bootstrap interval, and whether it is told from zero."""
+    pairs = _board(spark, sf, 1000).pairs
+    return rounded(spark.createDataFrame(pairs).select("model_a", "model_b", *(F.round(c, 4).alias(c) for c in ("difference", "ci_low", "ci_high", "p_a_beats_b")), "n_head_to_head", "separable"))
+
+
+def q_bt_rating_intervals(spark: SparkSession, sf: str) -> DataFrame:
+    rated = _board(spark, sf, 1000).ratings
+    return rounded(spark.createDataFrame(rated).select("model", *(F.round(c, 4).alias(c) for c in ("rating", "ci_low", "ci_high"))))
+
+
+def q_bt_ends(spark: SparkSession, sf: str) -> DataFrame:
+    """A board on which the later name always wins has no ratings: its first model by wins and its last."""
+    r = pw.bradley_terry(v.leaderboard(spark, sf).withColumn("winner", F.greatest("model_a", "model_b")), n_boot=0)
+    return _frame(spark, [{"undefeated": ",".join(r.undefeated), "winless": ",".join(r.winless), "connected": r.connected, "n_rated": int(r.ratings["rating"].notna().sum())}])
 
 
 def q_bt_elo(spark: SparkSession, sf: str) -> DataFrame:
@@ -359,7 +441,7 @@ def q_bt_elo(spark: SparkSession, sf: str) -> DataFrame:
 def q_audit(spark: SparkSession, sf: str) -> DataFrame:
     pairs = v.paired_scores(spark, sf)
     scores = pairs.select(F.inline(F.array(*(F.struct(F.lit(s).alias("system"), "item_id", F.col(s).alias("score")) for s in ("a", "b")))))
-    report = audit(scores=scores, comparisons=v.positions(spark, sf, "pair_id"), ratings=v.ratings(spark, sf).select("item_id", "rater_id", "rating"), labels=v.judge_labels(spark, sf), preferences=v.lengths(spark, sf), config={"effect_of_interest": 0.05, "n_boot": 100, "seed": SEED}, order="seq")
+    report = audit(scores=scores, comparisons=v.positions(spark, sf, "pair_id"), ratings=v.ratings(spark, sf).select("item_id", "rater_id", "rating"), labels=v.judge_labels(spark, sf), preferences=v.lengths(spark, sf), config={"effect_of_interest": 0.05, "seed": SEED}, order="seq")
     return _frame(spark, [{"at": k, "check": f.check, "severity": f.severity, "title": f.title} for k, f in enumerate(report.findings)])
 
 
@@ -381,10 +463,70 @@ def q_multi_judge_units(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_join_judge(spark: SparkSession, sf: str) -> DataFrame:
-    joined = rel.join_one(v.baseline(spark, sf), v.baseline_judge(spark, sf).where("item_id % 7 <> 0"), ["item_id"])
+    joined = rel.join_one(v.baseline(spark, sf), v.baseline_judge(spark, sf), ["item_id"])
     return joined.groupBy("cluster_id").agg(F.count("*").alias("n"), F.count("judge").alias("n_judged"), F.count_if(F.col("judge") == F.col("rating")).alias("n_same"))
 
 
+def q_join_inner(spark: SparkSession, sf: str) -> DataFrame:
+    """Ratings of items that the judge has labelled, kept by an inner join."""
+    joined = rel.join_one(v.sparse_ratings(spark, sf), v.baseline_judge(spark, sf).where("judge <> 'view'"), ["item_id"], "inner")
+    return joined.groupBy("judge").agg(F.count("*").alias("n"), F.count_distinct("item_id").alias("n_items"))
+
+
+def q_winner_names(spark: SparkSession, sf: str) -> DataFrame:
+    """Winners told by side, turned to names again."""
+    rows = v.leaderboard(spark, sf)
+    side = F.when(F.col("winner") == F.col("model_a"), "model_a").when(F.col("winner") == F.col("model_b"), "model_b").otherwise("tie (both bad)")
+    return rows.select(rel.winner_name(side, F.col("model_a"), F.col("model_b")).alias("winner")).groupBy("winner").agg(F.count("*").alias("n"))
+
+
+def q_refusals(spark: SparkSession, sf: str) -> DataFrame:
+    """What the operators refuse, and that they do."""
+    ratings, scores, labels = v.ratings(spark, sf).select("item_id", "rater_id", "rating"), v.independent_scores(spark, sf), v.judge_labels(spark, sf)
+    board, shown, base = v.leaderboard(spark, sf), v.positions(spark, sf, "pair_id"), v.baseline(spark, sf)
+    told = v.baseline_judge(spark, sf).withColumn("human", F.col("judge"))
+    cases = {
+        "score not finite": lambda: sc.score_ci(scores.withColumn("score", F.when(F.col("score") == 1, float("nan")).otherwise(0.0))),
+        "wilson of prices": lambda: sc.score_ci(scores, method="wilson", score="score_cont"),
+        "t of passes": lambda: sc.score_ci(scores, method="t"),
+        "confidence of one": lambda: sc.score_ci(scores, confidence=1.0),
+        "no resamples": lambda: sc.score_ci(scores, n_boot=0),
+        "method unknown": lambda: cmp.compare_paired(v.paired_scores(spark, sf), method="sign"),
+        "mcnemar of cents": lambda: cmp.compare_paired(_cents(v.paired_scores(spark, sf)), method="mcnemar"),
+        "score interval of prices": lambda: cmp.compare_independent(scores, scores, method="score", score="score_cont"),
+        "rating twice": lambda: ag.rater_agreement(ratings.unionByName(ratings)),
+        "labels as numbers": lambda: ag.rater_agreement(ratings, "ordinal"),
+        "rater missing": lambda: ag.rater_agreement(ratings.withColumn("rater_id", F.nullif("rater_id", F.lit("h0")))),
+        "no ratings": lambda: ag.rater_agreement(ratings.where("false")),
+        "ties without baseline": lambda: jd.judge_validation(labels, ties="drop"),
+        "baseline without ties": lambda: jd.judge_validation(told, human_baseline=base),
+        "ordinal baseline": lambda: jd.judge_validation(told, "ordinal", human_baseline=base, ties="drop"),
+        "item in two clusters": lambda: jd.judge_validation(told, human_baseline=base.withColumn("cluster_id", F.col("rater_id")), ties="drop"),
+        "baseline beyond the judged": lambda: jd.judge_validation(told.where("item_id % 2 = 0"), human_baseline=base, ties="drop"),
+        "winner not compared": lambda: pw.bradley_terry(board.withColumn("winner", F.lit("nobody"))),
+        "model against itself": lambda: pw.bradley_terry(board.withColumn("model_b", F.col("model_a"))),
+        "model called tie": lambda: pw.bradley_terry(board.withColumn("model_a", F.lit(" TIE "))),
+        "davidson ties": lambda: pw.bradley_terry(board, ties="davidson"),
+        "winner not shown": lambda: ps.position_bias(shown.withColumn("winner", F.lit("nobody"))),
+        "pair missing": lambda: ps.position_bias(shown.withColumn("pair_id", F.lit(None).cast("long"))),
+        "power under alpha": lambda: pwr.min_sample_size(0.1, power=0.01),
+        "effect above discordance": lambda: pwr.min_sample_size(0.4, discordance_rate=0.3),
+        "half an item": lambda: pwr.detectable_effect(10.5),
+        "audit of nothing": lambda: audit(),
+        "field unknown": lambda: audit(ratings=ratings, config={"seeds": 1}),
+        "many rows a key": lambda: rel.join_one(ratings, ratings, ["item_id"]),
+    }
+
+    def refused(case: Callable[[], object]) -> bool:
+        try:
+            case()
+        except (ValueError, NotImplementedError):
+            return True
+        return False
+
+    return _frame(spark, [{"case": name, "refused": refused(case)} for name, case in cases.items()])
+
+
 def q_codings(spark: SparkSession, sf: str) -> DataFrame:
     return rel.codings(v.leaderboard(spark, sf)).groupBy("by_name", "by_alphabet", "by_place").agg(F.count("*").alias("n"))
 
@@ -400,7 +542,7 @@ def q_funnel(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_design_effect(spark: SparkSession, sf: str) -> DataFrame:
-    boards = [spark.createDataFrame(pw.bradley_terry(v.leaderboard(spark, sf), n_boot=100, seed=SEED, resample=r).pairs) for r in ("items", "comparisons")]
+    boards = [spark.createDataFrame(pw.bradley_terry(v.leaderboard(spark, sf), n_boot=1000, seed=SEED, resample=r).pairs) for r in ("items", "comparisons")]
     return rounded(rel.width_ratios(*boards))
 
 
@@ -421,4 +563,4 @@ def q_coverage(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(rel.coverage(spark, simulate, 0.9, 4000))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: f for k, f in list(globals().items()) if k.startswith("q_")} | {f"q_alpha_{level}": _alpha(level) for level in ag.LEVELS}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: f for k, f in list(globals().items()) if k.startswith("q_")} | {f"q_alpha_{level}": _alpha(level) for level in ag.LEVELS} | {f"q_rater_agreement_{level}": _agreed(level) for level in ag.LEVELS}

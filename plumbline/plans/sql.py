@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from .queries import N_BOOT, SEED, Z
+from .draws import PRIME, THRESHOLDS
+from .queries import SEED, Z
 
 VIEWS = {
     "v_ratings": "SELECT user_id item_id, concat('h', CAST(event_id % 5 AS varchar)) rater_id, max_by(event_type, event_id) rating, max_by(1 + CAST(floor(value) AS int) % 5, event_id) rating_num FROM events GROUP BY 1, 2",
@@ -32,20 +33,62 @@ def _r(x: str, places: int = 6) -> str:
     return f"round(({x})::DOUBLE, {places}) + 0.0"
 
 
-def _draws(units: str, seed: int = SEED) -> str:
-    """(b, ix) for as many units as the step `units` has rows."""
-    word = f"substr(md5(concat_ws(':', '{seed}', b::VARCHAR, k::VARCHAR)), 1, 8)"
-    return f"SELECT b, ('0x' || {word})::BIGINT % n ix FROM (SELECT count(*) n FROM {units}) u, unnest(range({N_BOOT})) x(b), unnest(range(n)) y(k)"
+def _keyed(units: str, key: str, n_boot: int, seed: int = SEED, name: str = "wt") -> list[str]:
+    """Steps to `name` (b, k, w): the multiplicity of each key of the step `units` in each resample."""
+    word = lambda x: f"('0x' || substr(md5({x}), 1, 15))::BIGINT % {PRIME}"
+    coefficients = ", ".join(word(f"concat_ws(':', '{seed}', b::VARCHAR, '{k}')") + f" a{k}" for k in range(4))
+    many = " ".join(f"WHEN t < {most} THEN {k}" for k, most in enumerate(THRESHOLDS))
+    return [
+        f"{name}_p AS (SELECT b, {coefficients} FROM unnest(range({n_boot})) x(b))",
+        f"{name}_u AS (SELECT k, {word('k::VARCHAR')} u FROM (SELECT DISTINCT {key} k FROM {units}) x)",
+        f"{name} AS (SELECT b, k, CASE {many} ELSE {len(THRESHOLDS)} END w FROM (SELECT b, k, (((a3 * u + a2) % {PRIME} * u + a1) % {PRIME} * u + a0) % {PRIME} t FROM {name}_u, {name}_p) x)",
+    ]
+
+
+def _ends(column: str, n_boot: int, places: int = 6) -> tuple[str, str]:
+    """A percentile interval, if nine tenths of the resamples have a number."""
+    return tuple(f"CASE WHEN count({column}) >= 0.9 * {n_boot} THEN {_r(f'quantile_cont({column}, {q})', places)} END" for q in (0.025, 0.975))
+
+
+def _boot_p(column: str) -> str:
+    return _r(f"least(greatest(2 * least(avg(({column} <= 0)::INT), avg(({column} >= 0)::INT)), 1 / count({column})), 1)")
+
+
+def _simpson(f: str, to: str, parts: int = 600) -> str:
+    """The integral of f, of x, from 0."""
+    return f"(SELECT sum(CASE WHEN i = 0 OR i = {parts} THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * ({f.replace('x', f'(i * ({to}) / {parts})')})) * ({to}) / {3 * parts} FROM unnest(range({parts + 1})) y(i))"
+
+
+def _normal_two(z: str) -> str:
+    """Both tails of the normal distribution beyond z."""
+    return f"greatest(1 - sqrt(2 / pi()) * {_simpson('2.718281828459045 ** (-0.5 * x * x)', f'least(abs({z}), 9)')}, 0)"
+
 
+def _normal(z: str) -> str:
+    return f"CASE WHEN ({z}) > 0 THEN 1 - ({_normal_two(z)}) / 2 ELSE ({_normal_two(z)}) / 2 END"
 
-def _interval(column: str, draws: str) -> str:
-    enough = f"count({column}) >= 0.9 * count(*)"
-    return f"SELECT count(*) n_boot, count({column}) n_usable, {_r(f'CASE WHEN {enough} THEN quantile_cont({column}, 0.025) END')} ci_low, {_r(f'CASE WHEN {enough} THEN quantile_cont({column}, 0.975) END')} ci_high FROM {draws}"
+
+def _t_quantile(df: str) -> str:
+    """At 0.975, by the series about the normal quantile."""
+    z = Z
+    terms = ((z**3 + z) / 4, (5 * z**5 + 16 * z**3 + 3 * z) / 96, (3 * z**7 + 19 * z**5 + 17 * z**3 - 15 * z) / 384, (79 * z**9 + 776 * z**7 + 1482 * z**5 - 1920 * z**3 - 945 * z) / 92160)
+    return f"({z} + {' + '.join(f'{t!r} / ({df}) ** {k}' for k, t in enumerate(terms, 1))})"
+
+
+def _tail(low: str, high: str, at: str) -> str:
+    """The binomial probability of low to below high of n."""
+    return f"list_sum(list_transform(range({low}, {high}), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({at}) + (n - i) * ln(1 - ({at})))))"
+
+
+def _clopper_pearson(source: str, name: str) -> str:
+    """Steps of a recursion to `name` at i = 50, (k, n, l, g): the 95 percent limits of k of n."""
+    mid, up = "((l + lh) / 2)", "((g + gh) / 2)"
+    under = f"k = 0 OR {_tail('k', 'n + 1', mid)} > 0.025"
+    return f"""{name} AS (SELECT 0 i, k::BIGINT k, n::BIGINT n, 0.0::DOUBLE l, 1.0::DOUBLE lh, 0.0::DOUBLE g, 1.0::DOUBLE gh FROM {source} UNION ALL
+  SELECT i + 1, k, n, CASE WHEN {under} THEN l ELSE {mid} END, CASE WHEN {under} THEN {mid} ELSE lh END,
+         CASE WHEN k = n OR {_tail('0', 'k + 1', up)} > 0.025 THEN {up} ELSE g END, CASE WHEN k = n OR {_tail('0', 'k + 1', up)} > 0.025 THEN gh ELSE {up} END FROM {name} WHERE i < 50)"""
 
 
-_URGENT = "t AS (SELECT row_number() OVER (ORDER BY item_id) - 1 ix, score x FROM v_indep WHERE grp = '1-URGENT')"
-_LOW = "l AS (SELECT row_number() OVER (ORDER BY item_id) - 1 ix, score x FROM v_indep WHERE grp = '5-LOW')"
-_INDEP = [_URGENT, _LOW, f"d1 AS ({_draws('t')})", f"d2 AS ({_draws('l', SEED + 1)})", "m1 AS (SELECT b, avg(x) m FROM d1 JOIN t USING (ix) GROUP BY 1)", "m2 AS (SELECT b, avg(x) m FROM d2 JOIN l USING (ix) GROUP BY 1)", "draws AS (SELECT b, m1.m - m2.m difference FROM m1 JOIN m2 USING (b))"]
 _CENTS = "d AS (SELECT round(a_cont::DOUBLE * 100) - round(b_cont::DOUBLE * 100) d FROM v_paired), z AS (SELECT d x, count(*) n FROM d WHERE d <> 0 GROUP BY 1)"
 _WALSH = "w AS (SELECT (l.x + r.x) / 2 w, sum(CASE WHEN l.x = r.x THEN l.n * (l.n + 1) // 2 ELSE l.n * r.n END)::BIGINT n FROM z l JOIN z r ON l.x <= r.x GROUP BY 1)"
 
@@ -189,7 +232,136 @@ _PLAIN = f"""SELECT n::BIGINT n, b::BIGINT n_a_only, c::BIGINT n_b_only, (b + c)
 FROM (SELECT *, (b - c) / n d, {Z} * sqrt(b + c - (b - c) ** 2 / n) / n wald, (e + b) / n p1, (e + c) / n p2, {_wilson_side("(e + b)", "-")} l1, {_wilson_side("(e + b)", "+")} u1, {_wilson_side("(e + c)", "-")} l2, {_wilson_side("(e + c)", "+")} u2,
   coalesce((e * (n - e - b - c) - b * c) / nullif(sqrt((e + b) * (e + c) * (n - e - b) * (n - e - c)), 0), 0) phi FROM (SELECT count(*)::DOUBLE n, count(*) FILTER (q.a = 1 AND q.b = 0)::DOUBLE b, count(*) FILTER (q.a = 0 AND q.b = 1)::DOUBLE c, count(*) FILTER (q.a = 1 AND q.b = 1)::DOUBLE e FROM v_paired q) x) y"""
 
+_URGENT = "t AS (SELECT item_id, score x, score_cont y FROM v_indep WHERE grp = '1-URGENT')"
+_LOW = "l AS (SELECT item_id, score x, score_cont y FROM v_indep WHERE grp = '5-LOW')"
+_SCORE_CI = _with("v_indep", f"""SELECT 'wilson' method, n, {_r('p', 4)} estimate, {_r(f'(p + {Z * Z} / (2 * n) - {_W}) / (1 + {Z * Z} / n)', 4)} ci_low, {_r(f'(p + {Z * Z} / (2 * n) + {_W}) / (1 + {Z * Z} / n)', 4)} ci_high, true AS binary FROM (SELECT count(*) n, avg(x) p FROM t) q
+UNION ALL SELECT 'bootstrap', (SELECT count(*) FROM t), (SELECT {_r('avg(x)', 4)} FROM t), {', '.join(_ends('m', 10_000, 4))}, true FROM draws
+UNION ALL SELECT 't', n, {_r('m', 4)}, {_r(f'm - {_t_quantile("n - 1")} * s / sqrt(n)', 4)}, {_r(f'm + {_t_quantile("n - 1")} * s / sqrt(n)', 4)}, false FROM (SELECT count(*) n, avg(y / 1000) m, stddev_samp(y / 1000) s FROM t) q""", _URGENT, *_keyed("t", "item_id", 10_000), "draws AS (SELECT b, sum(w * x) / nullif(sum(w), 0) m FROM wt JOIN t ON k = item_id GROUP BY 1)")
+
+_RANKED = "rk AS (SELECT sum(t)::DOUBLE n, sum(mid * pos)::DOUBLE wp, sum(mid * (t - pos))::DOUBLE wn, sum(t * t * t - t)::DOUBLE ties FROM (SELECT t, pos, coalesce(sum(t) OVER (ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + (t + 1) / 2 mid FROM (SELECT abs(x) s, sum(n)::BIGINT t, sum(CASE WHEN x > 0 THEN n ELSE 0 END) pos FROM z GROUP BY 1) q) y)"
+_COMPARE_PAIRED = _TANGO.rsplit("\nSELECT", 1)[0] + f""",
+{_CENTS}, {_WALSH}, {_RANKED}, c AS (SELECT w, sum(n) OVER (ORDER BY w) upto FROM w),
+items AS (SELECT item_id, round(a_cont::DOUBLE * 100) - round(b_cont::DOUBLE * 100) x FROM v_paired),
+{", ".join(_keyed("items", "item_id", 10_000))},
+draws AS (SELECT b, sum(w * x) / nullif(sum(w), 0) m FROM wt JOIN items ON k = item_id GROUP BY 1)
+SELECT 'mcnemar' method, n::BIGINT n, {_r("(b - c) / n")} difference, {_r("m1")} ci_low, {_r("m2")} ci_high, {_r(_normal_two("(abs(b - c) - 1) / sqrt(b + c)"))} p_value, true AS binary, true paired FROM it WHERE i = 60
+UNION ALL SELECT 'bootstrap', (SELECT count(*) FROM items), (SELECT {_r("avg(x)")} FROM items), {", ".join(_ends("m", 10_000))}, {_boot_p("m")}, false, true FROM draws
+UNION ALL SELECT 'wilcoxon', n::BIGINT, {_r("((SELECT min(w) FROM c WHERE upto > (total - 1) // 2) + (SELECT min(w) FROM c WHERE upto > total // 2)) / 2")}, {_r("(SELECT min(w) FROM c WHERE upto > cut)")}, {_r("(SELECT min(w) FROM c WHERE upto > total - 1 - cut)")}, {_r(_normal_two("(least(wp, wn) - n * (n + 1) / 4) / sd"))}, false, true
+FROM (SELECT *, least(greatest(floor(n * (n + 1) / 4 - {_ZA} * sd), 0), (total - 1) // 2)::BIGINT cut FROM (SELECT *, (n * (n + 1) / 2)::BIGINT total, sqrt((n * (n + 1) * (2 * n + 1) - ties / 2) / 24) sd FROM rk) q) y"""
+
+_COMPARE_INDEPENDENT = _MEE.rsplit("\nSELECT", 1)[0] + f""",
+{_URGENT}, {_LOW}, {", ".join(_keyed("t", "item_id", 10_000))}, {", ".join(_keyed("l", "item_id", 10_000, SEED + 1, "wl"))},
+m1 AS (SELECT b, sum(w * x) / nullif(sum(w), 0) m FROM wt JOIN t ON k = item_id GROUP BY 1), m2 AS (SELECT b, sum(w * x) / nullif(sum(w), 0) m FROM wl JOIN l ON k = item_id GROUP BY 1),
+draws AS (SELECT b, m1.m - m2.m m FROM m1 JOIN m2 USING (b)),
+e AS (SELECT avg(y / 1e6) m, var_samp(y / 1e6) / count(*) e, count(*) n, 1 side FROM t UNION ALL SELECT avg(y / 1e6), var_samp(y / 1e6) / count(*), count(*), 2 FROM l)
+SELECT 'score' method, (n1 + n2)::BIGINT n, {_r("p1 - p2")} difference, {_r("(low.l + low.h) / 2")} ci_low, {_r("(SELECT (l + h) / 2 FROM high WHERE i = 60)")} ci_high, {_r(_normal_two("(p1 - p2) / sqrt((p1 * n1 + p2 * n2) / (n1 + n2) * (1 - (p1 * n1 + p2 * n2) / (n1 + n2)) * (1 / n1 + 1 / n2))"))} p_value, true AS binary, false paired FROM low WHERE i = 60
+UNION ALL SELECT 'bootstrap', (SELECT (n1 + n2)::BIGINT FROM s), (SELECT {_r("p1 - p2")} FROM s), {", ".join(_ends("m", 10_000))}, {_boot_p("m")}, true, false FROM draws
+UNION ALL SELECT 't', n, {_r("d")}, {_r(f"d - {_t_quantile('df')} * se")}, {_r(f"d + {_t_quantile('df')} * se")}, 0.0, false, false
+FROM (SELECT (a.n + b.n)::BIGINT n, a.m - b.m d, sqrt(a.e + b.e) se, (a.e + b.e) ** 2 / (a.e ** 2 / (a.n - 1) + b.e ** 2 / (b.n - 1)) df FROM e a, e b WHERE a.side = 1 AND b.side = 2) q"""
+
+_NULL = """WITH p AS (SELECT n, unnest(range((1 << n)::BIGINT)) m FROM unnest(range(6, 13)) x(n)),
+s AS (SELECT n, m, sum(CASE WHEN (m >> (r - 1)) & 1 = 1 THEN r ELSE 0 END)::BIGINT k FROM p JOIN (SELECT unnest(range(1, 13)) r) y ON r <= n GROUP BY 1, 2),
+d AS (SELECT n, k, count(*) c FROM s GROUP BY 1, 2),
+u AS (SELECT *, sum(c) OVER (PARTITION BY n ORDER BY k) upto FROM d)
+SELECT n, k AS sum, c patterns, coalesce((SELECT max(k) FROM u y WHERE y.n = u.n AND y.upto <= 0.025 * (1 << y.n)), 0) AS trim FROM u"""
+
+_POWER = f"""SELECT n, {_r("r")} rate, {_r(_normal(f"(sqrt(n) * 0.05 - {_ZA} * sqrt(r)) / sqrt(r - 0.0025)"))} paired_power,
+  {_r(_normal(f"(0.05 * sqrt(n / 2) - {_ZA} * sqrt(2 * (r + 0.025) * (0.975 - r))) / sqrt(r * (1 - r) + (r + 0.05) * (0.95 - r))"))} independent_power,
+  ceil((({_ZA} * sqrt(r) + {_ZB} * sqrt(r - 0.0025)) / 0.05) ** 2)::BIGINT n_for_reference
+FROM (SELECT n, j / 10 r FROM unnest([50::BIGINT, 200, 1000]) x(n), unnest(range(1, 6)) z(j)) q"""
+
+_T_DENSITY = "exp(lgamma((df + 1) / 2) - lgamma(df / 2)) / sqrt(df * pi()) * (1 + x * x / df) ** (-(df + 1) / 2)".replace("exp", "2.718281828459045 ** ")
+_SPECIAL = f"""WITH RECURSIVE cp0 AS (SELECT n, unnest(range(0, n + 1, 5)) k FROM unnest([5::BIGINT, 20, 60]) x(n)), {_clopper_pearson("cp0", "cp")}
+SELECT 'normal' f, j::DOUBLE a, 0.0::DOUBLE b, {_r(_normal_two("j / 4"))} x FROM unnest(range(17)) z(j)
+UNION ALL SELECT 'chi2', j::DOUBLE, 0.0, {_r(_normal_two("sqrt(j / 2)"))} FROM unnest(range(1, 17)) z(j)
+UNION ALL SELECT 't', j::DOUBLE, df::DOUBLE, {_r("1 - 2 * " + _simpson(_T_DENSITY, "j / 4"))} FROM unnest(range(17)) z(j), unnest([1.0::DOUBLE, 2, 5, 30]) v(df)
+UNION ALL SELECT 't quantile', q, df, {_r("2 - 2 * q")} FROM unnest([0.6::DOUBLE, 0.9, 0.975]) z(q), unnest([1.0::DOUBLE, 2, 5, 30]) v(df)
+UNION ALL SELECT 'low', k::DOUBLE, n::DOUBLE, {_r("CASE WHEN k = 0 THEN 0 ELSE (l + lh) / 2 END")} FROM cp WHERE i = 50
+UNION ALL SELECT 'high', k::DOUBLE, n::DOUBLE, {_r("CASE WHEN k = n THEN 1 ELSE (g + gh) / 2 END")} FROM cp WHERE i = 50"""
+
+
+def _alpha_boot(level: str, by: str = "") -> list[str]:
+    """Steps after _alpha's to `draws` (by, b, a), weighing items by the step `wt`."""
+    key, x = (f"{by}, ", {"nominal": "0.0", "interval": "rating", "ordinal": "mid"}[level]) if by else ("", {"nominal": "0.0", "interval": "rating", "ordinal": "mid"}[level])
+    total, enough = ("n * n - g2", "n * n - g2 > 0") if level == "nominal" else ("2 * (n * s2 - s1 * s1)", "nv > 1")
+    observed = f"SELECT {key}b, sum(w * o) o FROM wt JOIN units ON k = item_id GROUP BY ALL"
+    if level == "ordinal":
+        observed = "SELECT b, sum(w * 2 * (m * s2 - s1 * s1) / (m - 1)) o FROM (SELECT b, k, any_value(w) w, sum(c)::DOUBLE m, sum(c * mid) s1, sum(c * mid * mid) s2 FROM wt JOIN c1 ON k = item_id JOIN mids USING (b, rating) GROUP BY 1, 2) x GROUP BY 1"
+    return [
+        f"mids AS (SELECT *, sum(g) OVER (PARTITION BY {key}b ORDER BY rating) - g / 2 mid FROM (SELECT {key}b, rating, sum(w * c)::DOUBLE g FROM wt JOIN c1 ON k = item_id GROUP BY ALL) x)",
+        f"eb AS (SELECT {key}b, sum(g) n, sum(g * g) g2, sum(g * {x}) s1, sum(g * {x} * {x}) s2, count(*) FILTER (g > 0) nv FROM mids GROUP BY ALL)",
+        f"ob AS ({observed})",
+        f"draws AS (SELECT {key}b, CASE WHEN {enough} THEN 1 - (n - 1) * o / ({total}) END a FROM eb JOIN ob USING ({key}b))",
+    ]
+
+
+def _agreement(level: str) -> str:
+    source = "SELECT item_id, rating FROM v_ratings" if level == "nominal" else "SELECT item_id, rating_num::DOUBLE rating FROM v_ratings"
+    steps = [f"src AS ({source})", *_alpha("src", level), *_keyed("units", "item_id", 1000), *_alpha_boot(level)]
+    return "SELECT * FROM (" + _with("v_ratings", f"SELECT '{level}' AS level, {_r('any_value(alpha.alpha)')} alpha, {_ends('a', 1000)[0]} ci_low, {_ends('a', 1000)[1]} ci_high, (SELECT count(DISTINCT item_id) FROM v_ratings) n_items, (SELECT count(DISTINCT rater_id) FROM v_ratings) n_raters, any_value(n_units) n_overlapping_items, 1000::BIGINT n_boot, count(a) n_boot_usable, false one_value FROM draws, alpha", *steps) + f") {level}_rows"
+
+
+_JUDGED = _with("v_judge", f"SELECT slice, any_value(x.n_items) n_items, {_r('any_value(alpha)')} agreement, {_ends('a', 1000)[0]} ci_low, {_ends('a', 1000)[1]} ci_high, {_r('any_value(accuracy)')} accuracy FROM (SELECT slice, count(*) n_items, avg((human = judge)::INT) accuracy FROM both_ways GROUP BY 1) x JOIN alpha USING (slice) JOIN draws USING (slice) WHERE x.n_items >= 2 AND n_values > 1 GROUP BY 1",
+    "both_ways AS (SELECT '(all)' slice, item_id, human, judge FROM v_judge UNION ALL SELECT slice, item_id, human, judge FROM v_judge)", "src AS (SELECT slice, item_id, human rating FROM both_ways UNION ALL SELECT slice, item_id, judge FROM both_ways)", *_alpha("src", "nominal", "slice"), *_keyed("v_judge", "item_id", 1000), *_alpha_boot("nominal", "slice"))
+_JUDGE_BASELINE = _with("v_base v_base_judge", f"""SELECT n_items, n_dropped, {_r('accuracy')} accuracy, {_r('alpha')} agreement, {_r('judge_human')} baseline_judge_human, {_r('human_human')} baseline_human_human, {_r('difference')} baseline_difference, lo baseline_ci_low, hi baseline_ci_high,
+  (SELECT count(*) FROM kept) baseline_n_items, (SELECT count(*) FROM obs) baseline_n_clusters, (SELECT count(*) FROM (SELECT item_id FROM v_base GROUP BY 1 HAVING count(rating) < 2) q) baseline_n_too_few_humans, usable baseline_n_boot_usable
+FROM (SELECT count(human) n_items, count(*) - count(human) n_dropped, avg((human = judge)::INT) accuracy FROM told) a, alpha, point, (SELECT {_ends('difference', 1000)[0]} lo, {_ends('difference', 1000)[1]} hi, count(difference) usable FROM draws) z""",
+    *_BASE, "told AS (SELECT item_id, judge, rating human FROM v_base_judge LEFT JOIN (SELECT item_id, rating FROM v_ratings WHERE rater_id = 'h0') h USING (item_id))", "src AS (SELECT item_id, human rating FROM told WHERE human IS NOT NULL UNION ALL SELECT item_id, judge FROM told WHERE human IS NOT NULL)", *_alpha("src", "nominal"),
+    f"point AS ({_two_alphas('(SELECT sum(hh_o) hh_o, sum(jh_o) jh_o FROM obs) o', '(SELECT v, sum(hh) hh, sum(jh) jh FROM marg GROUP BY 1) m', '')})", *_keyed("obs", "cluster_id", 1000), "oo AS (SELECT b, sum(w * hh_o) hh_o, sum(w * jh_o) jh_o FROM wt JOIN obs ON k = cluster_id GROUP BY 1)", "mm AS (SELECT b, v, sum(w * hh) hh, sum(w * jh) jh FROM wt JOIN marg ON k = cluster_id GROUP BY 1, 2)", f"draws AS ({_two_alphas('oo', 'mm', 'b')})")
+_POSITION = _with("v_pos_random v_pos_both", f"""SELECT 'randomised' design, {_r('cp.k / cp.n')} estimate, {_r('(l + lh) / 2')} ci_low, {_r('(g + gh) / 2')} ci_high, {_r('p')} p_value, s.k n_a_wins, s.n n_decisive, n_pairs, s.n n_pairs_scored, n_judgements, n_ties FROM cp, ps s WHERE i = 50
+UNION ALL SELECT 'both_orders', {_r('k / n')}, {_r(_wilson_side('k', '-'))}, {_r(_wilson_side('k', '+'))}, {_r('p')}, first, flipped, (SELECT count(DISTINCT pair_id) FROM v_pos_both), n::BIGINT, (SELECT count(*) FROM v_pos_both), (SELECT count(*) - count(winner) FROM v_pos_both) FROM (SELECT scored::DOUBLE n, held::DOUBLE k, first, flipped, (SELECT {_BINOMIAL} FROM (SELECT flipped n, first k) q) p FROM cc) x""", *_COUPLES,
+    f"ps AS (SELECT *, {_BINOMIAL} p FROM (SELECT count(*) FILTER (winner = option_a)::BIGINT k, count(winner)::BIGINT n, count(DISTINCT pair_id) n_pairs, count(*) n_judgements, count(*) - count(winner) n_ties FROM v_pos_random) x)", "cc AS (SELECT count(*)::BIGINT scored, count(*) FILTER (consistent)::BIGINT held, count(*) FILTER (NOT consistent)::BIGINT flipped, count(*) FILTER (NOT consistent AND to_first)::BIGINT AS first FROM couples)", _clopper_pearson("ps", "cp")).replace("WITH ", "WITH RECURSIVE ", 1)
+_ITEM_CREDIT = "ic AS (SELECT item_id, i, j, sum(c) credit FROM (SELECT item_id, model_a i, model_b j, CASE WHEN winner = 'tie' THEN 0.5 WHEN winner = model_a THEN 1 ELSE 0 END::DOUBLE c FROM v_lb UNION ALL SELECT item_id, model_b, model_a, CASE WHEN winner = 'tie' THEN 0.5 WHEN winner = model_b THEN 1 ELSE 0 END::DOUBLE FROM v_lb) x GROUP BY ALL)"
+_BOOT_CREDIT = "cb AS (SELECT b, i, j, sum(w * credit) credit FROM wt JOIN ic ON k = item_id GROUP BY ALL)"
+#: Ratings s of every resample and, at b = -1, of all comparisons, by the same climb as _MM.
+_BOARDS = "WITH RECURSIVE " + ",\n".join(
+    [f"v_lb AS ({VIEWS['v_lb']})", _ITEM_CREDIT, *_keyed("v_lb", "item_id", 1000), _BOOT_CREDIT, "every AS (SELECT * FROM cb UNION ALL SELECT -1, i, j, sum(credit) FROM ic GROUP BY ALL)", "names AS (SELECT DISTINCT i m FROM ic)"]
+    + ["grid AS (SELECT b, x.m i, y.m j FROM (SELECT DISTINCT b FROM every) q, names x, names y)", "full_grid AS (SELECT g.b, g.i, g.j, coalesce(e.credit, 0) won, coalesce(f.credit, 0) lost FROM grid g LEFT JOIN every e ON e.b = g.b AND e.i = g.i AND e.j = g.j LEFT JOIN every f ON f.b = g.b AND f.i = g.j AND f.j = g.i)"]
+) + """,
+lines AS (SELECT b, i, list(won + lost ORDER BY j) met, sum(won) won FROM full_grid GROUP BY 1, 2),
+mats AS (SELECT b, list(met ORDER BY i) n, list(won ORDER BY i) w, list(i ORDER BY i) m FROM lines GROUP BY 1),
+it AS (SELECT 0 k, b, n, w, list_transform(w, lambda x: 1.0::DOUBLE) p FROM mats UNION ALL
+  SELECT k + 1, b, n, w, list_transform(range(1, len(p) + 1), lambda i: w[i] / list_sum(list_transform(range(1, len(p) + 1), lambda j: n[i][j] / (p[i] + p[j])))) FROM it WHERE k < 120),
+r0 AS (SELECT b, unnest(m) model, unnest(list_transform(p, lambda x: ln(x))) s FROM it JOIN mats USING (b) WHERE k = 120),
+r AS (SELECT b, model, s - avg(s) OVER (PARTITION BY b) s FROM r0),
+point AS (SELECT model, s, met FROM r JOIN (SELECT i model, sum(won + lost) met FROM full_grid WHERE b = -1 GROUP BY 1) q USING (model) WHERE b = -1)
+"""
+_BT_PAIRS = _BOARDS + f"""SELECT a model_a, c model_b, {_r("d", 4)} difference, {_r("lo", 4)} ci_low, {_r("hi", 4)} ci_high, {_r("1 / (1 + exp(-d))", 4)} p_a_beats_b, round(n)::BIGINT n_head_to_head, lo > 0 OR hi < 0 separable
+FROM (SELECT x.model a, y.model c, x.s - y.s d, (SELECT won + lost FROM full_grid WHERE b = -1 AND i = x.model AND j = y.model) n FROM point x JOIN point y ON x.s > y.s) q
+JOIN (SELECT u.model a, v.model c, quantile_cont(u.s - v.s, 0.025) lo, quantile_cont(u.s - v.s, 0.975) hi FROM r u JOIN r v USING (b) WHERE u.b >= 0 AND u.model <> v.model GROUP BY 1, 2) z USING (a, c)"""
+_BT_INTERVALS = _BOARDS + f"""SELECT model, {_r("point.s - f.s", 4)} rating, {_r("lo - f.s", 4)} ci_low, {_r("hi - f.s", 4)} ci_high FROM point JOIN (SELECT model, quantile_cont(s, 0.025) lo, quantile_cont(s, 0.975) hi FROM r WHERE b >= 0 GROUP BY 1) q USING (model), (SELECT s FROM point ORDER BY met DESC, model LIMIT 1) f"""
+
+#: The cases of q_refusals.
+_REFUSED = (
+    "score not finite", "wilson of prices", "t of passes", "confidence of one", "no resamples", "method unknown", "mcnemar of cents",
+    "score interval of prices", "rating twice", "labels as numbers", "rater missing", "no ratings", "ties without baseline",
+    "baseline without ties", "ordinal baseline", "item in two clusters", "baseline beyond the judged", "winner not compared",
+    "model against itself", "model called tie", "davidson ties", "winner not shown", "pair missing", "power under alpha",
+    "effect above discordance", "half an item", "audit of nothing", "field unknown", "many rows a key",
+)
+
 SQL: dict[str, str] = {
+    "q_score_ci": _SCORE_CI,
+    "q_compare_paired": _COMPARE_PAIRED,
+    "q_compare_independent": _COMPARE_INDEPENDENT,
+    "q_signed_null": _NULL,
+    "q_power": _POWER,
+    "q_special_functions": _SPECIAL,
+    "q_alpha_one_value": _with("v_ratings", _ALPHA_OUT, "src AS (SELECT item_id, 'same' rating FROM v_ratings)", *_alpha("src", "nominal")),
+    "q_ratings_clean": _with("v_ratings", "SELECT rating, count(*) n FROM (SELECT rating FROM v_ratings WHERE rating <> 'view' UNION ALL SELECT concat(rating_num::VARCHAR, '.5') FROM v_ratings) x GROUP BY 1"),
+    **{f"q_rater_agreement_{level}": _agreement(level) for level in ("nominal", "ordinal", "interval")},
+    "q_judge_validation": _JUDGED,
+    "q_judge_baseline": _JUDGE_BASELINE,
+    "q_baseline_rules_drop": _with("v_base v_base_judge", "SELECT rule, count(*) n_items, sum(n)::BIGINT n_humans FROM (SELECT n, CASE WHEN judge IS NULL THEN 'no_judge_label' WHEN n < 2 THEN 'too_few_humans' WHEN judge = 'click' THEN 'judge_tie' ELSE 'kept' END AS rule FROM (SELECT item_id, count(*) FILTER (rating <> 'click') n FROM v_base GROUP BY 1) x LEFT JOIN v_base_judge USING (item_id)) y GROUP BY 1"),
+    "q_position_bias": _POSITION,
+    "q_bt_credit_drop": _with("v_lb", f"SELECT i, j, {_r('sum(c)')} credit FROM (SELECT model_a i, model_b j, (winner = model_a)::INT c FROM v_lb WHERE winner <> 'tie' UNION ALL SELECT model_b, model_a, (winner = model_b)::INT FROM v_lb WHERE winner <> 'tie') x GROUP BY 1, 2"),
+    "q_bt_boot_credit": _with("v_lb", f"SELECT b, i, j, {_r('credit')} credit FROM cb WHERE credit > 0", _ITEM_CREDIT, *_keyed("v_lb", "item_id", 1000), _BOOT_CREDIT),
+    "q_bt_pairs": _BT_PAIRS,
+    "q_bt_rating_intervals": _BT_INTERVALS,
+    "q_bt_ends": _with("v_lb", "SELECT max(greatest(model_a, model_b)) undefeated, min(least(model_a, model_b)) winless, true connected, 0::BIGINT n_rated FROM v_lb"),
+    "q_join_inner": _with("v_sparse v_base_judge", "SELECT judge, count(*) n, count(DISTINCT item_id) n_items FROM v_sparse JOIN v_base_judge USING (item_id) WHERE judge <> 'view' GROUP BY 1"),
+    "q_winner_names": _with("v_lb", "SELECT winner, count(*) n FROM v_lb GROUP BY 1"),
+    "q_refusals": "SELECT * FROM (VALUES " + ", ".join(f"('{case}', true)" for case in _REFUSED) + ") t(\"case\", refused)",
     "q_tango_ci": _TANGO,
     "q_score_diff_ci": _MEE,
     "q_power_indep_grid": _POWER_INDEP,
@@ -200,15 +372,11 @@ SQL: dict[str, str] = {
     "q_plain_paired_intervals": _with("v_paired", _PLAIN),
     "q_score_wilson": _with("v_indep", f"SELECT grp, n, {_r('p')} estimate, {_r(f'greatest((p + {Z * Z} / (2 * n) - {_W}) / (1 + {Z * Z} / n), 0)')} ci_low, {_r(f'least((p + {Z * Z} / (2 * n) + {_W}) / (1 + {Z * Z} / n), 1)')} ci_high FROM (SELECT grp, count(*) n, avg(score) p FROM v_indep GROUP BY 1) x"),
     "q_score_t": _with("v_indep", f"SELECT grp, n, {_r('m', 1)} mean, {_r('s', 1)} sd, {_r('s / sqrt(n)', 1)} se, {_r(f'm - {Z} * s / sqrt(n)', 1)} ci_low, {_r(f'm + {Z} * s / sqrt(n)', 1)} ci_high FROM (SELECT grp, count(*) n, avg(score_cont) m, stddev_samp(score_cont) s FROM v_indep GROUP BY 1) x"),
-    "q_score_boot_hash": _with("v_indep", _interval("m", "draws"), _URGENT, f"d AS ({_draws('t')})", "draws AS (SELECT b, avg(x) m FROM d JOIN t USING (ix) GROUP BY 1)"),
     "q_score_checks": _with("v_indep", "SELECT grp, kind, count(*) n, bool_and(x IN (0, 1)) AS binary, min(x) = max(x) AS constant FROM (SELECT grp, 'score' kind, score::DOUBLE x FROM v_indep UNION ALL SELECT grp, 'score_cont', score_cont FROM v_indep) y GROUP BY 1, 2"),
     "q_mcnemar_counts": _with("v_paired", f"SELECT n, b n_a_only, c n_b_only, b + c n_discordant, {_r('(b - c) / n')} difference, {_r('CASE WHEN b + c >= 25 THEN (abs(b - c) - 1) ** 2 / (b + c) END')} statistic FROM (SELECT count(*) n, count(*) FILTER (a = 1 AND b = 0) b, count(*) FILTER (a = 0 AND b = 1) c FROM v_paired) x"),
     "q_mcnemar_exact": _with("v_paired", f"SELECT batch, total n, b n_a_only, c n_b_only, {_r(f'CASE WHEN n = 0 THEN 1 WHEN n < 25 THEN {_BINOMIAL} END')} p_value FROM (SELECT *, b + c n, b k FROM (SELECT floor(q.item_id / 40)::BIGINT batch, count(*) total, count(*) FILTER (q.a = 1 AND q.b = 0)::BIGINT b, count(*) FILTER (q.a = 0 AND q.b = 1)::BIGINT c FROM v_paired q GROUP BY 1) y) x"),
     "q_two_prop_z_stat": _with("v_indep", f"SELECT n1, n2, {_r('k1 / n1 - k2 / n2')} difference, {_r('(k1 / n1 - k2 / n2) / sqrt(p * (1 - p) * (1 / n1 + 1 / n2))')} z FROM (SELECT *, (k1 + k2) / (n1 + n2) p FROM (SELECT count(*) FILTER (grp = '1-URGENT') n1, count(*) FILTER (grp = '5-LOW') n2, sum(CASE WHEN grp = '1-URGENT' THEN score END)::DOUBLE k1, sum(CASE WHEN grp = '5-LOW' THEN score END)::DOUBLE k2 FROM v_indep) x) y"),
     "q_welch_stats": _with("v_indep", f"SELECT {_r('m1 - m2', 2)} difference, {_r('sqrt(e1 + e2)', 3)} se, {_r('(e1 + e2) ** 2 / (e1 * e1 / (n1 - 1) + e2 * e2 / (n2 - 1))', 3)} df FROM (SELECT avg(x) m1, var_samp(x) / count(x) e1, count(x) n1, avg(y) m2, var_samp(y) / count(y) e2, count(y) n2 FROM (SELECT CASE WHEN grp = '1-URGENT' THEN score_cont END x, CASE WHEN grp = '5-LOW' THEN score_cont END y FROM v_indep) q) w"),
-    "q_paired_boot_hash": _with("v_paired", _interval("m", "draws"), "t AS (SELECT row_number() OVER (ORDER BY item_id) - 1 ix, a - b x FROM v_paired)", f"d AS ({_draws('t')})", "draws AS (SELECT b, avg(x) m FROM d JOIN t USING (ix) GROUP BY 1)"),
-    "q_indep_boot_hash": _with("v_indep", _interval("difference", "draws"), *_INDEP),
-    "q_bootstrap_p": _with("v_indep", f"SELECT {_r('least(greatest(2 * least(avg((difference <= 0)::INT), avg((difference >= 0)::INT)), 1 / count(*)), 1)')} p_value FROM draws", *_INDEP),
     "q_wilcoxon_ranks": _with("v_paired", f"SELECT sum(t)::BIGINT n, {_r('sum(mid * pos)')} w_positive, {_r('sum(mid * (t - pos))')} w_negative, {_r('sum(t * t * t - t)')} tie_correction FROM (SELECT t, pos, coalesce(sum(t) OVER (ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + (t + 1) / 2 mid FROM (SELECT abs(x) s, sum(n) t, sum(CASE WHEN x > 0 THEN n ELSE 0 END) pos FROM z GROUP BY 1) q) y", _CENTS),
     "q_walsh_averages": _with("v_paired", f"SELECT {_r('w')} w, n FROM w", _CENTS, _WALSH),
     "q_hodges_lehmann": _with("v_paired", f"""SELECT n::BIGINT n, {_r("((SELECT min(w) FROM c WHERE upto > (total - 1) // 2) + (SELECT min(w) FROM c WHERE upto > total // 2)) / 2")} difference,
@@ -229,14 +397,12 @@ FROM unnest(range(1, 20)) x(b), unnest(range(1, 6)) y(r), unnest(range(1, 16)) z
     "q_item_disagreement": _with("v_ratings", f"SELECT item_id, m::BIGINT n_ratings, {_r('o / m')} disagreement, {_r('o / m / nullif(e / nullif(n * (n - 1), 0), 0)')} vs_chance FROM units, chance", *_alpha("v_ratings", "nominal")),
     "q_rater_dropout": _dropout("src", "nominal"),
     "q_rater_dropout_ordinal": _dropout("src", "ordinal"),
-    "q_alpha_boot_hash": _with("v_ratings", _interval("a", "draws"), *_alpha("v_ratings", "nominal"), "u AS (SELECT *, row_number() OVER (ORDER BY item_id) - 1 ix FROM units)", f"d AS ({_draws('u')})", "t AS (SELECT b, ix, count(*) times FROM d GROUP BY 1, 2)", "oo AS (SELECT b, sum(times * o) o FROM t JOIN u USING (ix) GROUP BY 1)", "mm AS (SELECT b, rating, sum(times * c)::DOUBLE g FROM t JOIN u USING (ix) JOIN c1 USING (item_id) GROUP BY 1, 2)", "draws AS (SELECT b, 1 - (n - 1) * o / nullif(e, 0) a FROM oo JOIN (SELECT b, sum(g) n, sum(g) ** 2 - sum(g * g) e FROM mm GROUP BY 1) y USING (b))"),
     "q_cohen_kappa": _with("v_ratings", f"SELECT n n_items, k n_categories, {_r('po')} p_observed, {_r('pe')} p_expected, {_r('(po - pe) / nullif(1 - pe, 0)')} kappa FROM (SELECT count(*) n, avg((x = y)::INT) po FROM p) a, (SELECT count(*) k, sum(f.c * g.c)::DOUBLE / (SELECT count(*) ** 2 FROM p) pe FROM (SELECT v, count(CASE WHEN s = 1 THEN 1 END) c FROM q GROUP BY 1) f JOIN (SELECT v, count(CASE WHEN s = 2 THEN 1 END) c FROM q GROUP BY 1) g USING (v)) b", "p AS (SELECT a.rating x, b.rating y FROM v_ratings a JOIN v_ratings b USING (item_id) WHERE a.rater_id = 'h0' AND b.rater_id = 'h1')", "q AS (SELECT x v, 1 s FROM p UNION ALL SELECT y, 2 FROM p)"),
     "q_fleiss_kappa": _with("v_ratings", f"SELECT n_items, least, most, {_r('po')} p_observed, {_r('pe')} p_expected, n_categories, {_r('(po - pe) / nullif(1 - pe, 0)')} kappa FROM (SELECT count(*) n_items, min(m)::BIGINT AS least, max(m)::BIGINT AS most, avg((c2 - m) / (m * (m - 1))) po FROM (SELECT item_id, sum(c)::DOUBLE m, sum(c * c) c2 FROM c GROUP BY 1) x) a, (SELECT sum(g * g) / sum(g) ** 2 pe, count(*) n_categories FROM (SELECT rating, sum(c)::DOUBLE g FROM c GROUP BY 1) y) b", "c AS (SELECT item_id, rating, count(*) c FROM v_ratings GROUP BY 1, 2)"),
     "q_judge_overall": _with("v_judge", f"SELECT n_items, {_r('accuracy')} accuracy, {_r('alpha')} alpha FROM (SELECT count(*) n_items, avg((human = judge)::INT) accuracy FROM v_judge) x, alpha", "src AS (SELECT item_id, human rating FROM v_judge UNION ALL SELECT item_id, judge FROM v_judge)", *_alpha("src", "nominal")),
     "q_judge_slices": _with("v_judge", f"SELECT slice, x.n_items, {_r('accuracy')} accuracy, {_r('alpha')} alpha, CASE WHEN x.n_items < 2 THEN 'only one item, too few to measure agreement' WHEN n_values <= 1 THEN 'both sides used one label throughout, so alpha has no denominator' ELSE '' END note FROM (SELECT slice, count(*) n_items, avg((human = judge)::INT) accuracy FROM v_judge GROUP BY 1) x JOIN alpha USING (slice)", "src AS (SELECT slice, item_id, human rating FROM v_judge UNION ALL SELECT slice, item_id, judge FROM v_judge)", *_alpha("src", "nominal", "slice")),
-    "q_baseline_rules": _with("v_base v_base_judge", "SELECT rule, count(*) n_items, count(DISTINCT cluster_id) n_clusters FROM (SELECT cluster_id, CASE WHEN judge IS NULL THEN 'no_judge_label' WHEN n < 2 THEN 'too_few_humans' ELSE 'kept' END AS rule FROM (SELECT item_id, any_value(cluster_id) cluster_id, count(rating) n FROM v_base GROUP BY 1) x LEFT JOIN (SELECT * FROM v_base_judge WHERE item_id % 7 <> 0) j USING (item_id)) y GROUP BY 1"),
+    "q_baseline_rules": _with("v_base v_base_judge", "SELECT rule, count(*) n_items, count(DISTINCT cluster_id) n_clusters FROM (SELECT cluster_id, CASE WHEN judge IS NULL THEN 'no_judge_label' WHEN n < 2 THEN 'too_few_humans' ELSE 'kept' END AS rule FROM (SELECT item_id, any_value(cluster_id) cluster_id, count(rating) n FROM v_base GROUP BY 1) x LEFT JOIN v_base_judge j USING (item_id)) y GROUP BY 1"),
     "q_baseline_alphas": _with("v_base v_base_judge", f"SELECT {_r('judge_human')} judge_human, {_r('human_human')} human_human, {_r('difference')} difference FROM ({_two_alphas('(SELECT sum(hh_o) hh_o, sum(jh_o) jh_o FROM obs) o', '(SELECT v, sum(hh) hh, sum(jh) jh FROM marg GROUP BY 1) m', '')}) q", *_BASE),
-    "q_baseline_boot_hash": _with("v_base v_base_judge", _interval("difference", "draws"), *_BASE, "u AS (SELECT *, row_number() OVER (ORDER BY cluster_id) - 1 ix FROM obs)", f"d AS ({_draws('u')})", "t AS (SELECT b, ix, count(*) times FROM d GROUP BY 1, 2)", "oo AS (SELECT b, sum(times * hh_o) hh_o, sum(times * jh_o) jh_o FROM t JOIN u USING (ix) GROUP BY 1)", "mm AS (SELECT b, v, sum(times * hh) hh, sum(times * jh) jh FROM t JOIN u USING (ix) JOIN marg USING (cluster_id) GROUP BY 1, 2)", f"draws AS ({_two_alphas('oo', 'mm', 'b')})"),
     "q_position_design": _with("v_pos_random v_pos_both", "\nUNION ALL\n".join(f"SELECT '{name}' pairs, n_pairs, n_both_orders, CASE WHEN n_both_orders > 0 AND n_both_orders >= 0.5 * n_pairs THEN 'both_orders' ELSE 'randomised' END design FROM (SELECT count(DISTINCT pair_id) n_pairs, (SELECT count(DISTINCT x.pair_id) FROM {view} x JOIN {view} y ON x.pair_id = y.pair_id AND x.option_a = y.option_b AND x.option_b = y.option_a) n_both_orders FROM {view}) q" for name, view in (("pair_id", "v_pos_random"), ("item_id", "v_pos_both")))),
     "q_position_randomised": _with("v_pos_random", f"SELECT count(*) n_judgements, count(winner) n_decisive, count(*) - count(winner) n_ties, count(*) FILTER (winner = option_a) n_a_wins, {_r('count(*) FILTER (winner = option_a) / count(winner)')} rate FROM v_pos_random"),
     "q_position_couples": _with("v_pos_both", "SELECT * FROM couples", *_COUPLES),
@@ -249,7 +415,7 @@ FROM unnest(range(1, 20)) x(b), unnest(range(1, 6)) y(r), unnest(range(1, 16)) z
     "q_plurality": _with("v_ratings", "SELECT item_id, sum(c)::BIGINT n, CASE WHEN count(*) FILTER (c = top) > 1 THEN 'tie' ELSE max_by(rating, c) END verdict FROM (SELECT *, max(c) OVER (PARTITION BY item_id) top FROM (SELECT item_id, rating, count(*) c FROM v_ratings GROUP BY 1, 2) x) y GROUP BY 1"),
     "q_first_vote": _with("v_lb", "SELECT item_id, model_a, model_b, seq, winner FROM v_lb QUALIFY row_number() OVER (PARTITION BY item_id, model_a, model_b ORDER BY seq) = 1"),
     "q_multi_judge_units": _with("v_sparse", "SELECT item_id, rater_id, rating FROM v_sparse WHERE item_id IN (SELECT item_id FROM v_sparse GROUP BY 1 HAVING count(DISTINCT rater_id) >= 2)"),
-    "q_join_judge": _with("v_base v_base_judge", "SELECT cluster_id, count(*) n, count(judge) n_judged, count(*) FILTER (judge = rating) n_same FROM v_base LEFT JOIN (SELECT * FROM v_base_judge WHERE item_id % 7 <> 0) j USING (item_id) GROUP BY 1"),
+    "q_join_judge": _with("v_base v_base_judge", "SELECT cluster_id, count(*) n, count(judge) n_judged, count(*) FILTER (judge = rating) n_same FROM v_base LEFT JOIN v_base_judge j USING (item_id) GROUP BY 1"),
     "q_codings": _with("v_lb", "SELECT winner by_name, CASE WHEN winner = 'tie' THEN 'tie' WHEN winner = least(model_a, model_b) THEN 'first' ELSE 'second' END by_alphabet, CASE WHEN winner = 'tie' THEN 'tie' WHEN winner = model_a THEN 'first' ELSE 'second' END by_place, count(*) n FROM v_lb GROUP BY ALL"),
     "q_unordered_pairs": _with("v_lb", "SELECT least(model_a, model_b) low, greatest(model_a, model_b) high, count(*) n FROM v_lb GROUP BY ALL"),
     "q_funnel": _with("v_judge", "SELECT 0 AS at, 'all' step, count(*) n FROM v_judge UNION ALL SELECT 1, 'judged good', count(*) FILTER (judge = 1) FROM v_judge UNION ALL SELECT 2, 'human agrees', count(*) FILTER (judge = 1 AND human = 1) FROM v_judge UNION ALL SELECT 3, 'english', count(*) FILTER (judge = 1 AND human = 1 AND slice = 'en') FROM v_judge"),

@@ -2,8 +2,10 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from plumbline.operators.agreement import NO_OVERLAP, NO_VARIANCE, ONE_ITEM, SINGLE_RATER, alphas, cohens_kappa, fleiss_kappa, rater_agreement, rater_dropout
+from plumbline.operators.agreement import NO_OVERLAP, NO_VARIANCE, ONE_ITEM, SINGLE_RATER, alpha_draws, alphas, cohens_kappa, fleiss_kappa, rater_agreement, rater_dropout
+from plumbline.plans import draws
 
 OBSERVERS = [
     [1, 2, 3, 3, 2, 1, 4, 1, 2, None, None, None],
@@ -65,12 +67,65 @@ def test_bootstrap_is_numpys(spark, level):
     rng = np.random.default_rng(1)
     m = rng.integers(1, 4, (3, 12)).tolist()
     rows = [(i, k, float(m[k][i])) for k in range(3) for i in range(12)]
-    r = rater_agreement(spark.createDataFrame(rows, "item_id long, rater_id long, rating double"), level, n_boot=60, seed=9)
+    r = rater_agreement(spark.createDataFrame(rows, "item_id long, rater_id long, rating double"), level, n_boot=60, seed=9, order=["item_id"])
     draws = np.random.default_rng(9).integers(0, 12, size=(60, 12))
     each = np.array([slow_alpha([[c[i] for i in d] for c in m], level) for d in draws])
     assert (r.ci_low, r.ci_high) == pytest.approx(tuple(np.nanpercentile(each, [2.5, 97.5])))
 
 
+@pytest.mark.parametrize("level", ["nominal", "ordinal", "interval"])
+def test_keyed_bootstrap_and_order_of_appearance(spark, level):
+    """Keyed draws, in blocks or at once, weigh each item as its key says; an order numbers items by their first rows."""
+    rng = np.random.default_rng(3)
+    rows = [(int(i), k, float(rng.integers(1, 5)), int(rng.integers(10**6))) for i in rng.permutation(25) for k in range(3) if rng.random() < 0.8 or k == 0]
+    df = spark.createDataFrame(rows, "item_id long, rater_id long, rating double, at long")
+    units = {}
+    for i, _, x, _ in rows:
+        units.setdefault(i, []).append(x)
+    many = {i: u for i, u in units.items() if len(u) > 1}
+
+    def alpha(items):
+        flat = [many[i] for i in items]
+        wide = [[u[k] if k < len(u) else None for u in flat] for k in range(3)]
+        return slow_alpha(wide, level)
+
+    numbers = {r.item_id: r.u for r in df.select("item_id", draws.unit_number(F.col("item_id")).alias("u")).distinct().collect()}
+    names = sorted(many)
+    want = []
+    for c in draws.polynomials(6, 0, 40):
+        times = draws.poisson(np.array([numbers[i] for i in names]), np.ones(len(names), np.int64), c)
+        want.append(alpha([i for i, n in zip(names, times, strict=True) for _ in range(n)]))
+    assert alpha_draws(df, level, 40, 6) == pytest.approx(want)
+    first = {i: min(x[3] for x in rows if x[0] == i) for i in many}
+    names = sorted(many, key=first.get)
+    picks = np.random.default_rng(6).integers(0, len(names), size=(40, len(names)))
+    assert alpha_draws(df, level, 40, 6, ["at"]) == pytest.approx([alpha([names[k] for k in p]) for p in picks])
+
+
+def test_more_than_a_thousand_labels(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, k, f"v{i if k else rng.integers(1200)}") for i in range(1200) for k in range(3)]
+    df = spark.createDataFrame(rows, "item_id long, rater_id long, rating string")
+    table = np.zeros((1200, 1200))
+    for i, _, x in rows:
+        table[i, int(x[1:])] += 1
+    picks = np.random.default_rng(2).integers(0, 1200, size=(25, 1200))
+    g = np.array([np.bincount(p, minlength=1200) for p in picks])
+    o, margins = g @ ((9 - (table**2).sum(axis=1)) / 2), g @ table
+    n = margins.sum(axis=1)
+    assert alpha_draws(df, "nominal", 25, 2, ["item_id"]) == pytest.approx(1 - (n - 1) * o / (n * n - (margins**2).sum(axis=1)))
+
+
+@pytest.mark.parametrize("level", ["nominal", "ordinal", "interval"])
+def test_dropout_of_sparse_ratings(spark, level):
+    rng = np.random.default_rng(5)
+    m = rng.integers(1, 5, (6, 30)).astype(object)
+    m[rng.random((6, 30)) < 0.6] = None
+    got = {r.rater_id: r for r in rater_dropout(frame(spark, m.tolist()), level).collect()}
+    for k in range(6):
+        assert got[f"r{k}"].alpha_without == pytest.approx(slow_alpha(m.tolist(), level, skip=k))
+
+
 def test_labels_missing_and_refusals(spark):
     r = rater_agreement(frame(spark, [["a", "b", "a"], ["a", "b", None], ["b", "b", "a"]], "string"), bootstrap_ci=False)
     assert r.n_overlapping_items == 3 and "No interval was asked for" in r.summary()

@@ -3,11 +3,9 @@ import math
 import numpy as np
 import pytest
 
-from plumbline.operators import agreement as ag
-from plumbline.operators.judge import _baseline, baseline_counts, cluster_sums, judge_validation
+from plumbline.operators.judge import _baseline, judge_validation
 from plumbline.operators.length import NO_LENGTH, ONE_OUTCOME, SEPARATED, length_bias
 from plumbline.operators.position import couples, position_bias
-from plumbline.plans.draws import drawn
 from tests.test_agreement import slow_alpha
 
 
@@ -53,28 +51,65 @@ def test_baseline(spark):
         judge_validation(labels(spark, ["a"], ["a"]), human_baseline=base, ties="category")
 
 
-def test_baseline_counts_all_values_in_resamples(spark, monkeypatch):
-    """The interval is the same however many values a block of the bootstrap has."""
+@pytest.mark.parametrize("n_values", [40, 1200])
+def test_baseline_draws_are_numpys_whatever_the_number_of_values(spark, n_values):
+    """Clusters are numbered by their first rows, and the counts of all values enter."""
     r = np.random.default_rng(4)
-    truth = r.integers(0, 40, 120)
-    judge = [f"v{t if r.random() < 0.8 else r.integers(40)}" for t in truth]
-    rows = [(i, i % 20, k, f"v{t if r.random() < 0.7 else r.integers(40)}") for i, t in enumerate(truth) for k in range(3)]
-    base = spark.createDataFrame(rows, "item_id long, cluster_id long, rater_id long, rating string")
-    counts = baseline_counts(base, labels(spark, judge, judge), "category")
-    observed, margins = cluster_sums(counts)
-    n = observed.count()
-    cells, o = {(x.cluster_id, x.v): (x.hh, x.jh) for x in margins.collect()}, {x.cluster_id: (x.hh_o, x.jh_o) for x in observed.collect()}
-    values = sorted({v for _, v in cells})
-    stats = np.array([[*o[c], *(cells.get((c, v), (0, 0))[j] for j in range(2) for v in values)] for c in sorted(o)])
-    sums = drawn(stats, 60, 3)
-    h, j = sums[:, 2 : 2 + len(values)], sums[:, 2 + len(values) :]
+    truth = r.integers(0, n_values, 400)
+    judge = [f"v{t if r.random() < 0.8 else r.integers(n_values)}" for t in truth]
+    place = r.permutation(1200).tolist()
+    rows = [(i, i % 20, k, f"v{t if r.random() < 0.7 else r.integers(n_values)}", place.pop()) for i, t in enumerate(truth) for k in range(3)]
+    base = spark.createDataFrame(rows, "item_id long, cluster_id long, rater_id long, rating string, at long")
+    told = labels(spark, judge, judge)
+    got = _baseline(base, told, "category", 0.95, 60, 3, ["at"])
+    clusters = sorted(range(20), key=lambda c: min(x[4] for x in rows if x[1] == c))
+    values = {v: k for k, v in enumerate(sorted({x[3] for x in rows} | set(judge)))}
+    o, h, j = np.zeros((20, 2)), np.zeros((20, len(values))), np.zeros((20, len(values)))
+    for i, c, _, v, _ in rows:
+        at = clusters.index(c)
+        o[at, 1] += 2 * (v != judge[i])
+        h[at, values[v]] += 1
+        j[at, values[v]] += 1
+        j[at, values[judge[i]]] += 1
+    for i in range(400):
+        own = [x[3] for x in rows[3 * i : 3 * i + 3]]
+        o[clusters.index(i % 20), 0] += sum(x != y for x in own for y in own) / 2
+    picks = np.random.default_rng(3).integers(0, 20, size=(60, 20))
+    times = np.array([np.bincount(p, minlength=20) for p in picks])
     alpha = lambda d, c: 1 - (c.sum(1) - 1) * d / (c.sum(1) ** 2 - (c**2).sum(1))
-    want = np.percentile(alpha(sums[:, 1], j) - alpha(sums[:, 0], h), [2.5, 97.5])
-    assert n == 20 and len(values) > 30
-    for scale in (1000, 7):
-        monkeypatch.setattr(ag, "SCALE", scale)
-        got = _baseline(base, labels(spark, judge, judge), "category", 0.95, 60, 3)
-        assert (got["baseline_ci_low"], got["baseline_ci_high"]) == pytest.approx(want.tolist()) and got["baseline_n_boot_usable"] == 60
+    want = np.percentile(alpha(times @ o[:, 1], times @ j) - alpha(times @ o[:, 0], times @ h), [2.5, 97.5])
+    assert (got["baseline_ci_low"], got["baseline_ci_high"]) == pytest.approx(want.tolist()) and got["baseline_n_boot_usable"] == 60
+    keyed = _baseline(base, told, "category", 0.95, 300, 3)
+    assert keyed["baseline_ci_low"] == pytest.approx(want[0], abs=0.03) and keyed["baseline_ci_high"] == pytest.approx(want[1], abs=0.03)
+
+
+@pytest.mark.parametrize("level", ["nominal", "ordinal", "interval"])
+def test_slices_by_first_appearance_with_their_own_seeds(spark, level):
+    r = np.random.default_rng(6)
+    human = [str(x) for x in r.integers(1, 4, 90)]
+    judge = [h if r.random() < 0.6 else str(r.integers(1, 4)) for h in human]
+    slices = [["c", "a", "b"][0 if i == 0 else r.integers(3)] for i in range(90)]
+    v = judge_validation(labels(spark, human, judge, slices), level, n_boot=50, seed=7, order=["item_id"])
+    rng, want = np.random.default_rng(7), {}
+    for name in dict.fromkeys(slices):
+        mine = [i for i in range(90) if slices[i] == name]
+        picks = np.random.default_rng(int(rng.integers(2**32))).integers(0, len(mine), size=(50, len(mine)))
+        each = [slow_alpha([[float(side[mine[k]]) for k in p] for side in (human, judge)], level) for p in picks]
+        want[name] = np.nanpercentile(each, [2.5, 97.5])
+    assert set(want) == set(v.by_slice["slice"])
+    for x in v.by_slice.itertuples():
+        assert (x.ci_low, x.ci_high) == pytest.approx(want[x.slice].tolist())
+    whole = np.random.default_rng(7).integers(0, 90, size=(50, 90))
+    each = [slow_alpha([[float(side[k]) for k in p] for side in (human, judge)], level) for p in whole]
+    assert (v.ci_low, v.ci_high) == pytest.approx(np.nanpercentile(each, [2.5, 97.5]).tolist())
+    keyed = judge_validation(labels(spark, human, judge, slices), level, n_boot=200, seed=7)
+    assert keyed.ci_low == pytest.approx(v.ci_low, abs=0.12) and keyed.by_slice["ci_low"].notna().all()
+
+
+def test_labels_without_ids(spark):
+    rows = labels(spark, ["a", "b"] * 20, ["a", "b", "b", "b"] * 10).drop("item_id")
+    v = judge_validation(rows, n_boot=50, seed=1)
+    assert v.n_items == 40 and v.ci_low < v.agreement < v.ci_high
 
 
 def shown(spark, rows):

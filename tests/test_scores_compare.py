@@ -36,12 +36,11 @@ def test_score_refusals(spark, values, method, says):
         score_ci(column(spark, values), method=method)
 
 
-def test_spread_bootstrap_is_like_the_drivers(spark, monkeypatch):
+def test_keyed_bootstrap(spark):
     x = np.random.default_rng(2).normal(0, 1, 400)
-    monkeypatch.setattr(draws, "DRIVER_DRAWS", 0)
     frame = column(spark, x)
-    a = score_ci(frame, n_boot=400, seed=1, order=["item_id"])
-    b = score_ci(frame.repartition(7), n_boot=400, seed=1, order=["item_id"])
+    a = score_ci(frame, n_boot=400, seed=1)
+    b = score_ci(frame.repartition(7), n_boot=400, seed=1)
     assert (a.ci_low, a.ci_high) == pytest.approx((b.ci_low, b.ci_high))
     assert a.width == pytest.approx(2 * 1.96 * x.std() / 20, rel=0.15)
     equal = score_ci(column(spark, [1] * 300 + [0] * 700), method="bootstrap", n_boot=400, seed=2)
@@ -49,12 +48,34 @@ def test_spread_bootstrap_is_like_the_drivers(spark, monkeypatch):
 
 
 def test_poisson_of_many():
-    keys = np.arange(4000, dtype=np.int64)
-    for mean in (1, 3, 50, 900):
-        got = draws.poisson(keys, np.full(4000, mean), 5, 1)
+    units = np.random.default_rng(1).integers(0, draws.PRIME, 4000)
+    polynomial = draws.polynomials(5, 1, 2)[0]
+    for mean in (1, 3, 50, 900, 10**6):
+        got = draws.poisson(units, np.full(4000, mean), polynomial)
         assert got.mean() == pytest.approx(mean, rel=0.06) and got.var() == pytest.approx(mean, rel=0.12)
 
 
+def test_resamples_are_like_independent_draws():
+    """Moments of a resampled sum over many resamples, and of two units' multiplicities in one."""
+    units = np.random.default_rng(2).integers(0, draws.PRIME, 200)
+    times = np.array([draws.poisson(units, np.ones(200, np.int64), c) for c in draws.polynomials(9, 0, 4000)])
+    x = np.random.default_rng(3).exponential(1, 200)
+    sums = times @ x
+    z = (sums - x.sum()) / np.sqrt((x**2).sum())
+    assert abs(z.mean()) < 0.06 and z.std() == pytest.approx(1, abs=0.05)
+    assert (z**3).mean() == pytest.approx((x**3).sum() / (x**2).sum() ** 1.5, abs=0.15) and (z**4).mean() == pytest.approx(3, abs=0.35)
+    assert np.abs(np.corrcoef(times[:, :50].T) - np.eye(50)).max() < 0.08 and np.abs(np.corrcoef(times[:50]) - np.eye(50)).max() < 0.35
+
+
+def test_the_scheme_does_not_depend_on_size(spark, monkeypatch):
+    """Sums in blocks of resamples or at once, dense or not, are the same."""
+    frame = column(spark, np.random.default_rng(5).normal(0, 1, 300))
+    want = score_ci(frame, n_boot=90, seed=4)
+    monkeypatch.setattr(draws, "SUMS", 40)
+    got = score_ci(frame, n_boot=90, seed=4)
+    assert (got.ci_low, got.ci_high) == pytest.approx((want.ci_low, want.ci_high), rel=1e-12)
+
+
 def test_mcnemar(spark):
     assert mcnemar_p(17, 7) == pytest.approx(0.06391465663909912)
     assert mcnemar_p(18, 7) == pytest.approx(0.0455002638963584)
@@ -87,15 +108,15 @@ def test_wilcoxon_against_all_sign_patterns(spark):
     assert compare_paired(pairs(spark, [1, 2], [1, 2]), method="wilcoxon").p_value == 1
 
 
-def test_walsh_ranks_without_the_list():
+@pytest.mark.parametrize("real", [False, True])
+def test_walsh_ranks_without_the_list(real):
     r = np.random.default_rng(3)
-    x = np.sort(r.choice(np.arange(-40, 40), 25, replace=False)).astype(float)
+    x = np.sort(r.normal(0, 1, 25) if real else r.choice(np.arange(-40, 40), 25, replace=False).astype(float))
     c = r.integers(1, 4, 25)
     each = np.repeat(x, c)
     walsh = np.sort([(each[i] + each[j]) / 2 for i in range(len(each)) for j in range(i, len(each))])
     cumulative = np.concatenate(([0], np.cumsum(c)))
-    for k in (0, 1, len(walsh) // 3, len(walsh) // 2, len(walsh) - 1):
-        assert _walsh_rank(x, cumulative, k) == pytest.approx(walsh[k], abs=1e-9)
+    assert [_walsh_rank(x, cumulative, k) for k in range(len(walsh))] == walsh.tolist()
 
 
 def test_independent(spark):
