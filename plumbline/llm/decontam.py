@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh, written
+from .common import fresh, tidy, written
 
 #: Bytes of words to themselves, A-Z lower-cased; of all others to a space.
 WORDS = bytes(b + 32 if 65 <= b <= 90 else b if b >= 0x80 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
@@ -235,7 +235,7 @@ def _marked(docs: DataFrame, scanner, hits: str, items: str, count: str, cut: bo
             own = [pa.array(texts, pa.string()) if cut and n == "text" else batch.column(n) for n in own_names]
             yield pa.RecordBatch.from_arrays([*own, pa.array(masks, pa.binary()), pa.array(found, pa.list_(pa.string())), pa.array(counts, pa.int64())], names=[*own_names, hits, items, count])
 
-    return docs.mapInArrow(batches, T.StructType([*(schema[n] for n in own_names), *(schema[n] for n in (hits, items, count))]))
+    return docs.mapInArrow(tidy(batches), T.StructType([*(schema[n] for n in own_names), *(schema[n] for n in (hits, items, count))]))
 
 
 def marked(docs: DataFrame, benchmark: DataFrame, window: int = 13, most: int = AUTOMATON_WORDS, cut: bool = False) -> tuple[DataFrame, str, str, str]:

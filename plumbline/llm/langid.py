@@ -27,13 +27,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh
+from .common import fresh, tidy
 
 RUNS = re.compile(r"[^\W\d_]+")
 MARK, LONGEST = "▁", 40
 SAMPLE, ROUNDS, EVIDENCE = 800, 4, 20
 #: Words that a worker remembers, and words that go through the forward algorithm at once.
-REMEMBERED, AT_ONCE = 300_000, 8192
+REMEMBERED, AT_ONCE = 100_000, 8192
 UND = "und"
 
 
@@ -231,7 +231,7 @@ def sampled_counts(docs: DataFrame, sample: int) -> dict[str, Counter]:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.string(), pa.string(), pa.int64()), strict=True)], names=["lang", "word", "n"])
 
     out: dict[str, Counter] = {}
-    for r in chosen.mapInArrow(batches, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).toLocalIterator():
+    for r in chosen.mapInArrow(tidy(batches), "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).toLocalIterator():
         out.setdefault(r.lang, Counter())[r.word] = r.n
     return out
 
@@ -286,7 +286,7 @@ def identified(docs: DataFrame, identifier: Identifier, lang: str, score: str) -
             found += use(held)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], names=[*batch.schema.names, lang, score])
 
-    return docs.mapInArrow(batches, T.StructType([*docs.schema.fields, T.StructField(lang, T.StringType()), T.StructField(score, T.DoubleType())]))
+    return docs.mapInArrow(tidy(batches), T.StructType([*docs.schema.fields, T.StructField(lang, T.StringType()), T.StructField(score, T.DoubleType())]))
 
 
 def fitted(docs: DataFrame, path: str, sample: int = SAMPLE) -> Identifier:

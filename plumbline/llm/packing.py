@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLOCK
+from .common import BLOCK, tidy
 
 LENGTH, END = 2048, 1
 BUCKETS, DIMENSIONS, BITS, REACH = 1024, 4, 15, 4.0
@@ -159,7 +159,7 @@ def packed(docs: DataFrame, tokenizer: str, ranks: str | None = None, pattern: s
 
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("key", curve_key(F.col("text")))
     placed = keyed.repartitionByRange("key", "doc_id").sortWithinPartitions("key", "doc_id", "text")
-    return placed.select("doc_id", "text").mapInArrow(batches, PIECES)
+    return placed.select("doc_id", "text").mapInArrow(tidy(batches), PIECES)
 
 
 def digests(pieces: DataFrame, *more: str) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import checkpointed, compact, word_blocks, written
+from .common import checkpointed, compact, tidy, word_blocks, written
 
 SHINGLE, SEED, RADIUS = 3, 42, 2
 #: Fingerprints of a tile that a task holds at a time, and pairs that it compares at once.
@@ -60,7 +60,7 @@ def fingerprinted(docs: DataFrame, name: str) -> DataFrame:
             rest = [(n, c) for n, c in zip(batch.schema.names, batch.columns, strict=True) if n != "text"]
             yield pa.RecordBatch.from_arrays([*(c for _, c in rest), pa.array(prints)], names=[*(n for n, _ in rest), name])
 
-    return docs.mapInArrow(batches, T.StructType([*(f for f in docs.schema if f.name != "text"), T.StructField(name, T.LongType())]))
+    return docs.mapInArrow(tidy(batches), T.StructType([*(f for f in docs.schema if f.name != "text"), T.StructField(name, T.LongType())]))
 
 
 def _forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -162,7 +162,7 @@ def links(nodes: DataFrame, radius: int = RADIUS, tile_rows: int = TILE_ROWS) ->
     others = sent.join(cuts, tile(moved) == F.col("tile")).withColumn("part", F.explode(F.expr("sequence(0, parts - 1)")))
     others = others.select("tile", "part", F.lit(True).alias("partner"), "print", "node")
     rows = held.unionByName(same).unionByName(others).repartition("tile", "part").sortWithinPartitions("tile", "part", "partner")
-    return rows.mapInArrow(_tile_links(radius), "a long, b long")
+    return rows.mapInArrow(tidy(_tile_links(radius)), "a long, b long")
 
 
 def components(edges: DataFrame, most_links: int) -> DataFrame:
