@@ -78,3 +78,28 @@ def test_spans_go_from_documents_that_stay(spark, tmp_path):
     docs = spark.createDataFrame([(1, f"{before} {passage} {after}"), (2, before), (3, None)], "doc_id long, text string")
     got = {x.doc_id: x.text for x in corpus_pipeline.decontaminate(spark, docs, str(tmp_path)).collect()}
     assert got == {1: f"{before}  {after}", 2: before, 3: None}
+
+
+def test_odd_rows_go_through_all_stages(spark, tmp_path):
+    """Missing ids, repeated rows, rows that repeat an id, very long texts and columns with the stages' own names."""
+    tables(spark, tmp_path)
+    r = random.Random(9)
+    plain, other, huge = (text(r, "aa", n) for n in (60, 60, 120_000))
+    one_run = "".join(r.choices("kalomituresa", k=50_000))
+    names = ["print", "component_id", "hit_words", "n_words", "lang_pred", "lines_gone", "stays", "one_row", "DOC_id2"]
+    rows = [(500, plain), (500, plain), (501, other), (501, other + " ka lo"), (None, text(r, "bb", 50)), (None, text(r, "bb", 50)), (502, huge), (503, one_run), (504, None), (505, "")]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} string" for n in names)
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for n in names:
+        docs = docs.withColumn(n, docs.source)
+    docs = docs.unionByName(spark.createDataFrame([(*x, None, None, None, *["x"] * len(names)) for x in rows], schema))
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, docs, str(tmp_path))
+        assert k == 4 or out.columns == docs.columns
+        out.write.parquet(f"{tmp_path}/odd{k}")
+        before, docs = docs, spark.read.parquet(f"{tmp_path}/odd{k}")
+    left = {x.doc_id: x.text for x in before.where("doc_id >= 500").collect()}
+    assert left == {500: plain, 501: min(other, other + " ka lo"), 502: huge, 503: one_run}
+    assert before.where("doc_id IS NULL").count() == 2 and before.where("doc_id = 500").count() == 1
+    assert docs.where("doc_id IS NULL AND start = 0").count() == 2
+    assert docs.where("doc_id = 502").agg({"length": "sum"}).first()[0] == docs.where("doc_id = 502").first().doc_tokens
