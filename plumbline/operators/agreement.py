@@ -280,7 +280,7 @@ def _ordinal_draws(counts: DataFrame, n_boot: int, seed: int | None, places: Dat
     lists = cells.groupBy("item_id").agg(F.first("unit").alias("unit"), F.collect_list("i").alias("i"), F.collect_list("x").alias("x"))
     for _, margins in resampled(cells.select("unit", "i", "j", "x"), n_boot, seed):
         x, n, e = _mid_ranks(margins)
-        o = lists.select("unit", "i", "x").mapInPandas(_observed(counts.sparkSession.sparkContext.broadcast((polynomials(seed, first, first + len(x)), x))), "b long, o double")
+        o = lists.select("unit", "i", "x").repartition(4 * counts.sparkSession.sparkContext.defaultParallelism, "unit").mapInPandas(_observed(counts.sparkSession.sparkContext.broadcast((polynomials(seed, first, first + len(x)), x))), "b long, o double")
         sums = dict(o.groupBy("b").agg(F.sum("o").alias("o")).collect())
         out.append(1 - (n - 1) * np.array([sums.get(b, 0.0) for b in range(len(x))]) / e)
         first += len(x)
@@ -297,7 +297,7 @@ def _observed(shared):  # noqa: ANN001, ANN202
                 unit, place, c = np.repeat(np.arange(len(part)), sizes), np.concatenate(part["i"].to_list()).astype(np.int64), np.concatenate(part["x"].to_list()).astype(float)
                 m, units = np.bincount(unit, c, len(part)), part["unit"].to_numpy(np.int64)
                 for b, x in enumerate(ranks):
-                    total[b] += poisson(units, np.ones(len(units), np.int64), coefficients[b]) @ _disagreement(unit, place, c, m, x)
+                    total[b] += poisson(units, None, coefficients[b]) @ _disagreement(unit, place, c, m, x)
         yield pd.DataFrame({"b": np.arange(len(total)), "o": total})
 
     return sums

@@ -29,6 +29,8 @@ PRIME = 2**31 - 1
 THRESHOLDS = tuple(int(PRIME * sum(exp(-1 - lgamma(i + 1)) for i in range(k + 1))) for k in range(12))
 #: Sums that a task holds at once: statistics times resamples.
 SUMS = 8_000_000
+#: Rows up to which a table is dealt out anew before it is resampled.
+SMALL = 20_000_000
 CELLS = "unit long, i long, j long, x double"
 
 
@@ -44,13 +46,31 @@ def polynomials(seed: int, first: int, last: int) -> np.ndarray:
     return np.array([[word(b, k) for k in range(4)] for b in range(first, last)], np.int64).reshape(-1, 4)
 
 
-def poisson(units: np.ndarray, many: np.ndarray, polynomial: np.ndarray) -> np.ndarray:
-    """Multiplicities of units by number, each of which stands for `many` equal ones."""
+#: Values under PRIME fall into equal bins, nearly all of which have one multiplicity.
+_SHIFT, _ORDERED = 19, np.array(THRESHOLDS)
+_FIRST = np.arange(1 << 31 - _SHIFT, dtype=np.int64) << _SHIFT
+_BIN = np.searchsorted(_ORDERED, _FIRST, side="right")
+_MIXED = np.searchsorted(_ORDERED, _FIRST + (1 << _SHIFT) - 1, side="right") != _BIN
+
+
+def _reduced(x: np.ndarray) -> np.ndarray:
+    """Of x under 2**63, a number that is x modulo PRIME and at most a little over it."""
+    return (x & PRIME) + (x >> 31)
+
+
+def poisson(units: np.ndarray, many: np.ndarray | None, polynomial: np.ndarray) -> np.ndarray:
+    """Multiplicities of units by number, each of which stands for `many` equal ones, or for itself."""
     a0, a1, a2, a3 = polynomial.tolist()
-    t = (((a3 * units + a2) % PRIME * units + a1) % PRIME * units + a0) % PRIME
-    out = np.searchsorted(THRESHOLDS, t, side="right")
-    for at in np.flatnonzero(many > 1).tolist():
-        out[at] = _quantiles(int(many[at]))(t[at])
+    t = _reduced(_reduced(a3 * units + a2))
+    t = _reduced(_reduced(t * units + a1))
+    t = _reduced(_reduced(t * units + a0))
+    t = np.where(t >= PRIME, t - PRIME, t)
+    bins = t >> _SHIFT
+    out, mixed = _BIN[bins], np.flatnonzero(_MIXED[bins])
+    out[mixed] = np.searchsorted(_ORDERED, t[mixed], side="right")
+    if many is not None:
+        for at in np.flatnonzero(many > 1).tolist():
+            out[at] = _quantiles(int(many[at]))(t[at])
     return out
 
 
@@ -84,7 +104,7 @@ def _partial(coefficients: np.ndarray):  # noqa: ANN202
                 continue
             labels, column = sorted_labels(part)
             units, first, place = np.unique(part["unit"].to_numpy(np.int64), return_index=True, return_inverse=True)
-            many = part["many"].to_numpy(np.int64)[first] if "many" in part else np.ones(len(units), np.int64)
+            many = part["many"].to_numpy(np.int64)[first] if "many" in part else None
             x, own = part["x"].to_numpy(float), np.empty((len(coefficients), len(labels)))
             dense = None
             if len(units) * len(labels) <= SUMS:
@@ -118,8 +138,11 @@ def resampled(cells: DataFrame, n_boot: int, seed, places: DataFrame | None = No
     if places is not None:
         yield from _by_numpy(cells, n_boot, seed, places)
         return
-    width = cells.select("i", "j").distinct().count()
+    size, width = cells.agg(F.count("*"), F.count_distinct("i", "j")).first()
     step, seed = max(1, min(n_boot, SUMS // max(width, 1))), some_seed(seed)
+    if size <= SMALL:  # few rows lie in few partitions, and the work is rows times resamples
+        parts = min(-(-size * n_boot // SUMS), 4 * cells.sparkSession.sparkContext.defaultParallelism)
+        cells = cells.repartition(max(1, parts), "unit")
     for first in range(0, n_boot, step):
         coefficients = polynomials(seed, first, min(first + step, n_boot))
         parts = cells.mapInPandas(_partial(coefficients), "i long, j long, sums binary")
