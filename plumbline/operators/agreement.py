@@ -26,11 +26,18 @@ NO_VARIANCE = "remaining raters agreed everywhere, so alpha has no denominator"
 ONE_ITEM = "only one item left with two or more ratings"
 
 
+def number_of(label: Column) -> Column:
+    """The double that a label spells, with or without underscores between digits; null for any other label."""
+    text = F.regexp_replace(label, r"(?<=\d)_(?=\d)", "")
+    spelled = text.rlike(r"^\s*[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|(?i:nan|inf|infinity))\s*$")
+    return F.when(spelled, F.btrim(text, F.lit(" \t\r\n")).try_cast("double"))
+
+
 def cleaned(ratings: DataFrame, level: str, *more: str) -> DataFrame:
     """(item_id, rater_id, rating, more): rated rows, numbers as doubles if all are, else labels, which only nominal takes."""
     need_choice("level", level, LEVELS)
     need_columns(ratings, [*RATINGS, *more], "ratings")
-    number = F.expr("try_cast(rating AS DOUBLE)")
+    number = number_of(F.col("rating")) if dict(ratings.dtypes)["rating"] == "string" else F.col("rating").cast("double")
     rows = ratings.select(*RATINGS, *(m for m in more if m not in RATINGS)).where(F.col("rating").isNotNull())
     if dict(ratings.dtypes)["rating"] in ("double", "float"):
         rows = rows.where(~F.isnan("rating"))

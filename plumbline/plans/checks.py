@@ -33,15 +33,16 @@ def finite(c: Column) -> Column:
 
 
 def need_finite(df: DataFrame, columns: Sequence[str], what: str) -> int:
-    """The number of rows; refuses none and scores that aren't finite."""
+    """The number of rows; refuses none and scores that aren't finite, naming the first item that has one."""
     bad = ~F.expr("true")
     for c in columns:
         bad = bad | ~finite(F.col(c).cast("double"))
-    n, odd = df.agg(F.count("*"), F.count_if(bad)).first()
+    item = F.col("item_id") if "item_id" in df.columns else F.lit(None)
+    n, odd, first = df.agg(F.count("*"), F.count_if(bad), F.min(F.when(bad, item))).first()
     if not n:
         raise ValueError(f"{what} must not be empty")
     if odd:
-        raise ValueError(f"{what} has {odd} of {n} rows without a finite score; drop or fill them first")
+        raise ValueError(f"{what} has {odd} of {n} rows without a finite score{'' if first is None else f', the first item {first!r}'}; drop or fill them first")
     return n
 
 

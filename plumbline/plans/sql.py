@@ -228,9 +228,11 @@ def _wilson_side(k: str, sign: str) -> str:
 
 
 _PLAIN = f"""SELECT n::BIGINT n, b::BIGINT n_a_only, c::BIGINT n_b_only, (b + c)::BIGINT n_discordant, e::BIGINT n_both, {_r("d")} difference, {_r("d - wald")} wald_low, {_r("d + wald")} wald_high,
-  {_r("d - sqrt((p1 - l1) ** 2 - 2 * phi * (p1 - l1) * (u2 - p2) + (u2 - p2) ** 2)")} newcombe_low, {_r("d + sqrt((u1 - p1) ** 2 - 2 * phi * (u1 - p1) * (p2 - l2) + (p2 - l2) ** 2)")} newcombe_high
+  {_r("d - sqrt((p1 - l1) ** 2 - 2 * phi * (p1 - l1) * (u2 - p2) + (u2 - p2) ** 2)")} newcombe_low, {_r("d + sqrt((u1 - p1) ** 2 - 2 * phi * (u1 - p1) * (p2 - l2) + (p2 - l2) ** 2)")} newcombe_high,
+  {_r("d - sqrt((p1 - l1) ** 2 - 2 * phc * (p1 - l1) * (u2 - p2) + (u2 - p2) ** 2)")} newcombe_corrected_low, {_r("d + sqrt((u1 - p1) ** 2 - 2 * phc * (u1 - p1) * (p2 - l2) + (p2 - l2) ** 2)")} newcombe_corrected_high
 FROM (SELECT *, (b - c) / n d, {Z} * sqrt(b + c - (b - c) ** 2 / n) / n wald, (e + b) / n p1, (e + c) / n p2, {_wilson_side("(e + b)", "-")} l1, {_wilson_side("(e + b)", "+")} u1, {_wilson_side("(e + c)", "-")} l2, {_wilson_side("(e + c)", "+")} u2,
-  coalesce((e * (n - e - b - c) - b * c) / nullif(sqrt((e + b) * (e + c) * (n - e - b) * (n - e - c)), 0), 0) phi FROM (SELECT count(*)::DOUBLE n, count(*) FILTER (q.a = 1 AND q.b = 0)::DOUBLE b, count(*) FILTER (q.a = 0 AND q.b = 1)::DOUBLE c, count(*) FILTER (q.a = 1 AND q.b = 1)::DOUBLE e FROM v_paired q) x) y"""
+  coalesce((e * (n - e - b - c) - b * c) / nullif(sqrt((e + b) * (e + c) * (n - e - b) * (n - e - c)), 0), 0) phi,
+  coalesce((CASE WHEN e * (n - e - b - c) >= b * c THEN greatest(e * (n - e - b - c) - b * c - n / 2, 0) ELSE e * (n - e - b - c) - b * c END) / nullif(sqrt((e + b) * (e + c) * (n - e - b) * (n - e - c)), 0), 0) phc FROM (SELECT count(*)::DOUBLE n, count(*) FILTER (q.a = 1 AND q.b = 0)::DOUBLE b, count(*) FILTER (q.a = 0 AND q.b = 1)::DOUBLE c, count(*) FILTER (q.a = 1 AND q.b = 1)::DOUBLE e FROM v_paired q) x) y"""
 
 _URGENT = "t AS (SELECT item_id, score x, score_cont y FROM v_indep WHERE grp = '1-URGENT')"
 _LOW = "l AS (SELECT item_id, score x, score_cont y FROM v_indep WHERE grp = '5-LOW')"

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.operators.agreement import NO_OVERLAP, NO_VARIANCE, ONE_ITEM, SINGLE_RATER, alpha_draws, alphas, cohens_kappa, fleiss_kappa, rater_agreement, rater_dropout
+from plumbline.operators.agreement import NO_OVERLAP, NO_VARIANCE, ONE_ITEM, SINGLE_RATER, alpha_draws, alphas, cohens_kappa, fleiss_kappa, number_of, rater_agreement, rater_dropout
 from plumbline.plans import draws
 
 OBSERVERS = [
@@ -172,3 +172,15 @@ def test_kappas(spark):
     assert f.kappa == pytest.approx(((1 + 1 / 3 + 1) / 3 - pe) / (1 - pe)) and f.n_raters == 3
     with pytest.raises(ValueError, match="same number"):
         fleiss_kappa(frame(spark, OBSERVERS))
+
+
+def test_labels_that_spell_numbers(spark):
+    told = {"1_000.5": 1000.5, " 2 ": 2.0, "-.5e1": -5.0, "1d": None, "1f": None, "0x1": None, "1__0": None, "_1": None, "": None, "inf": math.inf, "a": None}
+    got = {r.x: r.y for r in spark.createDataFrame([(k,) for k in told], "x string").withColumn("y", number_of(F.col("x"))).collect()}
+    assert got == told
+
+
+def test_tables_of_a_result(spark):
+    r = rater_agreement(frame(spark, OBSERVERS), n_boot=20, seed=1)
+    tables = r.tables(spark)
+    assert set(tables) == {"item_disagreement", "rater_dropout"} and tables["rater_dropout"].count() == 4 and tables["item_disagreement"].count() == 11

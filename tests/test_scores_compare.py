@@ -30,7 +30,7 @@ def test_score_methods(spark):
     assert "weak" in score_ci(column(spark, [1, 0, 1])).summary()
 
 
-@pytest.mark.parametrize(("values", "method", "says"), [([], "auto", "empty"), ([1.0, None], "auto", "finite"), ([float("inf")], "auto", "finite"), ([0.5], "wilson", "0/1"), ([1, 0], "t", "0/1"), ([0.5], "t", "one score"), ([0.5, 0.5], "t", "equal"), ([1], "no", "method")])
+@pytest.mark.parametrize(("values", "method", "says"), [([], "auto", "empty"), ([1.0, None], "auto", "first item 1"), ([float("inf")], "auto", "finite"), ([0.5], "wilson", "0/1"), ([1, 0], "t", "0/1"), ([0.5], "t", "one score"), ([0.5, 0.5], "t", "equal"), ([1], "no", "method")])
 def test_score_refusals(spark, values, method, says):
     with pytest.raises(ValueError, match=says):
         score_ci(column(spark, values), method=method)
