@@ -14,6 +14,7 @@ from ..functions.intervals import independent_difference, paired_difference
 from ..functions.special import binomial_half_two_sided, chi2_one_sf, normal_two_sided, t_quantile, t_two_sided, z_of
 from ..plans.checks import is_binary, need_choice, need_confidence, need_finite, need_resamples
 from ..plans.draws import bootstrap_p, percentile_interval, resampled_means, running, some_seed
+from ..plans.walsh import averages_at
 from ..results import ComparisonResult
 
 #: Fixed values of the method: discordant items below which McNemar's test is exact; items up to which, and distinct
@@ -116,45 +117,22 @@ def signed_p(n: int, w_positive: float, w_negative: float, exact: bool, tie_corr
 def wilcoxon(pairs: DataFrame, binary: bool, confidence: float) -> ComparisonResult:
     """The signed-rank test with the Hodges-Lehmann shift and its interval, all from distinct differences and counts."""
     d = pairs.select((F.col("a").cast("double") - F.col("b").cast("double")).alias("d")).where("d <> 0")
-    values = d.groupBy("d").agg(F.count("*").alias("n")).toPandas().sort_values("d")
-    if not len(values):
-        return ComparisonResult(0.0, 0.0, 0.0, 1.0, 0, "wilcoxon", binary, True, confidence)
-    if len(values) < SIGNED_DISTINCT:
-        raise ValueError(f"the differences take {len(values)} value(s) other than zero, too few for an interval by ranks; use method='mcnemar' or 'bootstrap'")
-    sums = rank_sums(signed_ranks(pairs)).first()
-    n, ties = int(sums.n), float(sums.tie_correction)
-    exact = n <= SIGNED_EXACT and ties == 0
-    x, c = values["d"].to_numpy(), np.concatenate(([0], np.cumsum(values["n"].to_numpy())))
-    pick = lambda k: _walsh_rank(x, c, k)
-    total = n * (n + 1) // 2
-    k = min(max(signed_trim(n, confidence, exact, 0.0 if exact else ties), 0), (total - 1) // 2)
-    middle = (pick((total - 1) // 2) + pick(total // 2)) / 2
-    return ComparisonResult(middle, pick(k), pick(total - 1 - k), signed_p(n, sums.w_positive, sums.w_negative, exact, ties), n, "wilcoxon", binary, True, confidence)
-
-
-def _walsh_rank(x: np.ndarray, cumulative: np.ndarray, k: int) -> float:
-    """The k-th Walsh average, as a list of all would have it, without the list: bisection down to neighbouring doubles, counting pairs."""
-    counts = np.diff(cumulative)
-
-    def at_most(v: float) -> int:
-        """Pairs i <= j with an average, rounded as it is, of at most v."""
-        upto = np.searchsorted(x, 2 * v - x, side="right")
-        while (more := (upto < len(x)) & ((x + x[np.minimum(upto, len(x) - 1)]) / 2 <= v)).any():
-            upto = upto + more
-        while (less := (upto > 0) & ((x + x[np.maximum(upto - 1, 0)]) / 2 > v)).any():
-            upto = upto - less
-        ordered = int((counts * cumulative[upto]).sum())
-        return (ordered + int(counts[x <= v].sum())) // 2
-
-    low, high = float(x[0]), float(x[-1])
-    while True:
-        mid = (low + high) / 2
-        if mid in (low, high):
-            return high if at_most(low) <= k else low
-        if at_most(mid) > k:
-            high = mid
-        else:
-            low = mid
+    values = d.groupBy("d").agg(F.count("*").alias("n")).persist()
+    try:
+        distinct = values.count()
+        if not distinct:
+            return ComparisonResult(0.0, 0.0, 0.0, 1.0, 0, "wilcoxon", binary, True, confidence)
+        if distinct < SIGNED_DISTINCT:
+            raise ValueError(f"the differences take {distinct} value(s) other than zero, too few for an interval by ranks; use method='mcnemar' or 'bootstrap'")
+        sums = rank_sums(signed_ranks(pairs)).first()
+        n, ties = int(sums.n), float(sums.tie_correction)
+        exact = n <= SIGNED_EXACT and ties == 0
+        total = n * (n + 1) // 2
+        k = min(max(signed_trim(n, confidence, exact, 0.0 if exact else ties), 0), (total - 1) // 2)
+        below, above, low, high = averages_at(values, distinct, [(total - 1) // 2, total // 2, k, total - 1 - k])
+    finally:
+        values.unpersist()
+    return ComparisonResult((below + above) / 2, low, high, signed_p(n, sums.w_positive, sums.w_negative, exact, ties), n, "wilcoxon", binary, True, confidence)
 
 
 def compare_paired(pairs: DataFrame, method: str = "auto", confidence: float = 0.95, n_boot: int = 10_000, seed: int | None = None, order: Sequence[str] = (), key: str = "item_id") -> ComparisonResult:

@@ -4,9 +4,9 @@ import math
 import numpy as np
 import pytest
 
-from plumbline.operators.compare import _walsh_rank, compare_independent, compare_paired, mcnemar_p, null_ranks, paired, signed_trim
+from plumbline.operators.compare import compare_independent, compare_paired, mcnemar_p, null_ranks, paired, signed_trim
 from plumbline.operators.scores import score_ci
-from plumbline.plans import draws
+from plumbline.plans import draws, walsh
 
 
 def column(spark, values, name="score"):
@@ -101,8 +101,8 @@ def test_wilcoxon_against_all_sign_patterns(spark):
     w = min(ranks[x > 0].sum(), ranks[x < 0].sum())
     sums = [sum(s) for s in itertools.product(*((0, k) for k in range(1, 9)))]
     assert r.p_value == pytest.approx(min(1, 2 * np.mean(np.array(sums) <= w)))
-    walsh = np.sort([(x[i] + x[j]) / 2 for i in range(8) for j in range(i, 8)])
-    assert r.difference == pytest.approx(np.median(walsh)) and (r.ci_low, r.ci_high) == pytest.approx((walsh[3], walsh[-4]))
+    averages = np.sort([(x[i] + x[j]) / 2 for i in range(8) for j in range(i, 8)])
+    assert r.difference == pytest.approx(np.median(averages)) and (r.ci_low, r.ci_high) == pytest.approx((averages[3], averages[-4]))
     with pytest.raises(ValueError, match="too few"):
         compare_paired(pairs(spark, [1, 2, 1, 2], [0, 0, 0, 0]), method="wilcoxon")
     assert compare_paired(pairs(spark, [1, 2], [1, 2]), method="wilcoxon").p_value == 1
@@ -114,9 +114,28 @@ def test_walsh_ranks_without_the_list(real):
     x = np.sort(r.normal(0, 1, 25) if real else r.choice(np.arange(-40, 40), 25, replace=False).astype(float))
     c = r.integers(1, 4, 25)
     each = np.repeat(x, c)
-    walsh = np.sort([(each[i] + each[j]) / 2 for i in range(len(each)) for j in range(i, len(each))])
-    cumulative = np.concatenate(([0], np.cumsum(c)))
-    assert [_walsh_rank(x, cumulative, k) for k in range(len(walsh))] == walsh.tolist()
+    listed = np.sort([(each[i] + each[j]) / 2 for i in range(len(each)) for j in range(i, len(each))])
+    assert [walsh.average_at(x, c, k) for k in range(len(listed))] == listed.tolist()
+
+
+@pytest.mark.parametrize("kind", ["real", "cents", "spike"])
+def test_walsh_ranks_by_ranges(spark, monkeypatch, kind):
+    r = np.random.default_rng(4)
+    x = {"real": r.normal(0.1, 1, 400), "cents": r.integers(-90, 90, 400) / 100, "spike": np.concatenate((r.normal(0, 1e-9, 200), r.normal(0, 1e6, 200)))}[kind]
+    x, c = np.unique(x, return_counts=True)
+    c = c * r.integers(1, 4, len(c))
+    each = np.repeat(x, c)
+    i, j = np.triu_indices(len(each))
+    listed = np.sort((each[i] + each[j]) / 2)
+    values = spark.createDataFrame([(float(a), int(b)) for a, b in zip(x, c, strict=True)], "d double, n long")
+    places = [0, len(listed) // 40, (len(listed) - 1) // 2, len(listed) // 2, len(listed) - 1]
+    monkeypatch.setattr(walsh, "RANGE", 25)
+    assert walsh.averages_at(values, len(x), places) == listed[places].tolist()
+
+
+def test_inner_products_past_64_bits():
+    a, b = np.array([3 << 40, 5, 7 << 41], np.int64), np.array([1 << 41, 9, (1 << 40) + 1], np.int64)
+    assert walsh.dot(a, b) == sum(int(x) * int(y) for x, y in zip(a, b, strict=True))
 
 
 def test_independent(spark):
