@@ -77,11 +77,21 @@ def codings(rows: DataFrame, a: str = "model_a", b: str = "model_b", winner: str
 
 
 def width_ratios(wide: DataFrame, narrow: DataFrame) -> DataFrame:
-    """Of two tables of pairs with intervals: n_pairs, the mean ratio of widths, and its square, the design effect."""
+    """Of two tables of pairs with intervals: n_pairs, the ratio of their mean widths, and its square, the design effect."""
     w = wide.select("model_a", "model_b", (F.col("ci_high") - F.col("ci_low")).alias("w1"))
     n = narrow.select("model_a", "model_b", (F.col("ci_high") - F.col("ci_low")).alias("w2"))
-    ratio = F.col("w1") / F.nullif(F.col("w2"), F.lit(0.0))
-    return w.join(n, ["model_a", "model_b"]).agg(F.count("*").alias("n_pairs"), F.avg(ratio).alias("width_ratio"), F.pow(F.avg(ratio), F.lit(2)).alias("design_effect"))
+    means = w.join(n, ["model_a", "model_b"]).agg(F.count("*").alias("n_pairs"), (F.avg("w1") / F.nullif(F.avg("w2"), F.lit(0.0))).alias("width_ratio"))
+    return means.withColumn("design_effect", F.col("width_ratio") * F.col("width_ratio"))
+
+
+def apart(pairs: DataFrame, ratings: DataFrame) -> DataFrame:
+    """pairs with `apart`: whether the two ratings' intervals have no number in common.
+
+    A rule that misses gaps which the gap's own interval tells from zero; reports use `separable`.
+    """
+    for side in ("a", "b"):
+        pairs = pairs.join(ratings.select(F.col("model").alias(f"model_{side}"), F.col("ci_low").alias(f"low_{side}"), F.col("ci_high").alias(f"high_{side}")), f"model_{side}", "left")
+    return pairs.withColumn("apart", F.greatest("low_a", "low_b") > F.least("high_a", "high_b")).drop("low_a", "low_b", "high_a", "high_b")
 
 
 def plain_paired_intervals(stats: DataFrame, confidence: float = 0.95) -> DataFrame:
@@ -104,23 +114,10 @@ def plain_paired_intervals(stats: DataFrame, confidence: float = 0.95) -> DataFr
     p1, p2, neither = first / n, second / n, n - both - b - c
     spread = F.sqrt(first * second * (n - first) * (n - second))
     cross = both * neither - b * c
-    out = {"difference": d, "wald_low": d - wald, "wald_high": d + wald}
+    within = lambda x, most: F.least(F.greatest(x, F.lit(-most)), F.lit(most))
+    out = {"difference": d, "wald_low": within(d - wald, 1.0), "wald_high": within(d + wald, 1.0)}
     for name, joint in (("newcombe", cross), ("newcombe_corrected", F.when(cross < 0, cross).otherwise(F.greatest(cross - n / 2, F.lit(0.0))))):
-        phi = F.coalesce(joint / F.nullif(spread, F.lit(0.0)), F.lit(0.0))
+        phi = within(F.coalesce(joint / F.nullif(spread, F.lit(0.0)), F.lit(0.0)), 1.0)
         side = lambda x, y: F.sqrt(F.greatest(x * x - 2 * phi * x * y + y * y, F.lit(0.0)))  # noqa: B023, E731
-        out |= {f"{name}_low": d - side(p1 - l1, u2 - p2), f"{name}_high": d + side(u1 - p1, p2 - l2)}
+        out |= {f"{name}_low": within(d - side(p1 - l1, u2 - p2), 1.0), f"{name}_high": within(d + side(u1 - p1, p2 - l2), 1.0)}
     return stats.withColumns(out)
-
-
-def coverage(spark, simulate, truth: float, trials: int, seed: int = 0) -> DataFrame:  # noqa: ANN001
-    """n, covered, missed below and above of trials, each trial an interval from simulate(rng); dealt out over the executors."""
-    import numpy as np
-    import pandas as pd
-
-    def run(batches):  # noqa: ANN001, ANN202
-        for part in batches:
-            found = [simulate(np.random.default_rng((seed, int(i)))) for i in part["id"]]
-            yield pd.DataFrame({"low": [x[0] for x in found], "high": [x[1] for x in found]})
-
-    rows = spark.range(trials).mapInPandas(run, "low double, high double")
-    return rows.agg(F.count("*").alias("n"), F.avg(((F.col("low") <= truth) & (F.col("high") >= truth)).cast("double")).alias("covered"), F.avg((F.col("low") > truth).cast("double")).alias("missed_below"), F.avg((F.col("high") < truth).cast("double")).alias("missed_above"))

@@ -25,6 +25,7 @@ from ..operators import position as ps
 from ..operators import power as pwr
 from ..operators import relational as rel
 from ..operators import scores as sc
+from ..operators import studies as st
 from ..operators.audit import audit
 from ..sources import views as v
 from .draws import resampled
@@ -552,15 +553,42 @@ def q_plain_paired_intervals(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(rel.plain_paired_intervals(stats))
 
 
+def q_bt_overlap(spark: SparkSession, sf: str) -> DataFrame:
+    """Gaps told from zero by their own interval, and by intervals of ratings that do not overlap."""
+    board = _board(spark, sf, 1000)
+    return rel.apart(*map(spark.createDataFrame, (board.pairs, board.ratings))).select("model_a", "model_b", "separable", "apart")
+
+
 def q_coverage(spark: SparkSession, sf: str) -> DataFrame:
     """Of Wilson's interval at 30 items and a pass rate of 0.9, in 4,000 trials."""
+    return rounded(st.coverage(spark, lambda rng: intervals.wilson(int((rng.random(30) < 0.9).sum()), 30, 0.95), 0.9, 4000))
+
+
+def q_coverage_paired(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(st.paired_coverage(spark, PAIRED_SETTINGS))
+
+
+def q_coverage_two_sample(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(st.two_sample_coverage(spark, TWO_SAMPLE_SETTINGS))
 
-    def simulate(rng):  # noqa: ANN001, ANN202
-        from plumbline.functions.intervals import wilson
 
-        return wilson(int((rng.random(30) < 0.9).sum()), 30, 0.95)
+def q_coverage_boards(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(st.board_coverage(spark, SPREADS, STRENGTHS))
 
-    return rounded(rel.coverage(spark, simulate, 0.9, 4000))
 
+#: Designs of the coverage studies. Items, pass rates and correlation; distribution and group sizes; spreads
+#: of prompts and strengths of models.
+PAIRED_SETTINGS = (
+    (100, 0.75, 0.60, 0.5),
+    (100, 0.75, 0.60, 0.8),
+    (50, 0.75, 0.60, 0.7),
+    (30, 0.70, 0.50, 0.6),
+    (200, 0.90, 0.85, 0.7),
+    (100, 0.95, 0.90, 0.8),
+    (100, 0.50, 0.50, 0.7),
+    (40, 0.60, 0.60, 0.5),
+)
+TWO_SAMPLE_SETTINGS = (("normal", 30, 90), ("exponential", 25, 60), ("exponential", 40, 120), ("exponential", 100, 300))
+SPREADS, STRENGTHS = (0.0, 0.25, 0.5, 1.0), (1.0, 0.6, 0.3, 0.0, -0.6, -1.3)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: f for k, f in list(globals().items()) if k.startswith("q_")} | {f"q_alpha_{level}": _alpha(level) for level in ag.LEVELS} | {f"q_rater_agreement_{level}": _agreed(level) for level in ag.LEVELS}

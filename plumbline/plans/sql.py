@@ -227,9 +227,9 @@ def _wilson_side(k: str, sign: str) -> str:
     return f"(({p} + {Z * Z} / (2 * n) {sign} {Z} * sqrt({p} * (1 - {p}) / n + {Z * Z} / (4 * n * n))) / (1 + {Z * Z} / n))"
 
 
-_PLAIN = f"""SELECT n::BIGINT n, b::BIGINT n_a_only, c::BIGINT n_b_only, (b + c)::BIGINT n_discordant, e::BIGINT n_both, {_r("d")} difference, {_r("d - wald")} wald_low, {_r("d + wald")} wald_high,
-  {_r("d - sqrt((p1 - l1) ** 2 - 2 * phi * (p1 - l1) * (u2 - p2) + (u2 - p2) ** 2)")} newcombe_low, {_r("d + sqrt((u1 - p1) ** 2 - 2 * phi * (u1 - p1) * (p2 - l2) + (p2 - l2) ** 2)")} newcombe_high,
-  {_r("d - sqrt((p1 - l1) ** 2 - 2 * phc * (p1 - l1) * (u2 - p2) + (u2 - p2) ** 2)")} newcombe_corrected_low, {_r("d + sqrt((u1 - p1) ** 2 - 2 * phc * (u1 - p1) * (p2 - l2) + (p2 - l2) ** 2)")} newcombe_corrected_high
+_PLAIN = f"""SELECT n::BIGINT n, b::BIGINT n_a_only, c::BIGINT n_b_only, (b + c)::BIGINT n_discordant, e::BIGINT n_both, {_r("d")} difference, {_r("greatest(d - wald, -1)")} wald_low, {_r("least(d + wald, 1)")} wald_high,
+  {_r("greatest(d - sqrt((p1 - l1) ** 2 - 2 * phi * (p1 - l1) * (u2 - p2) + (u2 - p2) ** 2), -1)")} newcombe_low, {_r("least(d + sqrt((u1 - p1) ** 2 - 2 * phi * (u1 - p1) * (p2 - l2) + (p2 - l2) ** 2), 1)")} newcombe_high,
+  {_r("greatest(d - sqrt((p1 - l1) ** 2 - 2 * phc * (p1 - l1) * (u2 - p2) + (u2 - p2) ** 2), -1)")} newcombe_corrected_low, {_r("least(d + sqrt((u1 - p1) ** 2 - 2 * phc * (u1 - p1) * (p2 - l2) + (p2 - l2) ** 2), 1)")} newcombe_corrected_high
 FROM (SELECT *, (b - c) / n d, {Z} * sqrt(b + c - (b - c) ** 2 / n) / n wald, (e + b) / n p1, (e + c) / n p2, {_wilson_side("(e + b)", "-")} l1, {_wilson_side("(e + b)", "+")} u1, {_wilson_side("(e + c)", "-")} l2, {_wilson_side("(e + c)", "+")} u2,
   coalesce((e * (n - e - b - c) - b * c) / nullif(sqrt((e + b) * (e + c) * (n - e - b) * (n - e - c)), 0), 0) phi,
   coalesce((CASE WHEN e * (n - e - b - c) >= b * c THEN greatest(e * (n - e - b - c) - b * c - n / 2, 0) ELSE e * (n - e - b - c) - b * c END) / nullif(sqrt((e + b) * (e + c) * (n - e - b) * (n - e - c)), 0), 0) phc FROM (SELECT count(*)::DOUBLE n, count(*) FILTER (q.a = 1 AND q.b = 0)::DOUBLE b, count(*) FILTER (q.a = 0 AND q.b = 1)::DOUBLE c, count(*) FILTER (q.a = 1 AND q.b = 1)::DOUBLE e FROM v_paired q) x) y"""
@@ -333,6 +333,11 @@ FROM (SELECT x.model a, y.model c, x.s - y.s d, (SELECT won + lost FROM full_gri
 JOIN (SELECT u.model a, v.model c, quantile_cont(u.s - v.s, 0.025) lo, quantile_cont(u.s - v.s, 0.975) hi FROM r u JOIN r v USING (b) WHERE u.b >= 0 AND u.model <> v.model GROUP BY 1, 2) z USING (a, c)"""
 _BT_INTERVALS = _BOARDS + f"""SELECT model, {_r("point.s - f.s", 4)} rating, {_r("lo - f.s", 4)} ci_low, {_r("hi - f.s", 4)} ci_high FROM point JOIN (SELECT model, quantile_cont(s, 0.025) lo, quantile_cont(s, 0.975) hi FROM r WHERE b >= 0 GROUP BY 1) q USING (model), (SELECT s FROM point ORDER BY met DESC, model LIMIT 1) f"""
 
+_BT_OVERLAP = _BOARDS + """, ends AS (SELECT model, quantile_cont(s, 0.025) lo, quantile_cont(s, 0.975) hi FROM r WHERE b >= 0 GROUP BY 1),
+gaps AS (SELECT u.model a, v.model c, quantile_cont(u.s - v.s, 0.025) lo, quantile_cont(u.s - v.s, 0.975) hi FROM r u JOIN r v USING (b) WHERE u.b >= 0 AND u.model <> v.model GROUP BY 1, 2)
+SELECT a model_a, c model_b, g.lo > 0 OR g.hi < 0 separable, e.hi < f.lo OR f.hi < e.lo apart
+FROM gaps g JOIN point x ON x.model = a JOIN point y ON y.model = c AND x.s > y.s JOIN ends e ON e.model = a JOIN ends f ON f.model = c"""
+
 #: The cases of q_refusals.
 _REFUSED = (
     "score not finite", "wilson of prices", "t of passes", "confidence of one", "no resamples", "method unknown", "mcnemar of cents",
@@ -359,6 +364,7 @@ SQL: dict[str, str] = {
     "q_bt_credit_drop": _with("v_lb", f"SELECT i, j, {_r('sum(c)')} credit FROM (SELECT model_a i, model_b j, (winner = model_a)::INT c FROM v_lb WHERE winner <> 'tie' UNION ALL SELECT model_b, model_a, (winner = model_b)::INT FROM v_lb WHERE winner <> 'tie') x GROUP BY 1, 2"),
     "q_bt_boot_credit": _with("v_lb", f"SELECT b, i, j, {_r('credit')} credit FROM cb WHERE credit > 0", _ITEM_CREDIT, *_keyed("v_lb", "item_id", 1000), _BOOT_CREDIT),
     "q_bt_pairs": _BT_PAIRS,
+    "q_bt_overlap": _BT_OVERLAP,
     "q_bt_rating_intervals": _BT_INTERVALS,
     "q_bt_ends": _with("v_lb", "SELECT max(greatest(model_a, model_b)) undefeated, min(least(model_a, model_b)) winless, true connected, 0::BIGINT n_rated FROM v_lb"),
     "q_join_inner": _with("v_sparse v_base_judge", "SELECT judge, count(*) n, count(DISTINCT item_id) n_items FROM v_sparse JOIN v_base_judge USING (item_id) WHERE judge <> 'view' GROUP BY 1"),
