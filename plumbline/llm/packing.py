@@ -2,7 +2,7 @@
 
 A document's vector (counts of hashed byte trigrams, unit length) is projected to a few dimensions by a fixed random
 matrix; its place on the Hilbert curve through these is its key. Rows are range-sorted by key and id, so a task has a
-stretch of the curve, and a group of copies, which has one key, is spread by id. Each task tokenises its stretch and
+stretch of the curve, about as many bytes as any other, and a group of copies, which has one key, is spread by id. Each task tokenises its stretch and
 cuts it into full sequences; what is left at its end goes into sequences whose lengths are powers of two, so no id of
 padding is needed anywhere.
 
@@ -27,6 +27,10 @@ from .common import BLOCK, tidy
 
 LENGTH, END = 2048, 1
 BUCKETS, DIMENSIONS, BITS, REACH = 1024, 4, 15, 4.0
+#: Bytes to a stretch of the curve at most, on average; rows picked to a stretch, to cut the curve.
+PART_BYTES, PICKS, SEED = 256 << 20, 32, 5
+#: Sorts with the rows that have no id.
+NO_ID = -(1 << 63)
 #: Characters on which both tokenizer libraries are known to cut alike; other texts go to the slower one.
 PLAIN = re.compile("[\t\n\r -~¡-ɏ]*")
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
@@ -68,16 +72,55 @@ def projected(text: str | None, matrix: np.ndarray) -> np.ndarray:
     return counts @ matrix / max(np.sqrt(counts @ counts), 1)
 
 
+def keys(texts: pd.Series) -> np.ndarray:
+    matrix = np.random.default_rng(11).standard_normal((BUCKETS, DIMENSIONS))
+    points = np.array([projected(x, matrix) for x in texts]).reshape(-1, DIMENSIONS)
+    return hilbert(np.clip((points + REACH) / (2 * REACH) * (1 << BITS), 0, (1 << BITS) - 1))
+
+
 def curve_key(c) -> F.Column:
     @F.pandas_udf("long")
     def key(texts: pd.Series) -> pd.Series:
-        matrix = np.random.default_rng(11).standard_normal((BUCKETS, DIMENSIONS))
-        points = np.array([projected(x, matrix) for x in texts]).reshape(-1, DIMENSIONS)
-        return pd.Series(hilbert(np.clip((points + REACH) / (2 * REACH) * (1 << BITS), 0, (1 << BITS) - 1)))
+        return pd.Series(keys(texts))
 
     return key(c)
 
 
+def stretch_of(key: np.ndarray, doc_id: np.ndarray, cut_keys: np.ndarray, cut_ids: np.ndarray) -> np.ndarray:
+    """How many cuts (key, id), which are sorted, lie at or before each row."""
+    out, equal = (np.searchsorted(cut_keys, key, side=side) for side in ("left", "right"))
+    for k in np.unique(key[equal > out]):  # a key so common that it is cut by id
+        at = key == k
+        first, last = np.searchsorted(cut_keys, k, side="left"), np.searchsorted(cut_keys, k, side="right")
+        out[at] = first + np.searchsorted(cut_ids[first:last], doc_id[at], side="right")
+    return out
+
+
+def stretches(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, text) with their keys, each stretch of the curve a partition, in order.
+
+    Stretches have about equal numbers of bytes, so that long documents that lie together don't make a long task: cuts are
+    every PICKS-th of rows picked with chances in proportion to their bytes. Only where rows lie depends on the picks.
+    """
+    spark, size = docs.sparkSession, F.coalesce(F.octet_length("text"), F.lit(0)) + 64
+    total = docs.agg(F.sum(size)).first()[0] or 0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // PART_BYTES))
+    step = max(total, 1) / (PICKS * parts)
+    picked = docs.withColumn("weight", F.greatest(size.cast("double"), F.lit(step))).where(F.rand(SEED) * step < size)
+    picks = picked.select(curve_key(F.col("text")).alias("key"), F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), "weight").toPandas().sort_values(["key", "doc_id"])
+    upto = picks["weight"].cumsum().to_numpy()
+    at = np.unique(np.searchsorted(upto, upto[-1] * np.arange(1, parts) / parts)) if len(picks) else np.zeros(0, np.int64)
+    cuts = spark.sparkContext.broadcast((picks["key"].to_numpy(np.int64)[at], picks["doc_id"].to_numpy(np.int64)[at]))
+
+    @F.pandas_udf("key long, stretch int")
+    def placed(doc_ids: pd.Series, texts: pd.Series) -> pd.DataFrame:
+        key = keys(texts)
+        return pd.DataFrame({"key": key, "stretch": stretch_of(key, doc_ids.to_numpy(np.int64), *cuts.value).astype(np.int32)})
+
+    rows = docs.withColumn("place", placed(F.coalesce("doc_id", F.lit(NO_ID)), "text")).select("doc_id", "text", "place.key", "place.stretch")
+    return rows.repartitionById(parts, "stretch").sortWithinPartitions("key", "doc_id", "text")
+
+
 class Encoder:
     """Ids by tokenizers from a file of its format; by tiktoken from the same vocabulary's ranks where both agree."""
 
@@ -157,8 +200,7 @@ def packed(docs: DataFrame, tokenizer: str, ranks: str | None = None, pattern: s
         if rows:
             yield made()
 
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("key", curve_key(F.col("text")))
-    placed = keyed.repartitionByRange("key", "doc_id").sortWithinPartitions("key", "doc_id", "text")
+    placed = stretches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
     return placed.select("doc_id", "text").mapInArrow(tidy(batches), PIECES)
 
 

@@ -7,7 +7,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from plumbline.llm.packing import Encoder, Packer, hilbert, packed, projected
+from plumbline.llm.packing import Encoder, Packer, hilbert, packed, projected, stretch_of, stretches
 from plumbline.llm.queries import byte_pairs
 
 
@@ -80,3 +80,27 @@ def test_copies_project_alike_and_long_texts_in_blocks(monkeypatch):
     whole = projected(text, matrix)
     monkeypatch.setattr("plumbline.llm.packing.BLOCK", 37)
     assert np.allclose(projected(text, matrix), whole) and np.allclose(projected(None, matrix), 0)
+
+
+def test_stretches_have_equal_bytes(spark):
+    r = random.Random(4)
+    long_ = [(i, "".join(r.choices("qxz", k=20_000))) for i in range(40)]  # all of one kind, so near each other
+    copies = [(100 + i, "one text that many have " * 20) for i in range(2000)]
+    short = [(5000 + i, " ".join(r.choices(["alpha", "beta", "gamma", "delta", "no", "yes"], k=60))) for i in range(2000)]
+    docs = spark.createDataFrame(long_ + copies + short, "doc_id long, text string").repartition(7)
+    got = stretches(docs).select("doc_id", "text", "key", "stretch").rdd.glom().collect()  # a small table
+    assert sorted((x.doc_id, x.text) for part in got for x in part) == sorted(long_ + copies + short)
+    sizes = [sum(len(x.text) for x in part) for part in got]
+    assert len(got) == 8 and max(sizes) < 1.8 * sum(sizes) / 8
+    rows = [(x.key, x.doc_id) for part in got for x in part]
+    assert rows == sorted(rows)
+
+
+def test_stretch_of_rows():
+    keys, ids = np.array([3, 5, 5, 9]), np.array([7, 10, 20, 1])
+    rows = [(k, i) for k in range(11) for i in (-1, 1, 7, 10, 15, 20, 21)]
+    got = stretch_of(np.array([k for k, _ in rows]), np.array([i for _, i in rows]), keys, ids)
+    cuts = list(zip(keys.tolist(), ids.tolist(), strict=True))
+    for (k, i), place in zip(rows, got.tolist(), strict=True):
+        assert place == sum(c <= (k, i) for c in cuts)
+    assert stretch_of(np.array([1]), np.array([1]), keys[:0], ids[:0]).tolist() == [0]
