@@ -15,6 +15,8 @@ NAMES = (
     "capitalised_words", "digits", "upper", "symbols", "stops", "exclamations", "bars", "not_ascii", "controls",
     "lines_a_word", "distinct_lines", "commonest_line", "words_ending_in_stops",
 )
+#: Documents are drawn by hashes under this, fine enough for any number of labels.
+DRAWS = 1 << 60
 _CLASSES = np.zeros((256, 9))
 for _name, _bytes in enumerate((b"0123456789", bytes(range(65, 91)), b"#$%&*+/<=>@\\^_`{}~[]|", b".,;:?", b"!", b"|", bytes(range(128, 256)), bytes([*range(9), *range(14, 32), 127]), bytes([*range(65, 91), *range(97, 123)]))):
     _CLASSES[list(_bytes), _name] = 1
@@ -63,9 +65,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, columns: list[str], most
     told = told.groupBy("doc_id").agg(*(F.max(c).cast("int").alias(c) for c in columns))
     known = told.join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
     sizes = {r[0]: r.n for r in known.groupBy(columns[-1]).agg(F.count("*").alias("n")).collect()}
-    draw = F.pmod(F.xxhash64("doc_id", F.lit("labelled")), F.lit(1 << 20))
-    share = F.lit(0)
+    draw = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit("labelled")), 4)  # under 2**60
+    share = F.lit(0).cast("long")
     for value, n in sizes.items():
-        share = F.when(F.col(columns[-1]) == value, F.lit(min(1 << 20, (1 << 20) * most // n))).otherwise(share)
+        share = F.when(F.col(columns[-1]) == value, F.lit(DRAWS * min(most, n) // n)).otherwise(share)
     chosen = F.broadcast(known.where(draw < share))  # about `most` ids a value
     return docs.join(chosen, "doc_id").select("doc_id", "text", *columns)
