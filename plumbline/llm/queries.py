@@ -1,4 +1,4 @@
-"""The queries op1 to op10, each over its whole table, and their SQL where SQL can express them."""
+"""The queries op1 to op13, each over its whole table, and their SQL where SQL can express them."""
 
 from __future__ import annotations
 
@@ -8,12 +8,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_model, quality, toxicity
+from . import language_model, line_rules, quality, toxicity
+from .collocations import collocations
 from .common import remainder, table
 from .decontam import contamination
 from .langid import fitted, identified
 from .line_dedup import line_deduplicated
 from .packing import digests, packed
+from .prefix_trie import prefix_trie
 from .simhash import simhash_components
 from .topk import top_k, vectors
 from .url_filter import SUFFIXES, url_filter
@@ -177,6 +179,61 @@ def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model.scored(docs, language_model.fitted(docs.where("NOT held_out")))
 
 
+def op11_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learned from the same rows as op5."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    field = line_rules.fitted(docs.where(remainder(F.col("doc_id"), 4) != 2), table(spark, sf_dir, "labels"))
+    return line_rules.rated(docs, field).select("doc_id", *line_rules.COUNTS, "base_failed", "kept", "content_words")
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+OP12_SQL = r"""
+WITH RECURSIVE crc_table AS (
+  SELECT n, list_reduce(list_prepend(n, [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) c FROM unnest(range(256)) t(n)),
+crc_all AS (SELECT list(c ORDER BY n) t FROM crc_table),
+own AS (SELECT conv_id c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1 p, coalesce(role, '') r, coalesce(text, '') t FROM conversations WHERE conv_id IS NOT NULL),
+convs AS (SELECT c, c - c % 20 base, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(c::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+  lambda s, x: xor(crc_all.t[(xor(s, x) & 255) + 1], s >> 8)), 4294967295) % 4 h FROM (SELECT DISTINCT c FROM own) q, crc_all),
+glued AS (SELECT convs.c, 0 side, p, r, t FROM convs JOIN own ON own.c = convs.base AND p < h UNION ALL SELECT convs.c, 1, p, r, t FROM convs JOIN own ON own.c = convs.c AND p >= h),
+turns AS (SELECT c, row_number() OVER (PARTITION BY c ORDER BY side, p) d, r, t FROM glued),
+pre AS (SELECT c, d, t, list(sha256(length(r) || ':' || r || t)) OVER (PARTITION BY c ORDER BY d) k FROM turns UNION ALL SELECT c, 0, '', [] FROM convs),
+keyed AS (SELECT c, d, sha256(array_to_string(k, ',')) k, len(regexp_extract_all(t, '[^\x20\x09-\x0D]+')) w FROM pre),
+nodes AS (SELECT k, any_value(d) d, min(c) o, count(*) n, any_value(w) w FROM keyed GROUP BY 1),
+up AS (SELECT x.k, y.k pk, nodes.o po FROM (SELECT k, d, o FROM nodes WHERE d > 0) x JOIN keyed y ON y.c = x.o AND y.d = x.d - 1 JOIN nodes ON nodes.k = y.k),
+kids AS (SELECT pk k, count(*) kids FROM up GROUP BY 1),
+under AS (SELECT y.k, sum((nodes.n - 1) * nodes.w) saved, count(*) FILTER (kids.kids IS NULL) leaves FROM nodes LEFT JOIN kids USING (k) JOIN keyed y ON y.c = nodes.o AND y.d <= nodes.d GROUP BY 1),
+fin AS (SELECT k, string_agg(c::VARCHAR, ',' ORDER BY c) ids FROM keyed JOIN (SELECT c, max(d) d FROM keyed GROUP BY 1) z USING (c, d) GROUP BY 1)
+SELECT nodes.o conv_id, d::BIGINT AS depth, po parent_conv_id, n n_convs, coalesce(kids.kids, 0) n_children, leaves n_leaves, saved::BIGINT saved_tokens, sha256(coalesce(ids, '')) ends_sha256
+FROM nodes LEFT JOIN up USING (k) LEFT JOIN kids USING (k) JOIN under USING (k) LEFT JOIN fin USING (k)
+"""
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"))
+
+
+OP13_SQL = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') w FROM pieces),
+sizes AS (SELECT lang, sum(len(w))::HUGEINT n FROM w GROUP BY 1),
+grams AS (SELECT lang, k, w[p : p + k - 1] g FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) p FROM w, unnest(range(1, 6)) s(k) WHERE len(w) >= k) x),
+f AS (SELECT lang, k, g, count(*)::HUGEINT a FROM grams GROUP BY 1, 2, 3 HAVING count(*) >= 100),
+cuts AS (SELECT f.*, n, cut, l.a l, r.a r, 1000 * f.a * n // (l.a * r.a) score
+         FROM (SELECT *, unnest(range(1, k)) cut FROM f WHERE k > 1) f JOIN sizes USING (lang)
+         JOIN f l ON l.lang = f.lang AND l.g = f.g[1 : cut] JOIN f r ON r.lang = f.lang AND r.g = f.g[cut + 1 : f.k]),
+worst AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, cut) = 1),
+inner_parts AS (SELECT lang, g[s : s + j - 1] g, a FROM (SELECT f.*, j, unnest(range(1, k - j + 2)) s FROM f, unnest(range(2, 5)) y(j) WHERE k > j) x),
+inside AS (SELECT lang, g, max(a) longer FROM inner_parts GROUP BY 1, 2),
+best AS (SELECT lang, array_to_string(g, ' ') phrase, a, l, r, n, score FROM worst LEFT JOIN inside USING (lang, g) WHERE longer IS NULL OR 100 * longer < 100 * a),
+ranked AS (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a::BIGINT a, l::BIGINT l, r::BIGINT r, n::BIGINT n, score::BIGINT score FROM best)
+SELECT * FROM ranked WHERE rank <= 2000
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_packing": op2_packing,
@@ -188,5 +245,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_decontaminate": op9_decontaminate,
     "op10_language_model": op10_language_model,
+    "op11_line_rules": op11_line_rules,
+    "op12_prefix_trie": op12_prefix_trie,
+    "op13_collocations": op13_collocations,
 }
-SQL = {"op3_topk": OP3_SQL, "op4_url_filter": OP4_SQL, "op6_line_dedup": OP6_SQL, "op9_decontaminate": OP9_SQL}
+SQL = {"op3_topk": OP3_SQL, "op4_url_filter": OP4_SQL, "op6_line_dedup": OP6_SQL, "op9_decontaminate": OP9_SQL, "op12_prefix_trie": OP12_SQL, "op13_collocations": OP13_SQL}
