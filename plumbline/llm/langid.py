@@ -12,6 +12,7 @@ Every word of every text is scored.
 Defined results: null text or no letter: `und` with score 0, as for all texts if no language could be learned. Words
 are lower-cased runs of letters, of any length; characters that the vocabulary lacks share one piece. A run longer than
 LONGEST is scored whole but teaches by its parts of that length. Ties go to the language that sorts first. Repeated rows are scored each; null labels teach nothing.
+An empty table stays empty.
 """
 
 from __future__ import annotations

@@ -21,7 +21,7 @@ scored where they are. A bucket has all contexts of its words.
 
 Defined results: null and empty texts are one token, the end. Without training text each score is 0. Repeated rows
 count and are scored each. Ties don't arise. Words are known by 64-bit hashes, contexts by 44 bits of these and the parent. A text of any length is cut
-into blocks of words; one longer than a chunk makes its own. Extra columns are left out.
+into blocks of words; one longer than a chunk makes its own. Extra columns are left out. An empty table gives nothing.
 """
 
 from __future__ import annotations

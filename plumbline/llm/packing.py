@@ -7,7 +7,8 @@ cuts it into full sequences; what is left at its end goes into sequences whose l
 padding is needed anywhere.
 
 Defined results: null text is empty; an empty text is the end id alone. Repeated rows are each packed. A missing
-doc_id stays missing. Extra columns are left out.
+doc_id stays missing. Documents with one key and id follow each other in any order. A text of any length is packed whole and
+cut wherever a sequence ends. An empty table has no pieces. Extra columns are left out.
 """
 
 from __future__ import annotations

@@ -128,6 +128,7 @@ def _totals(chains: DataFrame) -> DataFrame:
         rest = remaining.join(parents, "conv", "left_semi").join(added, "conv", "left")
         sums = [(F.col(c) + F.coalesce(f"more_{c}", F.lit(0))).alias(c) for c in ("leaves", "saved")]
         remaining = checkpointed(rest.select("conv", "parent", "at", *sums))
+    done = remaining if done is None else done
     return done.where("parent IS NOT NULL").groupBy("parent", "at").agg(F.count("*").alias("n"), F.sum("leaves").alias("leaves"), F.sum("saved").alias("saved"))
 
 

@@ -8,7 +8,8 @@ looked-up numbers.
 The fit takes about `sample` labelled documents of each label, chosen by a hash of the id; every whole text is scored.
 
 Defined results: null, empty and wordless texts have features 0 and are scored as such. Null labels or ids teach
-nothing. Without both labels the score is the labels' mean, or 1/2. Ties don't arise. Repeated rows are scored each.
+nothing. Without both labels the score is the labels' mean, or 1/2. Ties don't arise. Repeated rows are scored each. A
+text of any length is scored whole, a block of words at a time; an empty table stays empty.
 """
 
 from __future__ import annotations

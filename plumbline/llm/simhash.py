@@ -9,7 +9,8 @@ links, and rounds of large and small stars, cut by checkpoints, join the forests
 
 Defined results: null, empty and wordless texts have fingerprint zero and link like any other. Rows with one doc_id
 are one document, so they share a component, and so do all that any of their texts links. A row without doc_id has a
-fingerprint, no component, and links nothing. Ties don't arise: a component is its smallest id.
+fingerprint, no component, and links nothing. Ties don't arise: a component is its smallest id. A text of
+any length is read whole, its words a block at a time. An empty table has no components.
 """
 
 from __future__ import annotations

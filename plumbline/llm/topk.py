@@ -11,8 +11,9 @@ best of each query, and a window takes the k best of these.
 
 Defined results: vectors that are null or hold null or non-finite components take no part, as queries or candidates;
 rows without id neither. Vectors shorter than others end in zeros. A query's own id is no candidate; repeated rows are
-each. Of query rows that repeat an id the least vector counts. Ties go to the smaller id. Scores are exact while they
-fit 53 bits.
+each. Of query rows that repeat an id the least vector counts. Ties go to the smaller id. An empty table, or
+one without queries, gives nothing. Vectors of any length take part. Scores are exact; a vector whose
+own square would pass 2**62 is refused, as products could pass 63 bits.
 """
 
 from __future__ import annotations
@@ -64,7 +65,7 @@ class Block:
         impact = np.where(q > 0, q * self.most, q * self.least)
         order = np.argsort(-impact, kind="stable")
         totals, met, done = np.zeros(self.n + 1), np.zeros(self.n + 1, np.int64), 0
-        possible = np.arange(self.n)
+        possible, slack = np.arange(self.n), 1e-12 * np.abs(impact).sum()  # what rounding may take from a bound
         for look in LOOKS:
             upto = max(done + 1, round(look * len(order)))
             segments = order[done:upto]
@@ -78,7 +79,7 @@ class Block:
             if len(best) < k:  # any k exact scores will do for a threshold
                 floor = self._with([], np.argpartition(-bound, min(4 * k, self.n - 1))[: 4 * k], query, own, k)
             if len(floor) >= k:
-                possible = np.flatnonzero(bound >= -floor[k - 1][0])
+                possible = np.flatnonzero(bound >= -floor[k - 1][0] - slack)
             if len(possible) <= self.few or done >= len(order):
                 break
         return self._with(best, possible, query, own, k)
@@ -154,4 +155,7 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
 
 def vectors(embeddings: DataFrame, scale: int = 1024) -> DataFrame:
     """embeddings (vec_id, embedding) as whole numbers (id, vector), without those that take no part."""
-    return embeddings.where(whole(F.col("embedding"))).select(F.col("vec_id").cast("long").alias("id"), quantised(F.col("embedding"), scale).alias("vector"))
+    kept = embeddings.where(whole(F.col("embedding")))
+    square = F.aggregate("embedding", F.lit(0.0), lambda total, x: total + F.pow(scale * x.cast("double"), F.lit(2)))
+    vector = F.when(square < 2.0**62, quantised(F.col("embedding"), scale)).otherwise(F.raise_error(F.concat(F.lit("vector too long for whole-number scores: vec_id "), F.coalesce(F.col("vec_id").cast("string"), F.lit("null")))))
+    return kept.select(F.col("vec_id").cast("long").alias("id"), vector.alias("vector"))

@@ -13,7 +13,7 @@ whole text is scored.
 Defined results: null, empty and wordless texts have no sparse features and form features 0. Null labels or ids teach
 nothing. A category without both labels has its mean, or 1/2 without any, as everyone's probability. Ties don't
 arise. Repeated rows are scored each. A column that a score's name would clash with keeps its name, and the score's gets
-underscores before it.
+underscores before it. A text of any length is scored whole, a block of words at a time; an empty table stays empty.
 """
 
 from __future__ import annotations
