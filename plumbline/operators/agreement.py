@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.checks import need_choice, need_columns, need_confidence, need_ids, need_resamples, need_unique
-from ..plans.draws import numpy_multiplicities, poisson, polynomials, resampled, running, some_seed, unit_number, usable_interval
+from ..plans.draws import SUMS, WIDE, as_drawn, label_sums, label_totals, polynomials, resampled, running, some_seed, times_of, unit_key, unit_number, usable_interval, with_draws, with_draws_by
+from ..plans.stream import numbered
 from ..results import NAN, AgreementResult, KappaResult
 
 LEVELS = ("nominal", "ordinal", "interval")
@@ -113,18 +114,31 @@ def item_disagreement(ratings: DataFrame, level: str = "nominal") -> DataFrame:
     return unit_stats(counts, level).crossJoin(F.broadcast(chance)).select("item_id", F.col("m").cast("long").alias("n_ratings"), d.alias("disagreement"), (d / F.nullif(F.col("chance"), F.lit(0.0))).alias("vs_chance"))
 
 
-def _shared_sums(whole: DataFrame, level: str, mine: DataFrame, own: DataFrame) -> DataFrame:
-    """By rater left out: o, n_units, n, e, n_values, from the sums over all raters less what that rater's items had, and more what they have without."""
+def _votes(ratings: DataFrame, whole: DataFrame, level: str) -> DataFrame:
+    """A row a vote on an item of `whole`: out (its rater), item_id, rating, how many of the item's m votes say the same (c), and the item's sums."""
+    x, c, item = F.col("x"), F.col("c"), Window.partitionBy("item_id")
+    sums = {"c2": c * c, "s1": c * x, "s2": c * x * x}
+    items = positions(whole, level).withColumns({name: F.sum(v).over(item) for name, v in sums.items()})  # a row a value of an item
+    return ratings.select("item_id", F.col("rater_id").alias("out"), "rating").join(items, ["item_id", "rating"])
+
+
+def _shared_sums(whole: DataFrame, level: str, votes: DataFrame) -> DataFrame:
+    """By rater left out: o, n_units, n, e, n_values, from the sums over all raters and by how much each of the rater's votes moves them.
+
+    An item without a vote is its counts less one of a value, so a vote needs its item's sums and not the other votes. Only
+    of items with two votes does the other go as well, as one rating is none to compare.
+    """
+    c, m, x = F.col("c"), F.col("m").cast("double"), F.col("x")
+    before = spread(level, m, F.col("c2"), F.col("s1"), F.col("s2")) / (m - 1)
+    after = spread(level, m - 1, F.col("c2") - 2 * c + 1, F.col("s1") - x, F.col("s2") - x * x) / (m - 2)
+    moved = votes.groupBy("out").agg(F.sum(F.when(m > 2, after).otherwise(0.0) - before).alias("d_o"), F.sum(F.when(m > 2, 0).otherwise(-1)).alias("d_units"))
+    pairs = votes.where("m = 2").select("out", "item_id", F.col("rating").alias("own")).join(whole.where("m = 2").select("item_id", "rating", "c"), "item_id")
+    other = pairs.select("out", "rating", (F.when(F.col("rating") == F.col("own"), 1).otherwise(0) - c).alias("d")).where("d <> 0")
+    changed = votes.select("out", "rating", F.lit(-1).cast("long").alias("d")).unionByName(other).groupBy("out", "rating").agg(F.sum("d").cast("double").alias("d"))
     units = unit_stats(whole, level)
     total = units.agg(F.sum("o").alias("o"), F.count("*").alias("n_units"))
-    before = mine.join(units, "item_id").groupBy("out").agg((-F.sum("o")).alias("o"), (-F.count("*")).alias("n_units"))
-    after = unit_stats(own, level, ["out"]).groupBy("out").agg(F.sum("o").alias("o"), F.count("*").alias("n_units"))
-    moved = before.unionByName(after).groupBy("out").agg(F.sum("o").alias("d_o"), F.sum("n_units").alias("d_units"))
-    # values that the rater's items touch, by how much their counts change
-    gone, back = mine.join(whole, "item_id").select("out", "rating", (-F.col("c")).alias("d")), own.select("out", "rating", F.col("c").alias("d"))
-    changed = gone.unionByName(back).groupBy("out", "rating").agg(F.sum("d").cast("double").alias("d"))
     margins = positions(whole, level).groupBy("rating", "x").agg(F.sum("c").cast("double").alias("g"))
-    g, x, d = F.col("g"), F.col("x"), F.col("d")
+    g, d = F.col("g"), F.col("d")
     every = margins.agg(F.sum(g).alias("n"), F.sum(g * g).alias("g2"), F.sum(g * x).alias("s1"), F.sum(g * x * x).alias("s2"), F.count("*").alias("n_values"))
     shift = changed.join(margins, "rating").groupBy("out").agg(F.sum(d).alias("d_n"), F.sum(2 * g * d + d * d).alias("d_g2"), F.sum(d * x).alias("d_s1"), F.sum(d * x * x).alias("d_s2"), F.count_if(g + d == 0).alias("lost"))
     both = moved.join(shift, "out", "full").crossJoin(F.broadcast(total)).crossJoin(F.broadcast(every))  # a row each
@@ -134,6 +148,10 @@ def _shared_sums(whole: DataFrame, level: str, mine: DataFrame, own: DataFrame)
     return both.select("out", left("o", "d_o").alias("o"), left("n_units", "d_units").alias("n_units"), n.alias("n"), e.alias("e"), n_values.alias("n_values"))
 
 
+#: Values of an ordinal scale up to which tasks are given how often each two of them meet, 8 MB at most.
+PAIRED = 1024
+
+
 def _pair_weights(counts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """(by, low, high, w): by pair of different values, how often they meet within items, each item's meetings over its ratings less one."""
     a, b = (counts.select(*by, "item_id", F.col("rating").alias(v), F.col("c").alias(f"{v}_c"), *(["m"] if v == "low" else [])) for v in ("low", "high"))
@@ -141,58 +159,88 @@ def _pair_weights(counts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return met.groupBy(*by, "low", "high").agg(F.sum(2 * F.col("low_c") * F.col("high_c") / (F.col("m") - 1)).alias("w"))
 
 
-def _ranked_sums(whole: DataFrame, votes: DataFrame, mine: DataFrame, own: DataFrame) -> DataFrame:
+def _ranked_sums(whole: DataFrame, votes: DataFrame) -> DataFrame:
     """As _shared_sums for ordinal ratings: mid-ranks move with each rater left out, so disagreement goes by pairs of values.
 
-    Rows are raters times values and pairs of values of the scale, whatever the number of items.
+    A rater's row changes the counts and meetings of values on the rater's own items; a task adds these to those of all
+    items. Beyond PAIRED values the same sums go by joins, rows being raters times values and pairs of values.
     """
-    outs = votes.select(F.col("rater_id").alias("out"))
-    old, new = mine.join(whole, "item_id"), own
-    counts = outs.crossJoin(whole.groupBy("rating").agg(F.sum("c").alias("c")))
-    counts = counts.unionByName(old.select("out", "rating", (-F.col("c")).alias("c"))).unionByName(new.select("out", "rating", "c"))
+    old = votes.select("out", "item_id", F.col("rating").alias("own")).join(whole, "item_id")
+    new = old.withColumns({"c": F.col("c") - F.when(F.col("rating") == F.col("own"), 1).otherwise(0), "m": F.col("m") - 1}).where("m >= 2 AND c > 0")
+    side = lambda rows, sign: rows.select("out", "rating", (sign * F.col("c")).cast("double").alias("d"))
+    changed = side(old, -1).unionByName(side(new, 1)).groupBy("out", "rating").agg(F.sum("d").alias("d"))
+    pairs = _pair_weights(old, ["out"]).withColumn("w", -F.col("w")).unionByName(_pair_weights(new, ["out"])).groupBy("out", "low", "high").agg(F.sum("w").alias("w"))
+    every = whole.agg(F.count_distinct("item_id").alias("n_units"))
+    lost = votes.groupBy("out").agg(F.sum(F.when(F.col("m") == 2, -1).otherwise(0)).alias("k"))
+    units = lost.crossJoin(F.broadcast(every)).select("out", (F.col("n_units") + F.col("k")).alias("n_units"))  # a row
+    margins = whole.groupBy("rating").agg(F.sum("c").cast("double").alias("g"))
+    session = whole.sparkSession
+    known = sorted((r.rating, r.g) for r in margins.limit(PAIRED + 1).collect())
+    if len(known) <= PAIRED:
+        place = {r: k for k, (r, _) in enumerate(known)}
+        weights = np.zeros((len(known), len(known)))
+        for r in _pair_weights(whole).collect():
+            weights[place[r.low], place[r.high]] = r.w
+        shared = session.sparkContext.broadcast((place, np.array([g for _, g in known]), weights))
+        rows = changed.select("out", F.col("rating").alias("low"), F.lit(None).cast("double").alias("high"), F.col("d").alias("w")).unionByName(pairs.select("out", "low", "high", "w"))
+        return units.join(rows.groupBy("out").applyInPandas(_without(shared), rows.select("out").schema.simpleString()[7:-1] + ", o double, n double, e double, n_values long"), "out")
+    outs = votes.select("out").distinct()
+    counts = outs.crossJoin(margins).select("out", "rating", F.col("g").alias("c")).unionByName(changed.withColumnRenamed("d", "c"))
     counts = counts.groupBy("out", "rating").agg(F.sum("c").alias("c")).where("c > 0").withColumn("m", F.lit(2))
     placed = positions(counts, "ordinal", ["out"]).select("out", "rating", "x")
-    pairs = outs.crossJoin(_pair_weights(whole))
-    pairs = pairs.unionByName(_pair_weights(old.select("out", "item_id", "rating", "c", "m"), ["out"]).withColumn("w", -F.col("w"))).unionByName(_pair_weights(new, ["out"]))
-    pairs = pairs.groupBy("out", "low", "high").agg(F.sum("w").alias("w"))
-    for side in ("low", "high"):
-        pairs = pairs.join(placed.select("out", F.col("rating").alias(side), F.col("x").alias(f"{side}_x")), ["out", side])
+    pairs = outs.crossJoin(_pair_weights(whole)).unionByName(pairs).groupBy("out", "low", "high").agg(F.sum("w").alias("w"))
+    for end in ("low", "high"):
+        pairs = pairs.join(placed.select("out", F.col("rating").alias(end), F.col("x").alias(f"{end}_x")), ["out", end])
     gap = F.col("low_x") - F.col("high_x")
     observed = pairs.groupBy("out").agg(F.sum(F.col("w") * gap * gap).alias("o"))
-    sizes = mine.join(whole.select("item_id").distinct(), "item_id").groupBy("out").agg((-F.count("*")).alias("k")).unionByName(own.select("out", "item_id").distinct().groupBy("out").agg(F.count("*").alias("k")))
-    every = whole.agg(F.count_distinct("item_id").alias("n_units"))
-    units = outs.join(sizes.groupBy("out").agg(F.sum("k").alias("k")), "out", "left").crossJoin(F.broadcast(every)).select("out", (F.col("n_units") + F.coalesce("k", F.lit(0))).alias("n_units"))
     return units.join(expected(counts, "ordinal", ["out"]), "out").join(observed, "out", "left").select("out", F.coalesce("o", F.lit(0.0)).alias("o"), "n_units", "n", "e", "n_values")
 
 
+def _without(shared):  # noqa: ANN001, ANN202
+    """Of a rater's changes to counts (low, w) and to meetings (low, high, w): the sums without that rater."""
+
+    def sums(part: pd.DataFrame) -> pd.DataFrame:
+        place, counts, weights = shared.value
+        g, w = counts.copy(), weights.copy()
+        low, single = part["low"].map(place).to_numpy(), part["high"].isna().to_numpy()
+        g[low[single]] += part["w"].to_numpy()[single]
+        w[low[~single], part["high"][~single].map(place).to_numpy(np.int64)] += part["w"].to_numpy()[~single]
+        x = np.cumsum(g) - g / 2
+        n, e = g.sum(), 2 * (g.sum() * (g * x * x).sum() - (g * x).sum() ** 2)
+        left = int((g > 0).sum())
+        return pd.DataFrame({"out": part["out"][:1], "o": [float((w * (x[:, None] - x[None]) ** 2).sum())], "n": [n], "e": [e if left > 1 else 0.0], "n_values": [left]})
+
+    return sums
+
+
 def rater_dropout(ratings: DataFrame, level: str = "nominal") -> DataFrame:
-    """Alpha without each rater: rater_id, n_ratings, alpha_without, delta, note.
+    """Alpha without each rater: rater_id, n_ratings, alpha_without, delta, note. A rater has one rating an item.
 
-    An item's counts without a rater are its counts less that rater's vote, so a row goes to the raters of its own
-    item only; what the other items add is their sums over all raters.
+    An item's counts without a rater are its counts less that rater's vote, so no two votes are met with each other;
+    what the other items add is their sums over all raters.
     """
     ratings = ratings.where(F.col("rating").isNotNull())
-    votes = ratings.groupBy("rater_id").agg(F.count("*").alias("n_ratings"))
-    n_raters = votes.agg(F.count("*").alias("n_raters"))
-    mine = ratings.select("item_id", F.col("rater_id").alias("out")).distinct()
-    touched = mine.join(ratings, "item_id").where("rater_id <> out").select("out", "item_id", "rating")
-    own = touched.groupBy("out", "item_id", "rating").agg(F.count("*").alias("c"))
-    own = own.withColumn("m", F.sum("c").over(Window.partitionBy("out", "item_id"))).where("m >= 2")
+    raters = ratings.groupBy("rater_id").agg(F.count("*").alias("n_ratings"))
+    n_raters = raters.agg(F.count("*").alias("n_raters"))
     whole = value_counts(ratings)
-    sums = _ranked_sums(whole, votes, mine, own) if level == "ordinal" else _shared_sums(whole, level, mine, own)
+    votes = _votes(ratings, whole, "nominal" if level == "ordinal" else level)
+    sums = _ranked_sums(whole, votes) if level == "ordinal" else _shared_sums(whole, level, votes)
     alpha = F.when(F.col("n_units") >= 2, 1 - (F.col("n") - 1) * F.col("o") / F.nullif(F.col("e"), F.lit(0.0)))
     found = sums.select(F.col("out").alias("rater_id"), alpha.alias("alpha_without"), "n_units", "n_values")
-    rows = votes.join(found, "rater_id", "left").crossJoin(F.broadcast(n_raters)).where("n_raters >= 2")
+    # a rater none of whose items has another's rating changes nothing
+    same = alphas(ratings, level)
+    same = same.select(*(F.col(c).alias(f"same_{c}") for c in ("alpha", "n_units", "n_values")))
+    rows = raters.join(found, "rater_id", "left").join(F.broadcast(same), F.lit(True), "left").crossJoin(F.broadcast(n_raters)).where("n_raters >= 2")
+    kept = lambda c: F.when(F.col("n_units").isNull(), F.col(f"same_{c}")).otherwise(F.col("alpha_without" if c == "alpha" else c))
     note = (
         F.when(F.col("n_raters") == 2, SINGLE_RATER)
-        .when(F.coalesce("n_units", F.lit(0)) == 0, NO_OVERLAP)
-        .when(F.col("n_values") <= 1, NO_VARIANCE)
-        .when(F.col("n_units") < 2, ONE_ITEM)
+        .when(F.coalesce(kept("n_units"), F.lit(0)) == 0, NO_OVERLAP)
+        .when(kept("n_values") <= 1, NO_VARIANCE)
+        .when(kept("n_units") < 2, ONE_ITEM)
         .otherwise("")
     )
-    without = F.when(note == "", F.col("alpha_without"))
-    overall = F.broadcast(alphas(ratings, level).select(F.col("alpha")))
-    return rows.crossJoin(overall).select("rater_id", "n_ratings", without.alias("alpha_without"), (without - F.col("alpha")).alias("delta"), note.alias("note"))
+    without = F.when(note == "", kept("alpha"))
+    return rows.select("rater_id", "n_ratings", without.alias("alpha_without"), (without - F.col("same_alpha")).alias("delta"), note.alias("note"))
 
 
 #: Which sums a bootstrap's cells of kind j hold; those of kind 0 hold the counts of value i. Groups follow each other by KINDS.
@@ -206,24 +254,36 @@ def alpha_draws(ratings: DataFrame, level: str, n_boot: int, seed: int | None, o
     their ids otherwise.
     """
     counts = value_counts(ratings)
-    unit = unit_number(F.col("item_id"))
-    places = None
-    if order:
-        places = ratings.where(F.col("rating").isNotNull()).join(counts.select("item_id").distinct(), "item_id", "left_semi").groupBy(unit.alias("unit")).agg(F.min(F.struct(*order)).alias("place"))
-    if level == "ordinal":
-        return _ordinal_draws(counts, n_boot, seed, places)
-    return _draws_by(counts, level, n_boot, seed, places)[0]
+    places = _places(ratings, counts, order) if order else None
+    return (_ordinal_draws if level == "ordinal" else _draws_by)(counts, level, n_boot, seed, places)[0]
+
 
+def alpha_draws_by(ratings: DataFrame, by: str, level: str, n_boot: int, seed: int | None, order: Sequence[str] = (), seeds: Sequence[int] = ()) -> dict[int, np.ndarray]:
+    """alpha_draws of each group, numbered from 0, in one pass; with an order, from a seed of each group's own."""
+    counts = value_counts(ratings, [by])
+    places = _places(ratings, counts, order, by) if order else None
+    return (_ordinal_draws if level == "ordinal" else _draws_by)(counts, level, n_boot, list(seeds) if order else seed, places, by)
 
-def alpha_draws_by(ratings: DataFrame, by: str, level: str, n_boot: int, seed: int | None) -> dict[int, np.ndarray]:
-    """alpha_draws of nominal or interval ratings of each group, numbered from 0, in one pass; an item is in one group."""
-    return _draws_by(value_counts(ratings, [by]), level, n_boot, seed, None, by)
 
+def _places(ratings: DataFrame, counts: DataFrame, order: Sequence[str], by: str | None = None) -> DataFrame:
+    """(g, unit, place) of the items in counts, by their first rows."""
+    keys = [by] if by else []
+    rows = ratings.where(F.col("rating").isNotNull()).join(counts.select(*keys, "item_id").distinct(), [*keys, "item_id"], "left_semi")
+    group = (F.col(by) if by else F.lit(0)).cast("long")
+    out = rows.groupBy(group.alias("g"), unit_key(F.col("item_id")).alias("unit")).agg(F.min(F.struct(*order)).alias("place"))
+    return out if by else out.drop("g")
 
-def _draws_by(counts: DataFrame, level: str, n_boot: int, seed: int | None, places: DataFrame | None, by: str | None = None) -> dict[int, np.ndarray]:
+
+def _drawn(cells: DataFrame, places: DataFrame, n_boot: int, seed) -> DataFrame:  # noqa: ANN001
+    """cells (g, unit, others) with their multiplicities from numpy's stream, or from one for each group by a list of seeds."""
+    return with_draws_by(cells, places, n_boot, seed) if isinstance(seed, list) else with_draws(cells, places, n_boot, seed)
+
+
+def _draws_by(counts: DataFrame, level: str, n_boot: int, seed, places: DataFrame | None, by: str | None = None) -> dict[int, np.ndarray]:  # noqa: ANN001
     keys, c, x = [by] if by else [], F.col("c"), F.col("rating")
-    unit = unit_number(F.col("item_id"))
-    group = (F.col(by) if by else F.lit(0)).cast("long") * KINDS
+    unit = (unit_number if places is None else unit_key)(F.col("item_id"))
+    g = (F.col(by) if by else F.lit(0)).cast("long")
+    group = g * KINDS
     stats = unit_stats(counts, level, keys)
     if level == "interval":
         more = counts.groupBy(*keys, "item_id").agg(F.sum(c * x).alias("s1"), F.sum(c * x * x).alias("s2"))
@@ -231,24 +291,24 @@ def _draws_by(counts: DataFrame, level: str, n_boot: int, seed: int | None, plac
         kinds = {O: "o", N: "m", S1: "s1", S2: "s2"}
     else:
         kinds = {O: "o"}
-    cells = stats.select(unit.alias("unit"), F.inline(F.array(*(F.struct(F.lit(0).cast("long").alias("i"), (group + j).alias("j"), F.col(name).cast("double").alias("x")) for j, name in kinds.items()))))
+    cells = stats.select(g.alias("g"), unit.alias("unit"), F.inline(F.array(*(F.struct(F.lit(0).cast("long").alias("i"), (group + j).alias("j"), F.col(name).cast("double").alias("x")) for j, name in kinds.items()))))
     if level == "nominal":
-        cells = cells.unionByName(counts.select(unit.alias("unit"), F.xxhash64("rating").alias("i"), group.alias("j"), c.cast("double").alias("x")))
-    out: dict[int, list[np.ndarray]] = {}
-    for labels, sums in resampled(cells, n_boot, seed, places):
-        for g in np.unique(labels[:, 1] // KINDS).tolist():
-            of = lambda j: sums[:, labels[:, 1] == g * KINDS + j]  # noqa: B023, E731
-            o = of(O).sum(axis=1)
-            if level == "interval":
-                n, s1, s2 = (of(j).sum(axis=1) for j in (N, S1, S2))
-                e = 2 * (n * s2 - s1 * s1)
-                e[e <= 1e-12 * n * s2] = np.nan
-            else:
-                n = of(0).sum(axis=1)
-                e = n * n - (of(0) ** 2).sum(axis=1)
-                e[e == 0] = np.nan
-            out.setdefault(g, []).append(1 - (n - 1) * o / e)
-    return {g: np.concatenate(parts) for g, parts in out.items()}
+        cells = cells.unionByName(counts.select(g.alias("g"), unit.alias("unit"), F.xxhash64("rating").alias("i"), group.alias("j"), c.cast("double").alias("x")))
+    cells = cells.drop("g") if places is None else _drawn(cells, places, n_boot, seed).drop("g")
+    totals, out = label_totals(cells, n_boot, seed), {}
+    of = lambda g, j, k=0: totals[g * KINDS + j][k]
+    for g in {j // KINDS for j in totals}:
+        o = of(g, O)
+        if level == "interval":
+            n, s1, s2 = (of(g, j) for j in (N, S1, S2))
+            e = 2 * (n * s2 - s1 * s1)
+            e = np.where(e <= 1e-12 * n * s2, np.nan, e)
+        else:
+            n = of(g, 0)
+            e = n * n - of(g, 0, 1)
+            e = np.where(e == 0, np.nan, e)
+        out[g] = 1 - (n - 1) * o / e
+    return out
 
 
 def _disagreement(unit: np.ndarray, place: np.ndarray, c: np.ndarray, m: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -258,58 +318,197 @@ def _disagreement(unit: np.ndarray, place: np.ndarray, c: np.ndarray, m: np.ndar
     return 2 * (m * s2 - s1 * s1) / (m - 1)
 
 
-def _mid_ranks(margins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of counts (resamples, values): mid-ranks about the middle of all ratings, the ratings, and the expected disagreement."""
-    n = margins.sum(axis=1)
-    x = np.cumsum(margins, axis=1) - margins / 2 - n[:, None] / 2
-    e = 2 * (n * (margins * x**2).sum(axis=1) - (margins * x).sum(axis=1) ** 2)
-    return x, n, np.where((margins > 0).sum(axis=1) > 1, e, np.nan)
-
-
-def _ordinal_draws(counts: DataFrame, n_boot: int, seed: int | None, places: DataFrame | None) -> np.ndarray:
-    """In two passes: a resample's counts by value give its mid-ranks, and these the disagreement within its units."""
-    values = counts.groupBy("rating").agg(F.lit(1).alias("one"))
-    placed = counts.join(running(values, "rating", "one", "i").select("rating", F.col("i").cast("long").alias("i")), "rating")
-    cells = placed.select("item_id", unit_number(F.col("item_id")).alias("unit"), "i", F.lit(0).cast("long").alias("j"), F.col("c").cast("double").alias("x"))
-    if places is not None:
-        units = {r.unit: k for k, r in enumerate(places.orderBy("place").select("unit").collect())}
-        rows = cells.toPandas()
-        unit, place, c = rows["unit"].map(units).to_numpy(), rows["i"].to_numpy(), rows["x"].to_numpy()
-        m, out = np.bincount(unit, c), []
-        table = np.zeros((len(m), place.max(initial=-1) + 1))
-        np.add.at(table, (unit, place), c)
-        for times in numpy_multiplicities(len(m), n_boot, seed, table.shape[1]):
-            x, n, e = _mid_ranks(times @ table)
-            o = np.array([t @ _disagreement(unit, place, c, m, ranks) for t, ranks in zip(times, x, strict=True)])
+def _mid_ranks(margins: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of counts (resamples, values), each group's values from one of `begins` on: mid-ranks about the middle of the group's ratings; by group the ratings, and the expected disagreement."""
+    by_group = lambda x: np.add.reduceat(x, begins, axis=1)
+    sizes = np.diff([*begins.tolist(), margins.shape[1]])
+    n = by_group(margins)
+    before = np.cumsum(n, axis=1) - n
+    x = np.cumsum(margins, axis=1) - margins / 2 - np.repeat(before + n / 2, sizes, axis=1)
+    e = 2 * (n * by_group(margins * x**2) - by_group(margins * x) ** 2)
+    return x, n, np.where(by_group(margins > 0) > 1, e, np.nan)
+
+
+def _ordinal_draws(counts: DataFrame, level: str, n_boot: int, seed, places: DataFrame | None, by: str | None = None) -> dict[int, np.ndarray]:  # noqa: ANN001
+    """In two passes: a resample's counts by value give its mid-ranks, and these the disagreement within its units.
+
+    A group's values are values of its own. Up to WIDE of them, tasks are given the mid-ranks of all; beyond, these stay
+    where they are made (see _wide_draws).
+    """
+    g = (F.col(by) if by else F.lit(0)).cast("long")
+    counts = counts.withColumn("g", g)
+    values = counts.groupBy("g", "rating").agg(F.lit(1).alias("one")).withColumn("value", F.struct("g", "rating"))
+    numbers, width = numbered(values.select("g", "rating", "value", F.lit("").alias("unit")), "value")
+    placed = counts.join(numbers.select("g", "rating", F.col("number").alias("i")), ["g", "rating"])
+    unit = (unit_number if places is None else unit_key)(F.col("item_id"))
+    cells = placed.select("g", "item_id", unit.alias("unit"), "i", F.lit(0).cast("long").alias("j"), F.col("c").cast("double").alias("x"))
+    if places is None:
+        seed = some_seed(seed)
+    else:
+        cells, seed = _drawn(cells, places, n_boot, seed), None
+    cells = cells.persist()
+    try:
+        return (_wide_draws if width > WIDE else _narrow_draws)(cells, n_boot, seed)
+    finally:
+        cells.unpersist()
+
+
+def _narrow_draws(cells: DataFrame, n_boot: int, seed: int | None) -> dict[int, np.ndarray]:
+    first, out, context = 0, [], cells.sparkSession.sparkContext
+    drawn = ["times"] if seed is None else []
+    groups = dict(cells.groupBy("g").agg(F.min("i")).collect())  # a row a group, WIDE at most
+    known, begins = (np.array(x) for x in zip(*sorted(groups.items(), key=lambda r: r[1]), strict=True))
+    lists = cells.groupBy("g", "item_id").agg(*(F.first(c).alias(c) for c in ("unit", *drawn)), F.collect_list("i").alias("i"), F.collect_list("x").alias("x"))
+    lists = lists.select("g", "unit", *drawn, "i", "x").repartition(4 * context.defaultParallelism, "unit")
+    for _, margins in resampled(cells, n_boot, seed) if seed is not None else as_drawn(cells, n_boot):
+        x, n, e = _mid_ranks(margins, begins)
+        shared = context.broadcast((None if drawn else polynomials(seed, first, first + len(x)), first, x))  # SUMS numbers at most
+        sums = {r.g: np.frombuffer(r.o) for r in lists.mapInPandas(_observed(shared), "g long, o binary").groupBy("g").applyInPandas(_group_sum, "g long, o binary").collect()}
+        o = np.stack([sums.get(k, np.zeros(len(x))) for k in known.tolist()], axis=1)
+        with np.errstate(invalid="ignore", divide="ignore"):
             out.append(1 - (n - 1) * o / e)
-        return np.concatenate(out)
-    seed, first, out = some_seed(seed), 0, []
-    lists = cells.groupBy("item_id").agg(F.first("unit").alias("unit"), F.collect_list("i").alias("i"), F.collect_list("x").alias("x"))
-    for _, margins in resampled(cells.select("unit", "i", "j", "x"), n_boot, seed):
-        x, n, e = _mid_ranks(margins)
-        o = lists.select("unit", "i", "x").repartition(4 * counts.sparkSession.sparkContext.defaultParallelism, "unit").mapInPandas(_observed(counts.sparkSession.sparkContext.broadcast((polynomials(seed, first, first + len(x)), x))), "b long, o double")
-        sums = dict(o.groupBy("b").agg(F.sum("o").alias("o")).collect())
-        out.append(1 - (n - 1) * np.array([sums.get(b, 0.0) for b in range(len(x))]) / e)
         first += len(x)
-    return np.concatenate(out)
+    every = np.concatenate(out)
+    return {k: every[:, at] for at, k in enumerate(known.tolist())}
+
+
+def _group_sum(part: pd.DataFrame) -> pd.DataFrame:
+    return pd.DataFrame({"g": part["g"][:1], "o": [np.sum([np.frombuffer(o) for o in part["o"]], axis=0).tobytes()]})
 
 
 def _observed(shared):  # noqa: ANN001, ANN202
     def sums(batches):  # noqa: ANN001, ANN202
-        coefficients, ranks = shared.value
-        total = np.zeros(len(ranks))
+        coefficients, first, ranks = shared.value
+        total: dict[int, np.ndarray] = {}
         for part in batches:
             if len(part):
                 sizes = part["i"].map(len).to_numpy()
                 unit, place, c = np.repeat(np.arange(len(part)), sizes), np.concatenate(part["i"].to_list()).astype(np.int64), np.concatenate(part["x"].to_list()).astype(float)
-                m, units = np.bincount(unit, c, len(part)), part["unit"].to_numpy(np.int64)
-                for b, x in enumerate(ranks):
-                    total[b] += poisson(units, None, coefficients[b]) @ _disagreement(unit, place, c, m, x)
-        yield pd.DataFrame({"b": np.arange(len(total)), "o": total})
+                m, times = np.bincount(unit, c, len(part)), times_of(part, coefficients, first, first + len(ranks))
+                own, group = np.unique(part["g"], return_inverse=True)
+                found = np.stack([np.bincount(group, times[:, b] * _disagreement(unit, place, c, m, x), len(own)) for b, x in enumerate(ranks)], axis=1)
+                for g, o in zip(own.tolist(), found, strict=True):
+                    total[g] = total.get(g, 0) + o
+        yield pd.DataFrame({"g": list(total), "o": [o.tobytes() for o in total.values()]})
 
     return sums
 
 
+def _wide_draws(cells: DataFrame, n_boot: int, seed: int | None) -> dict[int, np.ndarray]:
+    """_narrow_draws for any number of values: counts, mid-ranks and disagreements of all resamples by ranges of values.
+
+    Ranks run on from group to group, which leaves distances as they are. The driver holds some rows of n_boot numbers a
+    task and group, and tasks are given one for each range.
+    """
+    coefficients = None if seed is None else polynomials(seed, 0, n_boot)
+    ranged = cells.withColumn("j", F.col("g")).repartitionByRange("i", "unit").sortWithinPartitions("i")
+    margins = ranged.mapInPandas(_margins(coefficients, n_boot), "g long, i long, sums binary, whole boolean").persist()
+    cut: dict[tuple[int, int], np.ndarray] = {}
+    for r in margins.where("NOT whole").collect():  # two a task
+        cut[r.g, r.i] = cut.get((r.g, r.i), 0) + np.frombuffer(r.sums)
+    mended = cells.sparkSession.createDataFrame([(g, i, s.tobytes(), True) for (g, i), s in cut.items()], margins.schema)
+    by_value = margins.where("whole").unionByName(mended).select("g", "i", "sums").repartitionByRange("i").withColumn("range_no", F.spark_partition_id()).persist()
+    firsts = dict(by_value.groupBy("range_no").agg(F.min("i")).collect())
+    rows = by_value.mapInPandas(_range_totals(n_boot), "range_no int, sums binary").collect()  # a row a range
+    rows = sorted(rows, key=lambda r: firsts[r.range_no])
+    each = np.array([np.frombuffer(r.sums) for r in rows])
+    n_all = each.sum(axis=0)
+    before = dict(zip((r.range_no for r in rows), np.cumsum(each, axis=0) - each - n_all / 2, strict=True))
+    ranks = by_value.sortWithinPartitions("i").mapInPandas(_ranks(before, n_boot), "g long, i long, ranks binary, sums binary").persist()
+    sums: dict[int, np.ndarray] = {}
+    for r in ranks.where("i IS NULL").select("g", "sums").collect():  # a row a task and group
+        sums[r.g] = sums.get(r.g, 0) + np.frombuffer(r.sums).reshape(4, -1)
+    met = cells.join(ranks.where("i IS NOT NULL").select("i", "ranks"), "i").repartition("g", "item_id").sortWithinPartitions("g", "item_id")
+    observed: dict[int, np.ndarray] = {}
+    for r in met.mapInPandas(_item_disagreements(coefficients, n_boot), "g long, o binary").collect():  # a row a task and group
+        observed[r.g] = observed.get(r.g, 0) + np.frombuffer(r.o)
+    for kept in (margins, by_value, ranks):
+        kept.unpersist()
+    out = {}
+    for g, (n, seen, e1, e2) in sums.items():
+        e = np.where(seen > 1, 2 * (n * e2 - e1 * e1), np.nan)
+        out[g] = 1 - (n - 1) * observed[g] / e
+    return out
+
+
+def _margins(coefficients: np.ndarray | None, n_boot: int):  # noqa: ANN202
+    """Sums by value; those of a task's first and last may be parts."""
+
+    def rows(batches):  # noqa: ANN001, ANN202
+        held, begun = None, False
+        for (g, i), sums in label_sums(batches, coefficients, n_boot):
+            if held is not None:
+                yield pd.DataFrame({"g": [held[0]], "i": [held[1]], "sums": [held[2].tobytes()], "whole": [begun]})
+                begun = True
+            held = g, i, sums
+        if held is not None:
+            yield pd.DataFrame({"g": [held[0]], "i": [held[1]], "sums": [held[2].tobytes()], "whole": [False]})
+
+    return rows
+
+
+def _range_totals(n_boot: int):  # noqa: ANN202
+    def rows(batches):  # noqa: ANN001, ANN202
+        total, own = np.zeros(n_boot), None
+        for part in batches:
+            for s in part["sums"]:
+                total = total + np.frombuffer(s)
+            own = int(part["range_no"].iloc[0]) if len(part) else own
+        if own is not None:
+            yield pd.DataFrame({"range_no": [own], "sums": [total.tobytes()]})
+
+    return rows
+
+
+def _ranks(before: dict[int, np.ndarray], n_boot: int):  # noqa: ANN202
+    """Mid-ranks by value, and last by group: ratings, values that occur, and the sums of counts times ranks and times their squares."""
+
+    def rows(batches):  # noqa: ANN001, ANN202
+        upto, sums = None, {}
+        for part in batches:
+            out = []
+            for own, g, s in zip(part["range_no"].tolist(), part["g"].tolist(), part["sums"], strict=True):
+                c = np.frombuffer(s)
+                upto = before[own] if upto is None else upto
+                x = upto + c / 2
+                upto = upto + c
+                sums[g] = sums.get(g, 0) + np.stack((c, c > 0, c * x, c * x * x))
+                out.append(x.tobytes())
+            yield pd.DataFrame({"g": part["g"], "i": part["i"], "ranks": out, "sums": None})
+        yield pd.DataFrame({"g": list(sums), "i": pd.array([None] * len(sums), "Int64"), "ranks": None, "sums": [x.tobytes() for x in sums.values()]})
+
+    return rows
+
+
+def _item_disagreements(coefficients: np.ndarray | None, n_boot: int):  # noqa: ANN202
+    """Of cells with mid-ranks, sorted by group and item: the disagreements of all items by group, weighed by their multiplicities."""
+
+    def rows(batches):  # noqa: ANN001, ANN202
+        total: dict[int, np.ndarray] = {}
+        item = times = sums = None
+
+        def ended() -> None:
+            if item is not None:
+                m, s1, s2 = sums
+                total[item[0]] = total.get(item[0], 0) + times * (2 * (m * s2 - s1 * s1) / (m - 1))
+
+        for batch in batches:
+            step = max(1, SUMS // max(n_boot, 1) // 4)
+            for at in range(0, len(batch), step):
+                part = batch.iloc[at : at + step]
+                drawn = times_of(part, coefficients, 0, n_boot)
+                for k, (g, own, c, ranks) in enumerate(zip(part["g"].tolist(), part["item_id"].tolist(), part["x"].tolist(), part["ranks"], strict=True)):
+                    if (g, own) != item:
+                        ended()
+                        item, times, sums = (g, own), drawn[k].astype(float), [0.0, 0.0, 0.0]
+                    x = np.frombuffer(ranks)
+                    sums = [sums[0] + c, sums[1] + c * x, sums[2] + c * x * x]
+        ended()
+        yield pd.DataFrame({"g": list(total), "o": [o.tobytes() for o in total.values()]})
+
+    return rows
+
+
 def alpha_interval(ratings: DataFrame, level: str, confidence: float, n_boot: int, seed: int | None, order: Sequence[str] = ()) -> tuple[float, float, int]:
     return usable_interval(alpha_draws(ratings, level, n_boot, seed, order), confidence)
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.checks import is_tie, need_choice, need_columns, need_confidence, need_ids, need_one_per, need_resamples, need_unique, tidy
-from ..plans.draws import resampled, unit_number, usable_interval
+from ..plans.draws import label_totals, unit_key, unit_number, usable_interval
 from ..results import NAN, JudgeValidation
 from . import agreement as ag
 
@@ -48,7 +48,7 @@ def slices(labels: DataFrame, level: str = "nominal") -> DataFrame:
 
 
 def _typed(ratings: DataFrame, level: str) -> DataFrame:
-    return ratings if level == "nominal" else ratings.withColumn("rating", F.col("rating").cast("double"))
+    return ratings if level == "nominal" else ratings.withColumn("rating", ag.number_of(F.col("rating")))
 
 
 def baseline_rules(baseline: DataFrame, judge: DataFrame, ties: str = "category") -> DataFrame:
@@ -114,22 +114,17 @@ def baseline_draws(counts: DataFrame, n_boot: int, seed: int | None, places: Dat
     places (unit, place): clusters in order, for numpy's stream.
     """
     observed, margins = cluster_sums(counts)
-    unit = unit_number(F.col("cluster_id")).alias("unit")
+    unit = (unit_number if places is None else unit_key)(F.col("cluster_id")).alias("unit")
     cell = lambda i, j, x: F.struct(i.cast("long").alias("i"), F.lit(j).cast("long").alias("j"), x.alias("x"))
     zero, value = F.lit(0), F.xxhash64("v")
     cells = observed.select(unit, F.inline(F.array(cell(zero, HUMAN_O, F.col("hh_o")), cell(zero, JUDGE_O, F.col("jh_o")))))
     cells = cells.unionByName(margins.select(unit, F.inline(F.array(cell(value, HUMAN_C, F.col("hh")), cell(value, JUDGE_C, F.col("jh"))))))
-    out = []
-    for labels, sums in resampled(cells, n_boot, seed, places):
-        sides = []
-        for o, c in ((JUDGE_O, JUDGE_C), (HUMAN_O, HUMAN_C)):
-            margin = sums[:, labels[:, 1] == c]
-            n = margin.sum(axis=1)
-            e = n * n - (margin**2).sum(axis=1)
-            e[e == 0] = np.nan
-            sides.append(1 - (n - 1) * sums[:, labels[:, 1] == o].sum(axis=1) / e)
-        out.append(sides[0] - sides[1])
-    return np.concatenate(out)
+    totals, sides = label_totals(cells, n_boot, seed, places), []
+    for o, c in ((JUDGE_O, JUDGE_C), (HUMAN_O, HUMAN_C)):
+        n, squares = totals[c]
+        e = n * n - squares
+        sides.append(1 - (n - 1) * totals[o][0] / np.where(e == 0, np.nan, e))
+    return sides[0] - sides[1]
 
 
 def _baseline(baseline: DataFrame, labels: DataFrame, ties: str, confidence: float, n_boot: int, seed: int | None, order: Sequence[str] = ()) -> dict:
@@ -156,20 +151,12 @@ def _baseline(baseline: DataFrame, labels: DataFrame, ties: str, confidence: flo
             need_columns(baseline, order, "human_baseline")
             rows = baseline.join(counts.select("item_id").distinct(), "item_id", "left_semi").where(F.col("rating").isNotNull())
             rows = rows.where(~is_tie(F.col("rating"))) if ties == "drop" else rows
-            places = rows.groupBy(unit_number(F.col("cluster_id")).alias("unit")).agg(F.min(F.struct(*order)).alias("place"))
+            places = rows.groupBy(unit_key(F.col("cluster_id")).alias("unit")).agg(F.min(F.struct(*order)).alias("place"))
         difference = baseline_draws(counts, n_boot, seed, places)
         out["baseline_ci_low"], out["baseline_ci_high"], out["baseline_n_boot_usable"] = usable_interval(difference, confidence)
     return out
 
 
-def _sliced_draws(kept: DataFrame, names: list, level: str, n_boot: int, seed: int | None) -> dict[int, np.ndarray]:
-    """Alpha of each resample by slice number; one pass over all slices unless the ratings are ordinal."""
-    rows = as_ratings(kept, "slice_no")
-    if level == "ordinal":
-        return {k: ag.alpha_draws(ag.cleaned(rows.where(F.col("slice_no") == k), level), level, n_boot, seed) for k in range(len(names))}
-    return ag.alpha_draws_by(_typed(rows, level), "slice_no", level, n_boot, seed)
-
-
 def judge_validation(labels: DataFrame, level: str = "nominal", confidence: float = 0.95, n_boot: int = 1000, seed: int | None = None, human_baseline: DataFrame | None = None, ties: str | None = None, order: Sequence[str] = ()) -> JudgeValidation:
     """labels: human, judge, and if there are, slice and item_id. human_baseline: item_id, cluster_id, rater_id, rating.
 
@@ -194,7 +181,7 @@ def judge_validation(labels: DataFrame, level: str = "nominal", confidence: floa
         need_ids(labels, ["item_id"], "labels")
         need_unique(labels, ["item_id"], "the judge has one label an item")
     if "item_id" not in labels.columns:
-        labels = labels.withColumn("item_id", F.concat_ws(":", *order) if order else F.monotonically_increasing_id())
+        labels = labels.withColumn("item_id", unit_key(*map(F.col, order)) if order else F.monotonically_increasing_id())
     if human_baseline is not None:  # one spelling of a tie, so that two never count as a disagreement
         spell = lambda c: F.when(is_tie(F.col(c)), tidy(F.col(c))).otherwise(F.col(c).cast("string"))
         labels = labels.withColumns({"human": spell("human"), "judge": spell("judge")})
@@ -221,25 +208,22 @@ def _slice_table(kept: DataFrame, level: str, confidence: float, n_boot: int, se
     if "slice" not in kept.columns:
         return pd.DataFrame(columns=columns)
     kept = kept.withColumn("slice", F.col("slice").cast("string"))
-    found = {r.slice: r for r in slices(kept, level).collect()}
+    found = {r.slice: r for r in slices(kept, level).collect()}  # a row a slice
+    seeds: list[int] = []
     if order:
         first = {r.slice: r.place for r in kept.groupBy("slice").agg(F.min(F.struct(*order)).alias("place")).collect()}
-        names = sorted(found, key=lambda s: tuple(first[s]))
-        rng, draws = np.random.default_rng(seed), {}
-        for k, name in enumerate(names):
-            child = int(rng.integers(2**32)) if n_boot else None  # one for each slice, whether or not it is used
-            if n_boot and not found[name].note:
-                part = as_ratings(kept.where(F.col("slice").eqNullSafe(F.lit(name))), *(c for c in order if c != "item_id"))
-                draws[k] = ag.alpha_draws(ag.cleaned(part, level, *order), level, n_boot, child, order)
+        names, rng = sorted(found, key=lambda s: tuple(first[s])), np.random.default_rng(seed)
+        seeds = [int(rng.integers(2**32)) for _ in names]  # one for each slice, whether or not it is used
     else:
         names = sorted(found, key=str)
-        number = F.lit(-1)
-        for k, name in enumerate(names):
-            number = F.when(F.col("slice").eqNullSafe(F.lit(name)), k).otherwise(number)
-        draws = _sliced_draws(kept.withColumn("slice_no", number.cast("long")), names, level, n_boot, seed) if n_boot else {}
+    draws = {}
+    if n_boot and any(not r.note for r in found.values()):
+        numbers = kept.sparkSession.createDataFrame([(name, k) for k, name in enumerate(names) if not found[name].note], "told string, slice_no long")
+        rows = as_ratings(kept.join(numbers, F.col("slice").eqNullSafe(F.col("told"))), "slice_no", *(c for c in order if c != "item_id"))
+        draws = ag.alpha_draws_by(_typed(rows, level), "slice_no", level, n_boot, seed, order, seeds)
     rows = []
     for k, name in enumerate(names):
         r = found[name]
-        ci = usable_interval(draws[k], confidence)[:2] if n_boot and not r.note else (NAN, NAN)
+        ci = usable_interval(draws[k], confidence)[:2] if k in draws else (NAN, NAN)
         rows.append((name, r.n_items, NAN if r.alpha is None else r.alpha, *ci, r.accuracy, r.note))
     return pd.DataFrame(rows, columns=columns).sort_values("agreement", na_position="last", kind="stable").reset_index(drop=True)

@@ -1,121 +1,120 @@
-"""How often intervals cover the truth, by simulated evaluations dealt out over the executors."""
+"""How often intervals cover the truth: a table is the truth, and disjoint batches of its items are evaluations of it.
+
+Each batch gives an interval; what is reported is the share of batches whose interval has the whole table's value. Batches
+are told by a column, so they are groups of one aggregation and none is worked out on its own.
+"""
 
 from __future__ import annotations
 
-import math
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.intervals import paired_difference
-from ..functions.special import normal_quantile
-from ..plans.draws import numpy_multiplicities, percentile_interval
+from ..plans.draws import resampled, unit_number
+from .compare import discordance
 from .pairwise import ratings_of
 from .relational import plain_paired_intervals
+from .scores import wilson_intervals
 
-#: Trials to a task.
-TASK = 250
-
-
-def trials(spark: SparkSession, settings: int, each: int, simulate: Callable, schema: str, seed: int = 0) -> DataFrame:
-    """(setting, trial) with what simulate(setting, rng) gives; a trial's stream depends on seed, setting and trial alone."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in batches:
-            at = [(int(i) // each, int(i) % each) for i in part["id"]]
-            found = [simulate(k, np.random.default_rng((seed, k, t))) for k, t in at]
-            yield pd.concat([pd.DataFrame(at, columns=["setting", "trial"]), pd.DataFrame(found)], axis=1)
-
-    return spark.range(settings * each, numPartitions=max(1, settings * each // TASK)).mapInPandas(run, f"setting int, trial int, {schema}")
 
-
-def covers(low: str, high: str, truth: str = "truth"):  # noqa: ANN201
+def covers(low: str, high: str, truth: str = "truth") -> Column:
     return F.avg(((F.col(low) <= F.col(truth)) & (F.col(truth) <= F.col(high))).cast("double"))
 
 
-def coverage(spark: SparkSession, simulate: Callable, truth: float, each: int, seed: int = 0) -> DataFrame:
-    """n, covered, missed below and above of trials, each an interval from simulate(rng)."""
-    rows = trials(spark, 1, each, lambda _, rng: dict(zip(("low", "high"), simulate(rng), strict=True)), "low double, high double", seed).withColumn("truth", F.lit(truth))
-    return rows.agg(F.count("*").alias("n"), covers("low", "high").alias("covered"), F.avg((F.col("low") > truth).cast("double")).alias("missed_below"), F.avg((F.col("high") < truth).cast("double")).alias("missed_above"))
-
-
-def paired_coverage(spark: SparkSession, settings: Sequence[tuple[int, float, float, float]], each: int = 4000, confidence: float = 0.95, seed: int = 20) -> DataFrame:
-    """A row a setting (n, rate_a, rate_b, correlation): how often Tango's, Wald's and Newcombe's intervals cover the difference.
-
-    Items have two normal scores that share a part; a side passes an item whose score is under its threshold.
-    """
-    cuts = [(normal_quantile(a), normal_quantile(b)) for _, a, b, _ in settings]
+def score_coverage(scores: DataFrame, by: Sequence[str] = (), batch: str = "batch", score: str = "score", confidence: float = 0.95) -> DataFrame:
+    """by, n_batches, covered, missed_below and above, of Wilson's interval of 0/1 scores."""
+    found = wilson_intervals(scores, [*by, batch], score, confidence)
+    truth = scores.groupBy(*by).agg(F.avg(F.col(score).cast("double")).alias("truth"))
+    rows = found.join(truth, list(by)) if by else found.crossJoin(F.broadcast(truth))  # a row
+    share = lambda c: F.avg(c.cast("double"))
+    return rows.groupBy(*by).agg(F.count("*").alias("n_batches"), covers("ci_low", "ci_high").alias("covered"), share(F.col("ci_low") > F.col("truth")).alias("missed_below"), share(F.col("ci_high") < F.col("truth")).alias("missed_above"))
 
-    def simulate(k: int, rng: np.random.Generator) -> dict:
-        n, _, _, correlation = settings[k]
-        own = math.sqrt(correlation) * rng.standard_normal(n) + math.sqrt(1 - correlation) * rng.standard_normal((2, n))
-        a, b = own[0] < cuts[k][0], own[1] < cuts[k][1]
-        first, second = int((a & ~b).sum()), int((b & ~a).sum())
-        low, high = paired_difference(first, second, n, confidence)
-        return {"n": n, "n_a_only": first, "n_b_only": second, "n_both": int((a & b).sum()), "score_low": low, "score_high": high}
 
-    rows = trials(spark, len(settings), each, simulate, "n long, n_a_only long, n_b_only long, n_both long, score_low double, score_high double", seed)
-    truth = F.element_at(F.array(*(F.lit(a - b) for _, a, b, _ in settings)), F.col("setting") + 1)
-    kinds = ("wald", "newcombe", "newcombe_corrected", "score")
-    rows = plain_paired_intervals(rows, confidence).withColumn("truth", truth)
-    return rows.groupBy("setting").agg(F.count("*").alias("n_trials"), *(covers(f"{k}_low", f"{k}_high").alias(k) for k in kinds))
+def paired_coverage(pairs: DataFrame, batch: str = "batch", confidence: float = 0.95) -> DataFrame:
+    """n_batches and how often Tango's, Wald's and Newcombe's two intervals of a 0/1 difference cover."""
 
+    @F.pandas_udf("low double, high double")
+    def score(b: pd.Series, c: pd.Series, n: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([paired_difference(*map(int, x), confidence) for x in zip(b, c, n, strict=True)], columns=["low", "high"])
 
-#: Groups whose means differ by a half.
-DRAWN = {
-    "normal": lambda rng, n, m: (rng.normal(0.5, 1.0, n), rng.normal(0.0, 2.0, m)),
-    "exponential": lambda rng, n, m: (rng.exponential(1.5, n), rng.exponential(1.0, m)),
-}
+    both = F.count_if((F.col("a") == 1) & (F.col("b") == 1)).alias("n_both")
+    stats = discordance(pairs, [batch]).join(pairs.groupBy(batch).agg(both), batch)
+    truth = discordance(pairs).select(F.col("difference").alias("truth"))
+    rows = plain_paired_intervals(stats, confidence).withColumn("score", score("n_a_only", "n_b_only", "n")).crossJoin(F.broadcast(truth))  # a row
+    rows = rows.withColumns({"score_low": F.col("score.low"), "score_high": F.col("score.high")})
+    return rows.agg(F.count("*").alias("n_batches"), *(covers(f"{k}_low", f"{k}_high").alias(k) for k in ("wald", "newcombe", "newcombe_corrected", "score")))
 
 
-def two_sample_coverage(spark: SparkSession, settings: Sequence[tuple[str, int, int]], each: int = 5000, n_boot: int = 1000, confidence: float = 0.95, seed: int = 44) -> DataFrame:
-    """A row a setting (distribution, n_a, n_b): how often the bootstrap of two groups covers the difference of their means."""
+def two_sample_coverage(scores: DataFrame, groups: tuple[str, str], n_boot: int = 200, confidence: float = 0.95, seed: int = 0) -> DataFrame:
+    """n_batches and how often a bootstrap of the items covers the difference of the two groups' means.
 
-    def simulate(k: int, rng: np.random.Generator) -> dict:
-        kind, *sizes = settings[k]
-        means = [np.concatenate([times @ x / len(x) for times in numpy_multiplicities(len(x), n_boot, rng)]) for x in DRAWN[kind](rng, *sizes)]
-        return dict(zip(("low", "high"), percentile_interval(means[0] - means[1], confidence), strict=True))
-
-    rows = trials(spark, len(settings), each, simulate, "low double, high double", seed).withColumn("truth", F.lit(0.5))
-    return rows.groupBy("setting").agg(F.count("*").alias("n_trials"), covers("low", "high").alias("covered"))
-
-
-def _limit(strengths: np.ndarray, spread: float) -> np.ndarray:
-    """The ratings that endless comparisons lead to, where prompts move each model's strength by normal shifts."""
-    nodes, weights = np.polynomial.hermite_e.hermegauss(80)
-    gaps = strengths[:, None, None] - strengths[None, :, None] + math.sqrt(2) * spread * nodes
-    credit = (weights / (1 + np.exp(-gaps))).sum(axis=-1) / weights.sum()
-    np.fill_diagonal(credit, 0)
-    return ratings_of(credit)
-
-
-def board_coverage(spark: SparkSession, spreads: Sequence[float], strengths: Sequence[float], n_prompts: int = 80, n_comparisons: int = 2575, each: int = 400, n_boot: int = 500, confidence: float = 0.95, seed: int = 31) -> DataFrame:
-    """A row a spread of prompts: how often gaps' intervals cover, how many gaps they tell from zero, and how wide they are,
-    where whole prompts and where single comparisons are resampled.
+    scores: grp, item_id, batch (a long), score. All batches are resampled in one pass.
     """
-    strength = np.array(strengths, float)
-    m, limits, tail = len(strength), [_limit(strength, s) for s in spreads], 50 * (1 - confidence)
-    first, second = np.triu_indices(m, 1)
-
-    def simulate(k: int, rng: np.random.Generator) -> dict:
-        prompt, pair = np.arange(n_comparisons) % n_prompts, rng.integers(0, len(first), n_comparisons)
-        own = strength + rng.normal(0, spreads[k], (n_prompts, m))
-        a, b = first[pair], second[pair]
-        won = rng.random(n_comparisons) < 1 / (1 + np.exp(own[prompt, b] - own[prompt, a]))
-        cell = np.where(won, a * m + b, b * m + a)
-        by_prompt = np.bincount(prompt * m * m + cell, minlength=n_prompts * m * m).reshape(n_prompts, m * m).astype(float)
-        prompts = np.concatenate([times @ by_prompt for times in numpy_multiplicities(n_prompts, n_boot, rng)])
-        single = rng.multinomial(n_comparisons, by_prompt.sum(axis=0) / n_comparisons, n_boot)
-        out, truth = {}, limits[k][first] - limits[k][second]
-        for name, drawn in (("items", prompts), ("comparisons", single)):
-            r = ratings_of(drawn.reshape(n_boot, m, m).astype(float))
-            low, high = np.percentile(r[:, first] - r[:, second], [tail, 100 - tail], axis=0)
-            out |= {f"covered_{name}": float(((low <= truth) & (truth <= high)).mean()), f"separable_{name}": float(((low > 0) | (high < 0)).sum()), f"width_{name}": float((high - low).mean())}
+    two = scores.where(F.col("grp").isin(*groups))
+    side = F.when(F.col("grp") == groups[0], 0).otherwise(2)
+    sums = F.array(*(F.struct((side + k).cast("long").alias("j"), x.cast("double").alias("x")) for k, x in enumerate((F.lit(1.0), F.col("score")))))
+    cells = two.select(unit_number(F.col("item_id")).alias("unit"), F.col("batch").cast("long").alias("i"), F.inline(sums))
+    means = {r.grp: r.m for r in two.groupBy("grp").agg(F.avg(F.col("score").cast("double")).alias("m")).collect()}
+    draws: list[pd.DataFrame] = []
+    for labels, x in resampled(cells, n_boot, seed):
+        table = pd.DataFrame(x.T, index=pd.MultiIndex.from_arrays(labels.T)).unstack(level=1)  # a row a batch
+        parts = [table.xs(k, axis=1, level=1) for k in range(4)]
+        with np.errstate(invalid="ignore", divide="ignore"):
+            draws.append(parts[1] / parts[0] - parts[3] / parts[2])
+    every = pd.concat(draws, axis=1)
+    tail = (1 - confidence) / 2
+    ends = every[every.notna().sum(axis=1) >= 0.9 * n_boot].quantile([tail, 1 - tail], axis=1).T
+    rows = two.sparkSession.createDataFrame(pd.DataFrame({"low": ends[tail], "high": ends[1 - tail]})).withColumn("truth", F.lit(means[groups[0]] - means[groups[1]]))
+    return rows.agg(F.count("*").alias("n_batches"), covers("low", "high").alias("covered"))
+
+
+def board_coverage(comparisons: DataFrame, batch: str = "batch", n_boot: int = 200, confidence: float = 0.95, seed: int = 0) -> DataFrame:
+    """n_batches and, of the gaps of batches' ratings: how often items' and comparisons' bootstraps cover those of the whole board,
+    and how many gaps they tell from zero.
+
+    comparisons: item_id, model_a, model_b, winner (null or another name: tie), batch; each batch is one task's, with a bounded number of items.
+    """
+    models = sorted(r[0] for r in comparisons.select("model_a").union(comparisons.select("model_b")).distinct().collect())
+    place = {m: k for k, m in enumerate(models)}
+    size, tail = len(models), 50 * (1 - confidence)
+    first, second = np.triu_indices(size, 1)
+
+    def cells(part: pd.DataFrame) -> np.ndarray:
+        a, b = part["model_a"].map(place).to_numpy(), part["model_b"].map(place).to_numpy()
+        won = np.where(part["winner"] == part["model_a"], 1.0, np.where(part["winner"] == part["model_b"], 0.0, 0.5))
+        out = np.zeros((len(part), size * size))
+        out[np.arange(len(part)), a * size + b], out[np.arange(len(part)), b * size + a] = won, 1 - won
         return out
 
-    columns = [f"{c}_{name}" for name in ("items", "comparisons") for c in ("covered", "separable", "width")]
-    rows = trials(spark, len(spreads), each, simulate, ", ".join(f"{c} double" for c in columns), seed).groupBy("setting").agg(F.count("*").alias("n_trials"), *(F.avg(c).alias(c) for c in columns))
-    return rows.withColumn("width_ratio", F.col("width_comparisons") / F.col("width_items")).drop("width_comparisons", "width_items")
+    won = F.when(F.col("winner") == F.col("model_a"), 1.0).when(F.col("winner") == F.col("model_b"), 0.0).otherwise(0.5)
+    sums = comparisons.groupBy("model_a", "model_b").agg(F.sum(won).alias("won"), F.count("*").alias("n")).collect()
+    credit = np.zeros((size, size))
+    for r in sums:
+        credit[place[r.model_a], place[r.model_b]] += r.won
+        credit[place[r.model_b], place[r.model_a]] += r.n - r.won
+    rated = ratings_of(credit)
+    truth = rated[first] - rated[second]
+
+    def batch_rows(part: pd.DataFrame) -> pd.DataFrame:
+        rows, rng, out = cells(part), np.random.default_rng((seed, int(part[batch].iloc[0]))), {}
+        units = {"items": np.unique(part["item_id"], return_inverse=True)[1], "comparisons": np.arange(len(part))}
+        for name, unit in units.items():
+            by_unit = np.zeros((unit.max() + 1, size * size))
+            np.add.at(by_unit, unit, rows)
+            times = rng.multinomial(len(by_unit), np.full(len(by_unit), 1 / len(by_unit)), n_boot)
+            drawn = (times @ by_unit).reshape(n_boot, size, size)
+            drawn = drawn[(drawn + np.eye(size) > 0).all(axis=(1, 2))]
+            if len(drawn) < 0.9 * n_boot:
+                return pd.DataFrame(columns=columns)
+            r = ratings_of(drawn)
+            low, high = np.percentile(r[:, first] - r[:, second], [tail, 100 - tail], axis=0)
+            out |= {f"covered_{name}": float(((low <= truth) & (truth <= high)).mean()), f"separable_{name}": float(((low > 0) | (high < 0)).sum())}
+        return pd.DataFrame([out])[columns]
+
+    columns = [f"{c}_{name}" for name in ("items", "comparisons") for c in ("covered", "separable")]
+    found = comparisons.groupBy(batch).applyInPandas(batch_rows, ", ".join(f"{c} double" for c in columns))
+    return found.agg(F.count("*").alias("n_batches"), *(F.avg(c).alias(c) for c in columns))

@@ -6,8 +6,11 @@ Two ways of drawing, told apart by the caller alone and never by size:
 - keyed, where no order is given: a unit's multiplicity in a resample is Poisson with mean one and depends on the unit's
   key, the resample and the seed alone, by whole-number arithmetic that any engine can repeat. Nothing is shuffled but one
   row a task, statistic and block of resamples, and a recomputed task gives the same sums.
-- numpy's own stream, where `order` numbers the units: resamples of as many units as there are, drawn on the driver,
-  which holds a row a unit. For results that must follow a seed of numpy's generator number by number.
+- numpy's own stream, where `order` numbers the units (see `stream`): resamples of as many units as there are, drawn by
+  tasks, each from its own stretch of the stream. For results that must follow a seed of numpy's generator number by number.
+
+Sums by label go to the driver where there are up to WIDE labels. Where there are more and only their totals and squares
+matter, labels stay on the executors: cells are dealt out by ranges of labels, and a row a task reaches the driver.
 """
 
 from __future__ import annotations
@@ -21,29 +24,40 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .stream import TIMES, drawn, drawn_by, numbered
+
 #: Share of resamples that must give a number before an interval is reported.
 USABLE = 0.90
-#: Units are numbers under this prime; a resample is a random cubic polynomial over it.
+#: Draws are numbers under this prime: a random cubic polynomial over it for each resample, of a random mix of a unit's halves.
 PRIME = 2**31 - 1
+#: Units are numbers of twice as many bits.
+HALF = 30
 #: Where a polynomial's value reaches these, the multiplicity is one more: Poisson's distribution times the prime.
 THRESHOLDS = tuple(int(PRIME * sum(exp(-1 - lgamma(i + 1)) for i in range(k + 1))) for k in range(12))
 #: Sums that a task holds at once: statistics times resamples.
 SUMS = 8_000_000
+#: Labels whose sums the driver takes.
+WIDE = 4096
 #: Rows up to which a table is dealt out anew before it is resampled.
 SMALL = 20_000_000
 CELLS = "unit long, i long, j long, x double"
 
 
+def unit_key(*key: Column) -> Column:
+    """A text that two units share only if all these columns are the same, nulls among them."""
+    part = lambda k: F.coalesce(F.concat(F.length(k.cast("string")).cast("string"), F.lit(":"), k.cast("string")), F.lit("n"))
+    return F.concat(*map(part, key))
+
+
 def unit_number(*key: Column) -> Column:
-    """A number under PRIME from the columns that tell a unit from the others."""
-    word = F.substring(F.md5(F.concat_ws(":", *(k.cast("string") for k in key))), 1, 15)
-    return F.conv(word, 16, 10).cast("long") % PRIME
+    """A number of 2 * HALF bits from the columns that tell a unit from the others."""
+    return F.conv(F.substring(F.md5(unit_key(*key)), 1, 2 * HALF // 4), 16, 10).cast("long")
 
 
 def polynomials(seed: int, first: int, last: int) -> np.ndarray:
-    """(resamples, 4): the coefficients of resamples from first to before last."""
+    """(resamples, 5): of resamples from first to before last, the coefficients and what the lower half is mixed in by."""
     word = lambda b, k: int(hashlib.md5(f"{seed}:{b}:{k}".encode()).hexdigest()[:15], 16) % PRIME
-    return np.array([[word(b, k) for k in range(4)] for b in range(first, last)], np.int64).reshape(-1, 4)
+    return np.array([[word(b, k) for k in range(5)] for b in range(first, last)], np.int64).reshape(-1, 5)
 
 
 #: Values under PRIME fall into equal bins, nearly all of which have one multiplicity.
@@ -60,10 +74,11 @@ def _reduced(x: np.ndarray) -> np.ndarray:
 
 def poisson(units: np.ndarray, many: np.ndarray | None, polynomial: np.ndarray) -> np.ndarray:
     """Multiplicities of units by number, each of which stands for `many` equal ones, or for itself."""
-    a0, a1, a2, a3 = polynomial.tolist()
-    t = _reduced(_reduced(a3 * units + a2))
-    t = _reduced(_reduced(t * units + a1))
-    t = _reduced(_reduced(t * units + a0))
+    a0, a1, a2, a3, mix = polynomial.tolist()
+    u = _reduced(_reduced((units >> HALF) + mix * (units & (1 << HALF) - 1)))
+    t = _reduced(_reduced(a3 * u + a2))
+    t = _reduced(_reduced(t * u + a1))
+    t = _reduced(_reduced(t * u + a0))
     t = np.where(t >= PRIME, t - PRIME, t)
     bins = t >> _SHIFT
     out, mixed = _BIN[bins], np.flatnonzero(_MIXED[bins])
@@ -91,35 +106,59 @@ def _quantiles(mean: int):  # noqa: ANN202
     return lambda t: low + int(np.searchsorted(upto, (t + 0.5) / PRIME, side="right"))
 
 
+def times_of(part: pd.DataFrame, coefficients: np.ndarray | None, first: int, last: int) -> np.ndarray:
+    """(rows, resamples): the multiplicities of each row's unit, by its key, or as drawn for it."""
+    if coefficients is None:
+        return np.stack([np.frombuffer(t, TIMES)[first:last] for t in part["times"]]) if len(part) else np.zeros((0, last - first), TIMES)
+    units, at, place = np.unique(part["unit"].to_numpy(np.int64), return_index=True, return_inverse=True)
+    many = part["many"].to_numpy(np.int64)[at] if "many" in part else None
+    return np.stack([poisson(units, many, c) for c in coefficients], axis=1)[place]
+
+
 def sorted_labels(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """The different (i, j) of rows in order, and each row's place among them."""
     return np.unique(pdf[["i", "j"]].to_numpy(np.int64).reshape(-1, 2), axis=0, return_inverse=True)
 
 
-def _partial(coefficients: np.ndarray):  # noqa: ANN202
+def _partial(coefficients: np.ndarray | None, first: int, last: int):  # noqa: ANN202
     def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total: dict[tuple[int, int], np.ndarray] = {}
         for part in batches:
             if not len(part):
                 continue
             labels, column = sorted_labels(part)
-            units, first, place = np.unique(part["unit"].to_numpy(np.int64), return_index=True, return_inverse=True)
-            many = part["many"].to_numpy(np.int64)[first] if "many" in part else None
-            x, own = part["x"].to_numpy(float), np.empty((len(coefficients), len(labels)))
-            dense = None
-            if len(units) * len(labels) <= SUMS:
-                dense = np.bincount(place * len(labels) + column, x, len(units) * len(labels)).reshape(len(units), len(labels))
-            for b, polynomial in enumerate(coefficients):
-                times = poisson(units, many, polynomial)
-                own[b] = times @ dense if dense is not None else np.bincount(column, times[place] * x, len(labels))
+            own = (_by_key(part, labels, column, coefficients) if coefficients is not None else _as_drawn(part, labels, column, first, last)).T
             for k, label in enumerate(map(tuple, labels.tolist())):
-                total[label] = total[label] + own[:, k] if label in total else own[:, k].copy()
+                total[label] = total[label] + own[k] if label in total else own[k].copy()
         if total:
             yield pd.DataFrame({"i": [i for i, _ in total], "j": [j for _, j in total], "sums": [s.tobytes() for s in total.values()]})
 
     return sums
 
 
+def _by_key(part: pd.DataFrame, labels: np.ndarray, column: np.ndarray, coefficients: np.ndarray) -> np.ndarray:
+    units, first, place = np.unique(part["unit"].to_numpy(np.int64), return_index=True, return_inverse=True)
+    many = part["many"].to_numpy(np.int64)[first] if "many" in part else None
+    x, own, dense = part["x"].to_numpy(float), np.empty((len(coefficients), len(labels))), None
+    if len(units) * len(labels) <= SUMS:
+        dense = np.bincount(place * len(labels) + column, x, len(units) * len(labels)).reshape(len(units), len(labels))
+    for b, polynomial in enumerate(coefficients):
+        times = poisson(units, many, polynomial)
+        own[b] = times @ dense if dense is not None else np.bincount(column, times[place] * x, len(labels))
+    return own
+
+
+def _as_drawn(part: pd.DataFrame, labels: np.ndarray, column: np.ndarray, first: int, last: int) -> np.ndarray:
+    own, x, step = np.zeros((len(labels), last - first)), part["x"].to_numpy(float), 1000
+    for at in range(0, len(part), step):
+        rows = slice(at, at + step)
+        order = np.argsort(column[rows], kind="stable")
+        begins = np.flatnonzero(np.diff(column[rows][order], prepend=-1))
+        weighed = times_of(part.iloc[rows], None, first, last)[order] * x[rows][order][:, None]
+        own[column[rows][order][begins]] += np.add.reduceat(weighed, begins, axis=0)
+    return own.T
+
+
 def _added(part: pd.DataFrame) -> pd.DataFrame:
     whole = np.sum([np.frombuffer(s) for s in part["sums"]], axis=0)
     return pd.DataFrame({"i": part["i"][:1], "j": part["j"][:1], "sums": [whole.tobytes()]})
@@ -133,21 +172,140 @@ def resampled(cells: DataFrame, n_boot: int, seed, places: DataFrame | None = No
     """Of cells (unit, i, j, x): blocks of resamples, each with the labels (i, j) and the sums of x by resample and label.
 
     A unit has a row a label at most. A column `many` says how many equal units a row stands for; x is that of one.
-    places (unit, place), a row a unit: the resamples are numpy's, of units numbered by place.
+    places (unit, place), a row a unit: the resamples are numpy's, of units numbered by place; units are their keys then.
     """
-    if places is not None:
-        yield from _by_numpy(cells, n_boot, seed, places)
+    if places is None:
+        yield from _blocks(_dealt(cells, n_boot), n_boot, some_seed(seed))
         return
-    size, width = cells.agg(F.count("*"), F.count_distinct("i", "j")).first()
-    step, seed = max(1, min(n_boot, SUMS // max(width, 1))), some_seed(seed)
-    if size <= SMALL:  # few rows lie in few partitions, and the work is rows times resamples
-        parts = min(-(-size * n_boot // SUMS), 4 * cells.sparkSession.sparkContext.defaultParallelism)
-        cells = cells.repartition(max(1, parts), "unit")
+    cells = with_draws(cells, places, n_boot, seed).persist()
+    try:
+        yield from _blocks(cells, n_boot, None)
+    finally:
+        cells.unpersist()
+
+
+def as_drawn(cells: DataFrame, n_boot: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """resampled() of cells that have their multiplicities, from with_draws."""
+    return _blocks(cells, n_boot, None)
+
+
+def _dealt(cells: DataFrame, n_boot: int) -> DataFrame:
+    """cells in partitions that have about SUMS multiplicities to make each: few rows lie in few, and the work is rows times resamples."""
+    if (size := cells.count()) > SMALL:
+        return cells
+    parts = min(-(-size * n_boot // SUMS), 4 * cells.sparkSession.sparkContext.defaultParallelism)
+    return cells.repartition(max(1, parts), "unit")
+
+
+def _blocks(cells: DataFrame, n_boot: int, seed: int | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """resampled() of cells that are dealt out, by their keys or, without a seed, as drawn."""
+    width = cells.select("i", "j").distinct().count()
+    step = max(1, min(n_boot, SUMS // max(width, 1)))
     for first in range(0, n_boot, step):
-        coefficients = polynomials(seed, first, min(first + step, n_boot))
-        parts = cells.mapInPandas(_partial(coefficients), "i long, j long, sums binary")
+        last = min(first + step, n_boot)
+        parts = cells.mapInPandas(_partial(None if seed is None else polynomials(seed, first, last), first, last), "i long, j long, sums binary")
         rows = sorted(parts.groupBy("i", "j").applyInPandas(_added, "i long, j long, sums binary").collect())
-        yield np.array([[r.i, r.j] for r in rows], np.int64).reshape(-1, 2), np.array([np.frombuffer(r.sums) for r in rows]).reshape(len(rows), len(coefficients)).T
+        yield np.array([[r.i, r.j] for r in rows], np.int64).reshape(-1, 2), np.array([np.frombuffer(r.sums) for r in rows]).reshape(len(rows), last - first).T
+
+
+def with_draws(cells: DataFrame, places: DataFrame, n_boot: int, seed) -> DataFrame:  # noqa: ANN001
+    """cells with `times`, how often each resample has the unit, as numpy draws it from all that have a place."""
+    numbers, n = numbered(places, "place")
+    return cells.join(numbers.select("unit", "number"), "unit").join(drawn(cells.sparkSession, n, n_boot, seed), "number").drop("number")
+
+
+def with_draws_by(cells: DataFrame, places: DataFrame, n_boot: int, seeds: Sequence[int]) -> DataFrame:
+    """cells (g, unit, others) with `times`: group g's resamples are numpy's for seeds[g]; places has g too."""
+    numbers, _ = numbered(places.withColumn("place", F.struct("g", "place")), "place")
+    spark, sizes = cells.sparkSession, {r.g: r.n for r in places.groupBy("g").agg(F.count("*").alias("n")).collect()}  # a row a group
+    known = sorted(sizes)
+    starts = spark.createDataFrame(pd.DataFrame({"g": known, "start": np.cumsum([0, *(sizes[g] for g in known)])[:-1]}), "g long, start long")
+    own = numbers.join(starts, "g").select("g", "unit", (F.col("number") - F.col("start")).alias("number"))
+    return cells.join(own, ["g", "unit"]).join(drawn_by(spark, sizes, n_boot, {g: seeds[g] for g in known}), ["g", "number"]).drop("number")
+
+
+def label_totals(cells: DataFrame, n_boot: int, seed, places: DataFrame | None = None) -> dict[int, tuple[np.ndarray, np.ndarray]]:  # noqa: ANN001
+    """By j: for each resample the total of its labels' sums, and of their squares. As resampled, for any number of labels.
+
+    Cells that have `times` were drawn before.
+    """
+    if "times" not in cells.columns and places is not None:
+        cells = with_draws(cells, places, n_boot, seed)
+    keyed = "times" not in cells.columns
+    if not keyed:
+        cells = cells.persist()
+    try:
+        return _label_totals(cells, n_boot, some_seed(seed) if keyed else None)
+    finally:
+        if not keyed:
+            cells.unpersist()
+
+
+def _label_totals(cells: DataFrame, n_boot: int, seed: int | None) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    if cells.select("i", "j").distinct().limit(WIDE + 1).count() <= WIDE:
+        out: dict[int, list] = {}
+        for labels, sums in _blocks(cells if seed is None else _dealt(cells, n_boot), n_boot, seed):
+            for j in np.unique(labels[:, 1]).tolist():
+                own = sums[:, labels[:, 1] == j]
+                out.setdefault(j, []).append((own.sum(axis=1), (own**2).sum(axis=1)))
+        return {j: tuple(map(np.concatenate, zip(*blocks, strict=True))) for j, blocks in out.items()}
+    coefficients = None if seed is None else polynomials(seed, 0, n_boot)
+    ranged = cells.repartitionByRange("j", "i", "unit").sortWithinPartitions("j", "i")
+    rows = ranged.mapInPandas(_by_label(coefficients, n_boot), "j long, i long, sums binary, squares binary").collect()  # a row a j and task, and two
+    totals: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    cut: dict[tuple[int, int], np.ndarray] = {}
+    for r in rows:
+        sums = np.frombuffer(r.sums)
+        if r.squares is None:  # of a label that may lie in other tasks too
+            cut[r.j, r.i] = cut.get((r.j, r.i), 0) + sums
+        else:
+            _add(totals, r.j, sums, np.frombuffer(r.squares))
+    for (j, _), sums in cut.items():
+        _add(totals, j, sums, sums**2)
+    return totals
+
+
+def _add(totals: dict, j: int, sums: np.ndarray, squares: np.ndarray) -> None:
+    before = totals.get(j, (0, 0))
+    totals[j] = before[0] + sums, before[1] + squares
+
+
+def label_sums(batches: Iterator[pd.DataFrame], coefficients: np.ndarray | None, n_boot: int) -> Iterator[tuple[tuple[int, int], np.ndarray]]:
+    """Of cells sorted by (j, i): each label with its sums by resample, in order."""
+    label, total, step = None, np.zeros(n_boot), max(1, SUMS // max(n_boot, 1) // 4)
+    for batch in batches:
+        for at in range(0, len(batch), step):
+            part = batch.iloc[at : at + step]
+            labels = part[["j", "i"]].to_numpy(np.int64)
+            begins = np.flatnonzero(np.concatenate(([True], (labels[1:] != labels[:-1]).any(axis=1))))
+            sums = np.add.reduceat(times_of(part, coefficients, 0, n_boot) * part["x"].to_numpy(float)[:, None], begins, axis=0)
+            for own, row in zip(map(tuple, labels[begins].tolist()), sums, strict=True):
+                if own == label:
+                    total = total + row
+                else:
+                    if label is not None:
+                        yield label, total
+                    label, total = own, row
+    if label is not None:
+        yield label, total
+
+
+def _by_label(coefficients: np.ndarray | None, n_boot: int):  # noqa: ANN202
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        totals: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        cut, last = [], None
+        for label, sums in label_sums(batches, coefficients, n_boot):
+            if last is not None:
+                if cut:
+                    _add(totals, last[0][0], last[1], last[1] ** 2)
+                else:
+                    cut.append(last)  # the first may have begun in another task
+            last = label, sums
+        cut += [last] if last is not None else []  # and the last may go on in one
+        out = [(j, i, s.tobytes(), None) for (j, i), s in cut] + [(j, None, s.tobytes(), q.tobytes()) for j, (s, q) in totals.items()]
+        yield pd.DataFrame(out, columns=["j", "i", "sums", "squares"])
+
+    return rows
 
 
 def numpy_multiplicities(n: int, n_boot: int, seed, width: int = 1) -> Iterator[np.ndarray]:  # noqa: ANN001
@@ -158,32 +316,20 @@ def numpy_multiplicities(n: int, n_boot: int, seed, width: int = 1) -> Iterator[
         yield np.stack([np.bincount(p, minlength=n) for p in picks])
 
 
-def _by_numpy(cells: DataFrame, n_boot: int, seed, places: DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:  # noqa: ANN001
-    units = np.array([r.unit for r in places.orderBy("place").select("unit").collect()], np.int64)
-    rows, order = cells.select("unit", "i", "j", "x").toPandas(), np.argsort(units)
-    labels, column = sorted_labels(rows)
-    place, x = order[np.searchsorted(units[order], rows["unit"].to_numpy(np.int64))], rows["x"].to_numpy(float)
-    dense = None
-    if len(units) * len(labels) <= SUMS:
-        dense = np.bincount(place * len(labels) + column, x, len(units) * len(labels)).reshape(len(units), len(labels))
-    for times in numpy_multiplicities(len(units), n_boot, seed, len(labels)):
-        yield labels, times @ dense if dense is not None else np.array([np.bincount(column, t[place] * x, len(labels)) for t in times])
-
-
 def resampled_means(rows: DataFrame, x: Column, key: Sequence[str], order: Sequence[str], n_boot: int, seed) -> np.ndarray:  # noqa: ANN001
     """Means of x over resamples of rows: numpy's if `order` numbers them, else keyed by `key`, or by x itself where that is empty."""
-    if order:
-        values = np.array([r[0] for r in rows.orderBy(*order).select(x.cast("double")).collect()])
-        return np.concatenate([times @ values / len(values) for times in numpy_multiplicities(len(values), n_boot, seed)])
-    own = rows.select(*key, x.cast("double").alias("own_x"))
-    if key:
-        own = own.select(unit_number(*map(F.col, key)).alias("unit"), "own_x")
+    pairs = lambda own, unit, *more: own.select(unit, *more, F.inline(F.array(*(F.struct(F.lit(0).cast("long").alias("i"), F.lit(j).cast("long").alias("j"), v.alias("x")) for j, v in enumerate((F.lit(1.0), F.col("own_x")))))))
+    value = x.cast("double").alias("own_x")
+    if order:  # each row is a unit
+        numbers, n = numbered(rows.select(F.struct(*order).alias("place"), unit_key(*map(F.col, order)).alias("unit"), value), "place")
+        blocks = _blocks(pairs(numbers, "number").join(drawn(rows.sparkSession, n, n_boot, seed), "number"), n_boot, None)
+    elif key:
+        blocks = resampled(pairs(rows.select(unit_number(*map(F.col, key)).alias("unit"), value), "unit"), n_boot, seed)
     else:
-        own = own.groupBy("own_x").agg(F.count("*").alias("many")).select(unit_number(F.col("own_x")).alias("unit"), "own_x", "many")
-    more = ["many"] if not key else []
-    cells = own.select("unit", *more, F.inline(F.array(*(F.struct(F.lit(0).cast("long").alias("i"), F.lit(j).cast("long").alias("j"), v.alias("x")) for j, v in enumerate((F.lit(1.0), F.col("own_x")))))))
+        own = rows.select(value).groupBy("own_x").agg(F.count("*").alias("many"))
+        blocks = resampled(pairs(own.select(unit_number(F.col("own_x")).alias("unit"), "own_x", "many"), "unit", "many"), n_boot, seed)
     with np.errstate(invalid="ignore", divide="ignore"):
-        return np.concatenate([sums[:, 1] / sums[:, 0] for _, sums in resampled(cells, n_boot, seed)])
+        return np.concatenate([sums[:, 1] / sums[:, 0] for _, sums in blocks])
 
 
 def percentile_interval(values: np.ndarray, confidence: float) -> tuple[float, float]:

@@ -5,8 +5,7 @@ Doubles are rounded to six places, so that engines that sum in another order agr
 
 from __future__ import annotations
 
-import dataclasses
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -88,10 +87,10 @@ def q_mcnemar_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_mcnemar_exact(spark: SparkSession, sf: str) -> DataFrame:
-    """A test a batch of orders, small enough for the exact one; null where it isn't."""
-    batches = v.paired_scores(spark, sf).withColumn("batch", F.floor(F.col("item_id") / 40))
-    tests = cmp.mcnemar_tests(cmp.discordance(batches, ["batch"]))
-    return rounded(tests.select("batch", "n", "n_a_only", "n_b_only", F.when(F.col("exact"), F.col("p_value")).alias("p_value")))
+    """A test a batch of orders, small enough for the exact one, and one a larger batch, which isn't."""
+    both = [_batches(v.paired_scores(spark, sf), size).withColumn("size", F.lit(size)) for size in (40, 4000)]
+    tests = cmp.mcnemar_tests(cmp.discordance(both[0].unionByName(both[1]), ["size", "batch"]))
+    return rounded(tests.select("size", "batch", "n", "n_a_only", "n_b_only", "exact", "p_value"))
 
 
 def q_tango_ci(spark: SparkSession, sf: str) -> DataFrame:
@@ -164,58 +163,71 @@ def q_compare_independent(spark: SparkSession, sf: str) -> DataFrame:
     s = v.independent_scores(spark, sf).withColumn("millions", F.col("score_cont") / 1e6)
     a, b = (s.where(F.col("grp") == g) for g in ("1-URGENT", "5-LOW"))
     welch = cmp.compare_independent(a, b, method="t", score="millions")
-    return _compared(spark, cmp.compare_independent(a, b), cmp.compare_independent(a, b, method="bootstrap", seed=SEED), dataclasses.replace(welch, p_value=0.0))
+    return _compared(spark, cmp.compare_independent(a, b), cmp.compare_independent(a, b, method="bootstrap", seed=SEED), welch)
 
 
 def q_signed_null(spark: SparkSession, sf: str) -> DataFrame:
-    """The exact distribution of the signed-rank sum, and what its interval leaves out at either end."""
-    return _frame(spark, [{"n": n, "sum": k, "patterns": c, "trim": cmp.signed_trim(n, 0.95, True)} for n in range(6, 13) for k, c in enumerate(cmp.null_ranks(n))])
+    """The exact distribution of the signed-rank sum for each number of differences that batches of orders have, and what its interval leaves out at either end."""
+    differing = _batches(_cents(v.paired_scores(spark, sf)), 12).groupBy("batch").agg(F.count_if(F.col("a") != F.col("b")).alias("n"))
+    sizes = differing.where("n > 0").groupBy("n").agg(F.count("*").alias("n_batches"))
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in batches:
+            for n, many in zip(part["n"], part["n_batches"], strict=True):
+                counts = cmp.null_ranks(int(n))
+                yield pd.DataFrame({"n": n, "n_batches": many, "sum": range(len(counts)), "patterns": counts, "trim": cmp.signed_trim(int(n), 0.95, True)})
+
+    return sizes.mapInPandas(rows, "n long, n_batches long, sum long, patterns long, trim long")
 
 
 # power
 
 
-def _grid(spark: SparkSession) -> DataFrame:
-    k = F.col("id")
-    return spark.range(19 * 5 * 15).select(((k % 19 + 1) / 20).alias("baseline"), ((F.floor(k / 19) % 5 + 1) / 10).alias("discordance_rate"), ((F.floor(k / 95) + 1) / 50).alias("mde"))
+def _batches(rows: DataFrame, size: int) -> DataFrame:
+    """rows with the batch of items that each is in."""
+    return rows.withColumn("batch", F.floor(F.col("item_id") / size).cast("long"))
+
+
+def _designs(spark: SparkSession, sf: str) -> DataFrame:
+    """Each batch of orders as a pilot study: its items, first pass rate and discordance."""
+    pairs = _batches(v.paired_scores(spark, sf), 400)
+    return pairs.groupBy("batch").agg(F.count("*").alias("n"), F.avg(F.col("a").cast("double")).alias("baseline"), F.avg((F.col("a") != F.col("b")).cast("double")).alias("discordance_rate"))
 
 
 def q_min_n_grid(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(pwr.size_grid(_grid(spark)))
+    """What fifteen differences would take after each pilot."""
+    return rounded(pwr.size_grid(_designs(spark, sf).drop("n").withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(15)))).withColumn("mde", F.col("step") / 50).drop("step")))
 
 
 def q_power_paired_grid(spark: SparkSession, sf: str) -> DataFrame:
-    k = F.col("id")
-    grid = spark.range(40 * 5).select((F.floor(k / 5) * 25 + 25).alias("n"), ((k % 5 + 1) / 10).alias("discordance_rate"))
-    return rounded(pwr.reach_grid(grid))
+    return rounded(pwr.reach_grid(_designs(spark, sf).drop("baseline")))
 
 
 def q_power(spark: SparkSession, sf: str) -> DataFrame:
-    """Of designs that see the reference difference: paired, with the size it takes, and independent."""
-    rows = []
-    for n in (50, 200, 1000):
-        for k in range(1, 6):
-            rows.append({"n": n, "rate": k / 10, "paired_power": pwr.paired_power(n, pwr.REFERENCE, k / 10, 0.05), "independent_power": pwr.independent_power(n / 2, k / 10, pwr.REFERENCE, 0.05), "n_for_reference": pwr.detectable_effect(n, discordance_rate=k / 10).n_for_reference})
-    return rounded(_frame(spark, rows))
+    """What pilots' sizes could see of the reference difference, paired and independent, and the size it takes."""
+    return rounded(pwr.power_table(_designs(spark, sf)).drop("reach"))
+
+
+def q_power_indep_grid(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(pwr.power_table(_designs(spark, sf)).select("batch", "n", "baseline", F.col("reach").alias("difference")))
 
 
 def q_special_functions(spark: SparkSession, sf: str) -> DataFrame:
-    """Tails of the normal, chi-squared and t distributions, t's quantile by its tail, and exact binomial intervals."""
-    rows = [{"f": "normal", "a": float(k), "b": 0.0, "x": special.normal_two_sided(k / 4)} for k in range(17)]
-    rows += [{"f": "chi2", "a": float(k), "b": 0.0, "x": special.chi2_one_sf(k / 2)} for k in range(1, 17)]
-    rows += [{"f": "t", "a": float(k), "b": float(df), "x": special.t_two_sided(k / 4, df)} for df in (1, 2, 5, 30) for k in range(17)]
-    rows += [{"f": "t quantile", "a": p, "b": float(df), "x": special.t_two_sided(special.t_quantile(p, df), df)} for df in (1, 2, 5, 30) for p in (0.6, 0.9, 0.975)]
-    for n in (5, 20, 60):
-        for k in range(0, n + 1, 5):
-            low, high = intervals.clopper_pearson(k, n, 0.95)
-            rows += [{"f": "low", "a": float(k), "b": float(n), "x": low}, {"f": "high", "a": float(k), "b": float(n), "x": high}]
-    return rounded(_frame(spark, rows))
+    """Of each pilot's discordance: its normal, chi-squared and t tails; of its passes the exact binomial interval, and t's quantile back from its tail."""
+    pairs = _batches(v.paired_scores(spark, sf), 400)
+    stats = cmp.discordance(pairs, ["batch"]).join(pairs.groupBy("batch").agg(F.sum("a").alias("k")), "batch").where("n > 1").select("batch", "n", "k", ((F.col("n_a_only") - F.col("n_b_only")) / F.sqrt(F.greatest("n_discordant", F.lit(1)))).alias("z"))
 
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in batches:
+            exact = [intervals.clopper_pearson(int(k), int(n), 0.95) for k, n in zip(part["k"], part["n"], strict=True)]
+            yield part.assign(
+                normal=[special.normal_two_sided(z) for z in part["z"]], chi2=[special.chi2_one_sf(z * z) for z in part["z"]],
+                t=[special.t_two_sided(z, n - 1) for z, n in zip(part["z"], part["n"], strict=True)],
+                back=[special.t_two_sided(special.t_quantile(0.975, n - 1), n - 1) for n in part["n"]],
+                low=[x[0] for x in exact], high=[x[1] for x in exact],
+            )
 
-def q_power_indep_grid(spark: SparkSession, sf: str) -> DataFrame:
-    rows = [{"n": n, "baseline": b / 10} for n in (50, 100, 400, 1000) for b in range(1, 10)]
-    found = [pwr.detectable_effect(r["n"], baseline=r["baseline"], paired=False) for r in rows]
-    return rounded(_frame(spark, [r | {"difference": f.difference, "attainable": f.attainable} for r, f in zip(rows, found, strict=True)]))
+    return rounded(stats.mapInPandas(rows, "batch long, n long, k long, z double, normal double, chi2 double, t double, back double, low double, high double"))
 
 
 # agreement
@@ -323,11 +335,12 @@ def _judged(spark: SparkSession, sf: str):  # noqa: ANN202
 
 
 def q_judge_validation(spark: SparkSession, sf: str) -> DataFrame:
-    """The overall row and a row a slice, each with its bootstrap interval."""
+    """The overall row and a row a slice, each with its bootstrap interval, or with the reason for none."""
     r = _judged(spark, sf)
     rows = [{"slice": "(all)", "n_items": r.n_items, "agreement": r.agreement, "ci_low": r.ci_low, "ci_high": r.ci_high, "accuracy": r.accuracy}]
-    table = r.by_slice[r.by_slice["note"] == ""]
-    return rounded(_frame(spark, rows + table[list(rows[0])].to_dict("records")))
+    rows[0]["note"] = ""
+    table = pd.DataFrame(rows + r.by_slice[list(rows[0])].to_dict("records"))
+    return rounded(spark.createDataFrame([tuple(None if x != x else x for x in row) for row in table.itertuples(index=False)], "slice string, n_items long, agreement double, ci_low double, ci_high double, accuracy double, note string"))
 
 
 # position and length
@@ -385,8 +398,13 @@ def _board(spark: SparkSession, sf: str, n_boot: int = 0):  # noqa: ANN202
 
 
 def q_bt_components(spark: SparkSession, sf: str) -> DataFrame:
-    found = _board(spark, sf).comparable_groups
-    return _frame(spark, [{"model": m, "group_first": g[0]} for g in found for m in g])
+    """Of the board, and of three islands of it: models named apart by the user's number."""
+    rows, out = v.leaderboard(spark, sf), []
+    island = lambda c: F.when(F.col(c) != "tie", F.concat(c, F.lit("@"), (F.col("item_id") % 3).cast("string"))).otherwise(F.col(c))
+    for name, board in (("all", rows), ("islands", rows.withColumns({c: island(c) for c in ("model_a", "model_b", "winner")}))):
+        found = pw.bradley_terry(board, n_boot=0).comparable_groups
+        out += [{"board": name, "model": m, "group_first": g[0], "size": len(g)} for g in found for m in g]
+    return rounded(_frame(spark, out))
 
 
 def q_bt_ratings(spark: SparkSession, sf: str) -> DataFrame:
@@ -560,35 +578,21 @@ def q_bt_overlap(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_coverage(spark: SparkSession, sf: str) -> DataFrame:
-    """Of Wilson's interval at 30 items and a pass rate of 0.9, in 4,000 trials."""
-    return rounded(st.coverage(spark, lambda rng: intervals.wilson(int((rng.random(30) < 0.9).sum()), 30, 0.95), 0.9, 4000))
+    """How often Wilson's interval of a batch of orders has the whole group's rate."""
+    return rounded(st.score_coverage(_batches(v.independent_scores(spark, sf), 400), ["grp"]))
 
 
 def q_coverage_paired(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(st.paired_coverage(spark, PAIRED_SETTINGS))
+    return rounded(st.paired_coverage(_batches(v.paired_scores(spark, sf), 400)))
 
 
 def q_coverage_two_sample(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(st.two_sample_coverage(spark, TWO_SAMPLE_SETTINGS))
+    return rounded(st.two_sample_coverage(_batches(v.independent_scores(spark, sf), 2000), ("1-URGENT", "5-LOW"), seed=SEED))
 
 
 def q_coverage_boards(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(st.board_coverage(spark, SPREADS, STRENGTHS))
-
-
-#: Designs of the coverage studies. Items, pass rates and correlation; distribution and group sizes; spreads
-#: of prompts and strengths of models.
-PAIRED_SETTINGS = (
-    (100, 0.75, 0.60, 0.5),
-    (100, 0.75, 0.60, 0.8),
-    (50, 0.75, 0.60, 0.7),
-    (30, 0.70, 0.50, 0.6),
-    (200, 0.90, 0.85, 0.7),
-    (100, 0.95, 0.90, 0.8),
-    (100, 0.50, 0.50, 0.7),
-    (40, 0.60, 0.60, 0.5),
-)
-TWO_SAMPLE_SETTINGS = (("normal", 30, 90), ("exponential", 25, 60), ("exponential", 40, 120), ("exponential", 100, 300))
-SPREADS, STRENGTHS = (0.0, 0.25, 0.5, 1.0), (1.0, 0.6, 0.3, 0.0, -0.6, -1.3)
+    """Of boards of fifteen users each against the board of all."""
+    return rounded(st.board_coverage(_batches(v.leaderboard(spark, sf), 15), seed=SEED))
+
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: f for k, f in list(globals().items()) if k.startswith("q_")} | {f"q_alpha_{level}": _alpha(level) for level in ag.LEVELS} | {f"q_rater_agreement_{level}": _agreed(level) for level in ag.LEVELS}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .draws import PRIME, THRESHOLDS
+from .draws import HALF, PRIME, THRESHOLDS
 from .queries import SEED, Z
 
 VIEWS = {
@@ -35,13 +35,13 @@ def _r(x: str, places: int = 6) -> str:
 
 def _keyed(units: str, key: str, n_boot: int, seed: int = SEED, name: str = "wt") -> list[str]:
     """Steps to `name` (b, k, w): the multiplicity of each key of the step `units` in each resample."""
-    word = lambda x: f"('0x' || substr(md5({x}), 1, 15))::BIGINT % {PRIME}"
-    coefficients = ", ".join(word(f"concat_ws(':', '{seed}', b::VARCHAR, '{k}')") + f" a{k}" for k in range(4))
+    word = lambda x: f"('0x' || substr(md5({x}), 1, 15))::BIGINT"
+    coefficients = ", ".join(word(f"concat_ws(':', '{seed}', b::VARCHAR, '{k}')") + f" % {PRIME} a{k}" for k in range(5))
     many = " ".join(f"WHEN t < {most} THEN {k}" for k, most in enumerate(THRESHOLDS))
     return [
         f"{name}_p AS (SELECT b, {coefficients} FROM unnest(range({n_boot})) x(b))",
-        f"{name}_u AS (SELECT k, {word('k::VARCHAR')} u FROM (SELECT DISTINCT {key} k FROM {units}) x)",
-        f"{name} AS (SELECT b, k, CASE {many} ELSE {len(THRESHOLDS)} END w FROM (SELECT b, k, (((a3 * u + a2) % {PRIME} * u + a1) % {PRIME} * u + a0) % {PRIME} t FROM {name}_u, {name}_p) x)",
+        f"{name}_u AS (SELECT k, {word("length(k::VARCHAR) || ':' || k::VARCHAR")} v FROM (SELECT DISTINCT {key} k FROM {units}) x)",
+        f"{name} AS (SELECT b, k, CASE {many} ELSE {len(THRESHOLDS)} END w FROM (SELECT b, k, (((a3 * u + a2) % {PRIME} * u + a1) % {PRIME} * u + a0) % {PRIME} t FROM (SELECT *, ((v >> {HALF}) + a4 * (v & {(1 << HALF) - 1})) % {PRIME} u FROM {name}_u, {name}_p) y) x)",
     ]
 
 
@@ -75,6 +75,9 @@ def _t_quantile(df: str) -> str:
     return f"({z} + {' + '.join(f'{t!r} / ({df}) ** {k}' for k, t in enumerate(terms, 1))})"
 
 
+_T_DENSITY = "exp(lgamma((df + 1) / 2) - lgamma(df / 2)) / sqrt(df * pi()) * (1 + x * x / df) ** (-(df + 1) / 2)".replace("exp", "2.718281828459045 ** ")
+
+
 def _tail(low: str, high: str, at: str) -> str:
     """The binomial probability of low to below high of n."""
     return f"list_sum(list_transform(range({low}, {high}), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({at}) + (n - i) * ln(1 - ({at})))))"
@@ -155,6 +158,7 @@ def _outcomes(k: int, name: str) -> str:
     return f"SELECT '{name}' fit, count(*) n, count(*) FILTER ({y} = 1) n_ones, {_r(f'stddev_samp({x})')} sd, min(CASE WHEN {y} = 0 THEN {x} END) low0, max(CASE WHEN {y} = 0 THEN {x} END) high0, min(CASE WHEN {y} = 1 THEN {x} END) low1, max(CASE WHEN {y} = 1 THEN {x} END) high1 FROM p"
 
 
+_DESIGNS = "designs AS (SELECT floor(item_id / 400)::BIGINT batch, count(*) n, avg(q.a::DOUBLE) base, avg((q.a <> q.b)::INT) r FROM v_paired q GROUP BY 1)"
 _W = f"{Z} * sqrt(p * (1 - p) / n + {Z * Z} / (4 * n * n))"
 _ZA, _ZB = 1.9599639845400536, 0.8416212335729144
 
@@ -194,10 +198,9 @@ s AS (SELECT count(*) FILTER (grp = '1-URGENT')::DOUBLE n1, count(*) FILTER (grp
 SELECT {_r("p1 - p2")} difference, {_r("(low.l + low.h) / 2")} ci_low, {_r("(SELECT (l + h) / 2 FROM high WHERE i = 60)")} ci_high FROM low WHERE i = 60"""
 
 _REACH = "d - {z} * sqrt(2 * (b + d / 2) * (1 - b - d / 2) / (n / 2)) - {zb} * sqrt((b * (1 - b) + greatest((b + d) * (1 - b - d), 0)) / (n / 2))".format(z=_ZA, zb=_ZB)
-_POWER_INDEP = f"""WITH RECURSIVE g AS (SELECT n, k / 10 b FROM unnest([50::BIGINT, 100, 400, 1000]) x(n), unnest(range(1, 10)) y(k)),
-it AS (SELECT 0 i, n, b, 1e-12 l, 1 - b h FROM g UNION ALL SELECT i + 1, n, b, CASE WHEN f < 0 THEN d ELSE l END, CASE WHEN f < 0 THEN h ELSE d END FROM (SELECT *, {_REACH} f FROM (SELECT *, (l + h) / 2 d FROM it WHERE i < 80) q) w),
-top AS (SELECT n, b, {_REACH} f FROM (SELECT *, 1 - b d FROM g) q)
-SELECT it.n, {_r("it.b")} baseline, CASE WHEN f >= 0 THEN {_r("(l + h) / 2")} ELSE 'nan'::DOUBLE END difference, f >= 0 attainable FROM it JOIN top ON it.n = top.n AND it.b = top.b WHERE i = 80"""
+_POWER_INDEP = _with("v_paired", f"""SELECT it.batch, it.n, {_r("it.b")} baseline, CASE WHEN f >= 0 THEN {_r("(l + h) / 2")} END difference FROM it JOIN top USING (batch) WHERE i = 80""", _DESIGNS,
+    "g AS (SELECT batch, n, base b FROM designs)", f"it AS (SELECT 0 i, batch, n, b, 1e-12 l, 1 - b h FROM g UNION ALL SELECT i + 1, batch, n, b, CASE WHEN f < 0 THEN d ELSE l END, CASE WHEN f < 0 THEN h ELSE d END FROM (SELECT *, {_REACH} f FROM (SELECT *, (l + h) / 2 d FROM it WHERE i < 80) q) w)",
+    f"top AS (SELECT batch, {_REACH} f FROM (SELECT *, 1 - b d FROM g) q)").replace("WITH ", "WITH RECURSIVE ", 1)
 
 #: Ratings by repeated w / sum(n / (p + q)), which climbs to the same maximum.
 _MM = f"""WITH RECURSIVE v_lb AS ({VIEWS["v_lb"]}), {_CREDIT},
@@ -234,6 +237,18 @@ FROM (SELECT *, (b - c) / n d, {Z} * sqrt(b + c - (b - c) ** 2 / n) / n wald, (e
   coalesce((e * (n - e - b - c) - b * c) / nullif(sqrt((e + b) * (e + c) * (n - e - b) * (n - e - c)), 0), 0) phi,
   coalesce((CASE WHEN e * (n - e - b - c) >= b * c THEN greatest(e * (n - e - b - c) - b * c - n / 2, 0) ELSE e * (n - e - b - c) - b * c END) / nullif(sqrt((e + b) * (e + c) * (n - e - b) * (n - e - c)), 0), 0) phc FROM (SELECT count(*)::DOUBLE n, count(*) FILTER (q.a = 1 AND q.b = 0)::DOUBLE b, count(*) FILTER (q.a = 0 AND q.b = 1)::DOUBLE c, count(*) FILTER (q.a = 1 AND q.b = 1)::DOUBLE e FROM v_paired q) x) y"""
 
+_TANGO_BATCHES = (
+    "per AS (SELECT floor(item_id / 400)::BIGINT batch, count(*)::DOUBLE n, count(*) FILTER (q.a = 1 AND q.b = 0)::DOUBLE b, count(*) FILTER (q.a = 0 AND q.b = 1)::DOUBLE c, count(*) FILTER (q.a = 1 AND q.b = 1)::DOUBLE e FROM v_paired q GROUP BY 1)",
+    f"""it AS (SELECT 0 i, batch, n, b, c, -1 + 1e-9 l1, (b - c) / n h1, (b - c) / n l2, 1 - 1e-9 h2 FROM per WHERE b + c > 0
+  UNION ALL
+  SELECT i + 1, batch, n, b, c, CASE WHEN {_paired_statistic("x1")} > {_ZA} THEN x1 ELSE l1 END, CASE WHEN {_paired_statistic("x1")} > {_ZA} THEN h1 ELSE x1 END,
+         CASE WHEN {_paired_statistic("x2")} > -{_ZA} THEN x2 ELSE l2 END, CASE WHEN {_paired_statistic("x2")} > -{_ZA} THEN h2 ELSE x2 END
+  FROM (SELECT *, (l1 + h1) / 2 x1, (l2 + h2) / 2 x2 FROM it WHERE i < 60) q)""",
+)
+_COVERAGE_PAIRED = _with("v_paired", f"""SELECT count(*) n_batches, {", ".join(f"{_r(f'avg(({k}_low <= truth AND truth <= {k}_high)::INT)')} {k}" for k in ("wald", "newcombe", "newcombe_corrected", "score"))}
+FROM (SELECT *, coalesce((l1 + h1) / 2, -({_ZA} ** 2) / (n + {_ZA} ** 2)) score_low, coalesce((l2 + h2) / 2, {_ZA} ** 2 / (n + {_ZA} ** 2)) score_high FROM ({_PLAIN.replace("SELECT n::BIGINT n,", "SELECT batch, n::BIGINT n,", 1).split("FROM (SELECT count(*)")[0]}FROM per) y) p LEFT JOIN (SELECT batch, l1, h1, l2, h2 FROM it WHERE i = 60) s USING (batch)) z,
+  (SELECT avg(q.a - q.b) truth FROM v_paired q) t""", *_TANGO_BATCHES).replace("WITH ", "WITH RECURSIVE ", 1)
+
 _URGENT = "t AS (SELECT item_id, score x, score_cont y FROM v_indep WHERE grp = '1-URGENT')"
 _LOW = "l AS (SELECT item_id, score x, score_cont y FROM v_indep WHERE grp = '5-LOW')"
 _SCORE_CI = _with("v_indep", f"""SELECT 'wilson' method, n, {_r('p', 4)} estimate, {_r(f'(p + {Z * Z} / (2 * n) - {_W}) / (1 + {Z * Z} / n)', 4)} ci_low, {_r(f'(p + {Z * Z} / (2 * n) + {_W}) / (1 + {Z * Z} / n)', 4)} ci_high, true AS binary FROM (SELECT count(*) n, avg(x) p FROM t) q
@@ -258,29 +273,22 @@ draws AS (SELECT b, m1.m - m2.m m FROM m1 JOIN m2 USING (b)),
 e AS (SELECT avg(y / 1e6) m, var_samp(y / 1e6) / count(*) e, count(*) n, 1 side FROM t UNION ALL SELECT avg(y / 1e6), var_samp(y / 1e6) / count(*), count(*), 2 FROM l)
 SELECT 'score' method, (n1 + n2)::BIGINT n, {_r("p1 - p2")} difference, {_r("(low.l + low.h) / 2")} ci_low, {_r("(SELECT (l + h) / 2 FROM high WHERE i = 60)")} ci_high, {_r(_normal_two("(p1 - p2) / sqrt((p1 * n1 + p2 * n2) / (n1 + n2) * (1 - (p1 * n1 + p2 * n2) / (n1 + n2)) * (1 / n1 + 1 / n2))"))} p_value, true AS binary, false paired FROM low WHERE i = 60
 UNION ALL SELECT 'bootstrap', (SELECT (n1 + n2)::BIGINT FROM s), (SELECT {_r("p1 - p2")} FROM s), {", ".join(_ends("m", 10_000))}, {_boot_p("m")}, true, false FROM draws
-UNION ALL SELECT 't', n, {_r("d")}, {_r(f"d - {_t_quantile('df')} * se")}, {_r(f"d + {_t_quantile('df')} * se")}, 0.0, false, false
+UNION ALL SELECT 't', n, {_r("d")}, {_r(f"d - {_t_quantile('df')} * se")}, {_r(f"d + {_t_quantile('df')} * se")}, {_r('1 - 2 * ' + _simpson(_T_DENSITY, 'least(abs(d / se), 40)'))}, false, false
 FROM (SELECT (a.n + b.n)::BIGINT n, a.m - b.m d, sqrt(a.e + b.e) se, (a.e + b.e) ** 2 / (a.e ** 2 / (a.n - 1) + b.e ** 2 / (b.n - 1)) df FROM e a, e b WHERE a.side = 1 AND b.side = 2) q"""
 
-_NULL = """WITH p AS (SELECT n, unnest(range((1 << n)::BIGINT)) m FROM unnest(range(6, 13)) x(n)),
-s AS (SELECT n, m, sum(CASE WHEN (m >> (r - 1)) & 1 = 1 THEN r ELSE 0 END)::BIGINT k FROM p JOIN (SELECT unnest(range(1, 13)) r) y ON r <= n GROUP BY 1, 2),
-d AS (SELECT n, k, count(*) c FROM s GROUP BY 1, 2),
-u AS (SELECT *, sum(c) OVER (PARTITION BY n ORDER BY k) upto FROM d)
-SELECT n, k AS sum, c patterns, coalesce((SELECT max(k) FROM u y WHERE y.n = u.n AND y.upto <= 0.025 * (1 << y.n)), 0) AS trim FROM u"""
-
-_POWER = f"""SELECT n, {_r("r")} rate, {_r(_normal(f"(sqrt(n) * 0.05 - {_ZA} * sqrt(r)) / sqrt(r - 0.0025)"))} paired_power,
-  {_r(_normal(f"(0.05 * sqrt(n / 2) - {_ZA} * sqrt(2 * (r + 0.025) * (0.975 - r))) / sqrt(r * (1 - r) + (r + 0.05) * (0.95 - r))"))} independent_power,
-  ceil((({_ZA} * sqrt(r) + {_ZB} * sqrt(r - 0.0025)) / 0.05) ** 2)::BIGINT n_for_reference
-FROM (SELECT n, j / 10 r FROM unnest([50::BIGINT, 200, 1000]) x(n), unnest(range(1, 6)) z(j)) q"""
+_NULL = _with("v_paired", """SELECT sizes.n, n_batches, k AS sum, c patterns, coalesce((SELECT max(k) FROM u y WHERE y.n = u.n AND y.upto <= 0.025 * (1 << y.n)), 0) AS trim FROM u JOIN sizes ON sizes.n = u.n""",
+    "sizes AS (SELECT n, count(*) n_batches FROM (SELECT floor(item_id / 12) batch, count(*) FILTER (round(a_cont::DOUBLE * 100) <> round(b_cont::DOUBLE * 100)) n FROM v_paired GROUP BY 1) q WHERE n > 0 GROUP BY 1)",
+    "p AS (SELECT n, unnest(range((1 << n)::BIGINT)) m FROM sizes)", "s AS (SELECT n, m, sum(CASE WHEN (m >> (r - 1)) & 1 = 1 THEN r ELSE 0 END)::BIGINT k FROM p JOIN (SELECT unnest(range(1, 13)) r) y ON r <= n GROUP BY 1, 2)",
+    "d AS (SELECT n, k, count(*) c FROM s GROUP BY 1, 2)", "u AS (SELECT *, sum(c) OVER (PARTITION BY n ORDER BY k) upto FROM d)")
 
-_T_DENSITY = "exp(lgamma((df + 1) / 2) - lgamma(df / 2)) / sqrt(df * pi()) * (1 + x * x / df) ** (-(df + 1) / 2)".replace("exp", "2.718281828459045 ** ")
-_SPECIAL = f"""WITH RECURSIVE cp0 AS (SELECT n, unnest(range(0, n + 1, 5)) k FROM unnest([5::BIGINT, 20, 60]) x(n)), {_clopper_pearson("cp0", "cp")}
-SELECT 'normal' f, j::DOUBLE a, 0.0::DOUBLE b, {_r(_normal_two("j / 4"))} x FROM unnest(range(17)) z(j)
-UNION ALL SELECT 'chi2', j::DOUBLE, 0.0, {_r(_normal_two("sqrt(j / 2)"))} FROM unnest(range(1, 17)) z(j)
-UNION ALL SELECT 't', j::DOUBLE, df::DOUBLE, {_r("1 - 2 * " + _simpson(_T_DENSITY, "j / 4"))} FROM unnest(range(17)) z(j), unnest([1.0::DOUBLE, 2, 5, 30]) v(df)
-UNION ALL SELECT 't quantile', q, df, {_r("2 - 2 * q")} FROM unnest([0.6::DOUBLE, 0.9, 0.975]) z(q), unnest([1.0::DOUBLE, 2, 5, 30]) v(df)
-UNION ALL SELECT 'low', k::DOUBLE, n::DOUBLE, {_r("CASE WHEN k = 0 THEN 0 ELSE (l + lh) / 2 END")} FROM cp WHERE i = 50
-UNION ALL SELECT 'high', k::DOUBLE, n::DOUBLE, {_r("CASE WHEN k = n THEN 1 ELSE (g + gh) / 2 END")} FROM cp WHERE i = 50"""
+_POWER = _with("v_paired", f"""SELECT batch, n, {_r("base")} baseline, {_r("r")} discordance_rate, {_r(f"CASE WHEN 0.05 <= r THEN {_normal(f'(sqrt(n) * 0.05 - {_ZA} * sqrt(r)) / sqrt(r - 0.0025)')} END")} paired_power,
+  {_r(f"CASE WHEN base + 0.05 <= 1 THEN {_normal(f'(0.05 * sqrt(n / 2) - {_ZA} * sqrt(2 * (base + 0.025) * (0.975 - base))) / sqrt(base * (1 - base) + (base + 0.05) * (0.95 - base))')} END")} independent_power,
+  CASE WHEN 0.05 <= r THEN ceil((({_ZA} * sqrt(r) + {_ZB} * sqrt(r - 0.0025)) / 0.05) ** 2)::BIGINT END n_paired FROM designs""", _DESIGNS)
 
+_SPECIAL = _with("v_paired", f"""SELECT batch, n, k, {_r("z")} z, {_r(_normal_two("z"))} normal, {_r(_normal_two("z"))} chi2, {_r("1 - 2 * " + _simpson(_T_DENSITY, "least(abs(z), 40)"))} t, 0.05::DOUBLE back, low, high
+FROM (SELECT batch, q.n, q.k, n - 1 df, z FROM q) w JOIN (SELECT k, n, {_r("CASE WHEN k = 0 THEN 0 ELSE (l + lh) / 2 END")} low, {_r("CASE WHEN k = n THEN 1 ELSE (g + gh) / 2 END")} high FROM cp WHERE i = 50) c USING (k, n)""",
+    "q AS (SELECT floor(item_id / 400)::BIGINT batch, count(*) n, sum(y.a)::BIGINT k, (count(*) FILTER (y.a = 1 AND y.b = 0) - count(*) FILTER (y.a = 0 AND y.b = 1)) / sqrt(greatest(count(*) FILTER (y.a <> y.b), 1)) z FROM v_paired y GROUP BY 1 HAVING count(*) > 1)",
+    "cp0 AS (SELECT DISTINCT k, n FROM q)", _clopper_pearson("cp0", "cp")).replace("WITH ", "WITH RECURSIVE ", 1)
 
 def _alpha_boot(level: str, by: str = "") -> list[str]:
     """Steps after _alpha's to `draws` (by, b, a), weighing items by the step `wt`."""
@@ -303,7 +311,8 @@ def _agreement(level: str) -> str:
     return "SELECT * FROM (" + _with("v_ratings", f"SELECT '{level}' AS level, {_r('any_value(alpha.alpha)')} alpha, {_ends('a', 1000)[0]} ci_low, {_ends('a', 1000)[1]} ci_high, (SELECT count(DISTINCT item_id) FROM v_ratings) n_items, (SELECT count(DISTINCT rater_id) FROM v_ratings) n_raters, any_value(n_units) n_overlapping_items, 1000::BIGINT n_boot, count(a) n_boot_usable, false one_value FROM draws, alpha", *steps) + f") {level}_rows"
 
 
-_JUDGED = _with("v_judge", f"SELECT slice, any_value(x.n_items) n_items, {_r('any_value(alpha)')} agreement, {_ends('a', 1000)[0]} ci_low, {_ends('a', 1000)[1]} ci_high, {_r('any_value(accuracy)')} accuracy FROM (SELECT slice, count(*) n_items, avg((human = judge)::INT) accuracy FROM both_ways GROUP BY 1) x JOIN alpha USING (slice) JOIN draws USING (slice) WHERE x.n_items >= 2 AND n_values > 1 GROUP BY 1",
+_JUDGED = _with("v_judge", f"""SELECT slice, any_value(x.n_items) n_items, {_r('any_value(alpha)')} agreement, CASE WHEN any_value(note) = '' THEN {_ends('a', 1000)[0]} END ci_low, CASE WHEN any_value(note) = '' THEN {_ends('a', 1000)[1]} END ci_high, {_r('any_value(accuracy)')} accuracy, any_value(note) note
+FROM (SELECT slice, count(*) n_items, avg((human = judge)::INT) accuracy FROM both_ways GROUP BY 1) x JOIN (SELECT *, CASE WHEN n_units < 2 THEN 'only one item, too few to measure agreement' WHEN n_values <= 1 THEN 'both sides used one label throughout, so alpha has no denominator' ELSE '' END note FROM alpha) y USING (slice) LEFT JOIN draws USING (slice) GROUP BY 1""",
     "both_ways AS (SELECT '(all)' slice, item_id, human, judge FROM v_judge UNION ALL SELECT slice, item_id, human, judge FROM v_judge)", "src AS (SELECT slice, item_id, human rating FROM both_ways UNION ALL SELECT slice, item_id, judge FROM both_ways)", *_alpha("src", "nominal", "slice"), *_keyed("v_judge", "item_id", 1000), *_alpha_boot("nominal", "slice"))
 _JUDGE_BASELINE = _with("v_base v_base_judge", f"""SELECT n_items, n_dropped, {_r('accuracy')} accuracy, {_r('alpha')} agreement, {_r('judge_human')} baseline_judge_human, {_r('human_human')} baseline_human_human, {_r('difference')} baseline_difference, lo baseline_ci_low, hi baseline_ci_high,
   (SELECT count(*) FROM kept) baseline_n_items, (SELECT count(*) FROM obs) baseline_n_clusters, (SELECT count(*) FROM (SELECT item_id FROM v_base GROUP BY 1 HAVING count(rating) < 2) q) baseline_n_too_few_humans, usable baseline_n_boot_usable
@@ -370,6 +379,9 @@ SQL: dict[str, str] = {
     "q_join_inner": _with("v_sparse v_base_judge", "SELECT judge, count(*) n, count(DISTINCT item_id) n_items FROM v_sparse JOIN v_base_judge USING (item_id) WHERE judge <> 'view' GROUP BY 1"),
     "q_winner_names": _with("v_lb", "SELECT winner, count(*) n FROM v_lb GROUP BY 1"),
     "q_refusals": "SELECT * FROM (VALUES " + ", ".join(f"('{case}', true)" for case in _REFUSED) + ") t(\"case\", refused)",
+    "q_coverage": _with("v_indep", f"SELECT grp, count(*) n_batches, {_r('avg((lo <= truth AND truth <= hi)::INT)')} covered, {_r('avg((lo > truth)::INT)')} missed_below, {_r('avg((hi < truth)::INT)')} missed_above FROM (SELECT grp, greatest((p + {Z * Z} / (2 * n) - {_W}) / (1 + {Z * Z} / n), 0) lo, least((p + {Z * Z} / (2 * n) + {_W}) / (1 + {Z * Z} / n), 1) hi FROM (SELECT grp, floor(item_id / 400) batch, count(*) n, avg(score) p FROM v_indep GROUP BY 1, 2) x) y JOIN (SELECT grp, avg(score) truth FROM v_indep GROUP BY 1) z USING (grp) GROUP BY 1"),
+    "q_coverage_paired": _COVERAGE_PAIRED,
+    "q_coverage_two_sample": _with("v_indep", f"SELECT count(*) n_batches, {_r('avg((lo <= truth AND truth <= hi)::INT)')} covered FROM (SELECT batch, quantile_cont(d, 0.025) lo, quantile_cont(d, 0.975) hi FROM (SELECT batch, b, sum(CASE WHEN grp = '1-URGENT' THEN w * score END) / nullif(sum(CASE WHEN grp = '1-URGENT' THEN w END), 0) - sum(CASE WHEN grp = '5-LOW' THEN w * score END) / nullif(sum(CASE WHEN grp = '5-LOW' THEN w END), 0) d FROM rows JOIN wt ON k = item_id GROUP BY 1, 2) x GROUP BY 1 HAVING count(d) >= 180) y, (SELECT avg(CASE WHEN grp = '1-URGENT' THEN score END) - avg(CASE WHEN grp = '5-LOW' THEN score END) truth FROM v_indep) t", "rows AS (SELECT *, floor(item_id / 2000)::BIGINT batch FROM v_indep)", *_keyed("v_indep", "item_id", 200)),
     "q_tango_ci": _TANGO,
     "q_score_diff_ci": _MEE,
     "q_power_indep_grid": _POWER_INDEP,
@@ -382,7 +394,8 @@ SQL: dict[str, str] = {
     "q_score_t": _with("v_indep", f"SELECT grp, n, {_r('m', 1)} mean, {_r('s', 1)} sd, {_r('s / sqrt(n)', 1)} se, {_r(f'm - {Z} * s / sqrt(n)', 1)} ci_low, {_r(f'm + {Z} * s / sqrt(n)', 1)} ci_high FROM (SELECT grp, count(*) n, avg(score_cont) m, stddev_samp(score_cont) s FROM v_indep GROUP BY 1) x"),
     "q_score_checks": _with("v_indep", "SELECT grp, kind, count(*) n, bool_and(x IN (0, 1)) AS binary, min(x) = max(x) AS constant FROM (SELECT grp, 'score' kind, score::DOUBLE x FROM v_indep UNION ALL SELECT grp, 'score_cont', score_cont FROM v_indep) y GROUP BY 1, 2"),
     "q_mcnemar_counts": _with("v_paired", f"SELECT n, b n_a_only, c n_b_only, b + c n_discordant, {_r('(b - c) / n')} difference, {_r('CASE WHEN b + c >= 25 THEN (abs(b - c) - 1) ** 2 / (b + c) END')} statistic FROM (SELECT count(*) n, count(*) FILTER (a = 1 AND b = 0) b, count(*) FILTER (a = 0 AND b = 1) c FROM v_paired) x"),
-    "q_mcnemar_exact": _with("v_paired", f"SELECT batch, total n, b n_a_only, c n_b_only, {_r(f'CASE WHEN n = 0 THEN 1 WHEN n < 25 THEN {_BINOMIAL} END')} p_value FROM (SELECT *, b + c n, b k FROM (SELECT floor(q.item_id / 40)::BIGINT batch, count(*) total, count(*) FILTER (q.a = 1 AND q.b = 0)::BIGINT b, count(*) FILTER (q.a = 0 AND q.b = 1)::BIGINT c FROM v_paired q GROUP BY 1) y) x"),
+    "q_mcnemar_exact": _with("v_paired", f"""SELECT size, batch, total n, b n_a_only, c n_b_only, n < 25 exact, {_r(f"CASE WHEN n = 0 THEN 1 WHEN n < 25 THEN {_BINOMIAL} ELSE {_normal_two('(abs(b - c) - 1) / sqrt(n)')} END")} p_value
+FROM (SELECT *, b + c n, b k FROM (SELECT size, floor(q.item_id / size)::BIGINT batch, count(*) total, count(*) FILTER (q.a = 1 AND q.b = 0)::BIGINT b, count(*) FILTER (q.a = 0 AND q.b = 1)::BIGINT c FROM v_paired q, unnest([40::BIGINT, 4000]) s(size) GROUP BY 1, 2) y) x"""),
     "q_two_prop_z_stat": _with("v_indep", f"SELECT n1, n2, {_r('k1 / n1 - k2 / n2')} difference, {_r('(k1 / n1 - k2 / n2) / sqrt(p * (1 - p) * (1 / n1 + 1 / n2))')} z FROM (SELECT *, (k1 + k2) / (n1 + n2) p FROM (SELECT count(*) FILTER (grp = '1-URGENT') n1, count(*) FILTER (grp = '5-LOW') n2, sum(CASE WHEN grp = '1-URGENT' THEN score END)::DOUBLE k1, sum(CASE WHEN grp = '5-LOW' THEN score END)::DOUBLE k2 FROM v_indep) x) y"),
     "q_welch_stats": _with("v_indep", f"SELECT {_r('m1 - m2', 2)} difference, {_r('sqrt(e1 + e2)', 3)} se, {_r('(e1 + e2) ** 2 / (e1 * e1 / (n1 - 1) + e2 * e2 / (n2 - 1))', 3)} df FROM (SELECT avg(x) m1, var_samp(x) / count(x) e1, count(x) n1, avg(y) m2, var_samp(y) / count(y) e2, count(y) n2 FROM (SELECT CASE WHEN grp = '1-URGENT' THEN score_cont END x, CASE WHEN grp = '5-LOW' THEN score_cont END y FROM v_indep) q) w"),
     "q_wilcoxon_ranks": _with("v_paired", f"SELECT sum(t)::BIGINT n, {_r('sum(mid * pos)')} w_positive, {_r('sum(mid * (t - pos))')} w_negative, {_r('sum(t * t * t - t)')} tie_correction FROM (SELECT t, pos, coalesce(sum(t) OVER (ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + (t + 1) / 2 mid FROM (SELECT abs(x) s, sum(n) t, sum(CASE WHEN x > 0 THEN n ELSE 0 END) pos FROM z GROUP BY 1) q) y", _CENTS),
@@ -391,13 +404,12 @@ SQL: dict[str, str] = {
   {_r("(SELECT min(w) FROM c WHERE upto > k)")} ci_low, {_r("(SELECT min(w) FROM c WHERE upto > total - 1 - k)")} ci_high
 FROM (SELECT n, n * (n + 1) // 2 total, least(greatest(floor(n * (n + 1) / 4 - {_ZA} * sqrt((n * (n + 1) * (2 * n + 1) - ties / 2) / 24)), 0), (total - 1) // 2)::BIGINT k
   FROM (SELECT sum(t)::BIGINT n, sum(t * t * t - t)::DOUBLE ties FROM (SELECT abs(x) s, sum(n)::BIGINT t FROM z GROUP BY 1) q) y) v""", _CENTS, _WALSH, "c AS (SELECT w, sum(n) OVER (ORDER BY w) upto FROM w)"),
-    "q_min_n_grid": f"""SELECT {_r("b / 20")} baseline, {_r("r / 10")} discordance_rate, {_r("m / 50")} mde,
-  CASE WHEN m / 50 <= r / 10 THEN ceil((({_ZA} * sqrt(r / 10) + {_ZB} * sqrt(r / 10 - (m / 50) ** 2)) / (m / 50)) ** 2)::BIGINT END n_paired,
-  CASE WHEN b / 20 + m / 50 <= 1 THEN 2 * ceil((({_ZA} * sqrt(2 * (b / 20 + m / 100) * (1 - b / 20 - m / 100)) + {_ZB} * sqrt(b / 20 * (1 - b / 20) + greatest((b / 20 + m / 50) * (1 - b / 20 - m / 50), 0))) / (m / 50)) ** 2)::BIGINT END n_independent
-FROM unnest(range(1, 20)) x(b), unnest(range(1, 6)) y(r), unnest(range(1, 16)) z(m)""",
-    "q_power_paired_grid": f"""SELECT n, {_r("rate")} discordance_rate, {_r("d")} difference, coalesce(d <= rate, false) attainable FROM (
-  SELECT k * 25 n, r / 10 rate, CASE WHEN n - {_ZA**2} + {_ZB**2} >= 0 THEN sqrt(rate) * ({_ZA} * sqrt(n) + {_ZB} * sqrt(n - {_ZA**2} + {_ZB**2})) / (n + {_ZB**2}) END d
-  FROM unnest(range(1, 41)) x(k), unnest(range(1, 6)) y(r)) q""",
+    "q_min_n_grid": _with("v_paired", f"""SELECT batch, {_r("base")} baseline, {_r("r")} discordance_rate, {_r("m / 50")} mde,
+  CASE WHEN m / 50 <= r THEN ceil((({_ZA} * sqrt(r) + {_ZB} * sqrt(greatest(r - (m / 50) ** 2, 0))) / (m / 50)) ** 2)::BIGINT END n_paired,
+  CASE WHEN base + m / 50 <= 1 THEN 2 * ceil((({_ZA} * sqrt(2 * (base + m / 100) * (1 - base - m / 100)) + {_ZB} * sqrt(base * (1 - base) + (base + m / 50) * (1 - base - m / 50))) / (m / 50)) ** 2)::BIGINT END n_independent
+FROM designs, unnest(range(1, 16)) z(m)""", _DESIGNS),
+    "q_power_paired_grid": _with("v_paired", f"""SELECT batch, n, {_r("r")} discordance_rate, {_r("d")} difference, coalesce(d <= r, false) attainable FROM (
+  SELECT batch, n, r, CASE WHEN n - {_ZA**2} + {_ZB**2} >= 0 THEN sqrt(r) * ({_ZA} * sqrt(n) + {_ZB} * sqrt(n - {_ZA**2} + {_ZB**2})) / (n + {_ZB**2}) END d FROM designs) q""", _DESIGNS),
     "q_alpha_nominal": _with("v_ratings", _ALPHA_OUT, *_alpha("v_ratings", "nominal")),
     "q_alpha_ordinal": _with("v_ratings", _ALPHA_OUT, "src AS (SELECT item_id, rating_num::DOUBLE rating FROM v_ratings)", *_alpha("src", "ordinal")),
     "q_alpha_interval": _with("v_ratings", _ALPHA_OUT, "src AS (SELECT item_id, rating_num::DOUBLE rating FROM v_ratings)", *_alpha("src", "interval")),
@@ -418,7 +430,7 @@ FROM unnest(range(1, 20)) x(b), unnest(range(1, 6)) y(r), unnest(range(1, 16)) z
     "q_length_stats": _with("v_len", f"{_outcomes(1, 'preference')}\nUNION ALL\n{_outcomes(2, 'disagreement')}", _LEN),
     "q_bt_credit": _with("v_lb", f"SELECT i, j, {_r('credit')} credit FROM credit", _CREDIT),
     "q_bt_totals_reference": _with("v_lb", f"SELECT model, {_r('n')} n_comparisons, {_r('c')} credit, row_number() OVER (ORDER BY n DESC, model) = 1 is_reference FROM (SELECT i model, sum(credit) c, sum(credit) + (SELECT sum(credit) FROM credit y WHERE y.j = x.i) n FROM credit x GROUP BY 1) q", _CREDIT),
-    "q_bt_components": _with("v_lb", "SELECT model, min(other) group_first FROM (SELECT a model, b other FROM reach UNION SELECT a, a FROM reach) x GROUP BY 1", "edge AS (SELECT model_a a, model_b b FROM v_lb UNION SELECT model_b, model_a FROM v_lb)", "reach AS (SELECT a, b FROM edge UNION SELECT r.a, e.b FROM reach r JOIN edge e ON r.b = e.a)").replace("WITH ", "WITH RECURSIVE ", 1),
+    "q_bt_components": _with("v_lb", "SELECT split_part(model, ':', 1) board, split_part(model, ':', 2) model, split_part(min(other), ':', 2) group_first, count(*) size FROM (SELECT a model, b other FROM reach UNION SELECT a, a FROM reach) x GROUP BY model", "both_boards AS (SELECT 'all:' || model_a a, 'all:' || model_b b FROM v_lb UNION SELECT 'islands:' || model_a || '@' || item_id % 3, 'islands:' || model_b || '@' || item_id % 3 FROM v_lb)", "edge AS (SELECT a, b FROM both_boards UNION SELECT b, a FROM both_boards)", "reach AS (SELECT a, b FROM edge UNION SELECT r.a, e.b FROM reach r JOIN edge e ON r.b = e.a)").replace("WITH ", "WITH RECURSIVE ", 1),
     "q_raw_pair_agreement": _with("v_ratings", f"SELECT count(*) n_units, sum(m * (m - 1) // 2)::BIGINT n_pairs, sum(same)::BIGINT n_agreeing, {_r('avg(same / (m * (m - 1) / 2))')} mean_share, {_r('sum(same) / sum(m * (m - 1) // 2)')} pooled_share FROM (SELECT item_id, sum(c)::BIGINT m, sum(c * (c - 1) // 2)::BIGINT same FROM (SELECT item_id, rating, count(*) c FROM v_ratings GROUP BY 1, 2) x GROUP BY 1 HAVING sum(c) >= 2) y"),
     "q_plurality": _with("v_ratings", "SELECT item_id, sum(c)::BIGINT n, CASE WHEN count(*) FILTER (c = top) > 1 THEN 'tie' ELSE max_by(rating, c) END verdict FROM (SELECT *, max(c) OVER (PARTITION BY item_id) top FROM (SELECT item_id, rating, count(*) c FROM v_ratings GROUP BY 1, 2) x) y GROUP BY 1"),
     "q_first_vote": _with("v_lb", "SELECT item_id, model_a, model_b, seq, winner FROM v_lb QUALIFY row_number() OVER (PARTITION BY item_id, model_a, model_b ORDER BY seq) = 1"),

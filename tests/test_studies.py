@@ -1,30 +1,62 @@
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from plumbline.functions.intervals import wilson
 from plumbline.operators.relational import apart, plain_paired_intervals, width_ratios
-from plumbline.operators.studies import board_coverage, two_sample_coverage
-from plumbline.plans.queries import PAIRED_SETTINGS, SPREADS, STRENGTHS, TWO_SAMPLE_SETTINGS, q_coverage_paired
+from plumbline.operators.studies import board_coverage, paired_coverage, score_coverage, two_sample_coverage
+
+
+def uniform(*key):
+    """A number from 0 to 1 by hash."""
+    return F.shiftrightunsigned(F.xxhash64(*key), 11) / 2**53
+
+
+def test_wilson_covers_as_it_should(spark):
+    """Of 4,000 batches of 30 items: the same as counting the batches by hand, and close to what is known of the method."""
+    scores = spark.range(120_000).select(F.col("id").alias("item_id"), F.floor(F.col("id") / 30).alias("batch"), (uniform("id") < 0.9).cast("int").alias("score"))
+    got = score_coverage(scores).first()
+    table = scores.toPandas()
+    truth, by = table["score"].mean(), table.groupby("batch")["score"].sum()
+    ends = np.array([wilson(int(k), 30, 0.95) for k in by])
+    inside = (ends[:, 0] <= truth) & (truth <= ends[:, 1])
+    assert tuple(got) == pytest.approx((4000, inside.mean(), (ends[:, 0] > truth).mean(), (ends[:, 1] < truth).mean()))
+    assert got.covered == pytest.approx(0.97, abs=0.015)
 
 
 def test_paired_intervals_cover_as_is_known(spark):
-    known = [(0.9475, 0.9477, 0.9523, 0.9520), (0.9433, 0.9467, 0.9537, 0.9490), (0.9373, 0.9363, 0.9540, 0.9500), (0.9385, 0.9313, 0.9575, 0.9423)]
-    known += [(0.9480, 0.9523, 0.9597, 0.9545), (0.9325, 0.9643, 0.9762, 0.9555), (0.9440, 0.9440, 0.9505, 0.9443), (0.9315, 0.9325, 0.9555, 0.9555)]
-    rows = q_coverage_paired(spark, "").orderBy("setting").collect()
-    assert len(rows) == len(PAIRED_SETTINGS)
-    for row, want in zip(rows, known, strict=True):  # both from 4,000 trials
-        assert (row.wald, row.newcombe, row.newcombe_corrected, row.score) == pytest.approx(want, abs=0.02)
+    """Correlated passes of 0.75 and 0.60 in batches of 100; known of 4,000 such: 0.9475, 0.9477, 0.9523, 0.9520."""
+    z = lambda *key: F.sqrt(-2 * F.log(uniform(*key))) * F.cos(2 * np.pi * uniform(*key, F.lit("angle")))
+    shared = 0.5**0.5
+    side = lambda k, cut: (shared * z("id", F.lit("both")) + shared * z("id", F.lit(k)) < cut).cast("int")
+    rows = spark.range(200_000).select(F.floor(F.col("id") / 100).alias("batch"), side(1, 0.6744897501960817).alias("a"), side(2, 0.2533471031357997).alias("b"))
+    got = paired_coverage(rows).first()
+    assert got[0] == 2000 and got[1:] == pytest.approx((0.9475, 0.9477, 0.9523, 0.9520), abs=0.02)
 
 
 def test_two_sample_bootstrap_covers_as_is_known(spark):
-    rows = two_sample_coverage(spark, TWO_SAMPLE_SETTINGS, each=1000).orderBy("setting").collect()
-    assert [r.covered for r in rows] == pytest.approx([0.9406, 0.9262, 0.9302, 0.9450], abs=0.03)
+    """Exponential means of 1.5 and 1.0 in batches of 40 and 120; known of 5,000 such: 0.9302."""
+    rows = spark.range(64_000).select(F.col("id").alias("item_id"), F.floor(F.col("id") / 160).alias("batch"), F.when(F.col("id") % 4 == 0, "a").otherwise("b").alias("grp"))
+    rows = rows.withColumn("score", -F.log(uniform("item_id")) * F.when(F.col("grp") == "a", 1.5).otherwise(1.0))
+    got = two_sample_coverage(rows, ("a", "b"), n_boot=300)
+    assert got.first()[0] == 400 and got.first().covered == pytest.approx(0.9302, abs=0.04)
 
 
-def test_boards_cover_as_is_known(spark):
-    rows = board_coverage(spark, SPREADS, STRENGTHS, each=100).orderBy("setting").collect()
-    assert [r.covered_items for r in rows] == pytest.approx([0.946, 0.943, 0.937, 0.946], abs=0.04)
-    assert [r.covered_comparisons for r in rows] == pytest.approx([0.951, 0.929, 0.881, 0.798], abs=0.05)
-    assert [r.width_ratio for r in rows] == pytest.approx([1.008, 0.944, 0.819, 0.635], abs=0.03)
-    assert [r.separable_items for r in rows] == pytest.approx([14.76, 14.60, 14.17, 12.80], abs=0.4)
+def test_boards_cover_less_where_items_move_them_and_single_comparisons_are_drawn(spark):
+    """Each item shifts its models; comparisons drawn singly are then told apart too easily."""
+    strength = {"a": 1.0, "b": 0.4, "c": -0.2, "d": -1.2}
+    pairs = [(x, y) for x in strength for y in strength if x < y]
+    rng = np.random.default_rng(7)
+    rows = []
+    for item in range(2000):
+        own = {m: s + rng.normal(0, 1) for m, s in strength.items()}
+        for k in range(12):
+            x, y = pairs[(item + k) % 6]
+            rows.append((item, item // 40, x, y, x if rng.random() < 1 / (1 + np.exp(own[y] - own[x])) else y))
+    got = board_coverage(spark.createDataFrame(rows, "item_id long, batch long, model_a string, model_b string, winner string")).first()
+    assert got.n_batches == 50
+    assert got.covered_items > 0.9 > got.covered_comparisons > 0.6
+    assert got.separable_items < got.separable_comparisons
 
 
 def test_design_effect_is_of_mean_widths(spark):
