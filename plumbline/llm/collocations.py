@@ -4,7 +4,7 @@ by chance.
 All 1..longest-grams of a text's pieces become rows (lang, phrase, count), summed first within each block of text and then
 by hash aggregation per language. A phrase seen `least` times has only words and pairs seen as often, so three passes leave
 out what cannot come to that count, and nothing else: all words; pairs of such words; longer phrases of such pairs. What a
-pass must know of the one before is a bitmap of fixed size (2**BITS bits), which lets through too much where it fills up,
+pass must know of the one before is a bitmap of fixed size (2**bits bits), which lets through too much where it fills up,
 never too little, and is the same decision for all occurrences of a phrase, so counts are whole at every size.
 
 Candidates then meet the counts of their first and last words for every cut, are scored in Decimal, leave where a longer
@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BLOCK, tidy, written
+from .common import BLOCK, checkpointed, tidy, written
 
 LEAST, LONGEST, MOST, SHARE = 100, 5, 2000, 100
 #: Size of the bitmaps of frequent words and pairs: 4 MB.
@@ -44,6 +44,7 @@ class _Words(dict):
     def __init__(self, lang: str, known: np.ndarray | None):
         super().__init__()
         self.lang, self.known = lang.encode(), known
+        self.shift = 0 if known is None else _shift(known)
         self.clear()
 
     def clear(self) -> None:
@@ -56,7 +57,7 @@ class _Words(dict):
         h = word_hash(self.lang, word) if self.known is not None else 0
         self.names.append(word)
         self.hashes.append(h)
-        self.frequent.append(self.known is None or bool(self.known[h >> (67 - BITS)] >> ((h >> (64 - BITS)) & 7) & 1))
+        self.frequent.append(self.known is None or bool(self.known[h >> self.shift + 3] >> (h >> self.shift & 7) & 1))
         return number
 
 
@@ -70,8 +71,13 @@ def pair_hash(first: np.ndarray, second: np.ndarray) -> np.ndarray:
     return mixed ^ (mixed >> np.uint64(29))
 
 
+def _shift(bitmap: np.ndarray) -> int:
+    """By how many places a hash goes to the right to be one in a bitmap of so many bytes."""
+    return 62 - len(bitmap).bit_length()
+
+
 def _has(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    at = hashes >> np.uint64(64 - BITS)
+    at = hashes >> np.uint64(_shift(bitmap))
     return (bitmap[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
 
 
@@ -163,30 +169,34 @@ def _batch(lang: str, phrases: list, counts: np.ndarray) -> pa.RecordBatch:
     return pa.record_batch([pa.array([lang] * len(phrases), pa.string()), pa.array(phrases, pa.binary()), pa.array(counts, pa.int64())], schema=_ROWS)
 
 
-def _bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _places(bits: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Words or pairs (lang, phrase) to their places in a bitmap: the number of a long, and its bit."""
-    for batch in batches:
-        hashes = []
-        for lang, phrase in zip(batch.column("lang").to_pylist(), batch.column("phrase").to_pylist(), strict=True):
-            parts = [word_hash(lang.encode(), w) for w in phrase.split(b" ")]
-            hashes.append(parts if len(parts) == 2 else [parts[0], 0])
-        if hashes:
-            h = np.array(hashes, np.uint64)
-            pairs = np.array([b" " in p for p in batch.column("phrase").to_pylist()])
-            at = np.where(pairs, pair_hash(h[:, 0], h[:, 1]), h[:, 0]) >> np.uint64(64 - BITS)
-            yield pa.record_batch([pa.array((at >> np.uint64(6)).astype(np.int64)), pa.array((np.uint64(1) << (at & np.uint64(63))).view(np.int64))], names=["at", "bits"])
-
-
-def _bitmap(phrases: DataFrame) -> np.ndarray:
-    """Bytes of the bitmap of phrases of one or two words; a row a long that isn't zero reaches the driver, 2**(BITS - 6) at most."""
-    rows = phrases.select("lang", F.col("phrase").cast("binary").alias("phrase")).mapInArrow(_bits, "at long, bits long")
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            phrases = batch.column("phrase").to_pylist()
+            hashes = []
+            for lang, phrase in zip(batch.column("lang").to_pylist(), phrases, strict=True):
+                parts = [word_hash(lang.encode(), w) for w in phrase.split(b" ")]
+                hashes.append(parts if len(parts) == 2 else [parts[0], 0])
+            if hashes:
+                h = np.array(hashes, np.uint64)
+                at = np.where([b" " in p for p in phrases], pair_hash(h[:, 0], h[:, 1]), h[:, 0]) >> np.uint64(64 - bits)
+                yield pa.record_batch([pa.array((at >> np.uint64(6)).astype(np.int64)), pa.array((np.uint64(1) << (at & np.uint64(63))).view(np.int64))], names=["at", "bits"])
+
+    return rows
+
+
+def _bitmap(phrases: DataFrame, bits: int) -> np.ndarray:
+    """Bytes of the bitmap of phrases of one or two words; a row a long that isn't zero reaches the driver, 2**(bits - 6) at most."""
+    rows = phrases.select("lang", F.col("phrase").cast("binary").alias("phrase")).mapInArrow(_places(bits), "at long, bits long")
     found = rows.groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
-    out = np.zeros(1 << BITS - 6, np.int64)
+    out = np.zeros(1 << bits - 6, np.int64)
     out[found["at"].to_numpy()] = found["bits"].to_numpy()
     return out.view(np.uint8)
 
 
-def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST) -> DataFrame:
+def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, bits: int = BITS) -> DataFrame:
     """(lang, phrase, c) of all phrases of up to `longest` words that occur `least` times or more in their language; and
     without a phrase, the language's number of words."""
     spark = docs.sparkSession
@@ -199,20 +209,20 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST
 
     out = words = counted((1, 1), None, None)
     if longest > 1:
-        word_bits = _bitmap(words.where("phrase IS NOT NULL"))
+        word_bits = _bitmap(words.where("phrase IS NOT NULL"), bits)
         out = out.unionByName(pairs := counted((2, 2), word_bits, None))
     if longest > 2:
-        out = out.unionByName(counted((3, longest), word_bits, _bitmap(pairs)))
+        out = out.unionByName(counted((3, longest), word_bits, _bitmap(pairs, bits)))
     return out
 
 
-def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, most: int = MOST, share: int = SHARE) -> DataFrame:
+def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, most: int = MOST, share: int = SHARE, bits: int = BITS) -> DataFrame:
     """lang, rank, phrase, a (occurrences), l and r (those of the parts at its worst cut), n (words of the language), score.
 
     Phrases of 2 to `longest` words with a >= least, without those that lie in a longer one of which
     100 * occurrences >= share * a; the `most` best of each language.
     """
-    counts = frequent_phrases(docs, least, longest)
+    counts = frequent_phrases(docs, least, longest, bits)
     sizes = counts.where("phrase IS NULL").select("lang", F.col("c").alias("n"))
     counts = counts.where("phrase IS NOT NULL")
     words = F.split("phrase", " ")
@@ -229,6 +239,15 @@ def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, mo
     longer = phrases.where(F.size("w") > 2).select("lang", F.col("a").alias("longer"), shorter.alias("phrase"))
     inside = longer.groupBy("lang", "phrase").agg(F.max("longer").alias("longer"))
     kept = scored.join(inside, ["lang", "phrase"], "left").where(F.coalesce(100 * whole("longer") < share * whole("a"), F.lit(True)))
-    best = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    flat = kept.select("lang", "phrase", "a", "cut.l", "cut.r", "n", "cut.score")
-    return flat.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= most).select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
+    return _ranked(kept.select("lang", "phrase", "a", "cut.l", "cut.r", "n", "cut.score"), most)
+
+
+def _ranked(rows: DataFrame, most: int) -> DataFrame:
+    """rows with `rank` in their language, up to `most`: by ranges of all rows in order, each moved by those before it, so that no task has a whole language."""
+    order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
+    ranged = checkpointed(rows.repartitionByRange(F.col("lang"), *order).withColumn("part", F.spark_partition_id()))
+    before = Window.partitionBy("lang").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+    moved = ranged.groupBy("lang", "part").agg(F.count("*").alias("size")).select("lang", "part", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("moved"))
+    inside = ranged.join(moved.where(F.col("moved") < most), ["lang", "part"]).withColumn("own", F.row_number().over(Window.partitionBy("lang", "part").orderBy(*order)))
+    found = inside.withColumn("rank", (F.col("own") + F.col("moved")).cast("long")).where(F.col("rank") <= most)
+    return found.select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
