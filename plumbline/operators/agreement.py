@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.checks import need_choice, need_columns, need_confidence, need_ids, need_resamples, need_unique
+from ..plans.checks import need_choice, need_columns, need_confidence, need_none, need_resamples, need_unique, null_counts
 from ..plans.draws import SUMS, WIDE, as_drawn, label_sums, label_totals, polynomials, resampled, running, some_seed, times_of, unit_key, unit_number, usable_interval, with_draws, with_draws_by
 from ..plans.stream import numbered
 from ..results import NAN, AgreementResult, KappaResult
@@ -42,10 +42,10 @@ def cleaned(ratings: DataFrame, level: str, *more: str) -> DataFrame:
     rows = ratings.select(*RATINGS, *(m for m in more if m not in RATINGS)).where(F.col("rating").isNotNull())
     if dict(ratings.dtypes)["rating"] in ("double", "float"):
         rows = rows.where(~F.isnan("rating"))
-    n, numeric = rows.agg(F.count("*"), F.bool_and(number.isNotNull())).first()
+    n, numeric, *lost = rows.agg(F.count("*"), F.bool_and(number.isNotNull()), *null_counts(RATINGS[:2])).first()
     if not n:
         raise ValueError("ratings must not be empty")
-    need_ids(rows, RATINGS[:2], "ratings")
+    need_none(RATINGS[:2], lost, "ratings")
     need_unique(rows, RATINGS[:2], "two ratings of one rater on one item would count that opinion twice")
     if not numeric and level != "nominal":
         raise ValueError(f"level={level!r} needs numeric ratings; map the labels to numbers or use level='nominal'")

@@ -8,7 +8,7 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.checks import is_binary, need_choice, need_finite
+from ..plans.checks import finite_counts, is_binary, need_choice, need_scores
 from ..results import CHECKS, SEVERITIES, AuditConfig, AuditReport, Finding, SkippedCheck, known, listed, points
 from .agreement import LEVELS, rater_agreement
 from .compare import compare_independent, compare_paired, paired
@@ -59,10 +59,12 @@ class _Systems:
         if scores is None:
             return
         scores = scores if "system" in scores.columns else scores.withColumn("system", F.lit("system"))
-        need_finite(scores, ["score"], "scores")
-        names = order or [r.system for r in scores.select("system").distinct().orderBy("system").collect()]
+        rows, odd, first = finite_counts(scores, ["score"])
+        found = scores.groupBy("system").agg(rows.alias("n"), odd.alias("odd"), first.alias("first"), F.avg("score").alias("mean"), is_binary(F.col("score").cast("double")).alias("binary")).collect()
+        need_scores(sum(r.n for r in found), sum(r.odd for r in found), min((r.first for r in found if r.odd and r.first is not None), default=None), "scores")
+        stats = {r.system: r for r in found}
+        names = order or sorted(n for n in stats if n is not None)
         self.frames = {n: scores.where(F.col("system") == n) for n in names}
-        stats = {r.system: r for r in scores.groupBy("system").agg(F.count("*").alias("n"), F.avg("score").alias("mean"), is_binary(F.col("score").cast("double")).alias("binary")).collect()}
         self.sizes = {n: stats[n].n for n in names}
         self.means, self.binary = {n: stats[n]["mean"] for n in names}, all(stats[n].binary for n in names)
 
@@ -90,7 +92,11 @@ def _comparison(systems: _Systems, cfg: AuditConfig):  # noqa: ANN202
     if same and sizes[0] != sizes[1]:
         raise ValueError(f"a paired comparison needs as many items on either side, not {sizes[0]} and {sizes[1]}")
     if same:
-        return compare_paired(paired(a, b), confidence=cfg.confidence, seed=cfg.seed)
+        pairs = paired(a, b).persist()
+        try:
+            return compare_paired(pairs, confidence=cfg.confidence, seed=cfg.seed)
+        finally:
+            pairs.unpersist()
     return compare_independent(a, b, confidence=cfg.confidence, seed=cfg.seed)
 
 
@@ -209,6 +215,17 @@ def audit(scores: DataFrame | None = None, comparisons: DataFrame | None = None,
     if all(x is None for x in (scores, comparisons, ratings, labels, preferences)):
         raise ValueError("an audit needs scores, comparisons, ratings, labels or preferences")
     cfg = checked(config)
+    given = [x for x in (scores, comparisons, ratings, labels, preferences) if x is not None and not x.is_cached]
+    for x in given:  # each is read once, whatever the number of checks
+        x.persist()
+    try:
+        return _audited(scores, comparisons, ratings, labels, preferences, cfg, systems, order)
+    finally:
+        for x in given:
+            x.unpersist()
+
+
+def _audited(scores: DataFrame | None, comparisons: DataFrame | None, ratings: DataFrame | None, labels: DataFrame | None, preferences: DataFrame | None, cfg: AuditConfig, systems: list[str] | None, order: str | None) -> AuditReport:
     split = _Systems(scores, systems)
     margin = _comparison(split, cfg)
     made = {"compare": _compare(margin, split, cfg), "power": _power(margin, split, cfg), "agreement": _agreement(ratings, cfg), "judge": _judge(labels, cfg), "position": _position(comparisons, order), "length": _length(preferences), "scores": _scores(split, cfg)}

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.intervals import independent_difference, paired_difference
 from ..functions.special import binomial_half_two_sided, chi2_one_sf, normal_two_sided, t_quantile, t_two_sided, z_of
-from ..plans.checks import is_binary, need_choice, need_confidence, need_finite, need_resamples
+from ..plans.checks import finite_counts, is_binary, need_choice, need_confidence, need_finite, need_resamples, need_scores
 from ..plans.draws import bootstrap_p, percentile_interval, resampled_means, running, some_seed
 from ..plans.walsh import averages_at
 from ..results import ComparisonResult
@@ -144,14 +144,16 @@ def compare_paired(pairs: DataFrame, method: str = "auto", confidence: float = 0
     need_choice("method", method, ("auto", "mcnemar", "bootstrap", "wilcoxon"))
     need_confidence(confidence)
     need_resamples(n_boot)
-    n = need_finite(pairs, ["a", "b"], "scores")
-    s = discordance(pairs).crossJoin(pairs.agg((is_binary(F.col("a").cast("double")) & is_binary(F.col("b").cast("double"))).alias("binary"), F.avg(F.col("a").cast("double") - F.col("b").cast("double")).alias("mean"))).first()
+    a, b = (F.col(c).cast("double") for c in ("a", "b"))
+    counts = [F.count_if((a == 1) & (b == 0)).alias("n_a_only"), F.count_if((a == 0) & (b == 1)).alias("n_b_only")]
+    s = pairs.agg(*finite_counts(pairs, ["a", "b"]), (is_binary(a) & is_binary(b)).alias("binary"), F.avg(a - b).alias("mean"), *counts).first()
+    n = need_scores(*s[:3], "scores")
     method = method if method != "auto" else "mcnemar" if s.binary else "bootstrap"
     if method == "mcnemar":
         if not s.binary:
             raise ValueError("McNemar's test is for 0/1 scores; use method='bootstrap' or 'wilcoxon'")
         low, high = paired_difference(s.n_a_only, s.n_b_only, n, confidence)
-        return ComparisonResult(s.difference, low, high, mcnemar_p(s.n_a_only, s.n_b_only), n, method, True, True, confidence, s.n_discordant)
+        return ComparisonResult((s.n_a_only - s.n_b_only) / n, low, high, mcnemar_p(s.n_a_only, s.n_b_only), n, method, True, True, confidence, s.n_a_only + s.n_b_only)
     if method == "wilcoxon":
         return wilcoxon(pairs, s.binary, confidence)
     means = resampled_means(pairs, F.col("a").cast("double") - F.col("b").cast("double"), [key] if key in pairs.columns else [], order, n_boot, seed)

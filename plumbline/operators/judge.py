@@ -14,8 +14,9 @@ from ..plans.draws import label_totals, unit_key, unit_number, usable_interval
 from ..results import NAN, JudgeValidation
 from . import agreement as ag
 
-SLICE_ONE_ITEM = "only one item, too few to measure agreement"
-SLICE_NO_VARIANCE = "both sides used one label throughout, so alpha has no denominator"
+#: Notes that tables of slices carry.
+SLICE_ONE_ITEM = "one item, too few to measure agreement"
+SLICE_NO_VARIANCE = "human and judge used one label throughout, so alpha has no denominator"
 
 
 def labelled(labels: DataFrame, drop_ties: bool = False) -> DataFrame:

@@ -32,13 +32,21 @@ def finite(c: Column) -> Column:
     return c.isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf"))
 
 
-def need_finite(df: DataFrame, columns: Sequence[str], what: str) -> int:
-    """The number of rows; refuses none and scores that aren't finite, naming the first item that has one."""
+def finite_counts(df: DataFrame, columns: Sequence[str]) -> list[Column]:
+    """Aggregates, for a scan that other figures share: rows, those without finite scores, and the first item of these."""
     bad = ~F.expr("true")
     for c in columns:
         bad = bad | ~finite(F.col(c).cast("double"))
     item = F.col("item_id") if "item_id" in df.columns else F.lit(None)
-    n, odd, first = df.agg(F.count("*"), F.count_if(bad), F.min(F.when(bad, item))).first()
+    return [F.count("*"), F.count_if(bad), F.min(F.when(bad, item))]
+
+
+def need_finite(df: DataFrame, columns: Sequence[str], what: str) -> int:
+    """The number of rows; refuses none and scores that aren't finite, naming the first item that has one."""
+    return need_scores(*df.agg(*finite_counts(df, columns)).first(), what)
+
+
+def need_scores(n: int, odd: int, first: object, what: str) -> int:
     if not n:
         raise ValueError(f"{what} must not be empty")
     if odd:
@@ -47,21 +55,29 @@ def need_finite(df: DataFrame, columns: Sequence[str], what: str) -> int:
 
 
 def need_ids(df: DataFrame, columns: Sequence[str], what: str) -> None:
-    counts = df.agg(*(F.count_if(F.col(c).isNull()) for c in columns)).first()
+    need_none(columns, df.agg(*null_counts(columns)).first(), what)
+
+
+def null_counts(columns: Sequence[str]) -> list[Column]:
+    """Aggregates, for a scan that other figures share: how many rows lack each column."""
+    return [F.count_if(F.col(c).isNull()) for c in columns]
+
+
+def need_none(columns: Sequence[str], counts: Sequence[int], what: str) -> None:
     for c, n in zip(columns, counts, strict=True):
         if n:
             raise ValueError(f"{what} has {n} row(s) whose {c} is missing")
 
 
 def need_unique(df: DataFrame, keys: Sequence[str], why: str) -> None:
-    again = df.groupBy(*keys).count().where("count > 1").limit(1).collect()
+    again = df.groupBy(*keys).count().where("count > 1").orderBy(*keys).limit(1).collect()  # the first by key
     if again:
         found = ", ".join(f"{k}={again[0][k]!r}" for k in keys)
         raise ValueError(f"{found} occurs {again[0]['count']} times; {why}")
 
 
 def need_one_per(df: DataFrame, key: str, value: str, what: str) -> None:
-    mixed = df.groupBy(key).agg(F.count_distinct(value).alias("n")).where("n > 1").limit(1).collect()
+    mixed = df.groupBy(key).agg(F.count_distinct(value).alias("n")).where("n > 1").orderBy(key).limit(1).collect()
     if mixed:
         raise ValueError(f"{what}: {key}={mixed[0][key]!r} has {mixed[0].n} different values of {value}")
 

@@ -175,31 +175,36 @@ def resampled(cells: DataFrame, n_boot: int, seed, places: DataFrame | None = No
     places (unit, place), a row a unit: the resamples are numpy's, of units numbered by place; units are their keys then.
     """
     if places is None:
-        yield from _blocks(_dealt(cells, n_boot), n_boot, some_seed(seed))
+        size, width = _shape(cells)
+        yield from _blocks(_dealt(cells, size, n_boot), n_boot, some_seed(seed), width)
         return
     cells = with_draws(cells, places, n_boot, seed).persist()
     try:
-        yield from _blocks(cells, n_boot, None)
+        yield from _blocks(cells, n_boot, None, _shape(cells)[1])
     finally:
         cells.unpersist()
 
 
 def as_drawn(cells: DataFrame, n_boot: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """resampled() of cells that have their multiplicities, from with_draws."""
-    return _blocks(cells, n_boot, None)
+    return _blocks(cells, n_boot, None, _shape(cells)[1])
 
 
-def _dealt(cells: DataFrame, n_boot: int) -> DataFrame:
+def _shape(cells: DataFrame) -> tuple[int, int]:
+    """How many cells there are, and how many labels."""
+    return tuple(cells.agg(F.count("*"), F.count_distinct("i", "j")).first())
+
+
+def _dealt(cells: DataFrame, size: int, n_boot: int) -> DataFrame:
     """cells in partitions that have about SUMS multiplicities to make each: few rows lie in few, and the work is rows times resamples."""
-    if (size := cells.count()) > SMALL:
+    if size > SMALL:
         return cells
     parts = min(-(-size * n_boot // SUMS), 4 * cells.sparkSession.sparkContext.defaultParallelism)
     return cells.repartition(max(1, parts), "unit")
 
 
-def _blocks(cells: DataFrame, n_boot: int, seed: int | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _blocks(cells: DataFrame, n_boot: int, seed: int | None, width: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """resampled() of cells that are dealt out, by their keys or, without a seed, as drawn."""
-    width = cells.select("i", "j").distinct().count()
     step = max(1, min(n_boot, SUMS // max(width, 1)))
     for first in range(0, n_boot, step):
         last = min(first + step, n_boot)
@@ -242,9 +247,10 @@ def label_totals(cells: DataFrame, n_boot: int, seed, places: DataFrame | None =
 
 
 def _label_totals(cells: DataFrame, n_boot: int, seed: int | None) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    if cells.select("i", "j").distinct().limit(WIDE + 1).count() <= WIDE:
+    size, width = _shape(cells)
+    if width <= WIDE:
         out: dict[int, list] = {}
-        for labels, sums in _blocks(cells if seed is None else _dealt(cells, n_boot), n_boot, seed):
+        for labels, sums in _blocks(cells if seed is None else _dealt(cells, size, n_boot), n_boot, seed, width):
             for j in np.unique(labels[:, 1]).tolist():
                 own = sums[:, labels[:, 1] == j]
                 out.setdefault(j, []).append((own.sum(axis=1), (own**2).sum(axis=1)))
@@ -322,7 +328,7 @@ def resampled_means(rows: DataFrame, x: Column, key: Sequence[str], order: Seque
     value = x.cast("double").alias("own_x")
     if order:  # each row is a unit
         numbers, n = numbered(rows.select(F.struct(*order).alias("place"), unit_key(*map(F.col, order)).alias("unit"), value), "place")
-        blocks = _blocks(pairs(numbers, "number").join(drawn(rows.sparkSession, n, n_boot, seed), "number"), n_boot, None)
+        blocks = _blocks(pairs(numbers, "number").join(drawn(rows.sparkSession, n, n_boot, seed), "number"), n_boot, None, 2)
     elif key:
         blocks = resampled(pairs(rows.select(unit_number(*map(F.col, key)).alias("unit"), value), "unit"), n_boot, seed)
     else:

@@ -500,7 +500,7 @@ def q_winner_names(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_refusals(spark: SparkSession, sf: str) -> DataFrame:
-    """What the operators refuse, and that they do."""
+    """What the operators refuse, and the reason that each gives, with how many rows of the tables it names."""
     ratings, scores, labels = v.ratings(spark, sf).select("item_id", "rater_id", "rating"), v.independent_scores(spark, sf), v.judge_labels(spark, sf)
     board, shown, base = v.leaderboard(spark, sf), v.positions(spark, sf, "pair_id"), v.baseline(spark, sf)
     told = v.baseline_judge(spark, sf).withColumn("human", F.col("judge"))
@@ -536,14 +536,14 @@ def q_refusals(spark: SparkSession, sf: str) -> DataFrame:
         "many rows a key": lambda: rel.join_one(ratings, ratings, ["item_id"]),
     }
 
-    def refused(case: Callable[[], object]) -> bool:
+    def refusal(case: Callable[[], object]) -> str | None:
         try:
             case()
-        except (ValueError, NotImplementedError):
-            return True
-        return False
+        except (ValueError, NotImplementedError) as e:
+            return str(e)
+        return None
 
-    return _frame(spark, [{"case": name, "refused": refused(case)} for name, case in cases.items()])
+    return _frame(spark, [{"case": name, "refusal": refusal(case)} for name, case in cases.items()])
 
 
 def q_codings(spark: SparkSession, sf: str) -> DataFrame:

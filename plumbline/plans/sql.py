@@ -33,18 +33,24 @@ def _r(x: str, places: int = 6) -> str:
     return f"round(({x})::DOUBLE, {places}) + 0.0"
 
 
-def _keyed(units: str, key: str, n_boot: int, seed: int = SEED, name: str = "wt") -> list[str]:
-    """Steps to `name` (b, k, w): the multiplicity of each key of the step `units` in each resample."""
+def _values(units: str, key: str, n_boot: int, seed: int, name: str) -> list[str]:
+    """Steps to `name` (b, k, t): the number under PRIME that each key of the step `units` has in each resample."""
     word = lambda x: f"('0x' || substr(md5({x}), 1, 15))::BIGINT"
     coefficients = ", ".join(word(f"concat_ws(':', '{seed}', b::VARCHAR, '{k}')") + f" % {PRIME} a{k}" for k in range(5))
-    many = " ".join(f"WHEN t < {most} THEN {k}" for k, most in enumerate(THRESHOLDS))
+    whole = "k" if key == "k" else "length(k::VARCHAR) || ':' || k::VARCHAR"  # a key named k is a text of lengths and parts already
     return [
         f"{name}_p AS (SELECT b, {coefficients} FROM unnest(range({n_boot})) x(b))",
-        f"{name}_u AS (SELECT k, {word("length(k::VARCHAR) || ':' || k::VARCHAR")} v FROM (SELECT DISTINCT {key} k FROM {units}) x)",
-        f"{name} AS (SELECT b, k, CASE {many} ELSE {len(THRESHOLDS)} END w FROM (SELECT b, k, (((a3 * u + a2) % {PRIME} * u + a1) % {PRIME} * u + a0) % {PRIME} t FROM (SELECT *, ((v >> {HALF}) + a4 * (v & {(1 << HALF) - 1})) % {PRIME} u FROM {name}_u, {name}_p) y) x)",
+        f"{name}_u AS (SELECT k, {word(whole)} v FROM (SELECT DISTINCT {key} k FROM {units}) x)",
+        f"{name} AS (SELECT b, k, (((a3 * u + a2) % {PRIME} * u + a1) % {PRIME} * u + a0) % {PRIME} t FROM (SELECT *, ((v >> {HALF}) + a4 * (v & {(1 << HALF) - 1})) % {PRIME} u FROM {name}_u, {name}_p) y)",
     ]
 
 
+def _keyed(units: str, key: str, n_boot: int, seed: int = SEED, name: str = "wt") -> list[str]:
+    """Steps to `name` (b, k, w): the multiplicity of each key of the step `units` in each resample."""
+    many = " ".join(f"WHEN t < {most} THEN {k}" for k, most in enumerate(THRESHOLDS))
+    return [*_values(units, key, n_boot, seed, f"{name}_t"), f"{name} AS (SELECT b, k, CASE {many} ELSE {len(THRESHOLDS)} END w FROM {name}_t)"]
+
+
 def _ends(column: str, n_boot: int, places: int = 6) -> tuple[str, str]:
     """A percentile interval, if nine tenths of the resamples have a number."""
     return tuple(f"CASE WHEN count({column}) >= 0.9 * {n_boot} THEN {_r(f'quantile_cont({column}, {q})', places)} END" for q in (0.025, 0.975))
@@ -312,7 +318,7 @@ def _agreement(level: str) -> str:
 
 
 _JUDGED = _with("v_judge", f"""SELECT slice, any_value(x.n_items) n_items, {_r('any_value(alpha)')} agreement, CASE WHEN any_value(note) = '' THEN {_ends('a', 1000)[0]} END ci_low, CASE WHEN any_value(note) = '' THEN {_ends('a', 1000)[1]} END ci_high, {_r('any_value(accuracy)')} accuracy, any_value(note) note
-FROM (SELECT slice, count(*) n_items, avg((human = judge)::INT) accuracy FROM both_ways GROUP BY 1) x JOIN (SELECT *, CASE WHEN n_units < 2 THEN 'only one item, too few to measure agreement' WHEN n_values <= 1 THEN 'both sides used one label throughout, so alpha has no denominator' ELSE '' END note FROM alpha) y USING (slice) LEFT JOIN draws USING (slice) GROUP BY 1""",
+FROM (SELECT slice, count(*) n_items, avg((human = judge)::INT) accuracy FROM both_ways GROUP BY 1) x JOIN (SELECT *, CASE WHEN n_units < 2 THEN 'one item, too few to measure agreement' WHEN n_values <= 1 THEN 'human and judge used one label throughout, so alpha has no denominator' ELSE '' END note FROM alpha) y USING (slice) LEFT JOIN draws USING (slice) GROUP BY 1""",
     "both_ways AS (SELECT '(all)' slice, item_id, human, judge FROM v_judge UNION ALL SELECT slice, item_id, human, judge FROM v_judge)", "src AS (SELECT slice, item_id, human rating FROM both_ways UNION ALL SELECT slice, item_id, judge FROM both_ways)", *_alpha("src", "nominal", "slice"), *_keyed("v_judge", "item_id", 1000), *_alpha_boot("nominal", "slice"))
 _JUDGE_BASELINE = _with("v_base v_base_judge", f"""SELECT n_items, n_dropped, {_r('accuracy')} accuracy, {_r('alpha')} agreement, {_r('judge_human')} baseline_judge_human, {_r('human_human')} baseline_human_human, {_r('difference')} baseline_difference, lo baseline_ci_low, hi baseline_ci_high,
   (SELECT count(*) FROM kept) baseline_n_items, (SELECT count(*) FROM obs) baseline_n_clusters, (SELECT count(*) FROM (SELECT item_id FROM v_base GROUP BY 1 HAVING count(rating) < 2) q) baseline_n_too_few_humans, usable baseline_n_boot_usable
@@ -322,13 +328,14 @@ FROM (SELECT count(human) n_items, count(*) - count(human) n_dropped, avg((human
 _POSITION = _with("v_pos_random v_pos_both", f"""SELECT 'randomised' design, {_r('cp.k / cp.n')} estimate, {_r('(l + lh) / 2')} ci_low, {_r('(g + gh) / 2')} ci_high, {_r('p')} p_value, s.k n_a_wins, s.n n_decisive, n_pairs, s.n n_pairs_scored, n_judgements, n_ties FROM cp, ps s WHERE i = 50
 UNION ALL SELECT 'both_orders', {_r('k / n')}, {_r(_wilson_side('k', '-'))}, {_r(_wilson_side('k', '+'))}, {_r('p')}, first, flipped, (SELECT count(DISTINCT pair_id) FROM v_pos_both), n::BIGINT, (SELECT count(*) FROM v_pos_both), (SELECT count(*) - count(winner) FROM v_pos_both) FROM (SELECT scored::DOUBLE n, held::DOUBLE k, first, flipped, (SELECT {_BINOMIAL} FROM (SELECT flipped n, first k) q) p FROM cc) x""", *_COUPLES,
     f"ps AS (SELECT *, {_BINOMIAL} p FROM (SELECT count(*) FILTER (winner = option_a)::BIGINT k, count(winner)::BIGINT n, count(DISTINCT pair_id) n_pairs, count(*) n_judgements, count(*) - count(winner) n_ties FROM v_pos_random) x)", "cc AS (SELECT count(*)::BIGINT scored, count(*) FILTER (consistent)::BIGINT held, count(*) FILTER (NOT consistent)::BIGINT flipped, count(*) FILTER (NOT consistent AND to_first)::BIGINT AS first FROM couples)", _clopper_pearson("ps", "cp")).replace("WITH ", "WITH RECURSIVE ", 1)
-_ITEM_CREDIT = "ic AS (SELECT item_id, i, j, sum(c) credit FROM (SELECT item_id, model_a i, model_b j, CASE WHEN winner = 'tie' THEN 0.5 WHEN winner = model_a THEN 1 ELSE 0 END::DOUBLE c FROM v_lb UNION ALL SELECT item_id, model_b, model_a, CASE WHEN winner = 'tie' THEN 0.5 WHEN winner = model_b THEN 1 ELSE 0 END::DOUBLE FROM v_lb) x GROUP BY ALL)"
+_ITEM_CREDIT = "ic AS (SELECT item_id, i, j, sum(c) credit, 1 many FROM (SELECT item_id, model_a i, model_b j, CASE WHEN winner = 'tie' THEN 0.5 WHEN winner = model_a THEN 1 ELSE 0 END::DOUBLE c FROM v_lb UNION ALL SELECT item_id, model_b, model_a, CASE WHEN winner = 'tie' THEN 0.5 WHEN winner = model_b THEN 1 ELSE 0 END::DOUBLE FROM v_lb) x GROUP BY ALL)"
 _BOOT_CREDIT = "cb AS (SELECT b, i, j, sum(w * credit) credit FROM wt JOIN ic ON k = item_id GROUP BY ALL)"
-#: Ratings s of every resample and, at b = -1, of all comparisons, by the same climb as _MM.
-_BOARDS = "WITH RECURSIVE " + ",\n".join(
-    [f"v_lb AS ({VIEWS['v_lb']})", _ITEM_CREDIT, *_keyed("v_lb", "item_id", 1000), _BOOT_CREDIT, "every AS (SELECT * FROM cb UNION ALL SELECT -1, i, j, sum(credit) FROM ic GROUP BY ALL)", "names AS (SELECT DISTINCT i m FROM ic)"]
-    + ["grid AS (SELECT b, x.m i, y.m j FROM (SELECT DISTINCT b FROM every) q, names x, names y)", "full_grid AS (SELECT g.b, g.i, g.j, coalesce(e.credit, 0) won, coalesce(f.credit, 0) lost FROM grid g LEFT JOIN every e ON e.b = g.b AND e.i = g.i AND e.j = g.j LEFT JOIN every f ON f.b = g.b AND f.i = g.j AND f.j = g.i)"]
-) + """,
+def _boards(*own: str) -> str:
+    """Ratings s of every resample and, at b = -1, of all comparisons, by the same climb as _MM. own: steps to ic (item_id, i, j, credit, many) and wt."""
+    return "WITH RECURSIVE " + ",\n".join([
+        f"v_lb AS ({VIEWS['v_lb']})", *own, _BOOT_CREDIT, "every AS (SELECT * FROM cb UNION ALL SELECT -1, i, j, sum(credit * many) FROM ic GROUP BY ALL)", "names AS (SELECT DISTINCT i m FROM ic)",
+        "grid AS (SELECT b, x.m i, y.m j FROM (SELECT DISTINCT b FROM every) q, names x, names y)", "full_grid AS (SELECT g.b, g.i, g.j, coalesce(e.credit, 0) won, coalesce(f.credit, 0) lost FROM grid g LEFT JOIN every e ON e.b = g.b AND e.i = g.i AND e.j = g.j LEFT JOIN every f ON f.b = g.b AND f.i = g.j AND f.j = g.i)",
+    ]) + """,
 lines AS (SELECT b, i, list(won + lost ORDER BY j) met, sum(won) won FROM full_grid GROUP BY 1, 2),
 mats AS (SELECT b, list(met ORDER BY i) n, list(won ORDER BY i) w, list(i ORDER BY i) m FROM lines GROUP BY 1),
 it AS (SELECT 0 k, b, n, w, list_transform(w, lambda x: 1.0::DOUBLE) p FROM mats UNION ALL
@@ -336,7 +343,26 @@ it AS (SELECT 0 k, b, n, w, list_transform(w, lambda x: 1.0::DOUBLE) p FROM mats
 r0 AS (SELECT b, unnest(m) model, unnest(list_transform(p, lambda x: ln(x))) s FROM it JOIN mats USING (b) WHERE k = 120),
 r AS (SELECT b, model, s - avg(s) OVER (PARTITION BY b) s FROM r0),
 point AS (SELECT model, s, met FROM r JOIN (SELECT i model, sum(won + lost) met FROM full_grid WHERE b = -1 GROUP BY 1) q USING (model) WHERE b = -1)
-"""
+"""
+
+
+def _by_class(n_boot: int, seed: int = SEED) -> list[str]:
+    """Steps of _boards for single comparisons: equal ones are one unit, drawn as often as that many would be."""
+    part = lambda c: f"coalesce(length({c}) || ':' || {c}, 'n')"
+    once = " ".join(f"WHEN t < {most} THEN {k}" for k, most in enumerate(THRESHOLDS))
+    return [
+        f"cls AS (SELECT *, {part('model_a')} || {part('model_b')} || {part('w')} k FROM (SELECT model_a, model_b, nullif(winner, 'tie') w, count(*) many FROM v_lb GROUP BY ALL) x)",
+        "ic AS (SELECT k item_id, model_a i, model_b j, CASE WHEN w IS NULL THEN 0.5 WHEN w = model_a THEN 1 ELSE 0 END::DOUBLE credit, many FROM cls UNION ALL SELECT k, model_b, model_a, CASE WHEN w IS NULL THEN 0.5 WHEN w = model_b THEN 1 ELSE 0 END::DOUBLE, many FROM cls)",
+        *_values("cls", "k", n_boot, seed, "ct"),
+        "pk AS (SELECT many, greatest(0, many - 15 * floor(sqrt(many))::BIGINT - 40) low, many + 15 * floor(sqrt(many))::BIGINT + 39 high FROM (SELECT DISTINCT many FROM cls WHERE many > 1) x)",
+        "pm AS (SELECT many, low, list(upto ORDER BY k) l FROM (SELECT many, low, k, sum(exp(k * ln(many) - many - lgamma(k + 1))) OVER (PARTITION BY many ORDER BY k) upto FROM (SELECT *, unnest(range(low, high + 1)) k FROM pk) x) y GROUP BY 1, 2)",
+        f"wt AS (SELECT b, ct.k, CASE WHEN many > 1 THEN low + len(list_filter(l, lambda x: x <= (t + 0.5) / {PRIME})) {once} ELSE {len(THRESHOLDS)} END w FROM ct JOIN cls USING (k) LEFT JOIN pm USING (many))",
+    ]
+
+
+_BOARDS = _boards(_ITEM_CREDIT, *_keyed("v_lb", "item_id", 1000))
+_WIDTHS = ", gaps AS (SELECT quantile_cont(u.s - v.s, 0.975) - quantile_cont(u.s - v.s, 0.025) width FROM r u JOIN r v USING (b) WHERE u.b >= 0 AND u.model < v.model GROUP BY u.model, v.model) SELECT count(*) n, avg(width) w FROM gaps"
+_DESIGN_EFFECT = f"SELECT x.n n_pairs, {_r('x.w / y.w')} width_ratio, {_r('(x.w / y.w) ** 2')} design_effect FROM ({_BOARDS}{_WIDTHS}) x, ({_boards(*_by_class(1000))}{_WIDTHS}) y"
 _BT_PAIRS = _BOARDS + f"""SELECT a model_a, c model_b, {_r("d", 4)} difference, {_r("lo", 4)} ci_low, {_r("hi", 4)} ci_high, {_r("1 / (1 + exp(-d))", 4)} p_a_beats_b, round(n)::BIGINT n_head_to_head, lo > 0 OR hi < 0 separable
 FROM (SELECT x.model a, y.model c, x.s - y.s d, (SELECT won + lost FROM full_grid WHERE b = -1 AND i = x.model AND j = y.model) n FROM point x JOIN point y ON x.s > y.s) q
 JOIN (SELECT u.model a, v.model c, quantile_cont(u.s - v.s, 0.025) lo, quantile_cont(u.s - v.s, 0.975) hi FROM r u JOIN r v USING (b) WHERE u.b >= 0 AND u.model <> v.model GROUP BY 1, 2) z USING (a, c)"""
@@ -347,14 +373,73 @@ gaps AS (SELECT u.model a, v.model c, quantile_cont(u.s - v.s, 0.025) lo, quanti
 SELECT a model_a, c model_b, g.lo > 0 OR g.hi < 0 separable, e.hi < f.lo OR f.hi < e.lo apart
 FROM gaps g JOIN point x ON x.model = a JOIN point y ON y.model = c AND x.s > y.s JOIN ends e ON e.model = a JOIN ends f ON f.model = c"""
 
-#: The cases of q_refusals.
-_REFUSED = (
-    "score not finite", "wilson of prices", "t of passes", "confidence of one", "no resamples", "method unknown", "mcnemar of cents",
-    "score interval of prices", "rating twice", "labels as numbers", "rater missing", "no ratings", "ties without baseline",
-    "baseline without ties", "ordinal baseline", "item in two clusters", "baseline beyond the judged", "winner not compared",
-    "model against itself", "model called tie", "davidson ties", "winner not shown", "pair missing", "power under alpha",
-    "effect above discordance", "half an item", "audit of nothing", "field unknown", "many rows a key",
-)
+_LENGTH_FIT = _with("v_len", f"SELECT n, n_disagreements, {_r('longer')} longer_rate, {_r('f1.b1', 5)} coefficient, {_r(f'f1.b1 - {_ZA} * f1.se', 5)} ci_low, {_r(f'f1.b1 + {_ZA} * f1.se', 5)} ci_high, {_r('f2.b1', 5)} disagreement_coefficient, {_r(f'f2.b1 - {_ZA} * f2.se', 5)} disagreement_ci_low, {_r(f'f2.b1 + {_ZA} * f2.se', 5)} disagreement_ci_high FROM (SELECT count(*) n, sum(y2)::BIGINT n_disagreements, avg(CASE WHEN y1 = 1 THEN (x1 > 0)::INT ELSE (x1 < 0)::INT END) longer FROM p) s, fit1 f1, fit2 f2", _LEN, *_newton(1), *_newton(2))
+
+#: What q_refusals' cases say of their arguments alone.
+_REFUSED = {
+    "wilson of prices": "the Wilson interval is for 0/1 scores; use method='bootstrap'",
+    "t of passes": "the t interval is not for 0/1 scores; use method='wilson'",
+    "confidence of one": "confidence must lie strictly between 0 and 1, not 1.0",
+    "no resamples": "n_boot must be at least 1, not 0",
+    "method unknown": "method must be one of 'auto', 'mcnemar', 'bootstrap', 'wilcoxon', not 'sign'",
+    "mcnemar of cents": "McNemar's test is for 0/1 scores; use method='bootstrap' or 'wilcoxon'",
+    "score interval of prices": "the score interval is for 0/1 scores; use method='bootstrap' or 't'",
+    "labels as numbers": "level='ordinal' needs numeric ratings; map the labels to numbers or use level='nominal'",
+    "no ratings": "ratings must not be empty",
+    "ties without baseline": "ties is about the human baseline; pass human_baseline too",
+    "baseline without ties": "say what ties are in the human baseline: ties='category' or ties='drop'",
+    "ordinal baseline": "the human baseline is for nominal labels",
+    "davidson ties": "ties='davidson' is not available; use 'split' or 'drop'",
+    "power under alpha": "power must exceed alpha: a test that never looks at the data reaches alpha",
+    "effect above discordance": "a difference of 0.4 cannot come from systems that differ on only 0.3 of the items",
+    "half an item": "n must be a whole number of at least 2, not 10.5",
+    "audit of nothing": "an audit needs scores, comparisons, ratings, labels or preferences",
+    "field unknown": "the config has no field(s) seeds; it has claim, claims_direction, effect_of_interest, confidence, level, agreement_threshold, judge_threshold, power, alpha, paired, discordance_rate, n_boot, seed",
+}
+#: And what those say of the rows.
+_REFUSED_ROWS = {
+    "score not finite": "SELECT 'scores has ' || count(*) FILTER (score = 1) || ' of ' || count(*) || ' rows without a finite score, the first item ' || min(item_id) FILTER (score = 1) || '; drop or fill them first' FROM v_indep",
+    "rating twice": "SELECT 'item_id=' || item_id || ', rater_id=' || chr(39) || rater_id || chr(39) || ' occurs ' || 2 * count(*) || ' times; two ratings of one rater on one item would count that opinion twice' FROM v_ratings GROUP BY item_id, rater_id ORDER BY item_id, rater_id LIMIT 1",
+    "rater missing": "SELECT 'ratings has ' || count(*) || ' row(s) whose rater_id is missing' FROM v_ratings WHERE rater_id = 'h0'",
+    "item in two clusters": "SELECT 'human_baseline: item_id=' || item_id || ' has ' || count(DISTINCT rater_id) || ' different values of cluster_id' FROM v_base GROUP BY item_id HAVING count(DISTINCT rater_id) > 1 ORDER BY item_id LIMIT 1",
+    "baseline beyond the judged": "SELECT 'human_baseline has ' || count(DISTINCT item_id) || ' item(s) that are not among the judged items' FROM v_base WHERE item_id % 2 <> 0",
+    "winner not compared": "SELECT count(*) || ' comparison(s) have a winner that was not compared' FROM v_lb",
+    "model against itself": "SELECT count(*) || ' comparison(s) compare a model with itself' FROM v_lb",
+    "model called tie": "SELECT count(*) || ' comparison(s) name a model ''tie'', which is how a tie is spelled' FROM v_lb",
+    "winner not shown": "SELECT count(*) || ' comparison(s) have a winner that was not on offer; leave it empty for a tie' FROM v_pos_random",
+    "pair missing": "SELECT 'comparisons has ' || count(*) || ' row(s) whose pair_id is missing' FROM v_pos_random",
+    "many rows a key": "SELECT 'item_id=' || item_id || ' occurs ' || count(*) || ' times; the right side of this join needs one row a key' FROM v_ratings GROUP BY item_id HAVING count(*) > 1 ORDER BY item_id LIMIT 1",
+}
+_REFUSALS = _with("v_indep v_ratings v_base v_lb v_pos_random", "\nUNION ALL ".join([*(f"""SELECT '{case}' "case", ({select}) refusal""" for case, select in _REFUSED_ROWS.items()), *(f"""SELECT '{case}', '{text.replace("'", "''")}'""" for case, text in _REFUSED.items())]))
+
+#: The audit's findings from the figures of other queries; the config's lines are the defaults, the effect of interest 0.05.
+_LINE = "0.667"
+
+
+def _against_line(check: str, subject: str) -> str:
+    later = subject[0].lower() + subject[1:]
+    return f"""SELECT '{check}' "check", CASE WHEN ci_low > {_LINE} THEN 'info' ELSE 'warning' END severity,
+  CASE WHEN ci_high < {_LINE} THEN '{subject} falls short of {_LINE}' WHEN ci_low > {_LINE} THEN '{subject} clears {_LINE}' ELSE 'The data cannot show that {later} clears {_LINE}' END title"""
+
+
+_MARGIN = f"SELECT difference d, ci_low lo, ci_high hi FROM ({_TANGO}) x"
+_SIZE = _with("v_paired", "SELECT count(*) n, avg((q.a <> q.b)::INT) r FROM v_paired q")
+_AUDIT = f"""WITH m AS ({_MARGIN}), s AS (SELECT *, CASE WHEN n - {_ZA**2} + {_ZB**2} >= 0 THEN sqrt(r) * ({_ZA} * sqrt(n) + {_ZB} * sqrt(n - {_ZA**2} + {_ZB**2})) / (n + {_ZB**2}) END reach FROM ({_SIZE}) x),
+j AS ({_JUDGED}), jall AS (SELECT * FROM j WHERE slice = '(all)'), worst AS (SELECT * FROM j WHERE slice <> '(all)' ORDER BY agreement NULLS LAST, slice LIMIT 1),
+l AS ({_LENGTH_FIT}),
+found AS (
+  SELECT 1 k, 'compare' "check", CASE WHEN lo <= 0 AND hi >= 0 THEN 'critical' ELSE 'info' END severity, CASE WHEN lo <= 0 AND hi >= 0 THEN 'The margin does not exclude zero' ELSE 'The margin excludes zero' END title FROM m
+  UNION ALL SELECT 2, 'power', CASE WHEN NOT (lo <= 0 AND hi >= 0) OR (reach <= r AND reach <= 0.05) OR (-0.05 < lo AND hi < 0.05) THEN 'info' ELSE 'critical' END,
+    CASE WHEN NOT (lo <= 0 AND hi >= 0) THEN 'The margin is established; more items would only narrow it' WHEN reach <= r AND reach <= 0.05 THEN 'The evaluation was large enough for the effect of interest'
+         WHEN -0.05 < lo AND hi < 0.05 THEN 'The margin''s interval rules the effect of interest out' ELSE 'The evaluation had under 80% power for the effect of interest' END FROM m, s
+  UNION ALL SELECT 3, * FROM ({_against_line("agreement", "Agreement between raters")} FROM ({_agreement("nominal")}) x) a
+  UNION ALL SELECT 4, "check", CASE WHEN w THEN 'critical' ELSE severity END, CASE WHEN w THEN 'The judge fails on slice ' || slice ELSE title END
+    FROM ({_against_line("judge", "The judge''s agreement with humans")} FROM jall) a, (SELECT worst.slice, coalesce(worst.ci_high < jall.ci_low, false) w FROM worst, jall) b
+  UNION ALL SELECT 5, 'position', CASE WHEN ci_low > 0.5 OR ci_high < 0.5 THEN 'warning' ELSE 'info' END, CASE WHEN ci_low > 0.5 OR ci_high < 0.5 THEN 'The place shown moves the verdict' ELSE 'No effect of place could be shown' END FROM ({_POSITION}) x WHERE design = 'randomised'
+  UNION ALL SELECT 6, 'length', CASE WHEN disagreement_ci_low > 0 OR disagreement_ci_high < 0 THEN 'warning' ELSE 'info' END,
+    CASE WHEN disagreement_ci_low > 0 THEN 'The judge is drawn to longer options' WHEN disagreement_ci_high < 0 THEN 'The judge is drawn to shorter options' ELSE 'No effect of length could be shown' END FROM l
+  UNION ALL SELECT 7, 'scores', 'info', 'Score of a' UNION ALL SELECT 8, 'scores', 'info', 'Score of b')
+SELECT row_number() OVER (ORDER BY list_position(['critical', 'warning', 'info'], severity), k) - 1 AS at, "check", severity, title FROM found"""
 
 SQL: dict[str, str] = {
     "q_score_ci": _SCORE_CI,
@@ -378,7 +463,9 @@ SQL: dict[str, str] = {
     "q_bt_ends": _with("v_lb", "SELECT max(greatest(model_a, model_b)) undefeated, min(least(model_a, model_b)) winless, true connected, 0::BIGINT n_rated FROM v_lb"),
     "q_join_inner": _with("v_sparse v_base_judge", "SELECT judge, count(*) n, count(DISTINCT item_id) n_items FROM v_sparse JOIN v_base_judge USING (item_id) WHERE judge <> 'view' GROUP BY 1"),
     "q_winner_names": _with("v_lb", "SELECT winner, count(*) n FROM v_lb GROUP BY 1"),
-    "q_refusals": "SELECT * FROM (VALUES " + ", ".join(f"('{case}', true)" for case in _REFUSED) + ") t(\"case\", refused)",
+    "q_refusals": _REFUSALS,
+    "q_audit": _AUDIT,
+    "q_design_effect": _DESIGN_EFFECT,
     "q_coverage": _with("v_indep", f"SELECT grp, count(*) n_batches, {_r('avg((lo <= truth AND truth <= hi)::INT)')} covered, {_r('avg((lo > truth)::INT)')} missed_below, {_r('avg((hi < truth)::INT)')} missed_above FROM (SELECT grp, greatest((p + {Z * Z} / (2 * n) - {_W}) / (1 + {Z * Z} / n), 0) lo, least((p + {Z * Z} / (2 * n) + {_W}) / (1 + {Z * Z} / n), 1) hi FROM (SELECT grp, floor(item_id / 400) batch, count(*) n, avg(score) p FROM v_indep GROUP BY 1, 2) x) y JOIN (SELECT grp, avg(score) truth FROM v_indep GROUP BY 1) z USING (grp) GROUP BY 1"),
     "q_coverage_paired": _COVERAGE_PAIRED,
     "q_coverage_two_sample": _with("v_indep", f"SELECT count(*) n_batches, {_r('avg((lo <= truth AND truth <= hi)::INT)')} covered FROM (SELECT batch, quantile_cont(d, 0.025) lo, quantile_cont(d, 0.975) hi FROM (SELECT batch, b, sum(CASE WHEN grp = '1-URGENT' THEN w * score END) / nullif(sum(CASE WHEN grp = '1-URGENT' THEN w END), 0) - sum(CASE WHEN grp = '5-LOW' THEN w * score END) / nullif(sum(CASE WHEN grp = '5-LOW' THEN w END), 0) d FROM rows JOIN wt ON k = item_id GROUP BY 1, 2) x GROUP BY 1 HAVING count(d) >= 180) y, (SELECT avg(CASE WHEN grp = '1-URGENT' THEN score END) - avg(CASE WHEN grp = '5-LOW' THEN score END) truth FROM v_indep) t", "rows AS (SELECT *, floor(item_id / 2000)::BIGINT batch FROM v_indep)", *_keyed("v_indep", "item_id", 200)),
@@ -388,7 +475,7 @@ SQL: dict[str, str] = {
     "q_bt_ratings": _MM + f"SELECT model, {_r('rating', 5)} rating, {_r('total')} n_comparisons FROM rated",
     "q_bt_elo": _MM + f"SELECT model, {_r('1500 + rating * 400 / ln(10)', 3)} rating FROM rated",
     "q_bt_win_matrix": _MM + f"SELECT a.model model_a, b.model model_b, {_r('1 / (1 + exp(b.rating - a.rating))', 5)} p FROM rated a JOIN rated b ON a.model <> b.model",
-    "q_length_fit": _with("v_len", f"SELECT n, n_disagreements, {_r('longer')} longer_rate, {_r('f1.b1', 5)} coefficient, {_r(f'f1.b1 - {_ZA} * f1.se', 5)} ci_low, {_r(f'f1.b1 + {_ZA} * f1.se', 5)} ci_high, {_r('f2.b1', 5)} disagreement_coefficient, {_r(f'f2.b1 - {_ZA} * f2.se', 5)} disagreement_ci_low, {_r(f'f2.b1 + {_ZA} * f2.se', 5)} disagreement_ci_high FROM (SELECT count(*) n, sum(y2)::BIGINT n_disagreements, avg(CASE WHEN y1 = 1 THEN (x1 > 0)::INT ELSE (x1 < 0)::INT END) longer FROM p) s, fit1 f1, fit2 f2", _LEN, *_newton(1), *_newton(2)),
+    "q_length_fit": _LENGTH_FIT,
     "q_plain_paired_intervals": _with("v_paired", _PLAIN),
     "q_score_wilson": _with("v_indep", f"SELECT grp, n, {_r('p')} estimate, {_r(f'greatest((p + {Z * Z} / (2 * n) - {_W}) / (1 + {Z * Z} / n), 0)')} ci_low, {_r(f'least((p + {Z * Z} / (2 * n) + {_W}) / (1 + {Z * Z} / n), 1)')} ci_high FROM (SELECT grp, count(*) n, avg(score) p FROM v_indep GROUP BY 1) x"),
     "q_score_t": _with("v_indep", f"SELECT grp, n, {_r('m', 1)} mean, {_r('s', 1)} sd, {_r('s / sqrt(n)', 1)} se, {_r(f'm - {Z} * s / sqrt(n)', 1)} ci_low, {_r(f'm + {Z} * s / sqrt(n)', 1)} ci_high FROM (SELECT grp, count(*) n, avg(score_cont) m, stddev_samp(score_cont) s FROM v_indep GROUP BY 1) x"),
@@ -420,7 +507,7 @@ FROM designs, unnest(range(1, 16)) z(m)""", _DESIGNS),
     "q_cohen_kappa": _with("v_ratings", f"SELECT n n_items, k n_categories, {_r('po')} p_observed, {_r('pe')} p_expected, {_r('(po - pe) / nullif(1 - pe, 0)')} kappa FROM (SELECT count(*) n, avg((x = y)::INT) po FROM p) a, (SELECT count(*) k, sum(f.c * g.c)::DOUBLE / (SELECT count(*) ** 2 FROM p) pe FROM (SELECT v, count(CASE WHEN s = 1 THEN 1 END) c FROM q GROUP BY 1) f JOIN (SELECT v, count(CASE WHEN s = 2 THEN 1 END) c FROM q GROUP BY 1) g USING (v)) b", "p AS (SELECT a.rating x, b.rating y FROM v_ratings a JOIN v_ratings b USING (item_id) WHERE a.rater_id = 'h0' AND b.rater_id = 'h1')", "q AS (SELECT x v, 1 s FROM p UNION ALL SELECT y, 2 FROM p)"),
     "q_fleiss_kappa": _with("v_ratings", f"SELECT n_items, least, most, {_r('po')} p_observed, {_r('pe')} p_expected, n_categories, {_r('(po - pe) / nullif(1 - pe, 0)')} kappa FROM (SELECT count(*) n_items, min(m)::BIGINT AS least, max(m)::BIGINT AS most, avg((c2 - m) / (m * (m - 1))) po FROM (SELECT item_id, sum(c)::DOUBLE m, sum(c * c) c2 FROM c GROUP BY 1) x) a, (SELECT sum(g * g) / sum(g) ** 2 pe, count(*) n_categories FROM (SELECT rating, sum(c)::DOUBLE g FROM c GROUP BY 1) y) b", "c AS (SELECT item_id, rating, count(*) c FROM v_ratings GROUP BY 1, 2)"),
     "q_judge_overall": _with("v_judge", f"SELECT n_items, {_r('accuracy')} accuracy, {_r('alpha')} alpha FROM (SELECT count(*) n_items, avg((human = judge)::INT) accuracy FROM v_judge) x, alpha", "src AS (SELECT item_id, human rating FROM v_judge UNION ALL SELECT item_id, judge FROM v_judge)", *_alpha("src", "nominal")),
-    "q_judge_slices": _with("v_judge", f"SELECT slice, x.n_items, {_r('accuracy')} accuracy, {_r('alpha')} alpha, CASE WHEN x.n_items < 2 THEN 'only one item, too few to measure agreement' WHEN n_values <= 1 THEN 'both sides used one label throughout, so alpha has no denominator' ELSE '' END note FROM (SELECT slice, count(*) n_items, avg((human = judge)::INT) accuracy FROM v_judge GROUP BY 1) x JOIN alpha USING (slice)", "src AS (SELECT slice, item_id, human rating FROM v_judge UNION ALL SELECT slice, item_id, judge FROM v_judge)", *_alpha("src", "nominal", "slice")),
+    "q_judge_slices": _with("v_judge", f"SELECT slice, x.n_items, {_r('accuracy')} accuracy, {_r('alpha')} alpha, CASE WHEN x.n_items < 2 THEN 'one item, too few to measure agreement' WHEN n_values <= 1 THEN 'human and judge used one label throughout, so alpha has no denominator' ELSE '' END note FROM (SELECT slice, count(*) n_items, avg((human = judge)::INT) accuracy FROM v_judge GROUP BY 1) x JOIN alpha USING (slice)", "src AS (SELECT slice, item_id, human rating FROM v_judge UNION ALL SELECT slice, item_id, judge FROM v_judge)", *_alpha("src", "nominal", "slice")),
     "q_baseline_rules": _with("v_base v_base_judge", "SELECT rule, count(*) n_items, count(DISTINCT cluster_id) n_clusters FROM (SELECT cluster_id, CASE WHEN judge IS NULL THEN 'no_judge_label' WHEN n < 2 THEN 'too_few_humans' ELSE 'kept' END AS rule FROM (SELECT item_id, any_value(cluster_id) cluster_id, count(rating) n FROM v_base GROUP BY 1) x LEFT JOIN v_base_judge j USING (item_id)) y GROUP BY 1"),
     "q_baseline_alphas": _with("v_base v_base_judge", f"SELECT {_r('judge_human')} judge_human, {_r('human_human')} human_human, {_r('difference')} difference FROM ({_two_alphas('(SELECT sum(hh_o) hh_o, sum(jh_o) jh_o FROM obs) o', '(SELECT v, sum(hh) hh, sum(jh) jh FROM marg GROUP BY 1) m', '')}) q", *_BASE),
     "q_position_design": _with("v_pos_random v_pos_both", "\nUNION ALL\n".join(f"SELECT '{name}' pairs, n_pairs, n_both_orders, CASE WHEN n_both_orders > 0 AND n_both_orders >= 0.5 * n_pairs THEN 'both_orders' ELSE 'randomised' END design FROM (SELECT count(DISTINCT pair_id) n_pairs, (SELECT count(DISTINCT x.pair_id) FROM {view} x JOIN {view} y ON x.pair_id = y.pair_id AND x.option_a = y.option_b AND x.option_b = y.option_a) n_both_orders FROM {view}) q" for name, view in (("pair_id", "v_pos_random"), ("item_id", "v_pos_both")))),
