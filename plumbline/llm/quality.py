@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import fresh
+from .common import fresh, tidy
 from .features import NAMES, features, labelled_sample
 
 SAMPLE, BINS, PAIR_BINS, PAIRS = 8000, 48, 8, 10
@@ -157,7 +157,7 @@ def with_features(docs: DataFrame, score=None) -> DataFrame:
 
     kept = [f for f in docs.schema if f.name != "text"]
     new = T.StructField(name, T.ArrayType(T.DoubleType()) if score is None else T.DoubleType())
-    return docs.mapInArrow(batches, T.StructType([*kept, new]))
+    return docs.mapInArrow(tidy(batches), T.StructType([*kept, new]))
 
 
 def fitted(docs: DataFrame, labels: DataFrame, column: str = "quality", sample: int = SAMPLE) -> Model:

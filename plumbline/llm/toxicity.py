@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh, written
+from .common import fresh, tidy, written
 from .features import NAMES, features, labelled_sample
 from .langid import runs
 
@@ -270,9 +270,4 @@ def scored(docs: DataFrame, chain: Chain) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*map(batch.column, names), *map(pa.array, np.concatenate(found).T.copy())], names=[*names, *scores])
 
     kept = [f for f in docs.schema if f.name != "text"]
-    return docs.mapInArrow(batches, T.StructType([*kept, *(T.StructField(c, T.DoubleType()) for c in scores)]))
-
-
-def without_toxic(docs: DataFrame, chain: Chain, least: float = 0.5) -> DataFrame:
-    """doc_id and scores of docs whose last category's probability is under `least`."""
-    return scored(docs.select("doc_id", "text"), chain).where(F.col(f"{chain.categories[-1]}_score") < least)
+    return docs.mapInArrow(tidy(batches), T.StructType([*kept, *(T.StructField(c, T.DoubleType()) for c in scores)]))
