@@ -68,17 +68,18 @@ _MIXED = np.searchsorted(_ORDERED, _FIRST + (1 << _SHIFT) - 1, side="right") !=
 
 
 def _reduced(x: np.ndarray) -> np.ndarray:
-    """Of x under 2**63, a number that is x modulo PRIME and at most a little over it."""
+    """Of x under k * 2**62, unsigned, a number that is x modulo PRIME and at most 2**31 * (k / 2 + 1)."""
     return (x & PRIME) + (x >> 31)
 
 
 def poisson(units: np.ndarray, many: np.ndarray | None, polynomial: np.ndarray) -> np.ndarray:
     """Multiplicities of units by number, each of which stands for `many` equal ones, or for itself."""
     a0, a1, a2, a3, mix = polynomial.tolist()
-    u = _reduced(_reduced((units >> HALF) + mix * (units & (1 << HALF) - 1)))
-    t = _reduced(_reduced(a3 * u + a2))
-    t = _reduced(_reduced(t * u + a1))
-    t = _reduced(_reduced(t * u + a0))
+    units = units.view(np.uint64)
+    u = _reduced(_reduced((units >> HALF) + mix * (units & (1 << HALF) - 1)))  # 2**31 at most
+    t = _reduced(a3 * u + a2)
+    t = _reduced(t * u + a1)  # each product stays under 2**64
+    t = _reduced(_reduced(t * u + a0)).view(np.int64)
     t = np.where(t >= PRIME, t - PRIME, t)
     bins = t >> _SHIFT
     out, mixed = _BIN[bins], np.flatnonzero(_MIXED[bins])

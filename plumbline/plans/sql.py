@@ -7,7 +7,7 @@ from .queries import SEED, Z
 
 VIEWS = {
     "v_ratings": "SELECT user_id item_id, concat('h', CAST(event_id % 5 AS varchar)) rater_id, max_by(event_type, event_id) rating, max_by(1 + CAST(floor(value) AS int) % 5, event_id) rating_num FROM events GROUP BY 1, 2",
-    "v_sparse": "SELECT * FROM v_ratings WHERE (item_id * (CAST(substr(rater_id, 2) AS int) + 1)) % 3 = 0",
+    "v_sparse": "SELECT * FROM v_ratings WHERE rating <> 'view'",
     "v_lb": "SELECT event_id pair_id, event_id seq, item_id, model_a, model_b, CASE WHEN abs(va - vb) < 1 THEN 'tie' WHEN va > vb THEN model_a ELSE model_b END winner FROM (SELECT event_id, user_id item_id, event_type model_a, value va, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) model_b, lead(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) vb FROM events) x WHERE model_b IS NOT NULL AND model_a <> model_b",
     "v_pos_random": "SELECT pair_id, seq, model_a option_a, model_b option_b, nullif(winner, 'tie') winner FROM v_lb",
     "v_pos_both": "SELECT item_id pair_id, seq, model_a option_a, model_b option_b, nullif(winner, 'tie') winner FROM v_lb",
