@@ -62,6 +62,8 @@ def value_counts(ratings: DataFrame, by: Sequence[str] = (), item: Sequence[str]
 
 def positions(counts: DataFrame, level: str, by: Sequence[str] = ()) -> DataFrame:
     """counts with x, where a rating lies: itself, or its mid-rank among the ratings of its group."""
+    if "x" in counts.columns:  # placed before
+        return counts
     if level == "nominal":
         return counts.withColumn("x", F.lit(0.0))
     if level == "interval":
@@ -98,7 +100,7 @@ def expected(counts: DataFrame, level: str, by: Sequence[str] = ()) -> DataFrame
 
 def alphas(ratings: DataFrame, level: str = "nominal", by: Sequence[str] = (), item: Sequence[str] = ("item_id",)) -> DataFrame:
     """By group: alpha (null if undefined), n_units, n_ratings, n_values."""
-    counts = value_counts(ratings, by, item)
+    counts = positions(value_counts(ratings, by, item), level, by)
     units = unit_stats(counts, level, by, item).groupBy(*by).agg(F.sum("o").alias("o"), F.count("*").alias("n_units"))
     chance = expected(counts, level, by)
     both = units.join(chance, list(by)) if by else units.crossJoin(chance)
@@ -108,7 +110,7 @@ def alphas(ratings: DataFrame, level: str = "nominal", by: Sequence[str] = (), i
 
 def item_disagreement(ratings: DataFrame, level: str = "nominal") -> DataFrame:
     """item_id, n_ratings, disagreement (mean squared distance of two of its ratings), vs_chance."""
-    counts = value_counts(ratings)
+    counts = positions(value_counts(ratings), level)
     chance = expected(counts, level).select((F.col("e") / F.nullif(F.col("n") * (F.col("n") - 1), F.lit(0.0))).alias("chance"))
     d = F.col("o") / F.col("m")
     return unit_stats(counts, level).crossJoin(F.broadcast(chance)).select("item_id", F.col("m").cast("long").alias("n_ratings"), d.alias("disagreement"), (d / F.nullif(F.col("chance"), F.lit(0.0))).alias("vs_chance"))
