@@ -62,7 +62,12 @@ def signed_ranks(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     Ranks come from a running count over the distinct sizes, not from a sort of all rows.
     """
     d = F.col(a).cast("double") - F.col(b).cast("double")
-    sizes = pairs.select(d.alias("d")).where("d <> 0").groupBy(F.abs("d").alias("size")).agg(F.count("*").alias("ties"), F.count_if(F.col("d") > 0).alias("n_positive"))
+    return ranks_of(pairs.select(d.alias("d")).where("d <> 0").groupBy("d").agg(F.count("*").alias("n")))
+
+
+def ranks_of(values: DataFrame) -> DataFrame:
+    """signed_ranks of distinct differences with their counts (d, n), none of them zero."""
+    sizes = values.groupBy(F.abs("d").alias("size")).agg(F.sum("n").alias("ties"), F.sum(F.when(F.col("d") > 0, F.col("n")).otherwise(0)).alias("n_positive"))
     return running(sizes, "size", "ties", "before").withColumn("mid_rank", F.col("before") + (F.col("ties") + 1) / 2).drop("before")
 
 
@@ -124,7 +129,7 @@ def wilcoxon(pairs: DataFrame, binary: bool, confidence: float) -> ComparisonRes
             return ComparisonResult(0.0, 0.0, 0.0, 1.0, 0, "wilcoxon", binary, True, confidence)
         if distinct < SIGNED_DISTINCT:
             raise ValueError(f"the differences take {distinct} value(s) other than zero, too few for an interval by ranks; use method='mcnemar' or 'bootstrap'")
-        sums = rank_sums(signed_ranks(pairs)).first()
+        sums = rank_sums(ranks_of(values)).first()
         n, ties = int(sums.n), float(sums.tie_correction)
         exact = n <= SIGNED_EXACT and ties == 0
         total = n * (n + 1) // 2
@@ -156,7 +161,7 @@ def compare_paired(pairs: DataFrame, method: str = "auto", confidence: float = 0
         return ComparisonResult((s.n_a_only - s.n_b_only) / n, low, high, mcnemar_p(s.n_a_only, s.n_b_only), n, method, True, True, confidence, s.n_a_only + s.n_b_only)
     if method == "wilcoxon":
         return wilcoxon(pairs, s.binary, confidence)
-    means = resampled_means(pairs, F.col("a").cast("double") - F.col("b").cast("double"), [key] if key in pairs.columns else [], order, n_boot, seed)
+    means = resampled_means(pairs, F.col("a").cast("double") - F.col("b").cast("double"), [key] if key in pairs.columns else [], order, n_boot, seed, n)
     return ComparisonResult(s["mean"], *percentile_interval(means, confidence), bootstrap_p(means), n, method, s.binary, True, confidence)
 
 
@@ -209,7 +214,7 @@ def compare_independent(left: DataFrame, right: DataFrame, method: str = "auto",
     else:
         seed = some_seed(seed)
         seeds = (np.random.default_rng(seed),) * 2 if order else (seed, seed + 1)
-        one, two = (resampled_means(x, F.col(score), [key] if key in x.columns else [], order, n_boot, own) for x, own in zip((left, right), seeds, strict=True))
+        one, two = (resampled_means(x, F.col(score), [key] if key in x.columns else [], order, n_boot, own, n) for x, own, n in zip((left, right), seeds, (n1, n2), strict=True))
         means = one - two
         low, high = percentile_interval(means, confidence)
         p_value = bootstrap_p(means)

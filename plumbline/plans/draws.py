@@ -93,6 +93,76 @@ def poisson(units: np.ndarray, many: np.ndarray | None, polynomial: np.ndarray)
 _KNOWN: dict[int, tuple[int, np.ndarray]] = {}
 
 
+#: For blocks of resamples: bins that a value under PRIME falls into, each with its multiplicity, or EXACT where it has several
+#: or a bin's edge is so near another multiplicity that rounding may pass it.
+BINS, EXACT, _NEAR = 1 << 12, 255, 64
+_EDGES = np.arange(BINS + 1) * (PRIME / BINS)
+_LOWEST, _HIGHEST = np.searchsorted(_ORDERED, _EDGES[:-1] - _NEAR, side="right"), np.searchsorted(_ORDERED, _EDGES[1:] + _NEAR, side="right")
+_TIMES = np.where(_LOWEST == _HIGHEST, _LOWEST, EXACT).astype(np.uint8)
+_TIMES[[0, -1]] = EXACT  # PRIME is 0 again
+#: Multiplicities that a block holds, of resamples in eights.
+_BLOCK = 160_000
+
+
+def _centred(x: np.ndarray) -> np.ndarray:
+    """Modulo PRIME, within half of it of 0."""
+    x = x % PRIME
+    return np.where(x > PRIME // 2, x - PRIME, x)
+
+
+def _powers(units: np.ndarray) -> np.ndarray:
+    """(19, units): products of both halves of the units, times 2**15 and plain, and ones, as numbers of bins."""
+    h, low = (units >> HALF) % PRIME, (units & (1 << HALF) - 1) % PRIME
+    h2, hl, low2 = h * h % PRIME, h * low % PRIME, low * low % PRIME
+    m = np.stack([h, low, h2, hl, low2, h2 * h % PRIME, h2 * low % PRIME, h * low2 % PRIME, low2 * low % PRIME])
+    return np.concatenate([_centred(m << 15), _centred(m), np.ones((1, len(units)), np.int64)]) * (BINS / PRIME)
+
+
+def _factors(coefficients: np.ndarray) -> np.ndarray:
+    """(resamples, 19): the polynomials multiplied out, what each product of _powers is taken times, in two parts of 15 bits."""
+    a0, a1, a2, a3, mix = coefficients.T
+    b2, b3 = a2 * mix % PRIME, a3 * mix % PRIME
+    b33 = b3 * mix % PRIME
+    c = _centred(np.stack([a1, a1 * mix, a2, 2 * b2, b2 * mix, a3, 3 * b3, 3 * b33, b33 * mix], axis=1))
+    low = (c + (1 << 14) & (1 << 15) - 1) - (1 << 14)
+    return np.concatenate([c - low >> 15, low, a0[:, None] + (PRIME << 18)], axis=1).astype(float)  # 2**30 bins more: none is negative
+
+
+def _exactly(units: np.ndarray, coefficients: np.ndarray) -> np.ndarray:
+    """The multiplicity of each unit by the polynomial beside it."""
+    a0, a1, a2, a3, mix = coefficients.T
+    u = ((units >> HALF) + mix * (units & (1 << HALF) - 1)) % PRIME
+    t = (a3 * u + a2) % PRIME
+    t = (t * u + a1) % PRIME
+    return np.searchsorted(_ORDERED, (t * u + a0) % PRIME, side="right")
+
+
+def poisson_blocks(units: np.ndarray, coefficients: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """poisson() of units for all polynomials: blocks of resamples, each its first and (resamples, units).
+
+    A block is one product of matrices, in which sums stay under 2**31 bins and are known to 2 units of a bin's 2**19; the
+    few values in bins without one multiplicity are computed in whole numbers.
+    """
+    powers, factors = _powers(units), _factors(coefficients)
+    step = max(8, _BLOCK // max(len(units), 1) // 8 * 8)
+    for first in range(0, len(factors), step):
+        bins = (factors[first : first + step] @ powers).astype(np.int32)
+        bins &= BINS - 1
+        times = np.empty(bins.shape, np.uint8)
+        _TIMES.take(bins, out=times, mode="clip")
+        flat = times.reshape(-1)
+        odd = flat == EXACT
+        if len(odd) % 8:
+            at = np.flatnonzero(odd)
+        else:  # most eights have none
+            eights = np.flatnonzero(odd.view(np.uint64))
+            at = (eights[:, None] * 8 + np.arange(8)).ravel()
+            at = at[odd[at]]
+        b, unit = np.divmod(at, len(units))
+        flat[at] = _exactly(units[unit], coefficients[first + b])
+        yield first, times
+
+
 def _quantiles(mean: int):  # noqa: ANN202
     """Poisson's quantile function of values under PRIME, from its distribution within fifteen deviations of the mean."""
     if mean not in _KNOWN:
@@ -112,8 +182,13 @@ def times_of(part: pd.DataFrame, coefficients: np.ndarray | None, first: int, la
     if coefficients is None:
         return np.stack([np.frombuffer(t, TIMES)[first:last] for t in part["times"]]) if len(part) else np.zeros((0, last - first), TIMES)
     units, at, place = np.unique(part["unit"].to_numpy(np.int64), return_index=True, return_inverse=True)
-    many = part["many"].to_numpy(np.int64)[at] if "many" in part else None
-    return np.stack([poisson(units, many, c) for c in coefficients], axis=1)[place]
+    if "many" in part:
+        many = part["many"].to_numpy(np.int64)[at]
+        return np.stack([poisson(units, many, c) for c in coefficients], axis=1)[place]
+    out = np.empty((len(units), len(coefficients)), np.int64)
+    for b, times in poisson_blocks(units, coefficients):
+        out[:, b : b + len(times)] = times.T
+    return out[place]
 
 
 def sorted_labels(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -138,14 +213,18 @@ def _partial(coefficients: np.ndarray | None, first: int, last: int):  # noqa: A
 
 
 def _by_key(part: pd.DataFrame, labels: np.ndarray, column: np.ndarray, coefficients: np.ndarray) -> np.ndarray:
-    units, first, place = np.unique(part["unit"].to_numpy(np.int64), return_index=True, return_inverse=True)
-    many = part["many"].to_numpy(np.int64)[first] if "many" in part else None
+    units, at, place = np.unique(part["unit"].to_numpy(np.int64), return_index=True, return_inverse=True)
+    many = part["many"].to_numpy(np.int64)[at] if "many" in part else None
     x, own, dense = part["x"].to_numpy(float), np.empty((len(coefficients), len(labels))), None
     if len(units) * len(labels) <= SUMS:
         dense = np.bincount(place * len(labels) + column, x, len(units) * len(labels)).reshape(len(units), len(labels))
-    for b, polynomial in enumerate(coefficients):
-        times = poisson(units, many, polynomial)
-        own[b] = times @ dense if dense is not None else np.bincount(column, times[place] * x, len(labels))
+    blocks = poisson_blocks(units, coefficients) if many is None else ((b, poisson(units, many, c)[None]) for b, c in enumerate(coefficients))
+    for first, block in blocks:
+        if dense is not None:
+            own[first : first + len(block)] = block.astype(float) @ dense
+        else:
+            for b, times in enumerate(block, first):
+                own[b] = np.bincount(column, times[place] * x, len(labels))
     return own
 
 
@@ -198,10 +277,13 @@ def _shape(cells: DataFrame) -> tuple[int, int]:
 
 def _dealt(cells: DataFrame, size: int, n_boot: int) -> DataFrame:
     """cells in partitions that have about SUMS multiplicities to make each: few rows lie in few, and the work is rows times resamples."""
-    if size > SMALL:
-        return cells
+    return cells if size > SMALL else cells.repartition(_parts(cells, size, n_boot), "unit")
+
+
+def _parts(cells: DataFrame, size: int, n_boot: int) -> int:
+    """Four a core at most, but as many as leave each no more than SMALL rows."""
     parts = min(-(-size * n_boot // SUMS), 4 * cells.sparkSession.sparkContext.defaultParallelism)
-    return cells.repartition(max(1, parts), "unit")
+    return max(1, parts, -(-size // SMALL))
 
 
 def _blocks(cells: DataFrame, n_boot: int, seed: int | None, width: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -323,15 +405,21 @@ def numpy_multiplicities(n: int, n_boot: int, seed, width: int = 1) -> Iterator[
         yield np.stack([np.bincount(p, minlength=n) for p in picks])
 
 
-def resampled_means(rows: DataFrame, x: Column, key: Sequence[str], order: Sequence[str], n_boot: int, seed) -> np.ndarray:  # noqa: ANN001
-    """Means of x over resamples of rows: numpy's if `order` numbers them, else keyed by `key`, or by x itself where that is empty."""
+def resampled_means(rows: DataFrame, x: Column, key: Sequence[str], order: Sequence[str], n_boot: int, seed, size: int | None = None) -> np.ndarray:  # noqa: ANN001
+    """Means of x over resamples of rows: numpy's if `order` numbers them, else keyed by `key`, or by x itself where that is empty.
+
+    size: how many rows there are, where that is known; they are counted otherwise. Keyed rows are dealt out as units with
+    their values, whatever their number, as the work is theirs and not that of the partitions they come in.
+    """
     pairs = lambda own, unit, *more: own.select(unit, *more, F.inline(F.array(*(F.struct(F.lit(0).cast("long").alias("i"), F.lit(j).cast("long").alias("j"), v.alias("x")) for j, v in enumerate((F.lit(1.0), F.col("own_x")))))))
     value = x.cast("double").alias("own_x")
     if order:  # each row is a unit
         numbers, n = numbered(rows.select(F.struct(*order).alias("place"), unit_key(*map(F.col, order)).alias("unit"), value), "place")
         blocks = _blocks(pairs(numbers, "number").join(drawn(rows.sparkSession, n, n_boot, seed), "number"), n_boot, None, 2)
     elif key:
-        blocks = resampled(pairs(rows.select(unit_number(*map(F.col, key)).alias("unit"), value), "unit"), n_boot, seed)
+        own = rows.select(unit_number(*map(F.col, key)).alias("unit"), value)
+        own = own.repartition(_parts(own, rows.count() if size is None else size, n_boot), "unit")
+        blocks = _blocks(pairs(own, "unit"), n_boot, some_seed(seed), 2)
     else:
         own = rows.select(value).groupBy("own_x").agg(F.count("*").alias("many"))
         blocks = resampled(pairs(own.select(unit_number(F.col("own_x")).alias("unit"), "own_x", "many"), "unit", "many"), n_boot, seed)

@@ -6,6 +6,7 @@ Doubles are rounded to six places, so that engines that sum in another order agr
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
@@ -148,14 +149,27 @@ def q_hodges_lehmann(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(_frame(spark, [{"n": r.n, "difference": r.difference, "ci_low": r.ci_low, "ci_high": r.ci_high}]))
 
 
+@contextmanager
+def _kept(*rows: DataFrame) -> Iterator[tuple[DataFrame, ...]]:
+    """rows, made once for all passes over them."""
+    for x in rows:
+        x.persist()
+    try:
+        yield rows
+    finally:
+        for x in rows:
+            x.unpersist()
+
+
 def _compared(spark: SparkSession, *found) -> DataFrame:  # noqa: ANN002
     return rounded(_frame(spark, [{"method": r.method, "n": r.n, "difference": r.difference, "ci_low": r.ci_low, "ci_high": r.ci_high, "p_value": r.p_value, "binary": r.binary, "paired": r.paired} for r in found]))
 
 
 def q_compare_paired(spark: SparkSession, sf: str) -> DataFrame:
     """McNemar's test on the pass rates; a bootstrap and signed ranks on the continuous scores in hundredths."""
-    cents = _cents(v.paired_scores(spark, sf))
-    return _compared(spark, cmp.compare_paired(v.paired_scores(spark, sf)), cmp.compare_paired(cents, method="bootstrap", seed=SEED), cmp.compare_paired(cents, method="wilcoxon"))
+    with _kept(v.paired_scores(spark, sf)) as (pairs,):
+        cents = _cents(pairs)
+        return _compared(spark, cmp.compare_paired(pairs), cmp.compare_paired(cents, method="bootstrap", seed=SEED), cmp.compare_paired(cents, method="wilcoxon"))
 
 
 def q_compare_independent(spark: SparkSession, sf: str) -> DataFrame:

@@ -138,3 +138,29 @@ def test_an_item_of_many_raters_makes_no_pairs_of_them(spark, level):
     assert tuple(found) == (10_000, 20_000, 10_000)
     text = plan._jdf.queryExecution().explainString(plan._sc._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("simple"))
     assert "CartesianProduct" not in text
+
+
+@pytest.mark.parametrize("n", [1, 7, 8, 500, 3001])
+def test_blocks_draw_as_one_resample_at_a_time(n):
+    units = np.random.default_rng(n).integers(0, 2**60, n)
+    units[:4] = [0, 2**60 - 1, draws.PRIME, 2**30 - 1][:n]
+    coefficients = draws.polynomials(3, 0, 203)
+    coefficients[:3] = [[0] * 5, [draws.PRIME - 1] * 5, [draws.THRESHOLDS[0], 0, 0, 0, 0]]
+    firsts, blocks = zip(*draws.poisson_blocks(units, coefficients), strict=True)
+    assert firsts[0] == 0 and np.array_equal(np.concatenate(blocks), np.stack([draws.poisson(units, None, c) for c in coefficients]))
+
+
+def test_any_bin_has_one_multiplicity_or_is_told_apart():
+    for k, times in enumerate(draws._TIMES.tolist()):
+        ends = [int(k * draws.PRIME / draws.BINS) + x for x in (-3, 0, 3)] + [int((k + 1) * draws.PRIME / draws.BINS) + x for x in (-3, 0, 3)]
+        assert times == draws.EXACT or {int(np.searchsorted(draws.THRESHOLDS, t % draws.PRIME, side="right")) for t in ends} == {times}
+
+
+def test_keyed_means_are_dealt_out_whatever_their_number(spark, monkeypatch):
+    """Rows past SMALL once stayed in the partitions they came in, here one."""
+    monkeypatch.setattr(draws, "SMALL", 100)
+    rows, parts = spark.range(1000).coalesce(1).selectExpr("id item_id", "double(id % 7) x"), []
+    blocks = draws._blocks
+    monkeypatch.setattr(draws, "_blocks", lambda cells, *more: parts.append(cells.rdd.getNumPartitions()) or blocks(cells, *more))
+    means = draws.resampled_means(rows, F.col("x"), ["item_id"], [], 50, 1)
+    assert parts == [10] and len(means) == 50 and abs(means.mean() - 3) < 0.2
