@@ -174,10 +174,11 @@ def q_compare_paired(spark: SparkSession, sf: str) -> DataFrame:
 
 def q_compare_independent(spark: SparkSession, sf: str) -> DataFrame:
     """The score interval with its z test, a bootstrap, and on prices in millions Welch's interval."""
-    s = v.independent_scores(spark, sf).withColumn("millions", F.col("score_cont") / 1e6)
-    a, b = (s.where(F.col("grp") == g) for g in ("1-URGENT", "5-LOW"))
-    welch = cmp.compare_independent(a, b, method="t", score="millions")
-    return _compared(spark, cmp.compare_independent(a, b), cmp.compare_independent(a, b, method="bootstrap", seed=SEED), welch)
+    with _kept(v.independent_scores(spark, sf)) as (rows,):
+        s = rows.withColumn("millions", F.col("score_cont") / 1e6)
+        a, b = (s.where(F.col("grp") == g) for g in ("1-URGENT", "5-LOW"))
+        welch = cmp.compare_independent(a, b, method="t", score="millions")
+        return _compared(spark, cmp.compare_independent(a, b), cmp.compare_independent(a, b, method="bootstrap", seed=SEED), welch)
 
 
 def q_signed_null(spark: SparkSession, sf: str) -> DataFrame:

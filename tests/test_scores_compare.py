@@ -161,3 +161,18 @@ def test_pairing_refuses_lone_items(spark):
     with pytest.raises(ValueError, match="one side"):
         paired(column(spark, [1, 2, 3]), column(spark, [1, 2]))
     assert paired(column(spark, [1, 2]), column(spark, [3, 4])).count() == 2
+
+
+@pytest.mark.parametrize(("query", "operator"), [("q_compare_paired", "compare_paired"), ("q_compare_independent", "compare_independent")])
+def test_comparisons_make_their_view_once(spark, monkeypatch, query, operator):
+    from plumbline.plans import queries
+
+    plans, compare = [], getattr(queries.cmp, operator)
+
+    def watched(*args, **more):
+        plans.append(args[0]._jdf.queryExecution().withCachedData().toString())
+        return compare(*args, **more)
+
+    monkeypatch.setattr(queries.cmp, operator, watched)
+    queries.QUERIES[query](spark, "/root/testdata/sf0.001")
+    assert len(plans) == 3 and all("InMemoryRelation" in p for p in plans)
