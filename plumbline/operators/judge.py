@@ -128,7 +128,8 @@ def baseline_draws(counts: DataFrame, n_boot: int, seed: int | None, places: Dat
     return sides[0] - sides[1]
 
 
-def _baseline(baseline: DataFrame, labels: DataFrame, ties: str, confidence: float, n_boot: int, seed: int | None, order: Sequence[str] = ()) -> dict:
+def need_baseline(baseline: DataFrame, labels: DataFrame) -> None:
+    """Refuses a human baseline that can't stand beside these labels."""
     need_columns(baseline, ["item_id", "cluster_id", "rater_id", "rating"], "human_baseline")
     if not baseline.limit(1).count():
         raise ValueError("human_baseline must not be empty")
@@ -137,6 +138,9 @@ def _baseline(baseline: DataFrame, labels: DataFrame, ties: str, confidence: flo
     need_unique(baseline.where(F.col("rating").isNotNull()), ["item_id", "rater_id"], "two labels of one rater on one item would count that opinion twice")
     if lost := baseline.join(labels.select("item_id"), "item_id", "left_anti").select("item_id").distinct().count():
         raise ValueError(f"human_baseline has {lost} item(s) that are not among the judged items")
+
+
+def _baseline(baseline: DataFrame, labels: DataFrame, ties: str, confidence: float, n_boot: int, seed: int | None, order: Sequence[str] = ()) -> dict:
     judge = labels.select("item_id", F.col("judge").cast("string").alias("judge"))
     rules = {r.rule: r["count"] for r in baseline_rules(baseline, judge, ties).groupBy("rule").count().collect()}
     counts = baseline_counts(baseline, judge, ties)
@@ -193,6 +197,8 @@ def judge_validation(labels: DataFrame, level: str = "nominal", confidence: floa
         n_both, n = with_both.count(), kept.count()
         if not n:
             raise ValueError("no item has a label on both sides")
+        if human_baseline is not None:  # before any resample is drawn
+            need_baseline(human_baseline, labels)
         found = overall(kept, level).first()
         ratings = ag.cleaned(as_ratings(kept, *(c for c in order if c != "item_id")), level, *order)
         low, high, usable = ag.alpha_interval(ratings, level, confidence, n_boot, seed, order) if n_boot and n >= 2 else (NAN, NAN, 0)

@@ -516,9 +516,15 @@ def q_winner_names(spark: SparkSession, sf: str) -> DataFrame:
 
 def q_refusals(spark: SparkSession, sf: str) -> DataFrame:
     """What the operators refuse, and the reason that each gives, with how many rows of the tables it names."""
-    ratings, scores, labels = v.ratings(spark, sf).select("item_id", "rater_id", "rating"), v.independent_scores(spark, sf), v.judge_labels(spark, sf)
-    board, shown, base = v.leaderboard(spark, sf), v.positions(spark, sf, "pair_id"), v.baseline(spark, sf)
-    told = v.baseline_judge(spark, sf).withColumn("human", F.col("judge"))
+    with _kept(v.ratings(spark, sf), v.leaderboard(spark, sf), v.baseline_judge(spark, sf)) as (rated, board, judged):
+        return _refused(spark, sf, rated, board, judged)
+
+
+def _refused(spark: SparkSession, sf: str, rated: DataFrame, board: DataFrame, judged: DataFrame) -> DataFrame:
+    """q_refusals, from views that several cases read; those of positions and of the baseline are made of these and kept with them."""
+    ratings, scores, labels = rated.select("item_id", "rater_id", "rating"), v.independent_scores(spark, sf), v.judge_labels(spark, sf)
+    shown, base = v.positions(spark, sf, "pair_id"), v.baseline(spark, sf)
+    told = judged.withColumn("human", F.col("judge"))
     cases = {
         "score not finite": lambda: sc.score_ci(scores.withColumn("score", F.when(F.col("score") == 1, float("nan")).otherwise(0.0))),
         "wilson of prices": lambda: sc.score_ci(scores, method="wilson", score="score_cont"),

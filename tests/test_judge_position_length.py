@@ -3,6 +3,7 @@ import math
 import numpy as np
 import pytest
 
+from plumbline.operators import agreement as ag
 from plumbline.operators.judge import _baseline, judge_validation
 from plumbline.operators.length import NO_LENGTH, ONE_OUTCOME, SEPARATED, length_bias
 from plumbline.operators.position import couples, position_bias
@@ -194,3 +195,12 @@ def test_length_refusals(spark, rows, note):
 def test_length_bad_choice(spark):
     with pytest.raises(ValueError, match="neither"):
         length_bias(lengths(spark, [("2", 1, 2, "1")]))
+
+
+def test_baseline_is_refused_before_anything_is_drawn(spark, monkeypatch):
+    drawn = []
+    monkeypatch.setattr(ag, "alpha_interval", lambda *_: drawn.append(1) or (0.0, 0.0, 0))
+    base = spark.createDataFrame([(0, c, f"r{c}", "a") for c in (1, 2)], "item_id long, cluster_id long, rater_id string, rating string")
+    with pytest.raises(ValueError, match="item_id=0 has 2 different values of cluster_id"):
+        judge_validation(labels(spark, ["a", "b"], ["a", "b"]), human_baseline=base, ties="category")
+    assert not drawn
